@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import line_rules, mixing, packing, secrets, toxicity
+from tideline.llm import language_model, line_rules, mixing, neighbours, packing, secrets, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language_model.held_out_rows(_table(spark, sf_dir, "documents"))
+    model, counts = language_model.fit(docs.filter(~F.col("held_out")))
+    return language_model.score(docs, model, counts)
+
+
 def op3_rake_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.weighted(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "sampled")
@@ -72,12 +82,16 @@ def op6_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (toxicity.fold(3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op9_best_fit]
+    found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op9_best_fit]
     return {f.__name__: f for f in found}
 
 
