@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import language_model, line_rules, mixing, neighbours, packing, secrets, toxicity, wrappers
+from tideline.llm import jaccard_join, language_model, line_rules, mixing, neighbours, packing, secrets, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,8 +90,12 @@ def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op9_best_fit]
+    found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op9_best_fit, op10_jaccard_regions]
     return {f.__name__: f for f in found}
 
 
