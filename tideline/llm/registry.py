@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import jaccard_join, language_model, line_rules, mixing, neighbours, packing, secrets, toxicity, wrappers
+from tideline.llm import jaccard_join, language_model, line_rules, mixing, neighbours, packing, repeats, secrets, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,11 @@ def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"))
 
@@ -95,7 +100,7 @@ def op10_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op9_best_fit, op10_jaccard_regions]
+    found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op8_run_length_index, op9_best_fit, op10_jaccard_regions]
     return {f.__name__: f for f in found}
 
 
