@@ -40,7 +40,7 @@ class _Hashes(dict):
     """64-bit hash of a word; emptied when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
         return out
@@ -66,7 +66,8 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     out = np.full(n, k, np.uint64)
     for j in range(k):
         out = out * _ODD + h[j : n + j]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -79,6 +80,22 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def signature_bits(n: int) -> int:
+    """Bits of the signature of a set of n: a power of two, at least twice n and 64."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def signature(tokens: np.ndarray) -> bytes:
+    """The parity of the number of tokens in each of signature_bits() slots.
+
+    Each token in one set only flips one bit, so two signatures differ in no more bits than the sets do in
+    tokens. A longer one folds onto a shorter by exclusive or of its halves.
+    """
+    bits = signature_bits(len(tokens))
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def slot(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -172,6 +189,42 @@ def join_region(sets: list[np.ndarray], labels: list | None = None, need: np.nda
     return np.array([find(i) for i in range(m)], dtype=np.int64)
 
 
+def plausible(sizes: np.ndarray, signatures: list[bytes], percent: int = PERCENT) -> np.ndarray:
+    """Members that some other member may link with, by size and by the bits in which signatures differ.
+
+    No member with a link is left out.
+    """
+    alive = np.zeros(len(sizes), bool)
+    classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    width = np.array([len(x) for x in signatures])
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        own = own[np.argsort(sizes[own], kind="stable")]
+        classes[int(w)] = own, np.frombuffer(b"".join(signatures[i] for i in own), np.uint64).reshape(len(own), -1)
+
+    def compare(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, same: bool) -> None:
+        # b is in order of size: each member of a meets one stretch of it
+        low = np.searchsorted(sizes[b], -(-sizes[a] * percent // 100), side="left")
+        high = np.searchsorted(sizes[b], sizes[a] * 100 // percent, side="right")
+        for k in range(len(a)):
+            lo = max(low[k], k + 1) if same else low[k]
+            for c in range(lo, high[k], 4096):
+                cut = slice(c, min(high[k], c + 4096))
+                apart = np.bitwise_count(y[cut] ^ x[k]).sum(axis=1, dtype=np.int64)
+                ok = (100 + percent) * apart <= (100 - percent) * (sizes[b[cut]] + sizes[a[k]])
+                if ok.any():
+                    alive[a[k]] = True
+                    alive[b[cut][ok]] = True
+
+    for w, (own, x) in classes.items():
+        compare(own, x, own, x, True)
+        if 2 * w in classes:
+            other, y = classes[2 * w]
+            half = y.shape[1] // 2
+            compare(own, x, other, y[:, :half] ^ y[:, half:], False)
+    return alive
+
+
 # ---- the distributed join -----------------------------------------------------------------------
 
 
@@ -182,44 +235,45 @@ def _release(spark: SparkSession) -> None:
 
 
 def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """_rid, doc_id, n, node of every row of docs, and a level for each slot of the sketch.
+    """_rid, doc_id, n, node, sig of every row of docs, and a level for each slot of the sketch.
 
     Each task counts the tokens of its distinct sets into the sketch's slots; levels are twice the
     logarithm of the counts.
     """
-    schema = "_rid long, doc_id long, n long, node long, slice int, slot int, counts binary"
+    schema = "_rid long, doc_id long, n long, node long, sig binary, slice int, slot int, counts binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, seen, held, size, first = np.zeros(1 << SKETCH_BITS, np.int64), set(), [], 0, 0
+        counts, seen, held, size, first = np.zeros(1 << SKETCH_BITS, np.uint32), set(), [], 0, 0
 
         def flush() -> None:
             if held:
-                np.add(counts, np.bincount(slot(np.concatenate(held)), minlength=len(counts)), out=counts)
+                np.add(counts, np.bincount(slot(np.concatenate(held)), minlength=len(counts)), out=counts, casting="unsafe")
                 held.clear()
 
         for pdf in batches:
-            ns, nodes = [], []
+            ns, nodes, sigs = [], [], []
             for text in pdf["text"]:
                 s = shingles(text, words)
                 ns.append(len(s))
                 nodes.append(node_of(s))
+                sigs.append(signature(s) if len(s) else b"")
                 if len(s) and nodes[-1] not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
                     seen.add(nodes[-1])
                     held.append(s)
                     size += len(s)
-                    if size > 4_000_000:
+                    if size > 1_000_000:
                         flush()
                         size = 0
             first = first or int(pdf["_rid"].iloc[0]) if len(pdf) else first
-            yield pd.DataFrame({"_rid": pdf["_rid"], "doc_id": pdf["doc_id"].astype("Int64"), "n": ns, "node": nodes, "slice": -1, "slot": 0, "counts": None})
+            yield pd.DataFrame({"_rid": pdf["_rid"], "doc_id": pdf["doc_id"].astype("Int64"), "n": ns, "node": nodes, "sig": sigs, "slice": -1, "slot": 0, "counts": None})
         flush()
         if counts.any():
             parts = counts.astype(np.uint32).reshape(_SLICES, -1)
             yield pd.DataFrame(
                 {"_rid": pd.array([None] * _SLICES, "Int64"), "doc_id": pd.array([None] * _SLICES, "Int64"), "n": pd.array([None] * _SLICES, "Int64"), "node": pd.array([None] * _SLICES, "Int64"),
-                 "slice": range(_SLICES), "slot": (first >> 33) % 64, "counts": [_packed(p) for p in parts]}
+                 "sig": None, "slice": range(_SLICES), "slot": (first >> 33) % 64, "counts": [_packed(p) for p in parts]}
             )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -234,7 +288,7 @@ def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.
     level = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.uint8)
     for r in sums:
         level[r["slice"]] = (2 * np.log2(1.0 + _unpacked(r["counts"]))).astype(np.uint8)
-    return both.filter("slice < 0").select("_rid", "doc_id", "n", "node"), level.ravel()
+    return both.filter("slice < 0").select("_rid", "doc_id", "n", "node", "sig"), level.ravel()
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -258,34 +312,66 @@ def prefix(tokens: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.
 
 
 def region_pairs(docs: DataFrame, level: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """node, pivot, n: the tokens of the node's prefix whose least node is that pivot, for tokens of two or more nodes."""
+    """node, pivot, k: in how many tokens of the node's prefix that pivot is the least node.
+
+    A token's nodes fall apart where sizes are too far from each other for any link across; each part
+    has a pivot of its own, and parts of one node are left out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            tokens, nodes, n = [], [], 0
+            tokens, nodes, sizes, n = [], [], [], 0
+            out = lambda: pd.DataFrame({"token": np.concatenate(tokens), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
             for text in pdf["text"]:
                 s = shingles(text, words)
                 node = node_of(s)
                 if len(s) and node not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 300_000:
                         seen.clear()
                     seen.add(node)
                     p = prefix(s, sent.value, percent)
                     tokens.append(p.view(np.int64))
                     nodes.append(np.full(len(p), node, np.int64))
+                    sizes.append(np.full(len(p), len(s), np.int32))
                     n += len(p)
                     if n > 500_000:
-                        yield pd.DataFrame({"token": np.concatenate(tokens), "node": np.concatenate(nodes)})
-                        tokens, nodes, n = [], [], 0
+                        yield out()
+                        tokens, nodes, sizes, n = [], [], [], 0
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "node": np.concatenate(nodes)})
+                yield out()
 
-    rows = docs.select("text").mapInPandas(run, "token long, node long")
+    rows = docs.select("text").mapInPandas(run, "token long, node long, n int")
     w = Window.partitionBy("token")
-    met = rows.select("token", "node", F.min("node").over(w).alias("pivot"), F.max("node").over(w).alias("last")).filter("pivot <> last")
-    return met.groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    met = rows.withColumns({"a": F.min("node").over(w), "z": F.max("node").over(w)}).filter("a <> z")
+    by_size = w.orderBy("n", "node")
+    gap = F.lag("n").over(by_size) * 100 < F.col("n") * percent
+    parts = met.withColumn("part", F.coalesce(F.sum(gap.cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    p = Window.partitionBy("token", "part")
+    near = parts.withColumns({"pivot": F.min("node").over(p), "z": F.max("node").over(p)}).filter("pivot <> z")
+    return near.groupBy("node", "pivot").agg(F.count("*").alias("k"))
+
+
+def plausible_pairs(pairs: DataFrame, own: DataFrame, percent: int = PERCENT, block: int = 4 * BLOCK) -> DataFrame:
+    """Those (node, pivot, k) whose node may link with another node of the pivot's region.
+
+    Regions larger than a block meet in pairs of blocks. The least node that stays becomes the pivot.
+    """
+    with_self = pairs.select("node", "pivot", "k")
+    size = with_self.groupBy("pivot").agg(F.count("*").alias("m"))
+    dealt = with_self.join(size, "pivot").withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.greatest("at", j).alias("j")))
+    tasks = dealt.select("node", "pivot", "k", F.explode(meet).alias("t"))
+    sigs = own.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    rows = tasks.join(sigs, "node").select("pivot", "t.i", "t.j", "node", "k", "n", "sig")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[plausible(pdf["n"].to_numpy(), pdf["sig"].tolist(), percent), ["node", "pivot", "k"]]
+
+    kept = spill(rows.groupBy("pivot", "i", "j").applyInPandas(run, "node long, pivot long, k long").distinct(), "kept")
+    least = kept.groupBy("pivot").agg(F.min("node").alias("least"))
+    return kept.join(least, "pivot").groupBy("node", F.col("least").alias("pivot")).agg(F.sum("k").alias("k"))
 
 
 def node_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -300,7 +386,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
 
 def first_edges(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """a, b: links within the commonest region of each node, a block of members with the region's pivot at a time."""
-    home = pairs.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("m")).select("node", F.col("m.pivot").alias("pivot"))
+    home = pairs.groupBy("node").agg(F.max(F.struct("k", "pivot")).alias("m")).select("node", F.col("m.pivot").alias("pivot"))
     size = home.groupBy("pivot").agg(F.count("*").alias("members"))
     dealt = home.join(size, "pivot").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     own = dealt.filter("node <> pivot").select("node", "pivot", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("b"))
@@ -376,6 +462,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block:
     own, level = sets_and_sketch(docs, words)
     pairs = spill(region_pairs(docs, level, words, percent), "pairs")
     _release(spark)
+    pairs = spill(plausible_pairs(pairs, own, percent), "plausible")
+    _release(spark)
     nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     wanted = own.filter("n > 0").groupBy("node").agg(F.min("_rid").alias("_rid")).join(nodes, "node")
     sets = spill(node_sets(docs, wanted, words), "tokens")
