@@ -2,54 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tideline.operators import asof
-from tideline.session import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query, and its oracle if SQL can express it."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLES[name] = sql
-        return f
-
-    return put
-
-
-@query(
-    "asof_label_counts",
-    """
-    WITH p AS (SELECT user_id, epoch_us(ts) AS k FROM events WHERE event_type = 'purchase'),
-         c AS (SELECT user_id, epoch_us(ts) AS rk, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY ALL),
-         j AS (SELECT p.k, c.rk FROM p ASOF LEFT JOIN c ON p.user_id = c.user_id AND p.k >= c.rk)
-    SELECT CASE WHEN rk IS NULL THEN 'unavailable' WHEN rk = k THEN 'exact' ELSE 'forward_fill' END AS method,
-           count(*) AS n
-    FROM j GROUP BY 1
-    """,
-)
-def asof_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    ev = table(spark, sf_dir, "events").withColumn("k", asof.epoch_us("ts"))
-    left = ev.filter("event_type = 'purchase'").select("user_id", "k")
-    right = ev.filter("event_type = 'click'").groupBy("user_id", F.col("k").alias("rk")).agg(F.max("value").alias("rate"))
-    joined = asof.asof_backward(left, right, "k", "rk", ["rate"], by=["user_id"])
-    return asof.label(joined, "k", "rk").groupBy("method").agg(F.count("*").alias("n"))
+from tideline.plans import catalog_core, catalog_process  # noqa: F401
+from tideline.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)
