@@ -100,8 +100,8 @@ def payment_header(header: Column, network: str) -> Column:
 
 def floor_div(a: Column, b: Column) -> Column:
     """Exact floor division of non-negative decimals; null where it would overflow or b is zero."""
-    a, b = a.cast(NUMERIC), b.cast(NUMERIC)
-    return ((a - a % F.nullif(b, F.lit(0).cast(NUMERIC))) / F.nullif(b, F.lit(0).cast(NUMERIC))).cast(NUMERIC)
+    a, b = a.cast(NUMERIC), F.nullif(b.cast(NUMERIC), F.lit(0).cast(NUMERIC))
+    return F.try_divide(a - a % b, b).cast(NUMERIC)
 
 
 def swap_fee(amount: Column, tier: int) -> Column:
