@@ -35,9 +35,15 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_parts(df: DataFrame) -> DataFrame:
-    """df with a row id `_rid` that is stable for a scan: partition and position in it."""
-    return df.withColumn("_rid", F.monotonically_increasing_id())
+def settled(df: DataFrame) -> DataFrame:
+    """df if it is a plain scan, whose rows stay in their places however often they are read; else a written copy.
+
+    Row ids by place need this: after a shuffle, a row's place may change with the columns that are read
+    or with the executor that reads them.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-").split(" ")[0].rstrip(",") for line in plan.splitlines() if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else spill(df, "rows")
 
 
 def clean_text(name: str = "text") -> Column:
@@ -58,3 +64,11 @@ def uniform(seed: int, *cols: Column) -> Column:
     """A number in [0, 1) for each row, the same in every run and under any partitioning."""
     h = F.xxhash64(F.lit(seed), *cols)
     return (F.shiftrightunsigned(h, 11).cast("double")) / F.lit(float(1 << 53))
+
+
+def fresh(name: str, columns) -> str:
+    """name, or with as many underscores before it as make it no column of the table."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

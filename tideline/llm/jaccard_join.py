@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import spill
+from tideline.llm.common import fresh, settled, spill
 
 WORDS = 5
 PERCENT = 75
@@ -240,7 +240,7 @@ def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.
     Each task counts the tokens of its distinct sets into the sketch's slots; levels are twice the
     logarithm of the counts.
     """
-    schema = "_rid long, doc_id long, n long, node long, sig binary, slice int, slot int, counts binary"
+    schema = "_rid long, doc_id string, n long, node long, sig binary, slice int, slot int, counts binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, seen, held, size, first = np.zeros(1 << SKETCH_BITS, np.uint32), set(), [], 0, 0
@@ -250,7 +250,7 @@ def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.
                 np.add(counts, np.bincount(slot(np.concatenate(held)), minlength=len(counts)), out=counts, casting="unsafe")
                 held.clear()
 
-        for pdf in batches:
+        for pdf in (b for b in batches if len(b)):
             ns, nodes, sigs = [], [], []
             for text in pdf["text"]:
                 s = shingles(text, words)
@@ -266,13 +266,13 @@ def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.
                     if size > 1_000_000:
                         flush()
                         size = 0
-            first = first or int(pdf["_rid"].iloc[0]) if len(pdf) else first
-            yield pd.DataFrame({"_rid": pdf["_rid"], "doc_id": pdf["doc_id"].astype("Int64"), "n": ns, "node": nodes, "sig": sigs, "slice": -1, "slot": 0, "counts": None})
+            first = first or int(pdf["_rid"].iloc[0])
+            yield pd.DataFrame({"_rid": pdf["_rid"], "doc_id": pdf["doc_id"], "n": ns, "node": nodes, "sig": sigs, "slice": -1, "slot": 0, "counts": None})
         flush()
         if counts.any():
             parts = counts.astype(np.uint32).reshape(_SLICES, -1)
             yield pd.DataFrame(
-                {"_rid": pd.array([None] * _SLICES, "Int64"), "doc_id": pd.array([None] * _SLICES, "Int64"), "n": pd.array([None] * _SLICES, "Int64"), "node": pd.array([None] * _SLICES, "Int64"),
+                {"_rid": pd.array([None] * _SLICES, "Int64"), "doc_id": None, "n": pd.array([None] * _SLICES, "Int64"), "node": pd.array([None] * _SLICES, "Int64"),
                  "sig": None, "slice": range(_SLICES), "slot": (first >> 33) % 64, "counts": [_packed(p) for p in parts]}
             )
 
@@ -282,13 +282,13 @@ def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.
             total += _unpacked(raw)
         return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "slot": [0], "counts": [_packed(np.minimum(total, 2**32 - 1).astype(np.uint32))]})
 
-    both = spill(docs.select("_rid", "doc_id", "text").mapInPandas(run, schema), "sets")
+    both = spill(docs.select("_rid", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema), "sets")
     part = "slice int, slot int, counts binary"
     sums = both.filter("slice >= 0").select("slice", "slot", "counts").groupBy("slice", "slot").applyInPandas(add, part).groupBy("slice").applyInPandas(add, part).collect()
     level = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.uint8)
     for r in sums:
         level[r["slice"]] = (2 * np.log2(1.0 + _unpacked(r["counts"]))).astype(np.uint8)
-    return both.filter("slice < 0").select("_rid", "doc_id", "n", "node", "sig"), level.ravel()
+    return both.filter("slice < 0").select("_rid", F.col("doc_id").cast("long").alias("doc_id"), "n", "node", "sig"), level.ravel()
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -378,7 +378,7 @@ def node_sets(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFra
     """node, tokens of the wanted (_rid, node)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b for b in batches if len(b)):
             yield pd.DataFrame({"node": pdf["node"], "tokens": [shingles(t, words).tobytes() for t in pdf["text"]]})
 
     return docs.select("_rid", "text").join(wanted.hint("shuffle_hash"), "_rid").select("node", "text").mapInPandas(run, "node long, tokens binary")
@@ -460,10 +460,14 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block:
     """
     spark = docs.sparkSession
     own, level = sets_and_sketch(docs, words)
+    alone = F.when(F.col("n") > 0, F.col("node")).alias("root")
     pairs = spill(region_pairs(docs, level, words, percent), "pairs")
     _release(spark)
-    pairs = spill(plausible_pairs(pairs, own, percent), "plausible")
-    _release(spark)
+    if pairs.limit(1).count():
+        pairs = spill(plausible_pairs(pairs, own, percent), "plausible")
+        _release(spark)
+    if not pairs.limit(1).count():  # no two sets share a token: no links but between equal sets
+        return own.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "node", alone)
     nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     wanted = own.filter("n > 0").groupBy("node").agg(F.min("_rid").alias("_rid")).join(nodes, "node")
     sets = spill(node_sets(docs, wanted, words), "tokens")
@@ -483,7 +487,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     See classes(). Rows with an empty set are their own component; a component of null ids alone has a
     null component_id.
     """
-    c = spill(classes(docs.withColumn("_rid", F.monotonically_increasing_id()), words, percent, block), "classes")
+    c = spill(classes(settled(docs.select("doc_id", "text")).withColumn("_rid", F.monotonically_increasing_id()), words, percent, block), "classes")
     least = c.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = c.groupBy("root").agg(F.count("*").alias("k")).filter("k > 1 AND root IS NOT NULL").join(least, "root")
     out = c.join(some, "root", "left")
@@ -495,9 +499,10 @@ def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, blo
 
     Rows with an empty set link with nothing and stay.
     """
-    d = docs.withColumn("_rid", F.monotonically_increasing_id())
-    c = spill(classes(d, words, percent, block), "classes")
+    rid = fresh("_rid", docs.columns)
+    d = settled(docs).withColumn(rid, F.monotonically_increasing_id())
+    c = spill(classes(d.select("doc_id", "text", F.col(rid).alias("_rid")), words, percent, block), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))
     first = c.filter("root IS NOT NULL").groupBy("root").agg(F.min_by("_rid", order).alias("_rid")).select("_rid")
     keep = first.unionByName(c.filter("root IS NULL").select("_rid"))
-    return d.join(keep.hint("shuffle_hash"), "_rid", "left_semi").select(*docs.columns)
+    return d.join(keep.select(F.col("_rid").alias(rid)).hint("shuffle_hash"), rid, "left_semi").select(*docs.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, WORD, clean_text
+from tideline.llm.common import SPACE, WORD, clean_text, fresh, settled
 
 #: A line is removed if more distinct documents of its host hold it than this number and this share.
 MAX_DOCS = 50
@@ -69,12 +69,12 @@ def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float
 
 
 def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """docs with the base counts, words_removed and depleted.
+    """doc_id, source, the base counts, words_removed and depleted of every row of docs.
 
     Null texts count as empty; a null host is a host of its own. Documents without words lose nothing
     and are not depleted. Repeated rows are judged alike, each on its own; an empty table stays empty.
     """
-    d = docs.withColumn("_rid", F.monotonically_increasing_id())
+    d = settled(docs.select("doc_id", "text", "source")).withColumn("_rid", F.monotonically_increasing_id())
     lines = line_rows(d)
     hot = frequent_lines(lines, max_docs, max_share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     salted = lines.withColumn("_salt", F.pmod(F.col("_rid"), F.lit(_SALTS)).cast("int"))
@@ -90,10 +90,12 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHAR
 
     Hot lines are joined per line, salted, and texts are put together again from the lines that stay.
     """
-    d = docs.withColumn("_rid", F.monotonically_increasing_id())
+    rid, own = fresh("_rid", docs.columns), fresh("_clean", docs.columns)
+    whole = settled(docs).withColumn(rid, F.monotonically_increasing_id())
+    d = whole.select("text", "source", F.col(rid).alias("_rid"))
     hot = frequent_lines(line_rows(d), max_docs, max_share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumn("_hot", F.lit(True))
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
     cut = d.select("_rid", host.alias("_host"), F.posexplode(F.split(clean_text(), "\n", -1)).alias("_pos", "_l")).withColumns({"_line": F.xxhash64(normal(F.col("_l"))), "_salt": F.pmod(F.col("_rid"), F.lit(_SALTS)).cast("int")})
     kept = cut.join(hot, ["_host", "_line", "_salt"], "left").filter("_hot IS NULL")
-    text = kept.groupBy("_rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_l"))), lambda x: x["_l"]), "\n").alias("_clean"))
-    return d.join(text, "_rid", "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_clean", F.lit("")))).select(*docs.columns)
+    text = kept.groupBy("_rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_l"))), lambda x: x["_l"]), "\n").alias(own)).withColumnRenamed("_rid", rid)
+    return whole.join(text, rid, "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(own, F.lit("")))).select(*docs.columns)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import clean_text, n_words, spill, uniform
+from tideline.llm.common import clean_text, fresh, n_words, spill, uniform
 
 MARGINS = ("source", "lang", "topic")
 #: Default targets are the corpus's own shares to this power: below 1, rare sources gain.
@@ -64,7 +64,7 @@ def rake(cells: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
-def rake_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, rounds: int = ROUNDS, power: float = POWER) -> DataFrame:
+def rake_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, rounds: int = ROUNDS, power: float = POWER, tolerance: float = 1e-8) -> DataFrame:
     """The same as rake(), with the cells in a table: for more cells than the driver should hold."""
     margins = [c for c in cells.columns if c in MARGINS]
     spark = cells.sparkSession
@@ -75,33 +75,42 @@ def rake_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | No
             want[m] = spark.createDataFrame([(str(k), float(v)) for k, v in targets[m].items()], f"{m} string, t double")
         else:
             want[m] = spill(cells.groupBy(m).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("t")), f"target-{m}")
-    for k in range(rounds):
+    for _ in range(rounds):
+        w = w.withColumn("before", F.col("w"))
         for m in margins:
             factor = w.groupBy(m).agg(F.sum("w").alias("have")).join(want[m], m, "left").select(m, (F.coalesce("t", F.lit(0.0)) / F.col("have")).alias("f"))
             w = w.join(factor, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        if k % 3 == 2:
-            w = spill(w, "rake")
+        w = spill(w, "rake")
+        moved = w.agg(F.sum(F.abs(F.col("w") - F.col("before"))) / F.sum("w")).first()[0]
+        w = w.drop("before")
+        if moved is not None and moved < tolerance:
+            break
     total = w.agg(F.sum("w").alias("all_w"))
     return w.crossJoin(F.broadcast(total)).withColumn("w", F.col("w") / F.col("all_w")).drop("all_w")
 
 
+def names(docs: DataFrame) -> dict[str, str]:
+    """The names of the columns that labelled() and weighted() add: free ones, whatever docs has."""
+    return {n: fresh(f"_{n}", docs.columns) for n in (*MARGINS, "tokens", "weight", "probability", "sampled")}
+
+
 def labelled(docs: DataFrame, topic_of: Column | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic and _tokens; nulls are a category of their own."""
-    own = F.lit("(null)")
+    """docs with the source, language, topic and tokens of names(); nulls are a category of their own."""
+    own, p = F.lit("(null)"), names(docs)
     return docs.withColumns(
         {
-            "_source": F.coalesce(F.col("source").cast("string"), own),
-            "_lang": F.coalesce(F.col("lang").cast("string"), own),
-            "_topic": F.coalesce(topic_of if topic_of is not None else topic(), own),
-            "_tokens": n_words(),
+            p["source"]: F.coalesce(F.col("source").cast("string"), own),
+            p["lang"]: F.coalesce(F.col("lang").cast("string"), own),
+            p["topic"]: F.coalesce(topic_of if topic_of is not None else topic(), own),
+            p["tokens"]: n_words(),
         }
     )
 
 
-def cell_weights(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = POWER, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
+def cell_weights(rows: DataFrame, p: Mapping[str, str], targets: Mapping[str, Mapping[str, float]] | None = None, power: float = POWER, max_cells: int = MAX_CELLS) -> tuple[DataFrame, bool]:
     """Each cell's weight and sampling probability, and whether their number is bounded by max_cells."""
     spark = rows.sparkSession
-    cells = spill(rows.groupBy(*[F.col(f"_{m}").alias(m) for m in MARGINS]).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"), "cells")
+    cells = spill(rows.groupBy(*[F.col(p[m]).alias(m) for m in MARGINS]).agg(F.sum(p["tokens"]).alias("tokens")).filter("tokens > 0"), "cells")
     n = cells.count()
     if n == 0:
         return spark.createDataFrame([], "source string, lang string, topic string, weight double, probability double"), True
@@ -128,23 +137,24 @@ def cell_weights(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] | N
 
 
 def weighted(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, power: float = POWER, seed: int = 20, max_cells: int = MAX_CELLS, topic_of: Column | None = None) -> DataFrame:
-    """docs with _source, _lang, _topic, _tokens, weight, probability and sampled.
+    """docs with the columns of names(): source, language, topic, tokens, weight, probability and sampled.
 
     Null sources and languages are the category (null). Documents without tokens have no weight: they
     get weight 0, probability 0 and are not sampled. Repeated rows share one fate, since the draw is a
-    hash of id and text. An empty table stays empty. The columns added replace columns of their names.
+    hash of id and text. An empty table stays empty. Columns of docs stay as they are.
     """
+    p = names(docs)
     rows = labelled(docs, topic_of)
-    cells, small = cell_weights(rows, targets, power, max_cells)
-    cells = cells.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "probability")
-    rows = rows.drop("weight", "probability", "sampled")
-    keys = [f"_{m}" for m in MARGINS]
+    cells, small = cell_weights(rows, p, targets, power, max_cells)
+    cells = cells.select(*[F.col(m).alias(p[m]) for m in MARGINS], F.col("weight").alias(p["weight"]), F.col("probability").alias(p["probability"]))
+    keys = [p[m] for m in MARGINS]
     if small:
         out = rows.join(F.broadcast(cells), keys, "left")
     else:  # a hot cell is spread over salts
-        salts = 32
-        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int"))
-        spread = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        out = rows.join(spread, [*keys, "_salt"], "left").drop("_salt")
-    out = out.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "probability": F.when(F.col("_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)})
-    return out.withColumn("sampled", uniform(seed, F.col("doc_id"), F.col("text")) < F.col("probability"))
+        salts, salt = 32, fresh("_salt", rows.columns)
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int"))
+        spread = cells.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = rows.join(spread, [*keys, salt], "left").drop(salt)
+    zero = F.lit(0.0)
+    out = out.withColumns({p["weight"]: F.coalesce(p["weight"], zero), p["probability"]: F.when(F.col(p["tokens"]) > 0, F.coalesce(p["probability"], zero)).otherwise(zero)})
+    return out.withColumn(p["sampled"], uniform(seed, F.col("doc_id"), F.col("text")) < F.col(p["probability"]))

@@ -21,7 +21,7 @@ from tideline.llm.common import n_words
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 PRICES = (0.0, 0.5, 0.8, 0.95, 1.05)
 SHARD_ROWS = 8192
-OUT = "doc_id long, piece int, start long, n_tokens long, bin_id long, capacity int, bin_offset int"
+OUT = "doc_id string, piece int, start long, n_tokens long, bin_id long, capacity int, bin_offset int"
 
 
 def bin_cost(capacity: int, overhead: float = 64.0, attention: float = 1 / 65536) -> float:
@@ -74,11 +74,11 @@ def pack_best(lengths: Sequence[int], capacities: Sequence[int], prices: Sequenc
 
 
 def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """doc_id, piece, start, n_tokens: consecutive pieces of at most `longest` tokens of each document.
+    """doc_id as text, piece, start, n_tokens: consecutive pieces of at most `longest` tokens of each document.
 
     A document without tokens keeps one piece of no tokens.
     """
-    n = docs.select("doc_id", n_words().alias("n"), F.monotonically_increasing_id().alias("_rid"))
+    n = docs.select(F.col("doc_id").cast("string").alias("doc_id"), n_words().alias("n"), F.monotonically_increasing_id().alias("_rid"))
     cut = n.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / longest).cast("int") - 1))))
     start = F.col("piece").cast("long") * longest
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"), "_rid")
@@ -105,11 +105,11 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_rows
         base = int(key[0]) << 32
         return pd.DataFrame(
             {
-                "doc_id": pdf["doc_id"].astype("Int64"), "piece": pdf["piece"], "start": pdf["start"], "n_tokens": pdf["n_tokens"],
+                "doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "n_tokens": pdf["n_tokens"],
                 "bin_id": pd.array([base + b for b in place] + rest, dtype="Int64"),
                 "capacity": pd.array([sizes[b] for b in place] + rest, dtype="Int32"),
                 "bin_offset": pd.array(list(offset) + rest, dtype="Int32"),
             }
         )
 
-    return rows.groupBy("_shard").applyInPandas(pack_shard, OUT)
+    return rows.groupBy("_shard").applyInPandas(pack_shard, OUT).withColumn("doc_id", F.col("doc_id").cast("long"))

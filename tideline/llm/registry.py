@@ -25,8 +25,10 @@ def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rake_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.weighted(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), "weight", "probability", "sampled")
+    docs = _table(spark, sf_dir, "documents")
+    p, out = mixing.names(docs), mixing.weighted(docs)
+    added = ((v, "n_tokens" if k == "tokens" else k) for k, v in p.items())
+    return out.select("doc_id", *[F.col(v).alias(k) for v, k in added])
 
 
 def op4_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import spill
+from tideline.llm.common import settled, spill
 
 LENGTH = 400
 GRAM = 128
@@ -241,7 +241,7 @@ def index_groups(rows: DataFrame, buckets: int, length: int) -> DataFrame:
         for a, z in zip(cut, [*cut[1:], len(pdf)], strict=True):
             out += RunIndex(pdf["bytes"][a:z].tolist(), length).repeated(length)
         kept = [i for i, s in enumerate(out) if s]
-        return pd.DataFrame({"h": pdf["h"].iloc[kept], "c": pdf["c"].iloc[kept], "spans": [[{"a": a, "z": z} for a, z in out[i]] for i in kept]})
+        return pd.DataFrame({"h": pdf["h"].iloc[kept], "c": pdf["c"].iloc[kept], "spans": pd.Series([[{"a": a, "z": z} for a, z in out[i]] for i in kept], index=kept, dtype=object)})
 
     return rows.withColumn("_b", F.pmod(F.xxhash64("h"), F.lit(buckets))).groupBy("_b").applyInPandas(run, _SPANS)
 
@@ -311,12 +311,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     repeated rows repeat each other and lose all they have in common; an empty table gives an empty one.
     Rows are told apart by their place in the scan, so null and repeated ids do no harm.
     """
-    d = docs.select(F.monotonically_increasing_id().alias("_rid"), "doc_id", "text")
+    d = settled(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).withColumn("_rid", F.monotonically_increasing_id())
     spans = spill(repeated_spans(d, length, gram), "removed")
     _release(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b for b in batches if len(b)):
             out = []
             for text, found in zip(pdf["text"], pdf["spans"], strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
@@ -326,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     parts.append(raw[at:a])
                     at = z
                 out.append((len(raw), sum(z - a for a, z in runs), len(runs), b"".join([*parts, raw[at:]])))
-            n, gone, k, kept = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": n, "n_removed": gone, "n_spans": k, "kept": kept})
+            n, gone, k, kept = zip(*out, strict=True)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": n, "n_removed": gone, "n_spans": k, "kept": kept})
 
-    return d.join(spans.hint("shuffle_hash"), "_rid", "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return d.join(spans.hint("shuffle_hash"), "_rid", "left").select("doc_id", "text", "spans").mapInPandas(run, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +109,8 @@ def identifier_dictionary(docs: DataFrame, names: int = DICTIONARY_NAMES) -> byt
                     for m in _NEAR.finditer(text):
                         seen.update(_NAME.findall(text, max(0, m.start() - AROUND), m.end() + AROUND))
                     count.update(seen)
-            yield pd.DataFrame({"name": list(count.keys()), "n": list(count.values())}, columns=["name", "n"])
+            if count:
+                yield pd.DataFrame({"name": list(count.keys()), "n": list(count.values())}, columns=["name", "n"])
 
     counted = docs.select("text").mapInPandas(near, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n >= 2")
     top = counted.orderBy(F.desc("n"), "name").limit(names).collect()
@@ -123,13 +125,14 @@ def scan(docs: DataFrame, ratio: float = RATIO, names: int = DICTIONARY_NAMES) -
     """
     words = docs.sparkSession.sparkContext.broadcast(identifier_dictionary(docs, names))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = coder(words.value)
-        for pdf in batches:
-            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t, compressor, ratio)] for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": spans})
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
+        for batch in batches:
+            spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t.as_py(), compressor, ratio)] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(find, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", ratio: float = RATIO, names: int = DICTIONARY_NAMES) -> DataFrame:
@@ -147,13 +150,13 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ratio: float = RATIO, names:
             at = max(at, e)
         return "".join([*out, text[at:]]) if out else text
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = coder(words.value)
-        for pdf in batches:
-            pdf["text"] = [cover(t, compressor) for t in pdf["text"]]
-            yield pdf
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            yield batch.set_column(i, "text", pa.array([cover(t.as_py(), compressor) for t in batch.column(i)], pa.string()))
 
-    out = docs.mapInPandas(clean, docs.schema)
+    out = docs.mapInArrow(clean, docs.schema)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
 
 

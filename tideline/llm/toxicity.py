@@ -13,9 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import fold  # noqa: F401
 
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, s
     chosen = docs.sparkSession.createDataFrame(pairs, "doc_id long, toxic int")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (b for b in batches if len(b)):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "ids": [word_ids(t).astype(np.uint16).tobytes() for t in pdf["text"]]})
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(encode, "doc_id long, toxic int, ids binary").dropDuplicates(["doc_id"]).collect()
@@ -242,28 +244,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, s
     return train([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows]), seed=seed)
 
 
-def score(docs: DataFrame, model: Model, words_at_once: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, column: str = "score", words_at_once: int = 400_000) -> DataFrame:
     """docs with a score column: likelier toxic towards 1. Null and empty texts score as texts without words.
 
     Every row is scored on its whole text alone, so repeated rows score alike; an empty table stays empty.
+    Other columns pass through as they are; one of the score's name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop("score").schema.add("score", "double")
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         tables, table = m.tables(), _language_table()
-        for pdf in batches:
+        for batch in batches:
             scores, held, n = [], [], 0
-            for text in pdf["text"]:
-                held.append(word_ids(text))
+            for text in batch.column("text"):
+                held.append(word_ids(text.as_py()))
                 n += len(held[-1]) + 4
                 if n > words_at_once:
                     scores.append(probability(m, *logits(m, tables, table, held)))
                     held, n = [], 0
             if held:
                 scores.append(probability(m, *logits(m, tables, table, held)))
-            pdf["score"] = np.concatenate(scores) if scores else np.zeros(0)
-            yield pdf
+            got = np.concatenate(scores) if scores else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.drop("score").mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
