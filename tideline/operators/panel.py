@@ -21,7 +21,7 @@ ADAPTERS = (
 )
 
 
-def final_only(df: DataFrame, head: int | Column, lag: int = FINALITY, on: str = "blockNumber") -> DataFrame:
+def final_only(df: DataFrame, head: int | Column, lag: int | Column = FINALITY, on: str = "blockNumber") -> DataFrame:
     """Rows at least `lag` behind the head. First in every plan, so that it reaches the scan."""
     return df.filter(F.col(on) <= (head if isinstance(head, Column) else F.lit(head)) - lag)
 
