@@ -275,7 +275,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     )
     _release(spark)
     per = kinds.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("any_twice"), F.sum("size").alias("held"), F.sum("n").alias("all_n"))
-    per = per.filter("k > 1 OR any_twice").select("h", "held")
+    # written first, so that the join below meets two plain exchanges and a hot hash can be split
+    per = spill(per.filter("k > 1 OR any_twice").select("h", "held"), "per")
     many = spill(kinds.join(per, "h").select("h", "c", "n", "_rid", "at", "size", "held"), "many")
     total = many.agg(F.sum("size")).first()[0] or 0
     raw = spill(context_bytes(docs, many.select("h", "c", "_rid", "at", "size")), "bytes")
