@@ -26,9 +26,11 @@ DIM = 12
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 THRESHOLD = 0.7
-#: The classifier learns from at most so many labelled documents of each label.
-SAMPLE_PER_LABEL = 3000
-EPOCHS = 6
+#: The classifier learns from at most so many labelled documents of each label, 0 and 1.
+SAMPLE_PER_LABEL = (12_000, 4000)
+EPOCHS = 8
+#: Share of words hidden in each step, so that no rare word alone decides.
+HIDDEN_WORDS = 0.3
 #: Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
     "en": "the of and to is that with for this",
@@ -117,14 +119,18 @@ def languages(table: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.nda
     return count.argmax(axis=1)
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6, rate: float = 0.05) -> Model:
-    """Adagrad on the logistic loss, both labels weighing alike; then the cuts from held-back documents."""
+def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 6, rate: float = 0.1, prior: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """Adagrad on the logistic loss, both labels weighing alike; then the cuts from held-back documents.
+
+    Embeddings start at zero: a word that no step has met has no say, however many of them a text holds.
+    prior: what a document of each label stands for when the cuts are chosen, the sample being no mirror
+    of the labels' shares.
+    """
     rng = np.random.default_rng(seed)
-    embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
-    embed[0] = 0
+    embed = np.zeros((BUCKETS, DIM), np.float32)
     filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     nf = len(WIDTHS) * FILTERS
-    bias, out, out_bias = np.zeros(nf, np.float32), rng.normal(0, 0.3, nf).astype(np.float32), 0.0
+    bias, out, out_bias = np.full(nf, 0.1, np.float32), rng.normal(0, 0.3, nf).astype(np.float32), 0.0
     ge, gf, gb, go, gc = np.full((BUCKETS, DIM), 1e-4, np.float32), [np.full_like(f, 1e-4) for f in filters], np.full(nf, 1e-4, np.float32), np.full(nf, 1e-4, np.float32), 1e-4
     held = np.arange(len(docs)) % 5 == 4
     rows = np.flatnonzero(~held)
@@ -135,8 +141,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
         for at in range(0, len(rows), 32):
             batch = rows[at : at + 32]
             flat, starts = join_ids([docs[i] for i in batch])
-            # words are dropped at random, so that no rare word alone decides
-            flat[rng.random(len(flat)) < 0.1] = 0
+            flat[rng.random(len(flat)) < HIDDEN_WORDS] = 0
             n, ends = len(flat) - max(WIDTHS), np.append(starts[1:], len(flat) - max(WIDTHS))
             emb = embed[flat]
             where, top = [], []
@@ -146,7 +151,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
                     a += emb[k : n + k] @ f[k]
                 best = np.stack([s + a[s:e].argmax(axis=0) for s, e in zip(starts, ends, strict=True)])
                 where.append(best)
-                top.append(np.take_along_axis(a, best, 0) if False else a[best, np.arange(FILTERS)])
+                top.append(a[best, np.arange(FILTERS)])
             z = np.concatenate(top, axis=1) + bias
             h = np.maximum(z, 0)
             p = 1 / (1 + np.exp(-np.clip(h @ out + out_bias, -30, 30)))
@@ -182,7 +187,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     truth = labels[held] if held.any() else labels
     if len(back):
         raw, lang = logits(model, model.tables(), _language_table(), back)
-        calibrate(model, raw, truth, lang)
+        calibrate(model, raw, truth, lang, prior)
     return model
 
 
@@ -192,13 +197,13 @@ def logits(model: Model, tables, language_table: np.ndarray, docs: list[np.ndarr
     return h @ model.out + model.out_bias, languages(language_table, flat, starts)
 
 
-def calibrate(model: Model, raw: np.ndarray, truth: np.ndarray, lang: np.ndarray, least: int = 40) -> None:
+def calibrate(model: Model, raw: np.ndarray, truth: np.ndarray, lang: np.ndarray, prior: tuple[float, float] = (1.0, 1.0), least: int = 40) -> None:
     """For each language the cut with the best F1, in the middle of its gap; all languages' cut where few rows speak for one."""
 
     def cut(r: np.ndarray, y: np.ndarray) -> float:
         order = np.argsort(-r, kind="stable")
-        hit = np.cumsum(y[order])
-        f1 = 2 * hit / (np.arange(1, len(r) + 1) + max(1, y.sum()))
+        w = np.where(y == 1, prior[1], prior[0])
+        f1 = 2 * np.cumsum((y * w)[order]) / (np.cumsum(w[order]) + max(1e-9, float((y * w).sum())))
         k = int(f1.argmax())
         below = r[order[k + 1]] if k + 1 < len(r) else r[order[k]] - 2
         return float((r[order[k]] + below) / 2)
@@ -218,19 +223,19 @@ def probability(model: Model, raw: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, seed: int = 6) -> Model:
-    """Train on at most per_label documents of each label, the first by a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = SAMPLE_PER_LABEL, seed: int = 6) -> Model:
+    """Train on at most per_label[y] documents of each label y, the first by a hash of the id.
 
     labels needs doc_id and toxic; rows with a null in either are left out, repeated labels of a document
     count once (the greater). Documents are used whole. Without any labelled document the model gives
     every text the same low score.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ranked = None
     for y in (0, 1):
-        some = known.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(per_label)
+        some = known.filter(F.col("toxic") == y).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id").limit(per_label[y])
         ranked = some if ranked is None else ranked.unionByName(some)
-    pairs = ranked.collect()  # at most 2 * per_label
+    pairs = ranked.collect()  # at most sum(per_label)
     if not pairs:
         return Model(np.zeros((BUCKETS, DIM), np.float32), [np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), np.zeros(len(WIDTHS) * FILTERS), 0.0, np.ones(len(LANGUAGES)), np.ones(len(LANGUAGES)))
     chosen = docs.sparkSession.createDataFrame(pairs, "doc_id long, toxic int")
@@ -241,7 +246,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, s
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(encode, "doc_id long, toxic int, ids binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"]), seed))
-    return train([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows]), seed=seed)
+    every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    prior = tuple(every.get(y, 0) / max(1, sum(r["toxic"] == y for r in pairs)) for y in (0, 1))
+    return train([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in rows], np.array([r["toxic"] for r in rows]), seed=seed, prior=prior)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score", words_at_once: int = 400_000) -> DataFrame:
