@@ -329,3 +329,15 @@ def test_settled_writes_what_is_no_scan(spark):
 
     docs = table("documents", spark).filter("doc_id > 5").select("doc_id")
     assert settled(docs) is docs and settled(docs.repartition(3)) is not docs
+
+
+def test_components_of_chains_and_stars(spark):
+    rnd = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(300 - i, 300 - i - 7) for i in range(0, 20)] + [tuple(map(int, rnd.integers(400, 500, 2))) for _ in range(60)]
+    comp = {n: n for e in edges for n in e}
+    for _ in range(50):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    want = {n: c for n, c in comp.items() if any(n in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in jaccard_join.components(df).collect()} == want
