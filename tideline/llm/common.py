@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: The white space that separates words, and words, as regular expressions for the JVM.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch while a step is written.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +34,13 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # whole texts go to Python: small batches keep the workers small, whatever the session's setting
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(rows) if int(rows) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 
