@@ -32,7 +32,7 @@ PERCENT = 75
 SKETCH_BITS = 22
 _SLICES = 64
 #: Members of a block; a task holds two at most.
-BLOCK = 2000
+BLOCK = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -353,7 +353,7 @@ def region_pairs(docs: DataFrame, level: np.ndarray, words: int = WORDS, percent
     return near.groupBy("node", "pivot").agg(F.count("*").alias("k"))
 
 
-def plausible_pairs(pairs: DataFrame, own: DataFrame, percent: int = PERCENT, block: int = 4 * BLOCK) -> DataFrame:
+def plausible_pairs(pairs: DataFrame, own: DataFrame, percent: int = PERCENT, block: int = BLOCK // 2) -> DataFrame:
     """Those (node, pivot, k) whose node may link with another node of the pivot's region.
 
     Regions larger than a block meet in pairs of blocks. The least node that stays becomes the pivot.
@@ -435,15 +435,18 @@ def components(edges: DataFrame) -> DataFrame:
     when a round changes nothing.
     """
     e = spill(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    last = None
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    last = mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # minima are written, so that the joins meet two plain exchanges and a hub's edges can be split
+        low = spill(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
         e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = spill(e, "large")
+        low = spill(e.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         e = spill(small.distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = mark(e)
         if now == last:
             break
         last = now
@@ -488,8 +491,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     null component_id.
     """
     c = spill(classes(settled(docs.select("doc_id", "text")).withColumn("_rid", F.monotonically_increasing_id()), words, percent, block), "classes")
-    least = c.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    some = c.groupBy("root").agg(F.count("*").alias("k")).filter("k > 1 AND root IS NOT NULL").join(least, "root")
+    # written first, so that the join below meets two plain exchanges and a hot component can be split
+    some = spill(c.filter("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min("doc_id").alias("component_id")).filter("k > 1"), "components")
     out = c.join(some, "root", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("k") > 1, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
