@@ -200,26 +200,11 @@ def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def context_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """h, c, bytes of the wanted (h, c, _rid, at, size)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hs, cs, bs, held = [], [], [], 0
-            for text, cuts in zip(pdf["text"], pdf["cuts"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for x in cuts:
-                    hs.append(x["h"])
-                    cs.append(x["c"])
-                    bs.append(raw[x["at"] : x["at"] + x["size"]])
-                    held += x["size"]
-                if held > 16_000_000:
-                    yield pd.DataFrame({"h": hs, "c": cs, "bytes": bs})
-                    hs, cs, bs, held = [], [], [], 0
-            if hs:
-                yield pd.DataFrame({"h": hs, "c": cs, "bytes": bs})
-
+    """h, c, bytes of the wanted (h, c, _rid, at, size), cut in the JVM."""
     cuts = wanted.groupBy("_rid").agg(F.collect_list(F.struct("h", "c", "at", "size")).alias("cuts"))
-    return docs.select("_rid", "text").join(cuts.hint("shuffle_hash"), "_rid").select("text", "cuts").mapInPandas(run, "h long, c long, bytes binary")
+    met = docs.select("_rid", F.col("text").cast("binary").alias("raw")).join(cuts.hint("shuffle_hash"), "_rid")
+    part = F.transform("cuts", lambda x: F.struct(x["h"].alias("h"), x["c"].alias("c"), F.substring(F.col("raw"), x["at"] + 1, x["size"]).alias("bytes")))
+    return met.select(F.inline(part))
 
 
 _SPANS = "h long, c long, spans array<struct<a:int,z:int>>"
@@ -255,7 +240,10 @@ def window_groups(rows: DataFrame, length: int) -> DataFrame:
                 b = np.frombuffer(raw, np.uint8)
                 x = gram_hashes(b, length)
                 y = gram_hashes(b[::-1], length)[::-1]
-                yield pd.DataFrame({"h": h, "c": c, "at": np.arange(len(x), dtype=np.int32), "x": x.view(np.int64), "y": y.astype(np.uint64).view(np.int64)})
+                x, y = x.view(np.int64), y.astype(np.uint64).view(np.int64)
+                for a in range(0, len(x), 200_000):
+                    z = min(len(x), a + 200_000)
+                    yield pd.DataFrame({"h": h, "c": c, "at": np.arange(a, z, dtype=np.int32), "x": x[a:z], "y": y[a:z]})
 
     w = rows.mapInPandas(windows, "h long, c long, at int, x long, y long")
     often = w.groupBy("x", "y").agg(F.count("*").alias("k")).filter("k > 1").select("x", "y")
@@ -281,10 +269,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     total = many.agg(F.sum("size")).first()[0] or 0
     raw = spill(context_bytes(docs, many.select("h", "c", "_rid", "at", "size")), "bytes")
     _release(spark)
-    big = many.filter(F.col("held") > 4 * index_bytes).select("h").distinct()
-    small = raw.join(big, "h", "left_anti")
-    found = index_groups(small, max(1, math.ceil(total / index_bytes)), length)
-    if big.limit(1).count():
+    big = spill(many.filter(F.col("held") > 4 * index_bytes).select("h").distinct(), "big")
+    hot = big.limit(1).count() > 0
+    found = index_groups(raw.join(big, "h", "left_anti") if hot else raw, max(1, math.ceil(total / index_bytes)), length)
+    if hot:
         found = found.unionByName(window_groups(raw.join(big, "h", "left_semi"), length))
     whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("z"))).alias("spans"))
     spans = spill(whole.unionByName(found), "spans")
