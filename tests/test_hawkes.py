@@ -2,8 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tideline.operators import dependence, hawkes
+from tideline.plans import catalog, catalog_process
 
 P = hawkes.Params((0.02, 0.03), ((0.2, 0.1), (0.05, 0.25)), 0.5)
 
@@ -118,3 +121,45 @@ def test_strip_and_stress():
     got = dependence.stress(x, y, rng.uniform(size=(4000, 2)), lambda a, b: a * b)
     assert got["comonotone"] >= got["independence"] and got["diverges"]
     assert dependence.stress(np.array([math.nan, 1.0]), y, rng.uniform(size=(10, 2)), lambda a, b: a + b)["fitted"] == pytest.approx(got["fitted"], abs=100)
+
+
+def test_compensator_equals_brute_force_before_and_after_the_start(spark):
+    rng = np.random.default_rng(3)
+    a = [np.round(rng.uniform(0, 300, 60)), rng.uniform(0, 300, 50)]
+    got = sorted((r["leg"], r["t"], r["big"]) for r in hawkes.compensator(_legs(spark, a), P, 100.0).collect())
+    part = lambda t, x: sum(math.exp(-P.beta * (max(100.0, u) - u)) - math.exp(-P.beta * (t - u)) for u in x if u < t)
+    want = sorted((i, t, P.mu[i] * (t - 100) + sum(P.alpha[i][j] * part(t, a[j]) for j in (0, 1)) / P.beta) for i in (0, 1) for t in a[i] if t >= 100)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-9)
+
+
+def test_ordered_passes_do_not_grow_with_the_square(spark):
+    n = 200_000  # a range join would meet 2e10 pairs
+    legs = spark.range(n).select((F.col("id") % 2).cast("int").alias("leg"), F.col("id").cast("double").alias("t"))
+    top = hawkes.compensator(legs, P).agg(F.count("*").alias("n"), F.max("big").alias("big")).first()
+    assert top["n"] == n and top["big"] == pytest.approx(P.mu[1] * (n - 1) + sum(P.alpha[1]) / P.beta * n / 2, rel=1e-3)
+    assert math.isfinite(hawkes.log_likelihood(legs, P, float(n)).first()["ll"])
+
+
+def test_ks_p_values_of_large_samples_join_the_exact_ones():
+    d = math.sqrt(3.76 / 1500)
+    assert hawkes.ks_p_value(d * 1.0001, 1500) == pytest.approx(hawkes.ks_p_value(d, 1500), rel=0.02)
+    assert hawkes.ks_p_value(0.0027, 100_001) == pytest.approx(hawkes.ks_p_value(0.0027, 100_000), rel=0.01)
+    assert hawkes.ks_p_value(0.3, 20_000) < 1e-300 and hawkes.ks_p_value(1e-5, 200_000) == 1.0
+
+
+def test_estimators_see_every_event(spark):
+    l, end = catalog_process.process(spark, SF)
+    assert l.count() == catalog_process.legs(spark, SF).count()
+    seen = hawkes.fit_grid(l, end, (1e-3,)).first()
+    assert catalog.queries()["hawkes_fit_grid"](spark, SF).filter("beta = 1e-3").first()["ll"] == pytest.approx(seen["ll"])
+
+
+def test_fits_of_many_events_reach_the_top():
+    a = hawkes.simulate_poisson((0.05, 0.05), 200_000.0, 4)
+    flat = sum(len(x) * math.log(len(x) / 200_000.0) - len(x) for x in a)
+    for beta in (1e-4, 1e-3, 1.0):
+        best = hawkes.fit_beta(a, beta, 200_000.0)
+        assert best["ll"] >= flat - 1e-6
+        mu, alpha = np.array([best["mu0"], best["mu1"]]), np.array([[best["a00"], best["a01"]], [best["a10"], best["a11"]]])
+        for m, s in ((1.0, 0.9), (1.0, 1.1), (0.999, 1.0), (1.001, 1.0), (1.002, 0.8)):
+            assert hawkes.ll_of(mu * m, alpha * s, beta, a, 200_000.0) <= best["ll"] + 1e-6

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import registration
 from tideline.operators import dependence, hawkes, ledger
-from tideline.plans.catalog_process import _few, _uniforms, legs
+from tideline.plans.catalog_process import process, _uniforms, legs
 from tideline.plans.catalog_sql import LEGS
 from tideline.plans.registry import query
 from tideline.session import table
@@ -75,7 +75,7 @@ def stress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("projected_fit")
 def projected_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihoods when a fit's excitation is scaled to given branching ratios, its rates kept."""
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     b = hawkes.best(hawkes.fit_grid(l, end, (1e-3,))).first()
     out = None
     for eta in (0.1, 0.3, 0.5):

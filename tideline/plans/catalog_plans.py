@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import bigints
 from tideline.operators import hawkes
 from tideline.plans import pipelines
-from tideline.plans.catalog_process import _few
+from tideline.plans.catalog_process import process
 from tideline.plans.registry import query
 from tideline.session import table
 
@@ -63,13 +63,13 @@ def _record(spark: SparkSession, record: dict) -> DataFrame:
 
 @query("fit_report")
 def fit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, _ = _few(spark, sf_dir)
+    l, _ = process(spark, sf_dir)
     return _record(spark, pipelines.fit(l, reps=24, decays=(1e-4, 1e-3, 1e-2), etas=hawkes.ETA_GRID[::4]))
 
 
 @query("hedge_verdict")
 def hedge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, _ = _few(spark, sf_dir)
+    l, _ = process(spark, sf_dir)
     report = pipelines.fit(l, reps=24, decays=(1e-3, 1e-2), etas=hawkes.ETA_GRID[::8])
     h = report["hawkes"]
     p = hawkes.Params((h["mu0"], h["mu1"]), ((h["a00"], h["a01"]), (h["a10"], h["a11"])), h["beta"])

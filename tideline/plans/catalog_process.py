@@ -28,8 +28,14 @@ def _end(l: DataFrame) -> float:
     return float(l.agg(F.max("t")).first()[0] or 1.0)
 
 
+def process(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """All legs as one process, for the estimators, and its end."""
+    l = legs(spark, sf_dir).select("leg", "t")
+    return l, _end(l)
+
+
 def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    """Legs of the users of one residue, a process of a few hundred events, for the estimators."""
+    """Legs of the users of one residue: what the SQL of compensator, residuals and ks_statistic asks for."""
     l = legs(spark, sf_dir).filter("user_id % 10 = 3").select("leg", "t")
     return l, _end(l)
 
@@ -240,31 +246,31 @@ def branching_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hawkes_fit_grid")
 def hawkes_fit_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     return hawkes.fit_grid(l, end)
 
 
 @query("hawkes_best")
 def hawkes_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     return hawkes.best(hawkes.fit_grid(l, end))
 
 
 @query("inar_grid")
 def inar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     return hawkes.inar_grid(l, end)
 
 
 @query("bootstrap_lr")
 def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 24, 7))
 
 
 @query("profile_interval")
 def profile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = _few(spark, sf_dir)
+    l, end = process(spark, sf_dir)
     return hawkes.profile_interval(hawkes.profile(l, 1e-3, end, hawkes.ETA_GRID[::4]))
 
 
