@@ -5,6 +5,8 @@ Legs are rows (leg, t); whatever is done for one leg is done for any number of t
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,10 +147,17 @@ def permutation_null(pairs: DataFrame, reps: int, max_lag: int = 50, seed: str =
     norm = d.agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("norm"))
     rep = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
     key = F.when(F.col("rep") == 0, F.lpad(F.col("i").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("i").cast("string"))))
-    shuffled = rep.select("rep", "b", F.row_number().over(Window.partitionBy("rep").orderBy(key)).alias("j"))
-    lagged = rep.select("rep", "i", "a", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    rho = lagged.join(shuffled, ["rep", "j"]).groupBy("rep", "lag").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    return rho.crossJoin(F.broadcast(norm)).groupBy("rep").agg(F.max(F.abs(F.col("dot") / F.col("norm"))).alias("stat"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = max(len(pdf), int(pdf["i"].max()))
+        a, b = np.zeros(n + 1), np.zeros(n + 1)
+        a[pdf["i"]] = pdf["a"]
+        b[1 : len(pdf) + 1] = pdf["b"].to_numpy()[np.argsort(pdf["key"].to_numpy(dtype=str))]
+        top = max(abs(a[max(0, -k) : n + 1 - max(0, k)] @ b[max(0, k) : n + 1 - max(0, -k)]) for k in range(-min(max_lag, n), min(max_lag, n) + 1))
+        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "top": [top]})
+
+    tops = rep.select("rep", "i", "a", "b", key.alias("key")).groupBy("rep").applyInPandas(run, "rep int, top double")
+    return tops.crossJoin(F.broadcast(norm)).select("rep", (F.col("top") / F.col("norm")).alias("stat"))
 
 
 def permutation_p(null: DataFrame) -> DataFrame:

@@ -64,13 +64,13 @@ def _record(spark: SparkSession, record: dict) -> DataFrame:
 @query("fit_report")
 def fit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, _ = process(spark, sf_dir)
-    return _record(spark, pipelines.fit(l, reps=24, decays=(1e-4, 1e-3, 1e-2), etas=hawkes.ETA_GRID[::4]))
+    return _record(spark, pipelines.fit(l))
 
 
 @query("hedge_verdict")
 def hedge_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, _ = process(spark, sf_dir)
-    report = pipelines.fit(l, reps=24, decays=(1e-3, 1e-2), etas=hawkes.ETA_GRID[::8])
+    report = pipelines.fit(l)
     h = report["hawkes"]
     p = hawkes.Params((h["mu0"], h["mu1"]), ((h["a00"], h["a01"]), (h["a10"], h["a11"])), h["beta"])
-    return _record(spark, pipelines.hedge(report, hawkes.residuals(l, p), reps=19, max_lag=10, samples=2000))
+    return _record(spark, pipelines.hedge(report, hawkes.residuals(l, p)))

@@ -157,8 +157,7 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("permutation_test")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = series.paired(legs(spark, sf_dir), "value", "t").filter("i <= 300")
-    return series.permutation_p(series.permutation_null(few, 99, 10))
+    return series.permutation_p(series.permutation_null(series.paired(legs(spark, sf_dir), "value", "t"), 1000))
 
 
 @query("inverse_ecdf", f"WITH {LEGS} SELECT u, round(quantile_cont(value, u), 6) AS x FROM (SELECT value FROM legs), (SELECT unnest([0.0, 0.1, 0.5, 0.9, 1.0]::DOUBLE[]) AS u) GROUP BY u".replace("quantile_cont(value, u)", "CASE u WHEN 0.0 THEN quantile_cont(value, 0.0) WHEN 0.1 THEN quantile_cont(value, 0.1) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9) ELSE quantile_cont(value, 1.0) END"))
@@ -265,13 +264,13 @@ def inar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("bootstrap_lr")
 def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, end = process(spark, sf_dir)
-    return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 24, 7))
+    return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 1000, 7))
 
 
 @query("profile_interval")
 def profile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, end = process(spark, sf_dir)
-    return hawkes.profile_interval(hawkes.profile(l, 1e-3, end, hawkes.ETA_GRID[::4]))
+    return hawkes.profile_interval(hawkes.profile(l, 1e-3, end))
 
 
 _UV = f"""{LEGS}, k AS (SELECT leg, row_number() OVER (PARTITION BY leg ORDER BY t) AS i, row_number() OVER (PARTITION BY leg ORDER BY value, event_id) / (count(*) OVER (PARTITION BY leg) + 1) AS u FROM legs),
