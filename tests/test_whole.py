@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.conftest import SF
-from tideline.operators import series
+from tideline.operators import dependence, series
 from tideline.plans import catalog
 
 
@@ -40,3 +40,18 @@ def test_permutation_null_equals_brute_force(spark):
 def test_bootstrap_has_as_many_draws_as_its_level_needs(spark):
     got = catalog.queries()["bootstrap_lr"](spark, SF).first()
     assert got["n_ok"] + got["n_failed"] == 1000
+
+
+def test_quantiles_see_every_row(spark):
+    values = np.random.default_rng(3).exponential(size=1000)
+    df = spark.createDataFrame([(float(v),) for v in [*values, float("nan")]], "x double")
+    for points in (11, 300, 999):
+        want = np.quantile(values, np.linspace(0, 1, points))
+        assert dependence.quantiles(df, "x", points) == pytest.approx(want)
+    assert dependence.quantiles(df, "x").tolist() == sorted(values)
+
+
+def test_stress_sees_rows_after_the_first_twenty_thousand(spark, tmp_path):
+    values = np.r_[np.ones(20_000), np.full(5000, 1001.0)]
+    got = {r["key"]: r["value"] for r in catalog.queries()["stress"](spark, _events(spark, tmp_path, (values, values))).collect()}
+    assert got["independence"] == pytest.approx(402, rel=0.1)  # 2 if only the first rows count

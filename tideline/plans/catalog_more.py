@@ -66,7 +66,7 @@ def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stress")
 def stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices under independence, the fitted copula and comonotone legs."""
-    each = [np.array([r["value"] for r in legs(spark, sf_dir).filter(F.col("leg") == k).orderBy("t").select("value").limit(20_000).collect()]) for k in (0, 1)]
+    each = [dependence.quantiles(legs(spark, sf_dir).filter(F.col("leg") == k), "value") for k in (0, 1)]
     best = dependence.best_family(dependence.fit_menu(_uniforms(spark, sf_dir), ("gaussian", "clayton", "frank"))).first()
     got = dependence.stress(*each, dependence.sample_copula(best["family"], best["theta"], best["nu"], 4000, 1), lambda a, b: a + b, 4000)
     return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "key string, value double")

@@ -84,7 +84,7 @@ def hedge(report: dict, residuals: DataFrame, cost: str | None = None, reps: int
     eta = report["eta"]
     out["gate"] = {"vol_of_vol": bool(vol), "fat_tails": bool(tails), "self_excitation": bool(eta == eta and eta >= 0.2 and report["gate"]["interval_above_zero"])}
     out["gate"]["any"] = any(out["gate"].values())
-    x, y = (np.array([r["rescaled_dt"] for r in good.filter(F.col("leg") == k).select("rescaled_dt").orderBy("event_time").limit(100_000).collect()]) for k in (0, 1))
+    x, y = (dependence.quantiles(good.filter(F.col("leg") == k), "rescaled_dt") for k in (0, 1))
     fam = family or {"family": "independence", "theta": 0.0, "nu": 0.0}
     fitted = dependence.sample_copula(fam["family"], fam["theta"], fam["nu"], samples, report["seed"] % 2**32)
     sums = np.interp(fitted[:, 0], np.linspace(0, 1, max(len(x), 2)), np.sort(x) if len(x) > 1 else [0, 1]) + np.interp(fitted[:, 1], np.linspace(0, 1, max(len(y), 2)), np.sort(y) if len(y) > 1 else [0, 1])
