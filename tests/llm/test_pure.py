@@ -234,6 +234,19 @@ def test_novelty_tells_random_strings_from_names():
     assert secrets.all_spans(None, c) == []
 
 
+def test_random_names_are_no_identifiers():
+    rnd = random.Random(5)
+    plain = ["get_user_profile", "profile_handler", "AccessTokenProvider", "max_retries", "sha256", "secret"]
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    odd = ["k" + "".join(rnd.choices(chars, k=n)) + "7" for n in range(14, 38)] + ["a" + "".join(rnd.choices("0123456789abcdef", k=20)) for _ in range(20)]
+    got = secrets.identifiers([*odd, *plain, "get_user_profile_7"])
+    assert got == [*plain, "get_user_profile_7"]
+    c = secrets.coder("\n".join(got).encode())
+    for key in odd:
+        text = f"the authorization is {key} today"
+        assert [text[s:e] for s, e, _ in secrets.all_spans(text, c)] == [key]
+
+
 # ---- packing
 
 

@@ -236,6 +236,15 @@ def test_repeats_equal_brute_force_on_documents(spark):
         assert got[i] == (len(d), sum(m), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_copies_do_not_make_a_secret_an_identifier(spark):
+    key = "zX9qLw83KfTg5Rb1Vn7YcJ2d"
+    rows = [(i, f"the authorization is {key} today") for i in range(30)] + [(30 + i, f"note {i}: bearer {key} again") for i in range(2)] + [(40 + i, f"copy of private only_in_copies_{0}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = secrets.identifier_dictionary(docs).decode().split("\n")
+    assert "authorization" not in words and "bearer" in words and key not in words and "only_in_copies_0" not in words
+    assert all([s["kind"] for s in r["spans"]] == ["novel"] for r in secrets.scan(docs.filter("doc_id < 40")).collect())
+
+
 def test_secrets_equal_brute_force_on_documents(spark):
     import re
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,6 +28,8 @@ _NEAR = re.compile("(?ai)" + "|".join(map(re.escape, SENSITIVE)))
 _STEMS = tuple(dict.fromkeys(s.encode() for s in SENSITIVE if not any(o != s and o in s for o in SENSITIVE)))
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_PIECE = 8  # characters from which a name or a part of a string can be random without a digit
 _IS_HEX = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
 REACH = 64  # characters from a sensitive word to a candidate's start
 AROUND = 256  # characters of surroundings on each side
@@ -93,28 +94,45 @@ def all_spans(text: str | None, compressor, ratio: float = RATIO) -> list[tuple[
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def identifiers(names: list[str]) -> list[str]:
+    """The names that do not look random, in their order.
+
+    Plain names are made of parts of three letters on average, without digits; short ones may have digits.
+    Others stay if they cost little to a coder primed with the plain ones alone, as made of the same words.
+    """
+
+    def plain(name: str) -> bool:
+        parts = _PART.findall(name)
+        return bool(parts) and sum(map(len, parts)) >= 3 * len(parts) and (len(name) < _PIECE or not any(c.isdigit() for c in name))
+
+    known = {name for name in names if plain(name)}
+    compressor = coder("\n".join(name for name in names if name in known).encode())
+    return [name for name in names if name in known or novelty(compressor, name, 0, len(name)) < RATIO]
+
+
 def identifier_dictionary(docs: DataFrame, names: int = DICTIONARY_NAMES) -> bytes:
     """The most frequent names around sensitive words of all documents, the most frequent last.
 
-    Names that look random are no identifiers: a name counts only if two documents or more have it.
-    At most `names` of at most 40 bytes come to the driver.
+    A name counts once a distinct text, and only if two or more have it, so copies do not count. Names
+    that look random (see identifiers) are left out. At most `names` of at most 40 bytes come to the driver.
     """
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            count: Counter[str] = Counter()
+            found: list[tuple[str, int]] = []
             for text in pdf["text"]:
                 if text and sensitive(text):
                     seen = set()
                     for m in _NEAR.finditer(text):
                         seen.update(_NAME.findall(text, max(0, m.start() - AROUND), m.end() + AROUND))
-                    count.update(seen)
-            if count:
-                yield pd.DataFrame({"name": list(count.keys()), "n": list(count.values())}, columns=["name", "n"])
+                    h = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    found += [(name, h) for name in seen]
+            if found:
+                yield pd.DataFrame(found, columns=["name", "h"])
 
-    counted = docs.select("text").mapInPandas(near, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).filter("n >= 2")
+    counted = docs.select("text").mapInPandas(near, "name string, h long").distinct().groupBy("name").agg(F.count("*").alias("n")).filter("n >= 2")
     top = counted.orderBy(F.desc("n"), "name").limit(names).collect()
-    return "\n".join(r["name"] for r in reversed(top)).encode()
+    return "\n".join(identifiers([r["name"] for r in reversed(top)])).encode()
 
 
 def scan(docs: DataFrame, ratio: float = RATIO, names: int = DICTIONARY_NAMES) -> DataFrame:
