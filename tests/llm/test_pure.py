@@ -247,6 +247,20 @@ def test_random_names_are_no_identifiers():
         assert [text[s:e] for s, e, _ in secrets.all_spans(text, c)] == [key]
 
 
+def test_candidates_are_whole_and_keep_what_base_spans_leave():
+    rnd = random.Random(6)
+    key = "".join(rnd.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz0123456789", k=9000))
+    text = f"private {key} end"
+    c = secrets.coder(b"")
+    assert [text[s:e] for s, e, _ in secrets.all_spans(text, c)] == [key]
+    text = f"secret=abcdef~{key[:30]} and"
+    assert [(k, text[s:e]) for s, e, k in secrets.all_spans(text, c)] == [("assign", "secret=abcdef"), ("novel", f"~{key[:30]}")]
+    text = f"bearer {key[:20]}Z{'0123456789abcdef' * 2}Z{key[30:50]} and"
+    assert [k for _, _, k in secrets.all_spans(text, c)] == ["novel", "hex", "novel"]
+    long = "secret" * 200_000 + "1"
+    assert list(secrets.candidates(long, [])) == [(6, len(long))]
+
+
 # ---- packing
 
 

@@ -57,16 +57,33 @@ def sensitive(text: str) -> bool:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-    """Long unbroken strings that start soon after a sensitive word and overlap no span in taken."""
-    done = -1
+    """Long unbroken strings, whole, that start soon after a sensitive word, less the spans in taken.
+
+    What a span leaves of a string is of interest if it has a digit, or if it is long and the string has one.
+    """
+    runs = [m.span() for m in _CANDIDATE.finditer(text)]
+    cuts = sorted((s, e) for s, e, _ in taken)
+    at = cut = done = 0
     for m in _NEAR.finditer(text):
-        for c in _CANDIDATE.finditer(text, m.end(), min(len(text), m.end() + REACH + 4096)):
-            if c.start() > m.end() + REACH:
+        while at < len(runs) and runs[at][1] <= m.end():
+            at += 1
+        for i in range(at, len(runs)):
+            start, end = max(runs[i][0], m.end()), runs[i][1]
+            if start > m.end() + REACH:
                 break
-            start, end = c.span()
-            if start >= done and not any(s < end and start < e for s, e, _ in taken):
-                done = end
-                yield start, end
+            if start < done or end - start < 16:
+                continue
+            done = end
+            digit = any(c.isdigit() for c in text[start:end])
+            while cut < len(cuts) and cuts[cut][1] <= start:
+                cut += 1
+            parts, j = [], cut
+            while j < len(cuts) and cuts[j][0] < end:
+                parts.append((start, cuts[j][0]))
+                start, j = max(start, cuts[j][1]), j + 1
+            for s, e in [*parts, (start, end)]:
+                if s < e and digit and (e - s >= _PIECE or any(c.isdigit() for c in text[s:e])):
+                    yield s, e
 
 
 def coder(dictionary: bytes):
@@ -90,7 +107,7 @@ def all_spans(text: str | None, compressor, ratio: float = RATIO) -> list[tuple[
         return []
     found = base_spans(text)
     if sensitive(text):
-        found += [(s, e, "novel") for s, e in candidates(text, found) if any(c.isdigit() for c in text[s:e]) and novelty(compressor, text, s, e) >= ratio]
+        found += [(s, e, "novel") for s, e in candidates(text, found) if novelty(compressor, text, s, e) >= ratio]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
