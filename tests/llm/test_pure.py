@@ -314,6 +314,16 @@ def test_wrapper_induction_finds_the_template():
     assert all(t.startswith(f"T{i}\n") and "Welcome" not in t and "Follow" not in t and "one" not in t for i, t in enumerate(texts))
 
 
+def test_copies_of_a_page_are_no_template():
+    page = lambda i, href: f"<body><div><p>Welcome to the site</p></div><article><h1>T{i}</h1><p>Text of {i}, long enough</p></article><a href='?s={href}'>x</a></body>"
+    texts = wrappers.extract_block([*(page(0, i) for i in range(20)), page(1, 0)])
+    assert texts == ["T0\nText of 0, long enough"] * 20 + ["T1\nText of 1, long enough"]
+    rnd = random.Random(0)
+    other = [f"<div><p>Welcome to the site</p><p>{rnd.random()} text</p></div>" for _ in range(8)]
+    texts = wrappers.extract_block(other + other[:1] * 20)
+    assert not any("Welcome" in t for t in texts) and texts[8:] == texts[:1] * 20 and texts[0]
+
+
 def test_tree_matching_by_hand():
     shapes = {}
     a, b = (wrappers.parse(x) for x in ("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>", "<div><ul><li>1</li><li>2</li></ul><p>z</p><h1>q</h1></div>"))
