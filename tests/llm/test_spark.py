@@ -236,6 +236,12 @@ def test_repeats_equal_brute_force_on_documents(spark):
         assert got[i] == (len(d), sum(m), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_language_model_trains_on_every_document(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 7} " * 3) for i in range(24)], "doc_id long, text string").coalesce(1)
+    nets = [language_model.fit(docs, sample_docs=1, epochs=1, **kw)[0].net.flat() for kw in ({}, {"share": 1}, {"share": 16})]
+    assert (nets[0] == nets[1]).all() and (nets[0] != nets[2]).any()
+
+
 def test_copies_do_not_make_a_secret_an_identifier(spark):
     key = "zX9qLw83KfTg5Rb1Vn7YcJ2d"
     rows = [(i, f"the authorization is {key} today") for i in range(30)] + [(30 + i, f"note {i}: bearer {key} again") for i in range(2)] + [(40 + i, f"copy of private only_in_copies_{0}") for i in range(9)]

@@ -3,7 +3,7 @@
 Word counts come from every training document. The commonest words are the model's vocabulary; all
 others are one unknown word for the network, and share its probability by their smoothed counts, so
 that texts with any words have a proper probability. Training is truncated backpropagation, first on
-a bounded sample on the driver, then on a share of all training documents, partition by partition,
+a bounded sample on the driver, then on all training documents (or a share), partition by partition,
 with the parameters averaged. Scoring carries the state from window to window through whole texts.
 """
 
@@ -31,7 +31,7 @@ STREAMS = 64
 HEAD = 200_000
 #: The driver's first fit sees about so many documents, by hash; the share of all training documents, by hash, that the distributed pass learns from.
 SAMPLE_DOCS = 1000
-SHARE = 16
+SHARE = 1
 UNKNOWN, END = 0, 1
 _CHUNKS = 64
 
