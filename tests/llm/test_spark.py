@@ -236,6 +236,12 @@ def test_repeats_equal_brute_force_on_documents(spark):
         assert got[i] == (len(d), sum(m), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_hosts_of_fifty_texts_lose_no_line(spark):
+    rows = [(1000 * n + i, f"on every page\nown text {'x' * i} of it", f"host{n}") for n in (50, 51) for i in range(n)]
+    got = line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("words_removed").alias("n"))
+    assert {r["source"]: r["n"] for r in got.collect()} == {"host50": 0, "host51": 51 * 3}
+
+
 def test_language_model_trains_on_every_document(spark):
     docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 7} " * 3) for i in range(24)], "doc_id long, text string").coalesce(1)
     nets = [language_model.fit(docs, sample_docs=1, epochs=1, **kw)[0].net.flat() for kw in ({}, {"share": 1}, {"share": 16})]
