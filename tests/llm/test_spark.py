@@ -345,11 +345,54 @@ def test_shared_folder_is_the_sessions(tmp_path):
     assert shared_dir(Session) == str(tmp_path)
 
 
-def test_settled_writes_what_is_no_scan(spark):
-    from tideline.llm.common import settled
-
-    docs = table("documents", spark).filter("doc_id > 5").select("doc_id")
-    assert settled(docs) is docs and settled(docs.repartition(3)) is not docs
+def test_numbered_rows_keep_their_ids(spark):
+    from tideline.llm.common import discard, numbered
+
+    docs = numbered(table("documents", spark).repartition(3).select("doc_id"), "k")
+    before = {r["doc_id"]: r["k"] for r in docs.collect()}
+    spark.conf.set("spark.sql.files.minPartitionNum", "16")
+    try:
+        assert {r["doc_id"]: r["k"] for r in docs.collect()} == before and len(set(before.values())) == len(before)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    discard(docs)
+    assert spark.read.parquet(docs.spilled_at).count() == 0
+
+
+@pytest.fixture
+def moving(monkeypatch):
+    """Each step that is written sees another split of the scans, as if executors came and went."""
+    from tideline.llm import common
+
+    plain, turn = common.spill, [0]
+
+    def spill(df, name):
+        turn[0] += 1
+        df.sparkSession.conf.set("spark.sql.files.minPartitionNum", str((3, 17, 1, 9)[turn[0] % 4]))
+        try:
+            return plain(df, name)
+        finally:
+            df.sparkSession.conf.unset("spark.sql.files.minPartitionNum")
+
+    for m in (common, repeats, jaccard_join, language_model):
+        monkeypatch.setattr(m, "spill", spill)
+    return turn
+
+
+def test_results_do_not_follow_the_split_of_scans(spark, tmp_path, request):
+    big = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    big.repartition(5).write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    def run():
+        return [
+            rows_by_id(repeats.remove_repeats(docs), "n_bytes", "n_removed", "n_spans"),
+            rows_by_id(jaccard_join.near_duplicates(docs), "n_shingles", "component_id"),
+            rows_by_id(jaccard_join.deduplicate(docs), "n_chars"),
+        ]
+    steady = run()
+    turn = request.getfixturevalue("moving")
+    spark.conf.set("spark.sql.files.minPartitionNum", "13")
+    assert run() == steady and turn[0] > 20 and sum(r[2] for r in steady[0]) > 0
 
 
 def test_components_of_chains_and_stars(spark):

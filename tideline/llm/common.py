@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -19,12 +21,13 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent, as in local tests, is a temporary folder chosen and set.
+    Where that setting is absent, a temporary folder is chosen and set in local mode, as in tests; on a
+    cluster that would be a folder of one machine, so there it is an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -41,18 +44,32 @@ def spill(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_BATCH, rows)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spilled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty the folders of spilled tables that nothing will read again."""
+    for t in tables:
+        t.sparkSession.range(0).write.mode("overwrite").parquet(t.spilled_at)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df if it is a plain scan, whose rows stay in their places however often they are read; else a written copy.
+def numbered(df: DataFrame, name: str, table: str = "rows") -> DataFrame:
+    """df with a row id in the column `name`, as a written table.
 
-    Row ids by place need this: after a shuffle, a row's place may change with the columns that are read
-    or with the executor that reads them.
+    An id by place holds within one job only: how a scan is split follows the cores that are there when
+    each job is planned, and a row's place after a shuffle follows the order of arrival. Written once, the
+    ids are data: lost, late or new executors and other splits of later scans cannot move them.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {line.lstrip(" :+-").split(" ")[0].rstrip(",") for line in plan.splitlines() if line.strip()}
-    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else spill(df, "rows")
+    return spill(df.withColumn(name, F.monotonically_increasing_id()), table)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps, where the driver's JVM can be reached."""
+    gc.collect()
+    if (jvm := getattr(getattr(spark, "sparkContext", None), "_jvm", None)) is not None:
+        jvm.System.gc()
 
 
 def clean_text(name: str = "text") -> Column:

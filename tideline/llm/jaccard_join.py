@@ -15,16 +15,15 @@ pairs, so no task holds more than two blocks.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, settled, spill
+from tideline.llm.common import fresh, numbered, release, spill
 
 WORDS = 5
 PERCENT = 75
@@ -228,12 +227,6 @@ def plausible(sizes: np.ndarray, signatures: list[bytes], percent: int = PERCENT
 # ---- the distributed join -----------------------------------------------------------------------
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def sets_and_sketch(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
     """_rid, doc_id, n, node, sig of every row of docs, and a level for each slot of the sketch.
 
@@ -465,21 +458,21 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block:
     own, level = sets_and_sketch(docs, words)
     alone = F.when(F.col("n") > 0, F.col("node")).alias("root")
     pairs = spill(region_pairs(docs, level, words, percent), "pairs")
-    _release(spark)
+    release(spark)
     if pairs.limit(1).count():
         pairs = spill(plausible_pairs(pairs, own, percent), "plausible")
-        _release(spark)
+        release(spark)
     if not pairs.limit(1).count():  # no two sets share a token: no links but between equal sets
         return own.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "node", alone)
     nodes = pairs.select("node").unionByName(pairs.select(F.col("pivot").alias("node"))).distinct()
     wanted = own.filter("n > 0").groupBy("node").agg(F.min("_rid").alias("_rid")).join(nodes, "node")
     sets = spill(node_sets(docs, wanted, words), "tokens")
-    _release(spark)
+    release(spark)
     near = spill(components(first_edges(pairs, sets, percent, block)), "near")
     labels = spill(nodes.join(near, "node", "left").select("node", F.coalesce("root", F.col("node")).alias("label")), "labels")
     more = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(rest_edges(pairs, labels, sets, percent, block))
     roots = spill(components(more), "roots")
-    _release(spark)
+    release(spark)
     root = F.when(F.col("n") > 0, F.coalesce("root", F.col("node")))
     return own.join(roots, "node", "left").select("_rid", "doc_id", F.col("n").alias("n_shingles"), "node", root.alias("root"))
 
@@ -490,7 +483,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     See classes(). Rows with an empty set are their own component; a component of null ids alone has a
     null component_id.
     """
-    c = spill(classes(settled(docs.select("doc_id", "text")).withColumn("_rid", F.monotonically_increasing_id()), words, percent, block), "classes")
+    c = spill(classes(numbered(docs.select("doc_id", "text"), "_rid"), words, percent, block), "classes")
     # written first, so that the join below meets two plain exchanges and a hot component can be split
     some = spill(c.filter("root IS NOT NULL").groupBy("root").agg(F.count("*").alias("k"), F.min("doc_id").alias("component_id")).filter("k > 1"), "components")
     out = c.join(some, "root", "left")
@@ -498,12 +491,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """docs with one row of each component: the one of the smallest doc_id, null ids last, then the first in the scan.
+    """docs with one row of each component: the one of the smallest doc_id, null ids last, then the first row.
 
     Rows with an empty set link with nothing and stay.
     """
     rid = fresh("_rid", docs.columns)
-    d = settled(docs).withColumn(rid, F.monotonically_increasing_id())
+    d = numbered(docs, rid)
     c = spill(classes(d.select("doc_id", "text", F.col(rid).alias("_rid")), words, percent, block), "classes")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_rid"))
     first = c.filter("root IS NOT NULL").groupBy("root").agg(F.min_by("_rid", order).alias("_rid")).select("_rid")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import SPACE, WORD, clean_text, fresh, settled
+from tideline.llm.common import SPACE, WORD, clean_text, fresh, numbered
 
 #: A line is removed if more distinct documents of its host hold it than this number and this share.
 MAX_DOCS = 50
@@ -54,11 +54,19 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_w", "_lines", "_wh", "_h", "_ranked", "_at")
 
 
+def content(text: str = "text") -> list[Column]:
+    """Two independent 64-bit hashes of a text: its name, in _text and _more, wherever it stands."""
+    return [F.xxhash64(text).alias("_text"), F.xxhash64(F.lit(1), F.col(text)).alias("_more")]
+
+
+def host_of() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """_rid, _host, _text (hash of the text), _line (hash of the normalised line), _n (its words)."""
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    d = docs.select("_rid", host.alias("_host"), F.xxhash64("text").alias("_text"), F.explode(F.split(clean_text(), "\n", -1)).alias("_l"))
-    return d.filter(F.col("_l").rlike(WORD)).select("_rid", "_host", "_text", F.xxhash64(normal(F.col("_l"))).alias("_line"), F.regexp_count("_l", F.lit(WORD)).alias("_n"))
+    """_host, _text and _more (the text's name), _pos, _line (hash of the normalised line), _n (its words)."""
+    d = docs.select(host_of().alias("_host"), *content(), F.posexplode(F.split(clean_text(), "\n", -1)).alias("_pos", "_l"))
+    return d.filter(F.col("_l").rlike(WORD)).select("_host", "_text", "_more", "_pos", F.xxhash64(normal(F.col("_l"))).alias("_line"), F.regexp_count("_l", F.lit(WORD)).alias("_n"))
 
 
 def frequent_lines(lines: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -73,14 +81,17 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHAR
 
     Null texts count as empty; a null host is a host of its own. Documents without words lose nothing
     and are not depleted. Repeated rows are judged alike, each on its own; an empty table stays empty.
+    What a text loses is joined by host and content, so no row needs an id.
     """
-    d = settled(docs.select("doc_id", "text", "source")).withColumn("_rid", F.monotonically_increasing_id())
+    d = docs.select("doc_id", "text", "source")
     lines = line_rows(d)
     hot = frequent_lines(lines, max_docs, max_share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    salted = lines.withColumn("_salt", F.pmod(F.col("_rid"), F.lit(_SALTS)).cast("int"))
-    removed = salted.join(hot, ["_host", "_line", "_salt"]).groupBy("_rid").agg(F.sum("_n").cast("long").alias("words_removed"))
-    counted = base_counts(d).drop("text")
-    out = counted.join(removed, "_rid", "left").drop("_rid").withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
+    key = ["_host", "_text", "_more"]
+    met = lines.withColumn("_salt", F.pmod(F.col("_text"), F.lit(_SALTS)).cast("int")).join(hot, ["_host", "_line", "_salt"])
+    # copies of a text within a host share its lines' words: each place counts once
+    removed = met.groupBy(*key, "_pos").agg(F.first("_n").alias("_n")).groupBy(*key).agg(F.sum("_n").cast("long").alias("words_removed"))
+    counted = base_counts(d.withColumns({"_host": host_of()} | dict(zip(key[1:], content(), strict=True)))).drop("text")
+    out = counted.join(removed, key, "left").drop(*key).withColumn("words_removed", F.coalesce("words_removed", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("words_removed")
     return out.withColumn("depleted", (F.col("n_words") > 0) & (left < keep_share * F.col("n_words")))
 
@@ -91,11 +102,10 @@ def clean(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHAR
     Hot lines are joined per line, salted, and texts are put together again from the lines that stay.
     """
     rid, own = fresh("_rid", docs.columns), fresh("_clean", docs.columns)
-    whole = settled(docs).withColumn(rid, F.monotonically_increasing_id())
+    whole = numbered(docs, rid)
     d = whole.select("text", "source", F.col(rid).alias("_rid"))
     hot = frequent_lines(line_rows(d), max_docs, max_share).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))).withColumn("_hot", F.lit(True))
-    host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    cut = d.select("_rid", host.alias("_host"), F.posexplode(F.split(clean_text(), "\n", -1)).alias("_pos", "_l")).withColumns({"_line": F.xxhash64(normal(F.col("_l"))), "_salt": F.pmod(F.col("_rid"), F.lit(_SALTS)).cast("int")})
+    cut = d.select("_rid", host_of().alias("_host"), F.posexplode(F.split(clean_text(), "\n", -1)).alias("_pos", "_l")).withColumns({"_line": F.xxhash64(normal(F.col("_l"))), "_salt": F.pmod(F.col("_rid"), F.lit(_SALTS)).cast("int")})
     kept = cut.join(hot, ["_host", "_line", "_salt"], "left").filter("_hot IS NULL")
     text = kept.groupBy("_rid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_l"))), lambda x: x["_l"]), "\n").alias(own)).withColumnRenamed("_rid", rid)
     return whole.join(text, rid, "left").withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(own, F.lit("")))).select(*docs.columns)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import n_words
+from tideline.llm.common import n_words, numbered
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 PRICES = (0.0, 0.5, 0.8, 0.95, 1.05)
@@ -73,12 +73,16 @@ def pack_best(lengths: Sequence[int], capacities: Sequence[int], prices: Sequenc
     return min((pack(lengths, capacities, p) for p in prices), key=lambda x: sum(map(bin_cost, x[2])))
 
 
-def pieces(docs: DataFrame, longest: int) -> DataFrame:
-    """doc_id as text, piece, start, n_tokens: consecutive pieces of at most `longest` tokens of each document.
+def lengths_of(docs: DataFrame) -> DataFrame:
+    """_rid, doc_id as text, n (tokens) of every row of docs: a small written table, the only pass over the texts."""
+    return numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), n_words().alias("n")), "_rid", "lengths")
+
+
+def pieces(n: DataFrame, longest: int) -> DataFrame:
+    """doc_id, piece, start, n_tokens, _rid: consecutive pieces of at most `longest` tokens of each row of lengths_of().
 
     A document without tokens keeps one piece of no tokens.
     """
-    n = docs.select(F.col("doc_id").cast("string").alias("doc_id"), n_words().alias("n"), F.monotonically_increasing_id().alias("_rid"))
     cut = n.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("n") / longest).cast("int") - 1))))
     start = F.col("piece").cast("long") * longest
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(longest).cast("long"), F.col("n") - start).alias("n_tokens"), "_rid")
@@ -94,8 +98,9 @@ def best_fit(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, shard_rows
     number follows the input, and bin ids are unique across them.
     """
     capacities = tuple(sorted(capacities))
-    shards = max(1, math.ceil(docs.count() / shard_rows))
-    rows = pieces(docs, capacities[-1]).withColumn("_shard", F.pmod(F.xxhash64("_rid", "piece"), F.lit(shards)).cast("long"))
+    lengths = lengths_of(docs)
+    shards = max(1, math.ceil(lengths.count() / shard_rows))
+    rows = pieces(lengths, capacities[-1]).withColumn("_shard", F.pmod(F.xxhash64("_rid", "piece"), F.lit(shards)).cast("long"))
 
     def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_tokens", "_rid", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

@@ -11,17 +11,16 @@ so the samples stream all matching statistics, and those of LENGTH and more mark
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import settled, spill
+from tideline.llm.common import discard, numbered, release, spill
 
 LENGTH = 400
 GRAM = 128
@@ -176,11 +175,6 @@ class RunIndex:
 # ---- over a cluster -----------------------------------------------------------------------------
 
 
-def _release(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def context_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """h, c, _rid, at, size, twice of every context."""
 
@@ -261,14 +255,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
     kinds = spill(
         rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("_rid", "at", "size")).alias("r")).select("h", "c", "n", "twice", "r.*"), "kinds"
     )
-    _release(spark)
+    release(spark)
     per = kinds.groupBy("h").agg(F.count("*").alias("k"), F.max("twice").alias("any_twice"), F.sum("size").alias("held"), F.sum("n").alias("all_n"))
     # written first, so that the join below meets two plain exchanges and a hot hash can be split
     per = spill(per.filter("k > 1 OR any_twice").select("h", "held"), "per")
     many = spill(kinds.join(per, "h").select("h", "c", "n", "_rid", "at", "size", "held"), "many")
     total = many.agg(F.sum("size")).first()[0] or 0
     raw = spill(context_bytes(docs, many.select("h", "c", "_rid", "at", "size")), "bytes")
-    _release(spark)
+    release(spark)
     big = spill(many.filter(F.col("held") > 4 * index_bytes).select("h").distinct(), "big")
     hot = big.limit(1).count() > 0
     found = index_groups(raw.join(big, "h", "left_anti") if hot else raw, max(1, math.ceil(total / index_bytes)), length)
@@ -276,9 +270,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, inde
         found = found.unionByName(window_groups(raw.join(big, "h", "left_semi"), length))
     whole = kinds.filter("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("size").alias("z"))).alias("spans"))
     spans = spill(whole.unionByName(found), "spans")
-    _release(spark)
+    discard(raw, many, per, big)
+    release(spark)
     hit = rows.select("h", "c", "_rid", "at").join(spans, ["h", "c"]).select("_rid", F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["z"] + F.col("at")).alias("z"))).alias("s"))
-    return hit.groupBy("_rid").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    out = spill(hit.groupBy("_rid").agg(F.flatten(F.collect_list("s")).alias("spans")), "removed")
+    discard(rows, kinds, spans)
+    release(spark)
+    return out
 
 
 def merge(spans: list, n: int) -> list[tuple[int, int]]:
@@ -298,11 +296,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in any text or the
     same; strings are judged on the input. Null texts are empty, texts shorter than `length` lose nothing;
     repeated rows repeat each other and lose all they have in common; an empty table gives an empty one.
-    Rows are told apart by their place in the scan, so null and repeated ids do no harm.
+    Rows are told apart by ids in a written copy, so null and repeated ids and lost executors do no harm.
     """
-    d = settled(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).withColumn("_rid", F.monotonically_increasing_id())
-    spans = spill(repeated_spans(d, length, gram), "removed")
-    _release(docs.sparkSession)
+    d = numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "_rid")
+    spans = repeated_spans(d, length, gram)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (b for b in batches if len(b)):
