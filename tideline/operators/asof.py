@@ -1,16 +1,18 @@
 """Backward as-of join with provenance labels.
 
-Both sides are unioned and the newest right row at or before each left row is
-carried forward in one window per key: one shuffle on the keys, no range join.
+Both sides are unioned and the newest right row at or before each left row is carried forward, within
+the keys and ranges of the order, so that neither a hot key nor a join without keys is one task's work.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.operators import ranges
+
 
 def epoch_us(ts: str | Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column."""
@@ -29,37 +31,11 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, right_on: str, val
     lrow = lrow.drop("_r")
     rrow = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("_k"), F.lit(0).alias("_side"), F.struct(F.col(right_on), *[F.col(c) for c in values]).alias("_r"))
     both = lrow.unionByName(rrow, allowMissingColumns=True)
-    if by:
-        out = _carry(both, by).filter("_side = 1")
-    else:
-        out = _carry_ranges(both, rrow).filter("_side = 1")
+    out = ranges.carried(both, by, "_k", "_side", "_r").filter("_side = 1")
     matched = F.col("_k").isNotNull()
     return out.select(*by, "_l.*", *[F.when(matched, F.col(f"_r.{c}")).alias(c) for c in (right_on, *values)])
 
 
-def _carry(both: DataFrame, by: Sequence[str]) -> DataFrame:
-    """both with _r, the newest right row so far in each key's order."""
-    w = Window.partitionBy(*by).orderBy(F.col("_k").asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_r", F.last("_r", ignorenulls=True).over(w))
-
-
-def _carry_ranges(both: DataFrame, right: DataFrame, most: int = 64) -> DataFrame:
-    """The same without keys, but not in one task: ranges of about equal size are swept on their own.
-
-    Each range starts from the newest right row of the ranges before it, a table of at most `most` rows.
-    """
-    n = max(1, min(most, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = both.agg(F.percentile_approx("_k", [i / n for i in range(1, n)], 1000)).first()[0] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_k"))) if cuts else F.lit(0)
-    swept = _carry(both.withColumn("_b", F.coalesce(part, F.lit(0))), ["_b"])
-    ends = right.withColumn("_b", F.coalesce(part, F.lit(0))).groupBy("_b").agg(F.max_by("_r", "_k").alias("_end"))
-    every = both.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_b")).join(ends, "_b", "left")
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.select("_b", F.last("_end", ignorenulls=True).over(before).alias("_before"))
-    return swept.join(F.broadcast(carried), "_b").withColumn("_r", F.coalesce("_r", "_before")).drop("_b", "_before")
-
-
 def label(df: DataFrame, on: str, right_on: str, name: str = "method") -> DataFrame:
     """Provenance of an as-of match: unavailable, exact or forward_fill."""
     return df.withColumn(

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import ranges
+
 DECAYS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
 BIN_WIDTHS = (60, 300, 900, 3600)
 MAX_ORDER = 10
@@ -44,28 +46,14 @@ def spectral(m: np.ndarray) -> float:
 # ---- evaluation in DataFrames -------------------------------------------------------------------
 
 
-def excitation(events: DataFrame, history: DataFrame, beta: float, horizon: float | None = None) -> DataFrame:
-    """events with r_0, r_1: the sums of exp(-beta (t - t')) over strictly earlier history of each leg.
+def faded(at: np.ndarray, n: np.ndarray, beta: float, before: float = 0.0) -> np.ndarray:
+    """The excitation just before each of the increasing times at, where n events happen each: R <- exp(-beta dt) (R + n).
 
-    A range join. Without a horizon all history counts; with one, and times in buckets as long as the
-    horizon, each event meets two buckets only, which keeps the join in proportion to the events.
+    `before` is the excitation just before the first of them.
     """
-    h = history.select(F.col("leg").alias("hleg"), F.col("t").alias("ht"))
-    if horizon is None:
-        met = events.join(h, F.col("ht") < F.col("t"), "left")
-    else:
-        b = F.floor(F.col("ht") / horizon).cast("long")
-        h = h.withColumn("_b", F.explode(F.array(b, b + 1)))
-        met = events.withColumn("_b", F.floor(F.col("t") / horizon).cast("long")).join(h, ["_b"], "left")
-        met = met.withColumn("hleg", F.when((F.col("ht") < F.col("t")) & (F.col("ht") >= F.col("t") - horizon), F.col("hleg")))
-    part = lambda k: F.sum(F.when(F.col("hleg") == k, F.exp(-beta * (F.col("t") - F.col("ht")))).otherwise(0.0)).alias(f"r_{k}")
-    keys = [c for c in events.columns]
-    return met.groupBy(*keys).agg(part(0), part(1))
-
-
-def faded(at: np.ndarray, n: np.ndarray, beta: float) -> np.ndarray:
-    """The excitation just before each of the increasing times at, where n events happen each: R <- exp(-beta dt) (R + n)."""
-    out, r = [0.0] * len(at), 0.0
+    if not len(at):
+        return np.zeros(0)
+    out, r = [before] * len(at), before
     for i, (fade, held) in enumerate(zip(np.exp(-beta * np.diff(at)).tolist(), n.tolist(), strict=False), 1):
         r = fade * (r + held)
         out[i] = r
@@ -78,19 +66,42 @@ def _times(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return at, place, [np.bincount(place[(pdf["leg"] == k).to_numpy(bool)], minlength=len(at)).astype(float) for k in (0, 1)]
 
 
-def excitation_fold(legs: DataFrame, beta: float, key: str | None = None) -> DataFrame:
-    """The same for all events of a process, in one ordered pass of each key.
+def excitation(legs: DataFrame, beta: float, start: float = 0.0, range_rows: int | None = None) -> DataFrame:
+    """legs with r_0, r_1: the sums of exp(-beta (t - t')) over all strictly earlier events of each leg; and
+    c_0, c_1: how many of those are at or after start.
 
-    Ties are collapsed first, so events at one time share one state. One key is one task's fold, in
-    proportion to its events after their sort.
+    Ranges of time are folded on their own, each an ordered pass from the state that the ranges before it
+    leave at its beginning: a sum for each range and leg, at most ranges.MOST_RANGES of them, carried on
+    the driver. Events at one time are in one range and do not excite each other. Null times are left out.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    d = legs.filter(F.col("t").isNotNull())
+    points = ranges.cuts(d.select(F.col("t").cast("double").alias("t")), "t", None, range_rows)
+    edges = [float(v) for v, _ in points]
+    state = {(b, k): (0.0, 0.0) for b in range(len(points) + 1) for k in (0, 1)}
+    d = d.withColumn("_b", ranges.place(points, "t"))
+    if points:
+        until = F.expr(f"element_at(array({', '.join(repr(e) + 'D' for e in edges)}), _b + 1)")
+        left = d.filter(F.col("_b") < len(points)).groupBy("_b", "leg").agg(F.sum(F.exp(-beta * (until - F.col("t")))).alias("r"), F.count_if(F.col("t") >= start).alias("c"))
+        own = {(r["_b"], r["leg"]): (r["r"], r["c"]) for r in left.collect()}
+        for b in range(1, len(points) + 1):
+            fade = math.exp(-beta * (edges[b - 1] - edges[b - 2])) if b > 1 else 0.0
+            for k in (0, 1):
+                r, c = own.get((b - 1, k), (0.0, 0))
+                state[b, k] = (state[b - 1, k][0] * fade + r, state[b - 1, k][1] + c)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        b = int(key[0])
         at, place, n = _times(pdf)
-        return pdf.assign(r_0=faded(at, n[0], beta)[place], r_1=faded(at, n[1], beta)[place])
+        out = pdf.drop(columns="_b")
+        for k in (0, 1):
+            r, c = state[b, k]
+            out[f"r_{k}"] = faded(at, n[k], beta, r * math.exp(-beta * (at[0] - edges[b - 1])) if b else 0.0)[place]
+            new = np.where(at >= start, n[k], 0.0)
+            out[f"c_{k}"] = (c + np.cumsum(new) - new)[place]
+        return out
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in legs.schema), "r_0 double", "r_1 double"])
-    return legs.filter(F.col("t").isNotNull()).groupBy(*([key] if key else [])).applyInPandas(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in legs.schema), *(f"{x}_{k} double" for k in (0, 1) for x in "rc")])
+    return d.groupBy("_b").applyInPandas(run, schema)
 
 
 def intensity(events: DataFrame, p: Params) -> DataFrame:
@@ -109,10 +120,10 @@ def integral(history: DataFrame, p: Params, start: float | Column, end: float |
     return s.select(of(0).alias("big_0"), of(1).alias("big_1"))
 
 
-def log_likelihood(legs: DataFrame, p: Params, end: float, start: float = 0.0, horizon: float | None = None) -> DataFrame:
+def log_likelihood(legs: DataFrame, p: Params, end: float, start: float = 0.0) -> DataFrame:
     """One row: ll of the events in [start, end] given all history; -inf if a leg is empty or an intensity is not positive."""
     inside = (F.col("t") >= start) & (F.col("t") <= end)
-    lam = intensity(excitation_fold(legs.select("leg", "t"), p.beta).filter(inside) if horizon is None else excitation(legs.filter(inside), legs, p.beta, horizon), p)
+    lam = intensity(excitation(legs.select("leg", "t"), p.beta).filter(inside), p)
     s = lam.agg(F.sum(F.when(F.col("lam") > 0, F.ln("lam"))).alias("logs"), F.min("lam").alias("least"), F.count_if(F.col("leg") == 0).alias("n0"), F.count_if(F.col("leg") == 1).alias("n1"))
     bad = (F.col("n0") == 0) | (F.col("n1") == 0) | (F.col("least") <= 0)
     return s.crossJoin(integral(legs, p, start, end)).select(F.when(bad, F.lit(float("-inf"))).otherwise(F.col("logs") - F.col("big_0") - F.col("big_1")).alias("ll"))
@@ -128,22 +139,16 @@ def poisson_log_likelihood(legs: DataFrame, mu: Sequence[float], end: float, sta
 def compensator(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
     """leg, t, big: the integrated intensity of its leg from start to each event at or after it.
 
-    History before start counts. Events at the event's own time do not. One ordered pass: an earlier
-    event adds what has faded of it since the later of start and itself, so the sums are those at start,
-    plus the events since, less the excitation that is left.
+    History before start counts. Events at the event's own time do not. An earlier event adds what has
+    faded of it since the later of start and itself, so the sums are those at start, plus the events
+    since, less the excitation that is left: one fold, see excitation().
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, place, n = _times(pdf)
-        s = []
-        for k in (0, 1):
-            old, new = np.where(at < start, n[k], 0.0), np.where(at < start, 0.0, n[k])
-            s.append((old @ np.exp(-p.beta * np.maximum(start - at, 0.0)) + np.cumsum(new) - new - faded(at, n[k], p.beta))[place])
-        of = [p.mu[i] * (at[place] - start) + (p.alpha[i][0] * s[0] + p.alpha[i][1] * s[1]) / p.beta for i in (0, 1)]
-        out = pdf[["leg", "t"]].assign(big=np.where(pdf["leg"] == 0, *of))
-        return out[out["t"] >= start]
-
-    return legs.select("leg", "t").filter(F.col("t").isNotNull()).groupBy().applyInPandas(run, f"leg {legs.schema['leg'].dataType.simpleString()}, t double, big double")
+    d = legs.select("leg", F.col("t").cast("double").alias("t"))
+    old = d.filter(F.col("t") < start).agg(*[F.coalesce(F.sum(F.when(F.col("leg") == k, F.exp(-p.beta * (F.lit(float(start)) - F.col("t"))))), F.lit(0.0)).alias(f"o_{k}") for k in (0, 1)])
+    e = excitation(d, p.beta, start).filter(F.col("t") >= start).crossJoin(F.broadcast(old))
+    s = [F.col(f"o_{k}") + F.col(f"c_{k}") - F.col(f"r_{k}") for k in (0, 1)]
+    of = [p.mu[i] * (F.col("t") - start) + (p.alpha[i][0] * s[0] + p.alpha[i][1] * s[1]) / p.beta for i in (0, 1)]
+    return e.select("leg", "t", F.when(F.col("leg") == 0, of[0]).otherwise(of[1]).alias("big"))
 
 
 def residuals(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
@@ -152,19 +157,16 @@ def residuals(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
     Gap and event stay on one row; the first gap counts from start. (The reference drops gaps that are
     not positive and pads at the end, which moves later gaps to other events.)
     """
-    c = compensator(legs, p, start)
-    before = F.coalesce(F.lag("big").over(Window.partitionBy("leg").orderBy("t", "big")), F.lit(0.0))
-    dt = F.col("big") - before
+    c = ranges.lagged(compensator(legs, p, start), ["leg"], "t", "big", "_last")
+    dt = F.col("big") - F.coalesce("_last", F.lit(0.0))
     return c.select(F.col("leg").cast("byte").alias("leg"), F.col("t").alias("event_time"), F.col("big").alias("Lambda_at_event"), F.when(dt > 0, dt).alias("rescaled_dt"))
 
 
 def ks_exponential(res: DataFrame, key: str = "leg", value: str = "rescaled_dt") -> DataFrame:
     """key, n, d: the Kolmogorov-Smirnov distance of positive gaps to the unit exponential."""
-    d = res.filter(F.col(value) > 0)
-    i = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    n = F.count("*").over(Window.partitionBy(key))
-    f = 1 - F.exp(-F.col(value))
-    e = d.select(key, n.alias("n"), F.greatest(i / n - f, f - (i - 1) / n).alias("e"))
+    d = ranges.ranked(res.filter(F.col(value) > 0).select(key, value), [key], value, None, "i", {"n": F.count("*")})
+    i, n, f = F.col("i"), F.col("n"), 1 - F.exp(-F.col(value))
+    e = d.select(key, "n", F.greatest(i / n - f, f - (i - 1) / n).alias("e"))
     return e.groupBy(key).agg(F.first("n").alias("n"), F.max("e").alias("d")).filter("n >= 2")
 
 

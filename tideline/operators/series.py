@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.operators import ranges
+
 
 def window_of(legs: DataFrame) -> DataFrame:
     """One row: w_start, w_end, the first and last time over all legs."""
@@ -35,7 +37,7 @@ def bin_counts(legs: DataFrame, width: float) -> DataFrame:
     d = with_window(legs)
     last = F.greatest(F.ceil((F.col("w_end") - F.col("w_start")) / width).cast("long") - 1, F.lit(0).cast("long"))
     got = d.withColumn("bin", F.least(F.floor((F.col("t") - F.col("w_start")) / width).cast("long"), last)).groupBy("leg", "bin").agg(F.count("*").alias("n"))
-    grid = window_of(legs).select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin")).crossJoin(F.broadcast(legs.select("leg").distinct()))
+    grid = legs.groupBy("leg").agg(F.lit(1)).select("leg").crossJoin(F.broadcast(window_of(legs))).select("leg", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("bin"))
     return grid.join(got, ["leg", "bin"], "left").select("leg", "bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -65,12 +67,13 @@ def stationarity(parts: DataFrame, most: float = 0.25) -> DataFrame:
 
 def gaps(legs: DataFrame) -> DataFrame:
     """leg, t, gap to the event before in the leg; null for the first. Ties have gap 0."""
-    return legs.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("leg").orderBy("t")))
+    return ranges.lagged(legs, ["leg"], "t", "t", "_last").withColumn("gap", F.col("t") - F.col("_last")).drop("_last")
 
 
 def ties(legs: DataFrame) -> DataFrame:
-    """leg, ties: events at the same time as the one before in the leg."""
-    return gaps(legs).groupBy("leg").agg(F.count_if(F.col("gap") == 0).alias("ties"))
+    """leg, ties: events at the same time as another before in the leg."""
+    n = legs.groupBy("leg", "t").agg(F.count("t").alias("n"))
+    return n.groupBy("leg").agg(F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("ties"))
 
 
 def simultaneous(legs: DataFrame) -> DataFrame:
@@ -84,8 +87,7 @@ def rolling_variance(values: DataFrame, key: str, order: str, value: str) -> Dat
 
     Keys with fewer than 2 w values have no window.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    d = values.withColumns({"i": F.row_number().over(w) - 1, "m": F.count("*").over(Window.partitionBy(key))})
+    d = ranges.ranked(values, [key], order, totals={"m": F.count("*")}).withColumn("i", F.col("i") - 1)
     size = F.least(F.lit(50), F.greatest(F.lit(10), F.floor(F.col("m") / 10))).cast("int")
     d = d.withColumn("w", size).filter(F.col("m") >= 2 * F.col("w"))
     # a row belongs to the windows that start at multiples of the step within w rows before it
@@ -115,49 +117,76 @@ def tail_gate(m: DataFrame, least: int = 30) -> DataFrame:
 
 def pit(values: DataFrame, key: str, value: str, tie: str, eps: float = 1e-10) -> DataFrame:
     """values with u: rank over n + 1, ties in the order of `tie`; clipped values where all lie in [0, 1]."""
-    w, all_of = Window.partitionBy(key).orderBy(value, tie), Window.partitionBy(key)
-    rank = F.row_number().over(w) / (F.count("*").over(all_of) + 1)
-    unit = (F.min(value).over(all_of) >= 0) & (F.max(value).over(all_of) <= 1)
-    return values.withColumn("u", F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.when(unit, F.col(value)).otherwise(rank))))
+    d = ranges.ranked(values, [key], value, tie, "_i", {"_n": F.count("*"), "_lo": F.min(value), "_hi": F.max(value)})
+    u = F.when((F.col("_lo") >= 0) & (F.col("_hi") <= 1), F.col(value)).otherwise(F.col("_i") / (F.col("_n") + 1))
+    return d.withColumn("u", F.greatest(F.lit(eps), F.least(F.lit(1 - eps), u))).drop("_i", "_n", "_lo", "_hi")
 
 
 def paired(values: DataFrame, value: str, order: str) -> DataFrame:
     """i, a, b: the values of legs 0 and 1 by position, as far as both go."""
-    d = values.withColumn("i", F.row_number().over(Window.partitionBy("leg").orderBy(order)))
+    d = ranges.ranked(values, ["leg"], order)
     return d.groupBy("i").pivot("leg", [0, 1]).agg(F.first(value)).select("i", F.col("0").alias("a"), F.col("1").alias("b")).dropna()
 
 
+BLOCK = 50_000
+
+
+def lagged_dots(a: DataFrame, b: DataFrame, max_lag: int, block: int = BLOCK) -> DataFrame:
+    """g, lag, dot: for each group the sum over i of a's x at i times b's x at i + lag; both are (g, i, x).
+
+    Positions are dealt into blocks; a block's task holds its own a and the b within max_lag of it, so rows
+    are copied once or twice, not once a lag.
+    """
+    reach = F.sequence(F.floor((F.col("i") - max_lag) / block), F.floor((F.col("i") + max_lag) / block))
+    rows = a.select("g", F.floor(F.col("i") / block).alias("k"), F.lit(0).alias("side"), "i", "x").unionByName(b.select("g", F.explode(reach).alias("k"), F.lit(1).alias("side"), "i", "x"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        start, left = key[1] * block, (pdf["side"] == 0).to_numpy()
+        i, x = pdf["i"].to_numpy() - start, pdf["x"].to_numpy()
+        own, other = np.zeros(block), np.zeros(block + 2 * max_lag)
+        own[i[left]] = x[left]
+        other[i[~left] + max_lag] = x[~left]
+        dots = [own @ other[max_lag + k : max_lag + k + block] for k in range(-max_lag, max_lag + 1)]
+        return pd.DataFrame({"g": key[0], "lag": np.arange(-max_lag, max_lag + 1, dtype=np.int32), "dot": dots})
+
+    parts = rows.groupBy("g", "k").applyInPandas(run, f"g {a.schema['g'].dataType.simpleString()}, lag int, dot double")
+    return parts.groupBy("g", "lag").agg(F.sum("dot").alias("dot"))
+
+
+def centred(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """i, a, b less their means, and one row: norm, the root of the product of their sums of squares."""
+    s = pairs.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    d = pairs.crossJoin(F.broadcast(s)).select(F.col("i").cast("long").alias("i"), (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"))
+    return d, d.agg(F.nullif(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))), F.lit(0.0)).alias("norm"))
+
+
 def correlogram(pairs: DataFrame, max_lag: int = 50) -> DataFrame:
     """lag, rho: correlation of a at i with b at i + lag, centred and scaled by the whole sample."""
-    s = pairs.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"), F.count("*").alias("m"))
-    d = pairs.crossJoin(F.broadcast(s)).select("i", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"), "m")
-    norm = d.agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("norm"))
-    lagged = d.select("i", "a", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    met = lagged.join(d.select(F.col("i").alias("j"), "b"), "j")
-    return met.groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("dot")).crossJoin(F.broadcast(norm)).select("lag", (F.col("dot") / F.nullif(F.col("norm"), F.lit(0.0))).alias("rho"))
+    d, norm = centred(pairs)
+    x = lambda c: d.select(F.lit(0).alias("g"), "i", F.col(c).alias("x"))
+    return lagged_dots(x("a"), x("b"), max_lag).crossJoin(F.broadcast(norm)).select("lag", (F.col("dot") / F.col("norm")).alias("rho"))
 
 
-def permutation_null(pairs: DataFrame, reps: int, max_lag: int = 50, seed: str = "perm") -> DataFrame:
+def permutation_null(pairs: DataFrame, reps: int, max_lag: int = 50, seed: str = "perm", bucket_rows: int = BLOCK) -> DataFrame:
     """rep, stat: the largest absolute correlation over lags after shuffling b; rep 0 is not shuffled.
 
-    The shuffle orders positions by md5 of seed, replicate and position, so it is the same anywhere.
+    The shuffle orders positions by md5 of seed, replicate and position, so it is the same anywhere. Hashes
+    are spread evenly, so each replicate is ranked in buckets of hashes, which no task holds more than one of.
     """
-    s = pairs.agg(F.avg("a").alias("ma"), F.avg("b").alias("mb"))
-    d = pairs.crossJoin(F.broadcast(s)).select("i", (F.col("a") - F.col("ma")).alias("a"), (F.col("b") - F.col("mb")).alias("b"))
-    norm = d.agg(F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("b") * F.col("b"))).alias("norm"))
-    rep = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-    key = F.when(F.col("rep") == 0, F.lpad(F.col("i").cast("string"), 12, "0")).otherwise(F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("i").cast("string"))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = max(len(pdf), int(pdf["i"].max()))
-        a, b = np.zeros(n + 1), np.zeros(n + 1)
-        a[pdf["i"]] = pdf["a"]
-        b[1 : len(pdf) + 1] = pdf["b"].to_numpy()[np.argsort(pdf["key"].to_numpy(dtype=str))]
-        top = max(abs(a[max(0, -k) : n + 1 - max(0, k)] @ b[max(0, k) : n + 1 - max(0, -k)]) for k in range(-min(max_lag, n), min(max_lag, n) + 1))
-        return pd.DataFrame({"rep": [int(pdf["rep"].iloc[0])], "top": [top]})
-
-    tops = rep.select("rep", "i", "a", "b", key.alias("key")).groupBy("rep").applyInPandas(run, "rep int, top double")
-    return tops.crossJoin(F.broadcast(norm)).select("rep", (F.col("top") / F.col("norm")).alias("stat"))
+    d, norm = centred(pairs)
+    buckets = max(1, -(-pairs.count() // bucket_rows))
+    rep = d.withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("g").cast("string"), F.col("i").cast("string")))
+    rep = rep.withColumn("_h", key).withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") * buckets / float(1 << 32)).cast("int"))
+    sizes = rep.groupBy("g", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    known = sizes.select("g", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("g", "_b").orderBy("_h"))
+    shuffled = rep.select("g", "_b", "b", own.alias("_own")).join(known, ["g", "_b"]).select("g", (F.col("_own") + F.col("_before")).alias("i"), F.col("b").alias("x"))
+    b = d.select(F.lit(0).alias("g"), "i", F.col("b").alias("x")).unionByName(shuffled)
+    a = d.select(F.explode(F.sequence(F.lit(0), F.lit(reps))).alias("g"), "i", F.col("a").alias("x"))
+    top = lagged_dots(a, b, max_lag).groupBy("g").agg(F.max(F.abs("dot")).alias("top"))
+    return top.crossJoin(F.broadcast(norm)).select(F.col("g").alias("rep"), (F.col("top") / F.col("norm")).alias("stat"))
 
 
 def permutation_p(null: DataFrame) -> DataFrame:

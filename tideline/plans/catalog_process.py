@@ -11,7 +11,6 @@ from tideline.plans.catalog_sql import LEGS
 from tideline.plans.registry import query
 from tideline.session import table
 
-DAY = 86400.0
 P = hawkes.Params((1e-4, 1.2e-4), ((2e-5, 1e-5), (1.5e-5, 2.5e-5)), 1e-4)
 _MU, _A, _B = P.mu, P.alpha, P.beta
 
@@ -34,12 +33,6 @@ def process(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     return l, _end(l)
 
 
-def _few(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
-    """Legs of the users of one residue: what the SQL of compensator, residuals and ks_statistic asks for."""
-    l = legs(spark, sf_dir).filter("user_id % 10 = 3").select("leg", "t")
-    return l, _end(l)
-
-
 @query("leg_window", f"WITH {LEGS} SELECT leg, count(*) AS n, round(min(t), 6) AS first, round(max(t), 6) AS last FROM legs GROUP BY leg")
 def leg_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legs(spark, sf_dir).groupBy("leg").agg(F.count("*").alias("n"), F.round(F.min("t"), 6).alias("first"), F.round(F.max("t"), 6).alias("last"))
@@ -141,23 +134,23 @@ def correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.correlogram(series.paired(legs(spark, sf_dir), "value", "t")).select("lag", F.round("rho", 9).alias("rho"))
 
 
-@query(
-    "permutation_null",
-    f"""WITH {_PAIR}, few AS (SELECT * FROM d WHERE i <= 300), r AS (SELECT *, unnest(range(0, 21)) AS rep FROM few),
-      fn AS (SELECT sqrt(sum((a - ma) * (a - ma)) * sum((b - mb) * (b - mb))) AS z FROM few, (SELECT avg(a) AS ma, avg(b) AS mb FROM few)),
-      c AS (SELECT i, rep, a - (SELECT avg(a) FROM few) AS a, b - (SELECT avg(b) FROM few) AS b FROM r),
-      s AS (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(i::VARCHAR, 12, '0') ELSE md5('perm:' || rep || ':' || i) END) AS j FROM c),
-      h AS (SELECT c.rep, lag, sum(c.a * s.b) AS dot FROM c, (SELECT unnest(range(-10, 11)) AS lag) l, s WHERE s.rep = c.rep AND s.j = c.i + lag GROUP BY ALL)
-    SELECT rep::INTEGER AS rep, round(max(abs(dot / z)), 9) AS stat FROM h, fn GROUP BY rep""",
-)
+def _perm(reps: int) -> str:
+    return f"""{_PAIR}, c AS (SELECT rep, i, a, b, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep = 0 THEN lpad(i::VARCHAR, 12, '0') ELSE md5('perm:' || rep || ':' || i) END) AS j FROM d, (SELECT unnest(range(0, {reps + 1})) AS rep)),
+      s AS (SELECT rep, count(*) AS n, list(a ORDER BY i) AS x, list(b ORDER BY j) AS y FROM c GROUP BY rep),
+      h AS (SELECT rep, list_dot_product(x[1 + greatest(0, -lag):n - greatest(0, lag)], y[1 + greatest(0, lag):n - greatest(0, -lag)]) AS dot FROM s, (SELECT unnest(range(-50, 51)) AS lag)),
+      null_stats AS (SELECT rep, max(abs(dot)) / any_value(z) AS stat FROM h, nrm GROUP BY rep)"""
+
+
+@query("permutation_null", f"WITH {_perm(200)} SELECT rep::INTEGER AS rep, round(stat, 9) AS stat FROM null_stats")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = series.paired(legs(spark, sf_dir), "value", "t").filter("i <= 300")
-    return series.permutation_null(few, 20, 10).select("rep", F.round("stat", 9).alias("stat"))
+    pairs = series.paired(legs(spark, sf_dir), "value", "t")
+    return series.permutation_null(pairs, 200).select("rep", F.round("stat", 9).alias("stat"))
 
 
-@query("permutation_test")
+@query("permutation_test", f"WITH {_perm(1000)}, first AS (SELECT stat AS seen FROM null_stats WHERE rep = 0) SELECT round(any_value(seen), 9) AS observed, round((1 + count(*) FILTER (rep > 0 AND stat >= seen)) / 1001, 9) AS p_value FROM null_stats, first")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.permutation_p(series.permutation_null(series.paired(legs(spark, sf_dir), "value", "t"), 1000))
+    got = series.permutation_p(series.permutation_null(series.paired(legs(spark, sf_dir), "value", "t"), 1000))
+    return got.select(F.round("observed", 9).alias("observed"), F.round("p_value", 9).alias("p_value"))
 
 
 @query("inverse_ecdf", f"WITH {LEGS} SELECT u, round(quantile_cont(value, u), 6) AS x FROM (SELECT value FROM legs), (SELECT unnest([0.0, 0.1, 0.5, 0.9, 1.0]::DOUBLE[]) AS u) GROUP BY u".replace("quantile_cont(value, u)", "CASE u WHEN 0.0 THEN quantile_cont(value, 0.0) WHEN 0.1 THEN quantile_cont(value, 0.1) WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.9 THEN quantile_cont(value, 0.9) ELSE quantile_cont(value, 1.0) END"))
@@ -166,20 +159,20 @@ def inverse_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXC = f"""{LEGS}, e AS (SELECT a.event_id, a.leg, a.t, coalesce(sum(exp(-{_B} * (a.t - b.t))) FILTER (b.leg = 0), 0) AS r0, coalesce(sum(exp(-{_B} * (a.t - b.t))) FILTER (b.leg = 1), 0) AS r1
-   FROM legs a LEFT JOIN legs b ON b.t < a.t AND b.t >= a.t - {DAY} GROUP BY ALL),
+   FROM legs a LEFT JOIN legs b ON b.t < a.t GROUP BY ALL),
    lam AS (SELECT *, CASE leg WHEN 0 THEN {_MU[0]} + {_A[0][0]} * r0 + {_A[0][1]} * r1 ELSE {_MU[1]} + {_A[1][0]} * r0 + {_A[1][1]} * r1 END AS lam FROM e)"""
 
 
 @query("excitation", f"WITH {_EXC} SELECT event_id, leg, round(r0, 6) AS r_0, round(r1, 6) AS r_1 FROM e")
 def excitation(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = legs(spark, sf_dir).select("event_id", "leg", "t")
-    return hawkes.excitation(l, l, P.beta, DAY).select("event_id", "leg", F.round("r_0", 6).alias("r_0"), F.round("r_1", 6).alias("r_1"))
+    return hawkes.excitation(l, P.beta).select("event_id", "leg", F.round("r_0", 6).alias("r_0"), F.round("r_1", 6).alias("r_1"))
 
 
 @query("intensity", f"WITH {_EXC} SELECT event_id, round(lam * 1e6, 6) AS lam FROM lam")
 def intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = legs(spark, sf_dir).select("event_id", "leg", "t")
-    return hawkes.intensity(hawkes.excitation(l, l, P.beta, DAY), P).select("event_id", F.round(F.col("lam") * 1e6, 6).alias("lam"))
+    return hawkes.intensity(hawkes.excitation(l, P.beta), P).select("event_id", F.round(F.col("lam") * 1e6, 6).alias("lam"))
 
 
 def _integral(a: str, z: str) -> str:
@@ -190,14 +183,14 @@ def _integral(a: str, z: str) -> str:
 @query("hawkes_ll", f"WITH {_EXC}, x AS (SELECT max(t) AS z FROM legs) SELECT round((SELECT sum(ln(lam)) FROM lam) - {_integral('0', '(SELECT z FROM x)')}, 4) AS ll")
 def hawkes_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = legs(spark, sf_dir).select("event_id", "leg", "t")
-    return hawkes.log_likelihood(l, P, _end(l), horizon=DAY).select(F.round("ll", 4).alias("ll"))
+    return hawkes.log_likelihood(l, P, _end(l)).select(F.round("ll", 4).alias("ll"))
 
 
 @query("hawkes_ll_held_out", f"WITH {_EXC}, x AS (SELECT max(t) AS z, 0.8 * max(t) AS s FROM legs) SELECT round((SELECT sum(ln(lam)) FROM lam, x WHERE t >= s) - {_integral('(SELECT s FROM x)', '(SELECT z FROM x)')}, 4) AS ll")
 def hawkes_ll_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = legs(spark, sf_dir).select("event_id", "leg", "t")
     end = _end(l)
-    return hawkes.log_likelihood(l, P, end, 0.8 * end, DAY).select(F.round("ll", 4).alias("ll"))
+    return hawkes.log_likelihood(l, P, end, 0.8 * end).select(F.round("ll", 4).alias("ll"))
 
 
 @query("poisson_ll", f"WITH {LEGS}, x AS (SELECT max(t) AS z FROM legs) SELECT round(count(*) FILTER (leg = 0) * ln({_MU[0]}) + count(*) FILTER (leg = 1) * ln({_MU[1]}) - ({_MU[0]} + {_MU[1]}) * any_value(z), 4) AS ll FROM legs, x")
@@ -206,28 +199,28 @@ def poisson_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hawkes.poisson_log_likelihood(l, _MU, _end(l)).select(F.round("ll", 4).alias("ll"))
 
 
-_FEW = f"""{LEGS.replace("('purchase', 'click'))", "('purchase', 'click'))")}, f AS (SELECT leg, t FROM legs WHERE user_id % 10 = 3),
+_RES = f"""{LEGS},
    c AS (SELECT a.leg, a.t, coalesce(sum(1 - exp(-{_B} * (a.t - b.t))) FILTER (b.leg = 0), 0) AS s0, coalesce(sum(1 - exp(-{_B} * (a.t - b.t))) FILTER (b.leg = 1), 0) AS s1
-     FROM f a LEFT JOIN f b ON b.t < a.t GROUP BY ALL),
+     FROM (SELECT event_id, leg, t FROM legs) a LEFT JOIN legs b ON b.t < a.t GROUP BY a.event_id, a.leg, a.t),
    big AS (SELECT leg, t, CASE leg WHEN 0 THEN {_MU[0]} * t + ({_A[0][0]} * s0 + {_A[0][1]} * s1) / {_B} ELSE {_MU[1]} * t + ({_A[1][0]} * s0 + {_A[1][1]} * s1) / {_B} END AS big FROM c),
    res AS (SELECT leg, t, big, big - coalesce(lag(big) OVER (PARTITION BY leg ORDER BY t), 0) AS dt FROM big)"""
 
 
-@query("compensator", f"WITH {_FEW} SELECT leg::INTEGER AS leg, round(t, 6) AS t, round(big, 6) AS big FROM big")
+@query("compensator", f"WITH {_RES} SELECT leg::INTEGER AS leg, round(t, 6) AS t, round(big, 6) AS big FROM big")
 def compensator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, _ = _few(spark, sf_dir)
+    l, _ = process(spark, sf_dir)
     return hawkes.compensator(l, P).select("leg", F.round("t", 6).alias("t"), F.round("big", 6).alias("big"))
 
 
-@query("residuals", f"WITH {_FEW} SELECT leg::TINYINT AS leg, round(t, 6) AS event_time, round(dt, 6) AS rescaled_dt FROM res")
+@query("residuals", f"WITH {_RES} SELECT leg::TINYINT AS leg, round(t, 6) AS event_time, CASE WHEN dt > 0 THEN round(dt, 6) END AS rescaled_dt FROM res")
 def residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, _ = _few(spark, sf_dir)
+    l, _ = process(spark, sf_dir)
     return hawkes.residuals(l, P).select("leg", F.round("event_time", 6).alias("event_time"), F.round("rescaled_dt", 6).alias("rescaled_dt"))
 
 
-@query("ks_statistic", f"WITH {_FEW}, k AS (SELECT leg, 1 - exp(-dt) AS f, row_number() OVER (PARTITION BY leg ORDER BY dt) AS i, count(*) OVER (PARTITION BY leg) AS n FROM res WHERE dt > 0) SELECT leg::TINYINT AS leg, any_value(n) AS n, round(max(greatest(i / n - f, f - (i - 1) / n)), 9) AS d FROM k GROUP BY leg")
+@query("ks_statistic", f"WITH {_RES}, k AS (SELECT leg, 1 - exp(-dt) AS f, row_number() OVER (PARTITION BY leg ORDER BY dt) AS i, count(*) OVER (PARTITION BY leg) AS n FROM res WHERE dt > 0) SELECT leg::TINYINT AS leg, any_value(n) AS n, round(max(greatest(i / n - f, f - (i - 1) / n)), 9) AS d FROM k GROUP BY leg")
 def ks_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, _ = _few(spark, sf_dir)
+    l, _ = process(spark, sf_dir)
     return hawkes.ks_exponential(hawkes.residuals(l, P)).select("leg", "n", F.round("d", 9).alias("d"))
 
 
