@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tests.conftest import SF
 from tideline.llm import jaccard_join, language_model, mixing, neighbours, packing, repeats, secrets, toxicity, wrappers
 
 
@@ -324,6 +325,60 @@ def test_copies_of_a_page_are_no_template():
     assert not any("Welcome" in t for t in texts) and texts[8:] == texts[:1] * 20 and texts[0]
 
 
+def _neutral_pages():
+    """The tables' pages by host with every tag and name of structure made a plain div, and their articles' texts."""
+    import re
+
+    import duckdb
+
+    found = {}
+    for host, page in duckdb.sql(f"SELECT regexp_extract(url, '//([^/]+)', 1), html FROM '{SF.replace('0.001', '0.01')}/pages.parquet' ORDER BY page_id").fetchall():
+        plain = re.sub(r"<(/?)(?:nav|article|footer|ul|li)\b[^>]*>", r"<\1div>", page).replace('<div class="ad">', "<div>")
+        found.setdefault(host, []).append((plain, wrappers.main_text(wrappers.parse(page))))
+    return [pages for pages in found.values() if len(pages) > 1]
+
+
+def test_alignment_alone_finds_the_articles(monkeypatch):
+    hosts = _neutral_pages()
+    right = lambda: sum(text == want for pages in hosts for text, (_, want) in zip(wrappers.extract_block([p for p, _ in pages]), pages, strict=True))
+    n = sum(map(len, hosts))
+    assert n > 100 and right() == n
+    monkeypatch.setattr(wrappers, "induce", lambda trees, nodes: [])
+    assert right() == 0
+
+
+def test_short_articles_lose_to_no_advert():
+    page = lambda i, text: f"<body><div><p>menu {i}</p></div><div><p>buy {'this ' * (i % 5)} now {i}</p></div><div><h1>T{i}</h1><p>{text}</p></div></body>"
+    pages = [page(i, f"a long text about the matter number {i} " * 9) for i in range(9)] + [page(9, "tiny")]
+    assert wrappers.extract_block(pages)[-1] == "T9\ntiny"
+
+
+def test_two_layouts_of_a_host_have_a_wrapper_each():
+    one = lambda i: f"<body><div><p>{i} menu</p></div><div><h1>T{i}</h1><p>{f'words {i} ' * 30}</p></div></body>"
+    two = lambda i: f"<body><table><tr><td><div><p>{i} promo</p></div><section><h2>S{i}</h2><p>{f'other {i} ' * 30}</p></section></td></tr></table></body>"
+    texts = wrappers.extract_block([one(i) for i in range(5)] + [two(i) for i in range(4)])
+    assert [t.split("\n")[0] for t in texts] == [f"T{i}" for i in range(5)] + [f"S{i}" for i in range(4)]
+
+
+def test_near_copies_keep_their_text():
+    page = lambda i: f"<body><div><p>menu {i}</p></div><div><h1>One title</h1><p>One long text that all copies share but for a word at its end.</p><p>{i}</p></div></body>"
+    assert all(t == f"One title\nOne long text that all copies share but for a word at its end.\n{i}" for i, t in enumerate(wrappers.extract_block([page(i) for i in range(12)])))
+
+
+def test_depth_and_width_have_no_limit():
+    deep = [f"{'<div>' * 10_000}<p>own {i}</p>{'</div>' * 10_000}" for i in range(4)] + ['<div>' * 9_000 + '<b>4</b>']
+    assert wrappers.extract_block(deep) == ["own 0", "own 1", "own 2", "own 3", "4"]
+    item = lambda i, j: f"<li><{'abi'[(i * j + j // 3) % 3]}>{i} {j}</li>"
+    wide = ["<ul>" + "".join(item(i, j) for j in range(1500)) + "</ul>" for i in range(4)]
+    assert [t.count("\n") for t in wrappers.extract_block(wide)] == [1499] * 4
+
+
+def test_band_of_a_matching_reaches_both_ends():
+    for n, m in ((1, 1), (3, 20_000), (20_000, 3), (150, 150), (5000, 4000)):
+        rows = wrappers.band(n, m)
+        assert len(rows) == n and rows[0][0] == 0 and rows[-1][1] == m and all(b[0] <= a[1] and a[0] <= b[0] for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_tree_matching_by_hand():
     shapes = {}
     a, b = (wrappers.parse(x) for x in ("<div><p>x</p><ul><li>1</li></ul><p>y</p></div>", "<div><ul><li>1</li><li>2</li></ul><p>z</p><h1>q</h1></div>"))
