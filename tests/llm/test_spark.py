@@ -254,9 +254,44 @@ def test_hosts_of_fifty_texts_lose_no_line(spark):
 
 
 def test_language_model_trains_on_every_document(spark):
-    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} w{i % 7} " * 3) for i in range(24)], "doc_id long, text string").coalesce(1)
-    nets = [language_model.fit(docs, sample_docs=1, epochs=1, **kw)[0].net.flat() for kw in ({}, {"share": 1}, {"share": 16})]
-    assert (nets[0] == nets[1]).all() and (nets[0] != nets[2]).any()
+    rows = [(i, f"w{i % 5} w{i % 3} w{i % 7} " * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    net = lambda d: language_model.fit(d, sample_docs=1, epochs=1)[0].net.flat()
+    whole = net(docs.coalesce(1))
+    assert (net(docs.repartition(7)) == whole).all()  # and the split of the table does not matter
+    model, _ = language_model.count(docs)
+    encoded = language_model.encode(docs.withColumn("held_out", F.lit(False)), model)
+    first = encoded.orderBy("_h").first()["_h"]
+    for kept in (encoded, encoded.filter(F.col("_h") != first)):
+        model.net = language_model.new_net(np.ones(64))
+        language_model.learn(model, kept, sample_docs=1, epochs=1, group_tokens=1000)
+        assert (model.net.flat() == whole).all() == False  # noqa: E712
+    language_model.learn(model, encoded.filter("false"))
+
+
+def test_language_model_scores_equal_a_plain_pass(spark):
+    docs = language_model.held_out_rows(table("documents", spark).filter("doc_id % 9 = 0"))
+    model, counts = language_model.fit(docs.filter(~F.col("held_out")), epochs=1)
+    got = {r["doc_id"]: r["score"] for r in language_model.score(docs, model, counts).collect()}
+    c = {r["word"].encode(): r["n"] for r in counts.collect()}
+    vocab = {w: i + 2 for i, w in enumerate(model.head[: len(model.net.bo) - 2])}
+    net, sigmoid = model.net, lambda x: 1 / (1 + np.exp(-x))
+    for r in docs.collect():
+        h, last, total = np.zeros(len(net.u)), language_model.END, 0.0
+        for w in [*language_model.words_of(r["text"])[:400], None] if len(language_model.words_of(r["text"])) <= 400 else []:
+            a, b = net.embed[last] @ net.wx + net.b, h @ net.u
+            k = len(h)
+            z, u = sigmoid(a[:k] + b[:k]), sigmoid(a[k : 2 * k] + b[k : 2 * k])
+            h = z * h + (1 - z) * np.tanh(a[2 * k :] + u * b[2 * k :])
+            last = language_model.END if w is None else vocab.get(w, language_model.UNKNOWN)
+            logits, own = h @ net.wc + net.bc, last // language_model.CLASS
+            of = slice(own * language_model.CLASS, (own + 1) * language_model.CLASS)
+            inner = net.wo[of] @ h + net.bo[of]
+            total += logits[own] - np.log(np.exp(logits).sum()) + inner[last % language_model.CLASS] - np.log(np.exp(inner).sum())
+            if last == language_model.UNKNOWN:
+                total += np.log((c.get(w, 0) + 1) / (model.rest_tokens + model.rest_distinct + 1))
+        if total:
+            assert got[r["doc_id"]] == pytest.approx(total / np.log(10), rel=1e-4)
 
 
 def test_copies_do_not_make_a_secret_an_identifier(spark):

@@ -2,9 +2,11 @@
 
 Word counts come from every training document. The commonest words are the model's vocabulary; all
 others are one unknown word for the network, and share its probability by their smoothed counts, so
-that texts with any words have a proper probability. Training is truncated backpropagation, first on
-a bounded sample on the driver, then on all training documents (or a share), partition by partition,
-with the parameters averaged. Scoring carries the state from window to window through whole texts.
+that texts with any words have a proper probability. Documents are encoded once. Training is truncated
+backpropagation, first on a bounded sample on the driver, then on all training documents, in groups
+dealt by a hash of id and text, with the groups' parameters averaged in the order of the groups: the net
+does not depend on how the table is split. Scoring carries the state from window to window through
+whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, spill
+from tideline.llm.common import discard, fold, numbered, release, spill
 
 VOCABULARY = 4096  # with the unknown word (0) and the end (1)
 CLASS = 64  # words a class; classes are runs of ranks
@@ -27,13 +29,19 @@ DIM = 32
 HIDDEN = 32
 STEPS = 32  # length of a window
 STREAMS = 64
+WIDE = 256  # streams of the groups, which have more text
 #: Words whose counts every task holds; rarer words meet their counts in a join.
 HEAD = 200_000
-#: The driver's first fit sees about so many documents, by hash; the share of all training documents, by hash, that the distributed pass learns from.
+#: The driver's first fit sees about so many documents, by hash.
 SAMPLE_DOCS = 1000
-SHARE = 1
+#: Tokens of a group of training documents, and the most groups there are; beyond, groups grow.
+GROUP_TOKENS = 4_000_000
+MOST_GROUPS = 65_536
 UNKNOWN, END = 0, 1
+RATE = 0.1
 _CHUNKS = 64
+_ROWS = 4096  # rows of logits at once, so that they stay in the cache
+_SAFE = 80.0  # logits within this bound need no maximum before the exponential
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -115,16 +123,26 @@ def new_net(counts: np.ndarray, dim: int = DIM, hidden: int = HIDDEN, size: int
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    return _logistic(x)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), in place."""
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
+def _log_sum(x: np.ndarray, safe: bool = False) -> np.ndarray:
     """ln of the sum of exponentials of each row. x is overwritten.
 
-    One maximum serves the whole block; rows so far below it that their sum underflows get their own.
+    Where all of x is known to be within the safe bound, no maximum is taken. Else one maximum serves the
+    whole block; rows so far below it that their sum underflows get their own.
     """
+    if safe:
+        np.exp(x, out=x)
+        return np.log(x @ np.ones(x.shape[1], x.dtype))
     top = x.max() if x.size else np.float32(0)
     x -= top
     low = x.max(axis=1) < -60 if x.size and x.min() < -60 else None
@@ -137,30 +155,58 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return out + top
 
 
+class Output:
+    """The output layer made ready: weights with their biases as a last row, and whether logits are safely small.
+
+    States lie within -1 and 1, so a logit is at most the sum of its absolute weights.
+    """
+
+    def __init__(self, net: Net, size: int = CLASS):
+        self.size = size
+        self.classes = np.vstack([net.wc, net.bc[None]]).astype(np.float32)
+        self.words = np.concatenate([net.wo, net.bo[:, None]], axis=1).astype(np.float32).reshape(-1, size, net.wo.shape[1] + 1).transpose(0, 2, 1).copy()
+        self.safe = bool(np.abs(self.classes).sum(axis=0).max() < _SAFE and np.abs(self.words).sum(axis=1).max() < _SAFE)
+
+    def _each(self, states: np.ndarray, weights: np.ndarray, chosen: np.ndarray, out: np.ndarray) -> None:
+        for a in range(0, len(states), _ROWS):
+            z = min(len(states), a + _ROWS)
+            x = states[a:z] @ weights
+            out[a:z] += x[np.arange(z - a), chosen[a:z]]
+            out[a:z] -= _log_sum(x, self.safe)
+
+    def log_prob(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """ln of each id's probability after its state, a row that ends in 1: its class's, times its own in the class."""
+        cls = ids // self.size
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        states, ids, cls = states[order], ids[order], cls[order]
+        got = np.zeros(len(ids), np.float32)
+        self._each(states, self.classes, cls, got)
+        edges = np.searchsorted(cls, np.arange(len(self.words) + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            a, z = edges[c], edges[c + 1]
+            self._each(states[a:z], self.words[c], ids[a:z] - c * self.size, got[a:z])
+        out = np.empty_like(got)
+        out[order] = got
+        return out
+
+
 def output_log_prob(net: Net, h: np.ndarray, ids: np.ndarray, size: int = CLASS) -> np.ndarray:
-    """ln of each id's probability after the state h: its class's, times its own in the class."""
-    cls = ids // size
-    logits = h @ net.wc
-    logits += net.bc
-    out = logits[np.arange(len(ids)), cls]
-    out -= _log_sum(logits)
-    order = np.argsort(cls, kind="stable")
-    edges = np.flatnonzero(np.diff(cls[order])) + 1
-    for part in np.split(order, edges) if len(order) else []:
-        a = int(cls[part[0]]) * size
-        own = h[part] @ net.wo[a : a + size].T
-        own += net.bo[a : a + size]
-        chosen = own[np.arange(len(part)), ids[part] - a]
-        out[part] += chosen - _log_sum(own)
-    return out
+    """ln of each id's probability after the state h."""
+    return Output(net, size).log_prob(np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1).astype(np.float32), ids)
 
 
 def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray:
     """ln of the probability of each document's ids, each from its first to its last.
 
     Documents run side by side, the longest first, so that those still running are a prefix; the state
-    is carried from window to window, and only the windows' states are held at once.
+    is carried from window to window, and only the windows' states are held at once. Equal documents
+    are worked on once.
     """
+    names: dict[bytes, int] = {}
+    place = np.array([names.setdefault(d.tobytes(), len(names)) for d in docs], np.int64)
+    if len(names) < len(docs):
+        first = np.unique(place, return_index=True)[1]
+        return log_prob(net, [docs[i] for i in first], steps)[place]
     score = np.zeros(len(docs))
     if not docs:
         return score
@@ -169,32 +215,37 @@ def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray
     sizes = sizes[order]
     flat = np.concatenate([docs[i] for i in order]) if sizes.sum() else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    table = net.embed @ net.wx + net.b
-    hidden = net.u.shape[0]
-    h = np.zeros((len(docs), hidden), np.float32)
+    hid = net.u.shape[0]
+    sign = np.ones(3 * hid, np.float32)
+    sign[: 2 * hid] = -1  # gates are 1 / (1 + exp(-x))
+    table, u, output = (net.embed @ net.wx + net.b) * sign, net.u * sign, Output(net)
+    h = np.zeros((len(docs), hid), np.float32)
     previous = np.full(len(docs), END, np.int64)
     got = np.zeros(len(docs))
     longest = int(sizes[0])
     running = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents longer than t
     for t0 in range(0, longest, steps):
-        states, targets = [], []
-        for t in range(t0, min(longest, t0 + steps)):
-            n = running[t]
-            h, previous = h[:n], previous[:n]
-            x = table[previous]
-            hu = h @ net.u
-            gate = _sigmoid(x[:, : 2 * hidden] + hu[:, : 2 * hidden])
-            new = np.tanh(x[:, 2 * hidden :] + gate[:, hidden:] * hu[:, 2 * hidden :])
-            h = new + gate[:, :hidden] * (h - new)
-            ids = flat[starts[:n] + t]
-            states.append(h)
-            targets.append(ids)
-            previous = ids
-        lp = output_log_prob(net, np.concatenate(states), np.concatenate(targets))
-        at = 0
-        for ids in targets:
-            got[: len(ids)] += lp[at : at + len(ids)]
-            at += len(ids)
+        ends = np.concatenate([[0], np.cumsum(running[t0 : t0 + steps])])
+        states, targets = np.ones((ends[-1], hid + 1), np.float32), np.empty(ends[-1], np.int64)
+        for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            n = z - a
+            x = table[previous[:n]]
+            hu = h[:n] @ u
+            gate = x[:, : 2 * hid]
+            gate += hu[:, : 2 * hid]
+            _logistic(gate)
+            new = hu[:, 2 * hid :]
+            new *= gate[:, hid:]
+            new += x[:, 2 * hid :]
+            np.tanh(new, out=new)
+            h = h[:n] - new
+            h *= gate[:, :hid]
+            h += new
+            states[a:z, :hid] = h
+            previous = targets[a:z] = flat[starts[:n] + (t0 + k)]
+        lp = output.log_prob(states, targets)
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            got[: z - a] += lp[a:z]
     score[order] = got
     return score
 
@@ -220,6 +271,51 @@ def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[order][at], np.add.reduceat(grads[order], at, axis=0)
 
 
+def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
+    """Exponentials over their sum in each row, in place."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    return x
+
+
+def output_gradients(net: Net, hs: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Loss of each id, the gradients of the states, and those of wc, bc, wo, bo, of the summed loss.
+
+    Rows are put in the order of their classes, so that each class is one slice.
+    """
+    n = len(hs)
+    safe = max(np.abs(net.wc).sum(axis=0).max() + np.abs(net.bc).max(), np.abs(net.wo).sum(axis=1).max() + np.abs(net.bo).max()) < _SAFE
+    order = np.argsort((ids // size).astype(np.int16), kind="stable")
+    hs, ids = hs[order], ids[order]
+    cls, at = ids // size, np.arange(n)
+    p = hs @ net.wc
+    p += net.bc
+    _softmax(p, safe)
+    right = p[at, cls]
+    p[at, cls] -= 1
+    dh = p @ net.wc.T
+    gwc, gbc = hs.T @ p, np.ones(n, hs.dtype) @ p
+    gwo, gbo = np.zeros_like(net.wo), np.zeros_like(net.bo)
+    edges = np.searchsorted(cls, np.arange(len(net.bo) // size + 1))
+    for c in np.flatnonzero(np.diff(edges)):
+        a, z, v = edges[c], edges[c + 1], c * size
+        w, h = net.wo[v : v + size], hs[a:z]
+        q = h @ w.T
+        q += net.bo[v : v + size]
+        _softmax(q, safe)
+        k, own = at[: z - a], ids[a:z] - v
+        right[a:z] *= q[k, own]
+        q[k, own] -= 1
+        np.matmul(q.T, h, out=gwo[v : v + size])
+        gbo[v : v + size] = np.ones(z - a, hs.dtype) @ q
+        dh[a:z] += q @ w
+    loss, back = np.empty(n, hs.dtype), np.empty_like(dh)
+    loss[order], back[order] = -np.log(right + 1e-30), dh
+    return loss, back, [gwc, gbc, gwo, gbo]
+
+
 def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int = CLASS) -> tuple[list, np.ndarray, float]:
     """Gradients of the mean loss over a window (steps x streams), the state after it, and the loss.
 
@@ -227,67 +323,57 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int =
     """
     steps, streams = x.shape
     hid = net.u.shape[0]
-    held, n = [], steps * streams
+    two, n, kind = 2 * hid, steps * streams, net.u.dtype
+    e = net.embed[x.ravel()]
+    inputs = e @ net.wx
+    inputs += net.b
+    inputs = inputs.reshape(steps, streams, -1)
+    hs, befores = np.empty((steps, streams, hid), kind), np.empty((steps, streams, hid), kind)
+    keeps = (x != END).astype(kind)[:, :, None]
+    held = []
     for t in range(steps):
-        keep = (x[t] != END).astype(np.float32)[:, None]
-        h = h * keep
-        e = net.embed[x[t]]
-        a, hu = e @ net.wx + net.b, h @ net.u
-        gate = _sigmoid(a[:, : 2 * hid] + hu[:, : 2 * hid])
-        z, r = gate[:, :hid], gate[:, hid:]
-        new = np.tanh(a[:, 2 * hid :] + r * hu[:, 2 * hid :])
-        out = new + z * (h - new)
-        held.append((keep, h, e, z, r, new, hu[:, 2 * hid :]))
-        h = out
-        held[-1] += (out,)
-    hs, ids = np.concatenate([k[-1] for k in held]), y.ravel()
-    cls = ids // size
-    logits = hs @ net.wc + net.bc
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    at = np.arange(n)
-    loss = -np.log(p[at, cls] + 1e-30)
-    p[at, cls] -= 1
-    p /= n
-    gwc, gbc, dh = hs.T @ p, p.sum(axis=0), p @ net.wc.T
-    gwo, gbo = np.zeros_like(net.wo), np.zeros_like(net.bo)
-    order = np.argsort(cls, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-        a = int(cls[part[0]]) * size
-        w = net.wo[a : a + size]
-        q = hs[part] @ w.T + net.bo[a : a + size]
-        q -= q.max(axis=1, keepdims=True)
-        np.exp(q, out=q)
-        q /= q.sum(axis=1, keepdims=True)
-        k = np.arange(len(part))
-        loss[part] -= np.log(q[k, ids[part] - a] + 1e-30)
-        q[k, ids[part] - a] -= 1
-        q /= n
-        gwo[a : a + size] = q.T @ hs[part]
-        gbo[a : a + size] = q.sum(axis=0)
-        dh[part] += q @ w
+        before = np.multiply(h, keeps[t], out=befores[t])
+        a, hu = inputs[t], before @ net.u
+        gate = a[:, :two] + hu[:, :two]
+        _sigmoid(gate)
+        new = gate[:, hid:] * hu[:, two:]
+        new += a[:, two:]
+        np.tanh(new, out=new)
+        h = np.subtract(before, new, out=hs[t])
+        h *= gate[:, :hid]
+        h += new
+        held.append((gate, new, hu))
+    last = h.copy()
+    loss, dh, outputs = output_gradients(net, hs.reshape(n, hid), y.ravel(), size)
     dh = dh.reshape(steps, streams, hid)
-    gwx, gu, gb = np.zeros_like(net.wx), np.zeros_like(net.u), np.zeros_like(net.b)
-    ge, carry = [None] * steps, np.zeros((streams, hid), np.float32)
+    da, du = np.empty((steps, streams, 3 * hid), kind), np.empty((steps, streams, 3 * hid), kind)
+    carry, ut = np.zeros((streams, hid), kind), np.ascontiguousarray(net.u.T)
     for t in reversed(range(steps)):
-        keep, before, e, z, r, new, hn, _ = held[t]
-        d = dh[t] + carry
-        dnew = d * (1 - z) * (1 - new * new)
-        dz = d * (before - new) * z * (1 - z)
-        dr = dnew * hn * r * (1 - r)
-        da = np.concatenate([dz, dr, dnew], axis=1)
-        du = np.concatenate([dz, dr, dnew * r], axis=1)
-        gwx += e.T @ da
-        gb += da.sum(axis=0)
-        gu += before.T @ du
-        ge[t] = da @ net.wx.T
-        carry = (d * z + du @ net.u.T) * keep
-    grads = [_by_row(x.ravel(), np.concatenate(ge)), gwx, gu, gb, gwc, gbc, gwo, gbo]
+        gate, new, hu = held[t]
+        z, r, d, one = gate[:, :hid], gate[:, hid:], dh[t], du[t]
+        d += carry
+        dnew = 1 - new * new
+        dnew *= d
+        dnew *= 1 - z
+        slope = gate * (1 - gate)
+        gates = one[:, :two]
+        np.multiply(d, befores[t] - new, out=gates[:, :hid])
+        np.multiply(dnew, hu[:, two:], out=gates[:, hid:])
+        gates *= slope
+        np.multiply(dnew, r, out=one[:, two:])
+        da[t, :, :two] = gates
+        da[t, :, two:] = dnew
+        carry = one @ ut
+        carry += d * z
+        carry *= keeps[t]
+    da, du = da.reshape(n, -1), du.reshape(n, -1)
+    scale = kind.type(1 / n)
+    da *= scale
+    grads = [_by_row(x.ravel(), da @ net.wx.T), e.T @ da, (befores.reshape(n, hid).T @ du) * scale, np.ones(n, kind) @ da, *(g * scale for g in outputs)]
     norm = float(np.sqrt(sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads)))
     if norm > 1:
         grads = [(g[0], g[1] / norm) if isinstance(g, tuple) else g / norm for g in grads]
-    return grads, h, float(loss.mean())
+    return grads, last, float(loss.mean())
 
 
 def train(net: Net, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.1, steps: int = STEPS, streams: int = STREAMS) -> list[float]:
@@ -321,6 +407,7 @@ class Model:
     distinct: int
     rest_tokens: int
     rest_distinct: int
+    ends: int
 
     def ranks(self) -> dict[bytes, int]:
         return {w: i for i, w in enumerate(self.head)}
@@ -331,32 +418,85 @@ class Model:
         return np.append(out, END)
 
 
-def _sampled_ids(docs: DataFrame, model: Model, n: int, total: int, seed: int) -> list[np.ndarray]:
-    ranks = model.ranks()
+def encode(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of docs once, as a written table: _rid, doc_id as text, held_out, _h (a hash of id and text), ids (of
+    the vocabulary, an end at last), n_tokens, known, base and rest, and the words beyond the head with their counts.
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    known, base and rest are the number of known words, the sum of their base scores, and the sum of what known
+    words beyond the vocabulary share of the unknown word's probability, all as far as the head tells.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", "held_out", "_h", "ids", "n_tokens", "known", "base", "rest", "tail", "times"]
+    schema = "doc_id string, held_out boolean, _h long, ids binary, n_tokens long, known long, base double, rest double, tail array<string>, times array<int>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = sent.value
+        ranks, own = m.ranks(), np.log10(m.counts + 1)
+        vocab = len(m.net.bo) - 2
+        base_of, rest_of = np.log10(m.tokens + m.distinct + 1), np.log10(m.rest_tokens + m.rest_distinct + 1)
+        end_base = np.log10(m.ends + 1) - base_of
+        for pdf in (b for b in batches if len(b)):
             out = []
-            for text in pdf["text"]:
+            for doc_id, held, h, text in zip(pdf["doc_id"], pdf["held_out"], pdf["_h"], pdf["text"], strict=True):
                 words = words_of(text)
-                out.append(model.ids(np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))).astype(np.uint16).tobytes())
-            if out:
-                yield pd.DataFrame({"h": pdf["h"], "ids": out})
+                r = np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))
+                inside = r[r >= 0]
+                missing = len(r) - len(inside)
+                far = inside[inside >= vocab]
+                tail = Counter([words[i] for i in np.flatnonzero(r < 0)]) if missing else {}
+                base = float(own[inside].sum()) - base_of * len(r) + end_base
+                rest = float(own[far].sum()) - rest_of * (len(far) + missing)
+                out.append((doc_id, bool(held), h, m.ids(r).astype(np.uint16).tobytes(), len(r) + 1, len(inside) + (m.ends > 0), base, rest, [w.decode("utf-8", "surrogatepass") for w in tail], list(tail.values())))
+            yield pd.DataFrame(out, columns=names)
+
+    h = F.xxhash64(F.lit(2), "doc_id", "text")
+    return numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", h.alias("_h"), "text").mapInPandas(run, schema), "_rid", "encoded")
 
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    every = max(1, -(-total // n))  # about n of total by hash: no task gathers the candidates
-    some = docs.select(h.alias("h"), "text").filter(F.pmod("h", F.lit(every)) == 0).mapInPandas(encode, "h long, ids binary").collect()
-    return [np.frombuffer(r["ids"], np.uint16).astype(np.int64) for r in sorted(some, key=lambda r: r["h"])]
 
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16).astype(np.int64)
 
-def fit(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD, sample_docs: int = SAMPLE_DOCS, share: int = SHARE, epochs: int = 3, seed: int = 2) -> tuple[Model, DataFrame]:
-    """The model and the table (word, n) of all training counts, the end not among them.
 
-    docs are the training documents: every one is counted; the driver's fit sees about sample_docs of
-    them, the distributed pass one in `share` by hash. Null texts are empty: an end each. Without any
-    document the net stays at its start.
+def learn(model: Model, encoded: DataFrame, sample_docs: int = SAMPLE_DOCS, epochs: int = 3, group_tokens: int = GROUP_TOKENS) -> None:
+    """Train model's net in place on the rows of encode() that are not held out.
+
+    About sample_docs of them, by hash, are the driver's first fit. Then every one of them is in one group
+    by its hash (rows without an id are dealt by their number); a group trains from the same start in the
+    order of the hashes, and the groups' nets are averaged by their tokens in the order of the groups.
     """
-    spark = docs.sparkSession
+    rows = encoded.filter(~F.col("held_out"))
+    have = rows.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
+    if not have["n"]:
+        return
+    some = rows.filter(F.pmod("_h", F.lit(max(1, -(-have["n"] // sample_docs)))) == 0).select("_h", "ids").collect()
+    train(model.net, [_ids(r["ids"]) for r in sorted(some, key=lambda r: (r["_h"], r["ids"]))], epochs)
+    groups = min(MOST_GROUPS, -(-int(have["tokens"]) // group_tokens))
+    start, schema = encoded.sparkSession.sparkContext.broadcast(model.net), "chunk int, g long, w double, v binary"
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A group's net after its documents, in chunks, with the number of its tokens."""
+        net, g = start.value.with_flat(start.value.flat()), int(pdf["g"].iloc[0])
+        ids = [_ids(raw) for raw in pdf.sort_values(["_h", "ids"])["ids"]]
+        train(net, ids, rate=RATE, streams=WIDE)
+        parts = np.array_split(net.flat(), _CHUNKS)
+        return pd.DataFrame({"chunk": range(_CHUNKS), "g": g, "w": float(sum(map(len, ids))), "v": [p.tobytes() for p in parts]})
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("g")
+        w = float(pdf["w"].sum())
+        total = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(pdf["w"], pdf["v"], strict=True))
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "g": [int(pdf["g"].iloc[0])], "w": [w], "v": [(total / w).astype(np.float32).tobytes()]})
+
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("_rid")).otherwise(F.xxhash64("_h"))
+    nets = rows.select(F.pmod(key, F.lit(groups)).alias("g"), "_h", "ids").groupBy("g").applyInPandas(one, schema)
+    halves = nets.groupBy("chunk", F.shiftright("g", 8).alias("s")).applyInPandas(mean, schema)
+    parts = halves.groupBy("chunk").applyInPandas(mean, schema).collect()
+    model.net = model.net.with_flat(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(parts, key=lambda r: r["chunk"])]))
+    start.unpersist()
+
+
+def count(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD, seed: int = 2) -> tuple[Model, DataFrame]:
+    """A model that is not trained yet, and the written table (word, n) of all training counts, the end not among them."""
     counts = spill(count_words(docs), "words")
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n_docs = docs.count()
@@ -368,115 +508,73 @@ def fit(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD, sample_
     start = np.concatenate([[rest_tokens, n_docs], vocab_counts, np.zeros(size - 2 - len(vocab_counts))])
     model = Model(
         new_net(start, seed=seed), [r["word"].encode("utf-8", "surrogatepass") for r in top], np.array([r["n"] for r in top], float),
-        int(totals["n"] or 0) + n_docs, int(totals["v"]) + (n_docs > 0), rest_tokens, rest_distinct,
+        int(totals["n"] or 0) + n_docs, int(totals["v"]) + (n_docs > 0), rest_tokens, rest_distinct, n_docs,
     )
-    train(model.net, _sampled_ids(docs, model, sample_docs, n_docs, seed), epochs)
-    sent = spark.sparkContext.broadcast(model)
+    return model, counts
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """One partition's net after its documents, in chunks, with the number of its tokens."""
-        m = sent.value
-        ranks, net, seen, held, n = m.ranks(), m.net.with_flat(m.net.flat()), 0, [], 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                words = words_of(text)
-                held.append(m.ids(np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))))
-                n += len(held[-1])
-                if n > 1_000_000:
-                    train(net, held, rate=0.03)
-                    seen, held, n = seen + n, [], 0
-        if n:
-            train(net, held, rate=0.03)
-            seen += n
-        if seen:
-            slot = int(np.random.default_rng(seen).integers(256))
-            parts = np.array_split(net.flat(), _CHUNKS)
-            yield pd.DataFrame({"chunk": range(_CHUNKS), "slot": slot, "w": float(seen), "v": [p.tobytes() for p in parts]})
 
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(pdf["w"], pdf["v"], strict=True))
-        w = float(pdf["w"].sum())
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "slot": [0], "w": [w], "v": [(total / w).astype(np.float32).tobytes()]})
-
-    schema = "chunk int, slot int, w double, v binary"
-    some = docs.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(share)) == 0).select("text")
-    nets = some.mapInPandas(learn, schema).groupBy("chunk", "slot").applyInPandas(mean, schema).groupBy("chunk").applyInPandas(mean, schema).collect()
-    if nets:
-        model.net = model.net.with_flat(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(nets, key=lambda r: r["chunk"])]))
-    sent.unpersist()
+def fit(docs: DataFrame, vocabulary: int = VOCABULARY, head: int = HEAD, sample_docs: int = SAMPLE_DOCS, epochs: int = 3, seed: int = 2) -> tuple[Model, DataFrame]:
+    """The trained model and the table (word, n) of all training counts, the end not among them.
+
+    docs are the training documents: every one is counted and trained on. Null texts are empty: an end each.
+    Without any document the net stays at its start.
+    """
+    model, counts = count(docs, vocabulary, head, seed)
+    encoded = encode(docs.withColumn("held_out", F.lit(False)), model)
+    learn(model, encoded, sample_docs, epochs)
+    discard(encoded)
     return model, counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, tokens_at_once: int = 1_500_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
-    docs needs doc_id, text and held_out. Null and empty texts are an end alone. Rows are told apart by
-    their place in the scan, so repeated rows and null ids each have their own result; an empty table
-    gives an empty one. Words beyond the head meet their counts in a join: none of them is hot, since a
-    word outside the head has at most 1/HEAD of all tokens.
+    docs needs doc_id, text and held_out. Null and empty texts are an end alone. Rows are numbered in the
+    encoded table, so repeated rows and null ids each have their own result; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    schema = "_rid long, word string, n int, doc_id string, held_out boolean, n_tokens long, known long, base double, model double"
+    return score_encoded(encode(docs, model), model, counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        ranks = m.ranks()
-        own = np.log10(m.counts + 1)
-        base_of, rest_of = np.log10(m.tokens + m.distinct + 1), np.log10(m.rest_tokens + m.rest_distinct + 1)
-        vocab = len(m.net.bo) - 2
 
-        def finish(rows: list, held: list[np.ndarray], tails: list) -> pd.DataFrame:
-            lp = log_prob(m.net, held) / np.log(10)
-            out = [pd.DataFrame([(*r[:8], r[8] + p) for r, p in zip(rows, lp, strict=True)], columns=names)]
-            if tails:
-                rid, words, k = zip(*tails, strict=True)
-                out.append(pd.DataFrame({"_rid": np.repeat(rid, [len(w) for w in words]), "word": [w.decode("utf-8", "surrogatepass") for x in words for w in x], "n": [c for x in k for c in x]}))
-            out = pd.concat(out, ignore_index=True)
-            out["n"] = out["n"].fillna(0)
-            for c in ("n_tokens", "known"):
-                out[c] = out[c].astype("Int64")
-            out["held_out"] = out["held_out"].astype("boolean")
-            return out[names]
-
-        names = ["_rid", "word", "n", "doc_id", "held_out", "n_tokens", "known", "base", "model"]
-        end_base = np.log10(n_ends + 1) - base_of
+def score_encoded(encoded: DataFrame, model: Model, counts: DataFrame, tokens_at_once: int = 6_000_000) -> DataFrame:
+    """The same for rows of encode(). Words beyond the head meet their counts in a join: none of them is hot,
+    since a word outside the head has at most 1/HEAD of all tokens."""
+    sent = encoded.sparkSession.sparkContext.broadcast(model.net)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rids, held, size = [], [], 0
         for pdf in batches:
-            rows, held, tails, size = [], [], [], 0
-            for rid, doc_id, out_of, text in zip(pdf["_rid"], pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
-                words = words_of(text)
-                r = np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))
-                inside = r[r >= 0]
-                far = inside[inside >= vocab]
-                missing = len(r) - len(inside)
-                if missing:
-                    tail = Counter(w for w, k in zip(words, r.tolist(), strict=True) if k < 0)
-                    tails.append((rid, list(tail), list(tail.values())))
-                base = float(own[inside].sum()) - base_of * len(r) + end_base
-                rest = float(own[far].sum()) - rest_of * (len(far) + missing)
-                rows.append((rid, f" {rid}", 0, doc_id, bool(out_of), len(r) + 1, len(inside) + (n_ends > 0), base, rest))
-                held.append(m.ids(r))
-                size += len(r) + 1
+            for rid, raw in zip(pdf["_rid"].tolist(), pdf["ids"], strict=True):
+                rids.append(rid)
+                held.append(np.frombuffer(raw, np.uint16))
+                size += len(held[-1])
                 if size > tokens_at_once:
-                    yield finish(rows, held, tails)
-                    rows, held, tails, size = [], [], [], 0
-            if rows:
-                yield finish(rows, held, tails)
-
-    n_ends = model.tokens - int(model.rest_tokens) - int(model.counts[: len(model.net.bo) - 2].sum())
-    part = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text").mapInPandas(run, schema)
-    met = part.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    out = met.groupBy("_rid").agg(
-        *[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "model")],
-        F.sum(F.col("n") * F.log10(c + 1)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("also"),
-    )
+                    yield pd.DataFrame({"_rid": rids, "lp": log_prob(sent.value, held) / np.log(10)})
+                    rids, held, size = [], [], 0
+        if rids:
+            yield pd.DataFrame({"_rid": rids, "lp": log_prob(sent.value, held) / np.log(10)})
+
+    lp = spill(encoded.select("_rid", "ids").mapInPandas(run, "_rid long, lp double"), "scores")
+    tail = encoded.filter(F.size("tail") > 0).select("_rid", F.inline(F.arrays_zip("tail", "times")))
+    met = tail.join(counts.select(F.col("word").alias("tail"), F.col("n").alias("c")), "tail")
+    more = met.groupBy("_rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))
+    out = encoded.select("_rid", "doc_id", "held_out", "n_tokens", "known", "base", "rest").join(lp, "_rid").join(more, "_rid", "left")
+    extra = F.coalesce("more", F.lit(0.0))
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.col("also")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more")).alias("score"),
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + extra).alias("base_score"), (F.col("lp") + F.col("rest") + extra).alias("score"),
     )
 
 
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """score() of all rows of docs by a model of those that are not held out, over one encoding of them all."""
+    model, counts = count(docs.filter(~F.col("held_out")))
+    encoded = encode(docs, model)
+    release(docs.sparkSession)
+    learn(model, encoded)
+    release(docs.sparkSession)
+    return score_encoded(encoded, model, counts)
+
+
 def held_out_rows(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     """docs with held_out: crc32 of the id as text has this remainder."""
     return docs.select("doc_id", "text", (fold(of) == remainder).alias("held_out"))

@@ -19,9 +19,7 @@ def op1_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = language_model.held_out_rows(_table(spark, sf_dir, "documents"))
-    model, counts = language_model.fit(docs.filter(~F.col("held_out")))
-    return language_model.score(docs, model, counts)
+    return language_model.fit_and_score(language_model.held_out_rows(_table(spark, sf_dir, "documents")))
 
 
 def op3_rake_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
