@@ -107,7 +107,7 @@ def test_copula_families_are_told_apart(spark):
     assert dependence.best_family(dependence.fit_menu(few)).first()["family"] == "degenerate"
 
 
-def test_strip_and_stress():
+def test_strip_and_stress(spark):
     normal = lambda u: np.exp(-0.5 * np.asarray(u) ** 2)
     k, q = dependence.invert(normal)
     assert np.abs(q - np.exp(-0.5 * k * k) / math.sqrt(2 * math.pi)).max() < 1e-9
@@ -116,9 +116,14 @@ def test_strip_and_stress():
     assert flat["degenerate"] and flat["method"] in ("none", "PROJ", "COS")
     rng = np.random.default_rng(0)
     x, y = rng.exponential(size=400), rng.exponential(size=400)
-    got = dependence.stress(x, y, rng.uniform(size=(4000, 2)), lambda a, b: a * b)
-    assert got["comonotone"] >= got["independence"] and got["diverges"]
-    assert dependence.stress(np.array([math.nan, 1.0]), y, rng.uniform(size=(10, 2)), lambda a, b: a + b)["fitted"] == pytest.approx(got["fitted"], abs=100)
+    frame = lambda v: spark.createDataFrame([(float(a),) for a in [*v, math.nan]] + [(None,)], "v double")
+    points = dependence.scenarios(spark, rng.uniform(size=(4000, 2)), 4000)
+    got = dependence.stress(points, frame(x), frame(y), "v", lambda a, b: a * b).first()
+    assert got["comonotone"] >= got["independence"] and got["diverges"] and got["fitted"] == pytest.approx(got["independence"], rel=0.2)
+    u = spark.createDataFrame([(0.0,), (0.3,), (0.5,), (1.0,)], "u double")
+    at = {r["u"]: r["q"] for r in dependence.at_quantile(u, "u", frame(x), "v", "q").collect()}
+    assert at == pytest.approx({k: np.quantile(x, k) for k in at})
+    assert [r["q"] for r in dependence.at_quantile(u, "u", frame([]), "v", "q").orderBy("u").collect()] == [0.0, 0.3, 0.5, 1.0]
 
 
 def test_compensator_equals_brute_force_before_and_after_the_start(spark):

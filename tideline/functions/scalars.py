@@ -116,9 +116,17 @@ def vault_share(fee: Column, own: Column, total: Column, in_range: Column) -> Co
     return F.when(live, floor_div(F.try_multiply(fee, own.cast(NUMERIC)), total)).otherwise(F.lit(0).cast(NUMERIC))
 
 
+#: The log-log slopes above which a method is named, and the name below all of them.
+DECAY_METHODS = ((-0.5, "none"), (-1.5, "PROJ"))
+LAST_METHOD = "COS"
+
+
 def decay_method(slope: Column) -> Column:
     """Which inversion method suits a characteristic function of this log-log slope."""
-    return F.when(slope > -0.5, "none").when(slope > -1.5, "PROJ").otherwise("COS")
+    out = F.lit(LAST_METHOD)
+    for above, name in reversed(DECAY_METHODS):
+        out = F.when(slope > above, name).otherwise(out)
+    return out
 
 
 def cost_verdict(lower: Column, ceiling: Column) -> Column:

@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions import scalars
+from tideline.operators import ranges
+
 FAMILIES = ("gaussian", "t", "clayton", "frank", "gumbel")
 #: Bounds of the parameter of each one-parameter family.
 BOUNDS = {"gaussian": (-0.999, 0.999), "clayton": (1e-4, 30.0), "frank": (1e-4, 30.0), "gumbel": (1 + 1e-6, 30.0)}
@@ -222,6 +225,18 @@ def negative_mass(q: np.ndarray) -> float:
     return float(-q[q < 0].sum() / total) if total else 0.0
 
 
+def _by_decay(slope: float) -> str:
+    return next((name for above, name in scalars.DECAY_METHODS if slope > above), scalars.LAST_METHOD)
+
+
+def log_slope(cf: Callable[[np.ndarray], np.ndarray], us: Sequence[float] = (1.0, 10.0, 100.0)) -> float:
+    """decay_slope() of a characteristic function in numpy: the least-squares slope of ln|phi| on ln u."""
+    x = np.log(us)
+    x -= x.mean()
+    y = np.log(np.abs(cf(np.asarray(us, float))) + 1e-30)
+    return float(x @ y / (x @ x))
+
+
 def strip(cf: Callable[[np.ndarray], np.ndarray], payoff: Callable[[np.ndarray], np.ndarray], n: int = 2048, tolerance: float = 1e-3, escalations: int = 1) -> dict:
     """Prices at strikes by density; a finer grid once if the density is too negative, else why there is none."""
     for attempt in range(escalations + 1):
@@ -229,10 +244,8 @@ def strip(cf: Callable[[np.ndarray], np.ndarray], payoff: Callable[[np.ndarray],
         if (neg := negative_mass(q)) < tolerance:
             p = np.where(q > 0, q, 0.0)
             return {"strikes": k, "prices": payoff(k) * p / max(float(p.sum()), 1e-30), "n": n << attempt, "escalated": attempt > 0, "negative_mass": neg, "degenerate": False}
-    u = np.array([1.0, 10.0, 100.0])
-    slope = float(np.polyfit(np.log(u), np.log(np.maximum(np.abs(cf(u)), 1e-30)), 1)[0])
-    method = "none" if slope > -0.5 else "PROJ" if slope > -1.5 else "COS"
-    return {"degenerate": True, "reason": "positivity_fail_after_2_12", "most_negative": float(q.min()), "negative_mass": neg, "slope": slope, "method": method}
+    slope = log_slope(cf)
+    return {"degenerate": True, "reason": "positivity_fail_after_2_12", "most_negative": float(q.min()), "negative_mass": neg, "slope": slope, "method": _by_decay(slope)}
 
 
 def quantiles(sample: DataFrame, value: str, points: int = 100_001) -> np.ndarray:
@@ -248,23 +261,55 @@ def quantiles(sample: DataFrame, value: str, points: int = 100_001) -> np.ndarra
     low, part = at // (points - 1), at % (points - 1) / (points - 1)
     high = np.minimum(low + 1, n - 1)
     ranks = sample.sparkSession.createDataFrame(pd.DataFrame({"r": np.union1d(low, high)}), "r long")
-    ranked = d.select("x", (F.row_number().over(Window.orderBy("x")) - 1).cast("long").alias("r"))
+    ranked = ranges.ranked(d.select(F.lit(0).alias("g"), "x"), ["g"], "x", None, "r").select("x", (F.col("r") - 1).alias("r"))
     got = ranked.join(F.broadcast(ranks), "r").toPandas().set_index("r")["x"]
     a, b = got.loc[low].to_numpy(), got.loc[high].to_numpy()
     return a + (b - a) * part
 
 
-def stress(x: np.ndarray, y: np.ndarray, fitted: np.ndarray, payoff: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int = 10_000, seed: int = 1) -> dict:
-    """Mean payoff under independence, the fitted copula and comonotone legs, and how far they diverge."""
-    rng = np.random.default_rng(seed)
-    x, y = (np.sort(v[np.isfinite(v)]) for v in (x, y))
-    inv = lambda u, s: np.interp(u, np.linspace(0, 1, len(s)), s) if len(s) else u
-    a, b = rng.uniform(size=(n, 2)), rng.uniform(size=n)
-    price = lambda u, v: float(np.mean(payoff(inv(u, x), inv(v, y))))
-    got = [price(a[:, 0], a[:, 1]), price(fitted[:, 0], fitted[:, 1]), price(b, b)]
-    mean = float(np.mean(got))
-    apart = (max(got) - min(got)) / abs(mean) * 100 if mean else 0.0
-    return {"independence": got[0], "fitted": got[1], "comonotone": got[2], "divergence_pct": apart, "diverges": bool(apart > 30)}
+def uniforms(spark, n: int, names: Sequence[str], seed: str = "u") -> DataFrame:
+    """i and n rows of independent uniforms in [0, 1), by hashes of seed, name and number: the same anywhere."""
+    h = lambda name: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(name), F.col("i").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
+    return spark.range(n).withColumnRenamed("id", "i").select("i", *[h(name).alias(name) for name in names])
+
+
+def at_quantile(points: DataFrame, u: str, sample: DataFrame, value: str, name: str) -> DataFrame:
+    """points with `name`, the sample's quantile at `u` by linear interpolation between its order statistics.
+
+    Values are ranked in ranges and the points meet two ranks each in a join, so neither side is collected.
+    Values that are null or not finite take no part; without any, points are left as they are.
+    """
+    x = F.col(value).cast("double")
+    d = sample.select(F.lit(0).alias("_g"), x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf")))
+    n = d.count()
+    if not n:
+        return points.withColumn(name, F.col(u))
+    ranked = ranges.ranked(d, ["_g"], "_x", None, "_r").select((F.col("_r") - 1).alias("_r"), "_x")
+    at = F.col(u) * (n - 1)
+    p = points.withColumns({"_low": F.floor(at), "_part": at - F.floor(at)})
+    p = p.join(ranked.select(F.col("_r").alias("_low"), F.col("_x").alias("_a")), "_low")
+    p = p.withColumn("_high", F.least(F.col("_low") + 1, F.lit(n - 1))).join(ranked.select(F.col("_r").alias("_high"), F.col("_x").alias("_b")), "_high")
+    return p.withColumn(name, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).select(*points.columns, name)
+
+
+def scenarios(spark, fitted: np.ndarray, n: int = 10_000, seed: str = "stress") -> DataFrame:
+    """kind, u, v: n pairs of independent and n of comonotone uniforms, and the fitted ones."""
+    free = uniforms(spark, n, ("a", "b", "c"), seed)
+    out = free.select(F.lit("independence").alias("kind"), F.col("a").alias("u"), F.col("b").alias("v"))
+    out = out.unionByName(free.select(F.lit("comonotone").alias("kind"), F.col("c").alias("u"), F.col("c").alias("v")))
+    own = spark.createDataFrame(pd.DataFrame({"kind": "fitted", "u": fitted[:, 0], "v": fitted[:, 1]}), "kind string, u double, v double")
+    return out.unionByName(own)
+
+
+def stress(points: DataFrame, x: DataFrame, y: DataFrame, value: str, payoff: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row: independence, fitted, comonotone (mean payoffs over the scenarios of each kind when x and y have
+    the marginals of two samples), divergence_pct, how far they are apart, and diverges, if by more than 30."""
+    met = at_quantile(at_quantile(points, "u", x, value, "x"), "v", y, value, "y")
+    pay = payoff(F.col("x"), F.col("y"))
+    kinds = ("independence", "fitted", "comonotone")
+    s = met.agg(*[F.avg(F.when(F.col("kind") == k, pay)).alias(k) for k in kinds])
+    apart = divergence(*[F.col(k) for k in kinds])
+    return s.withColumn("divergence_pct", apart).withColumn("diverges", F.coalesce(F.col("divergence_pct") > 30, F.lit(False)))
 
 
 def divergence(a: Column, b: Column, c: Column) -> Column:

@@ -323,10 +323,14 @@ def best(fits: DataFrame) -> DataFrame:
 
 
 def inar(legs: Sequence[np.ndarray], end: float, width: float, max_order: int = MAX_ORDER, order: int | None = None) -> dict:
-    """Bivariate autoregression of bin counts by least squares: order by AIC, negative coefficients to zero."""
-    bins = max(1, math.ceil(end / width))
-    edges = np.arange(bins + 1) * width
-    y = np.stack([np.histogram(x, edges)[0] for x in legs], axis=1).astype(float)
+    """Bivariate autoregression of bin counts; see inar_of_counts()."""
+    edges = np.arange(max(1, math.ceil(end / width)) + 1) * width
+    return inar_of_counts(np.stack([np.histogram(x, edges)[0] for x in legs], axis=1).astype(float), width, max_order, order)
+
+
+def inar_of_counts(y: np.ndarray, width: float, max_order: int = MAX_ORDER, order: int | None = None) -> dict:
+    """Bivariate autoregression by least squares: order by AIC, negative coefficients to zero."""
+    bins = len(y)
     if y.std(axis=0).min() < 1e-12:
         return {"p": 0, "width": float(width), "coefs": [], "intercept": y.mean(axis=0).tolist(), "aic": math.inf, "bins": bins, "negative": False}
     cap = max(1, min(max_order, bins // 3))
@@ -345,16 +349,25 @@ def inar(legs: Sequence[np.ndarray], end: float, width: float, max_order: int =
     return {"p": p, "width": float(width), "coefs": np.maximum(a, 0).tolist(), "intercept": np.maximum(b[0], 0).tolist(), "aic": aic, "bins": bins, "negative": bool((a < 0).any())}
 
 
-def inar_grid(legs: DataFrame, end: float, widths: Sequence[int] = BIN_WIDTHS) -> DataFrame:
-    """width, p, aic, bins, negative, mu0, mu1: one task a bin width."""
+def inar_grid(legs: DataFrame, end: float, widths: Sequence[int] = BIN_WIDTHS, order: int | None = None) -> DataFrame:
+    """width, p, aic, bins, negative, mu0, mu1, intercept, and coefs, the rows of each lag's matrix: one task a bin
+    width, which holds its bins and no events."""
     grid = legs.sparkSession.createDataFrame([(float(w),) for w in widths], "g double")
+    bins = F.greatest(F.lit(1), F.ceil(F.lit(float(end)) / F.col("g")))
+    at = F.least(F.floor(F.col("t") / F.col("g")), bins - 1)
+    held = legs.select("leg", "t").filter((F.col("t") >= 0) & (F.col("t") <= float(end))).crossJoin(F.broadcast(grid)).groupBy("g", "leg", at.cast("long").alias("i")).agg(F.count("*").alias("n"))
+    held = grid.select("g", F.lit(0).alias("leg"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("n")).unionByName(held.select("g", F.col("leg").cast("int").alias("leg"), "i", "n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = inar(_arrays(pdf), end, float(pdf["g"].iloc[0]))
+        w = float(pdf["g"].iloc[0])
+        y = np.zeros((max(1, math.ceil(end / w)), 2))
+        pdf = pdf[pdf["i"] >= 0]
+        y[pdf["i"], pdf["leg"]] = pdf["n"]
+        f = inar_of_counts(y, w, order=order)
         m = mean_rate(f)
-        return pd.DataFrame([{"width": f["width"], "p": f["p"], "aic": f["aic"], "bins": f["bins"], "negative": f["negative"], "mu0": m[0], "mu1": m[1]}])
+        return pd.DataFrame([{"width": f["width"], "p": f["p"], "aic": f["aic"], "bins": f["bins"], "negative": f["negative"], "mu0": m[0], "mu1": m[1], "intercept": f["intercept"], "coefs": [r for a in f["coefs"] for r in a]}])
 
-    return legs.select("leg", "t").crossJoin(F.broadcast(grid)).groupBy("g").applyInPandas(run, "width double, p int, aic double, bins int, negative boolean, mu0 double, mu1 double")
+    return held.groupBy("g").applyInPandas(run, "width double, p int, aic double, bins int, negative boolean, mu0 double, mu1 double, intercept array<double>, coefs array<array<double>>")
 
 
 def mean_rate(f: dict) -> np.ndarray:

@@ -66,10 +66,55 @@ def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stress")
 def stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices under independence, the fitted copula and comonotone legs."""
-    each = [dependence.quantiles(legs(spark, sf_dir).filter(F.col("leg") == k), "value") for k in (0, 1)]
     best = dependence.best_family(dependence.fit_menu(_uniforms(spark, sf_dir), ("gaussian", "clayton", "frank"))).first()
-    got = dependence.stress(*each, dependence.sample_copula(best["family"], best["theta"], best["nu"], 4000, 1), lambda a, b: a + b, 4000)
-    return spark.createDataFrame([(k, float(v)) for k, v in got.items()], "key string, value double")
+    points = dependence.scenarios(spark, dependence.sample_copula(best["family"], best["theta"], best["nu"], 4000, 1), 4000)
+    x, y = (legs(spark, sf_dir).filter(F.col("leg") == k) for k in (0, 1))
+    return dependence.stress(points, x, y, "value", lambda a, b: a + b)
+
+
+_U = lambda name: f"('0x' || substr(md5('stress:{name}:' || i), 1, 12))::BIGINT / 281474976710656.0"
+
+
+@query(
+    "stress_scenarios",
+    f"""WITH {LEGS}, s AS (SELECT {_U("a")} AS a, {_U("b")} AS b, {_U("c")} AS c FROM (SELECT unnest(range(0, 4000)) AS i)),
+       p AS (SELECT 'independence' AS kind, a AS u, b AS v FROM s UNION ALL SELECT 'comonotone', c, c FROM s UNION ALL SELECT 'fitted', 0.25, 0.75),
+       x AS (SELECT leg, value, row_number() OVER (PARTITION BY leg ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY leg) AS n FROM legs),
+       m AS (SELECT (SELECT any_value(n) FROM x WHERE leg = 0) - 1 AS n0, (SELECT any_value(n) FROM x WHERE leg = 1) - 1 AS n1),
+       q AS (SELECT kind, a0.value + (a1.value - a0.value) * (u * n0 - floor(u * n0)) AS x, b0.value + (b1.value - b0.value) * (v * n1 - floor(v * n1)) AS y
+             FROM p, m, x a0, x a1, x b0, x b1 WHERE a0.leg = 0 AND a1.leg = 0 AND b0.leg = 1 AND b1.leg = 1 AND a0.r = floor(u * n0)::BIGINT AND a1.r = least(floor(u * n0)::BIGINT + 1, n0)
+               AND b0.r = floor(v * n1)::BIGINT AND b1.r = least(floor(v * n1)::BIGINT + 1, n1)),
+       e AS (SELECT avg(greatest(x - y, 0)) FILTER (kind = 'independence') AS i, avg(greatest(x - y, 0)) FILTER (kind = 'fitted') AS f, avg(greatest(x - y, 0)) FILTER (kind = 'comonotone') AS c FROM q)
+       SELECT round(i, 6) AS independence, round(f, 6) AS fitted, round(c, 6) AS comonotone, round((greatest(i, f, c) - least(i, f, c)) / abs((i + f + c) / 3) * 100, 6) AS divergence_pct,
+         (greatest(i, f, c) - least(i, f, c)) / abs((i + f + c) / 3) * 100 > 30 AS diverges FROM e""",
+)
+def stress_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for an option on the difference of the legs, with one stated pair as the fitted scenario."""
+    points = dependence.scenarios(spark, np.array([[0.25, 0.75]]), 4000)
+    x, y = (legs(spark, sf_dir).filter(F.col("leg") == k) for k in (0, 1))
+    out = dependence.stress(points, x, y, "value", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    return out.select(*[F.round(c, 6).alias(c) for c in ("independence", "fitted", "comonotone", "divergence_pct")], "diverges")
+
+
+_NORMAL = lambda us: np.exp(-0.5 * np.asarray(us) ** 2)
+
+
+@query("normal_density", "SELECT round((i - 1024) * pi() / 200, 6) AS k, round(exp(-0.5 * pow((i - 1024) * pi() / 200, 2)) / sqrt(2 * pi()), 7) AS q FROM (SELECT unnest(range(0, 2048)) AS i)")
+def normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverse transform against a density that is known."""
+    k, q = dependence.invert(_NORMAL, 2048)
+    return spark.createDataFrame([(round(float(a), 6), abs(round(float(b), 7))) for a, b in zip(k, q, strict=True)], "k double, q double")
+
+
+@query(
+    "normal_strip",
+    """WITH g AS (SELECT (i - 1024) * pi() / 200 AS k FROM (SELECT unnest(range(0, 2048)) AS i)), d AS (SELECT k, exp(-0.5 * k * k) AS p FROM g)
+       SELECT round(k, 6) AS strike, round(greatest(k - 1, 0) * p / (SELECT sum(p) FROM d), 7) AS price FROM d""",
+)
+def normal_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strip's prices at its strikes, for a distribution that is known."""
+    s = dependence.strip(_NORMAL, lambda k: np.maximum(k - 1, 0))
+    return spark.createDataFrame([(round(float(a), 6), round(float(b), 7)) for a, b in zip(s["strikes"], s["prices"], strict=True)], "strike double, price double")
 
 
 @query("projected_fit")

@@ -248,6 +248,29 @@ def hawkes_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hawkes.best(hawkes.fit_grid(l, end))
 
 
+_INAR = f"""{LEGS}, e AS (SELECT max(t) AS z FROM legs), w AS (SELECT unnest([60, 300, 900, 3600]::DOUBLE[]) AS width), nb AS (SELECT width, greatest(1, ceil(z / width))::BIGINT AS bins FROM w, e),
+   g AS (SELECT width, bins, unnest(range(0, bins)) AS i FROM nb), c AS (SELECT width, leg, floor(t / width)::BIGINT AS i, count(*) AS n FROM legs, w GROUP BY ALL),
+   y AS (SELECT g.width, g.i, coalesce(sum(n) FILTER (leg = 0), 0)::DOUBLE AS y0, coalesce(sum(n) FILTER (leg = 1), 0)::DOUBLE AS y1 FROM g LEFT JOIN c ON c.width = g.width AND c.i = g.i GROUP BY ALL),
+   x AS (SELECT width, y0, y1, lag(y0) OVER b AS x0, lag(y1) OVER b AS x1 FROM y WINDOW b AS (PARTITION BY width ORDER BY i)),
+   m AS (SELECT width, count(*) AS n, avg(x0) AS mx0, avg(x1) AS mx1, avg(y0) AS my0, avg(y1) AS my1, var_pop(x0) AS s00, var_pop(x1) AS s11, covar_pop(x0, x1) AS s01,
+      covar_pop(x0, y0) AS c00, covar_pop(x1, y0) AS c10, covar_pop(x0, y1) AS c01, covar_pop(x1, y1) AS c11, var_pop(y0) AS v0, var_pop(y1) AS v1, covar_pop(y0, y1) AS v01 FROM x WHERE x0 IS NOT NULL GROUP BY width),
+   b AS (SELECT *, (s11 * c00 - s01 * c10) / d AS a00, (s00 * c10 - s01 * c00) / d AS a01, (s11 * c01 - s01 * c11) / d AS a10, (s00 * c11 - s01 * c01) / d AS a11 FROM (SELECT *, s00 * s11 - s01 * s01 AS d FROM m)),
+   r AS (SELECT *, v0 - a00 * c00 - a01 * c10 AS e0, v1 - a10 * c01 - a11 * c11 AS e1, v01 - a00 * c01 - a01 * c11 AS e01 FROM b)"""
+
+
+@query(
+    "inar_first_order",
+    f"WITH {_INAR} SELECT width, round(greatest(a00, 0), 6) AS a00, round(greatest(a01, 0), 6) AS a01, round(greatest(a10, 0), 6) AS a10, round(greatest(a11, 0), 6) AS a11, "
+    "round(greatest(my0 - a00 * mx0 - a01 * mx1, 0), 6) AS c0, round(greatest(my1 - a10 * mx0 - a11 * mx1, 0), 6) AS c1, round(ln(e0 * e1 - e01 * e01) + 12 / n, 6) AS aic FROM r",
+)
+def inar_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Autoregressions of order one, whose normal equations SQL can solve."""
+    l, end = process(spark, sf_dir)
+    f = hawkes.inar_grid(l, end, order=1)
+    a = lambda i, j: F.round(F.col("coefs")[i][j], 6).alias(f"a{i}{j}")
+    return f.select("width", *[a(i, j) for i in (0, 1) for j in (0, 1)], *[F.round(F.col("intercept")[i], 6).alias(f"c{i}") for i in (0, 1)], F.round("aic", 6).alias("aic"))
+
+
 @query("inar_grid")
 def inar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, end = process(spark, sf_dir)
@@ -308,9 +331,15 @@ def latin_hypercube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("i", *[F.round(f"x{k}", 9).alias(f"x{k}") for k in range(3)])
 
 
-@query("sensitivity_flips")
+@query(
+    "sensitivity_flips",
+    """WITH b AS (SELECT * FROM (VALUES (0, 0.5, 1.5), (2, 0.05, 0.15)) t(k, lo, hi)), h AS (SELECT i, k, lo, hi, md5('lhs:' || k || ':' || i) AS h FROM (SELECT unnest(range(0, 64)) AS i), b),
+       x AS (SELECT i, k, lo + (hi - lo) * (row_number() OVER (PARTITION BY k ORDER BY h) - 1 + ('0x' || substr(h, 1, 12))::BIGINT / 281474976710656.0) / 64 AS x FROM h),
+       f AS (SELECT i, NOT (max(x) FILTER (k = 0) * max(x) FILTER (k = 2) < 0.12) AS flip FROM x GROUP BY i)
+       SELECT count(*) FILTER (flip) AS flips, array_to_string(list_slice(list(i ORDER BY i) FILTER (flip), 1, 5), ',') AS examples, count(*) FILTER (flip) > 0 AS fragile FROM f""",
+)
 def sensitivity_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.sensitivity(dependence.latin_hypercube(spark), F.col("x0") * F.col("x2") < 0.12, True)
+    return dependence.sensitivity(dependence.latin_hypercube(spark), F.col("x0") * F.col("x2") < 0.12, True).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
 
 @query("gate", f"WITH {_MOM}, k AS (SELECT bool_or(n >= 30 AND m3 > 0 AND m4 / (m2 * m2) - 3 > 0) AS tails FROM m) SELECT tails, FALSE AS excited, tails OR FALSE AS any_passed FROM k")

@@ -91,7 +91,8 @@ def hedge(report: dict, residuals: DataFrame, cost: str | None = None, reps: int
     cf = lambda us: np.array([np.exp(1j * u * sums).mean() for u in np.atleast_1d(us)])
     strip = dependence.strip(cf, lambda k: k)
     out["strip"] = {k: v for k, v in strip.items() if k not in ("strikes", "prices")}
-    out["stress"] = dependence.stress(x, y, fitted, lambda a, b: a + b, samples, report["seed"] % 2**32)
+    points = dependence.scenarios(good.sparkSession, fitted, samples, str(report["seed"]))
+    out["stress"] = dependence.stress(points, good.filter("leg = 0"), good.filter("leg = 1"), "rescaled_dt", lambda a, b: a + b).first().asDict()
     p = report["lr_test"]["p_value"]
     out["verdict"] = (
         "null_cost" if (cost or "").upper() == "FAIL" else "null_lr" if p is not None and p >= 0.05 else "null_convex" if not out["gate"]["any"] else "null_strip_unavailable" if strip["degenerate"] else None

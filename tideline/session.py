@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -29,3 +32,18 @@ def local_session(cores: str = "*", app: str = "tideline", shuffle: int = 8, mem
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read lazily."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where that setting is absent, a temporary folder is chosen and set in local mode, as in tests; on a
+    cluster that would be a folder of one machine, so there it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tideline-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
