@@ -157,7 +157,7 @@ def topic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tick_values",
-    """WITH t AS (SELECT o_orderkey, (o_orderkey * 37) % 1774545 - 887272 AS tick FROM orders), p AS (SELECT *, 4.999750016665417e-05 AS h FROM t),
+    """WITH t AS (SELECT o_orderkey, (o_orderkey * 37) % 1200001 - 600000 AS tick FROM orders), p AS (SELECT *, 4.999750016665417e-05 AS h FROM t),
        r AS (SELECT *, exp(600 * h) AS w, (o_orderkey + 1) * 1e22 AS x, (o_orderkey + 7) * 1e22 AS y FROM p)
        SELECT o_orderkey, tick::INTEGER AS tick, round(tick * h, 6) AS log_root,
          CASE WHEN abs(tick) <= 200000 THEN round(ln(least(x * exp(tick * h) * w / (w - 1), y / (exp(tick * h) * (1 - 1 / w)))), 9) END AS log_liquidity FROM r""",
@@ -165,7 +165,7 @@ def topic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tick_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logarithms of exact root prices and liquidities, which have a closed form."""
     k = F.col("o_orderkey")
-    t = table(spark, sf_dir, "orders").select("o_orderkey", (F.pmod(k * 37, F.lit(1774545)) - 887272).cast("int").alias("tick"))
+    t = table(spark, sf_dir, "orders").select("o_orderkey", (F.pmod(k * 37, F.lit(1200001)) - 600000).cast("int").alias("tick"))
     zeros = F.lit("0" * 22)
     amounts = F.concat((k + 1).cast("string"), zeros), F.concat((k + 7).cast("string"), zeros)
     liquidity = F.when(F.abs("tick") <= 200000, bigints.liquidity_udf(F.col("tick"), F.col("tick") - 600, F.col("tick") + 600, *amounts).cast("double"))
