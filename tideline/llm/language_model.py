@@ -215,10 +215,10 @@ def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray
     sizes = sizes[order]
     flat = np.concatenate([docs[i] for i in order]) if sizes.sum() else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    hid = net.u.shape[0]
-    sign = np.ones(3 * hid, np.float32)
-    sign[: 2 * hid] = -1  # gates are 1 / (1 + exp(-x))
-    table, u, output = (net.embed @ net.wx + net.b) * sign, net.u * sign, Output(net)
+    hid, output = net.u.shape[0], Output(net)
+    table = net.embed @ net.wx + net.b
+    # update, reset and new apart, so that each is one stretch of memory; gates are 1 / (1 + exp(-x))
+    (tz, tr, tn), (uz, ur, un) = ([np.ascontiguousarray(x[:, k * hid : (k + 1) * hid]) * np.float32(1 if k == 2 else -1) for k in range(3)] for x in (table, net.u))
     h = np.zeros((len(docs), hid), np.float32)
     previous = np.full(len(docs), END, np.int64)
     got = np.zeros(len(docs))
@@ -229,17 +229,17 @@ def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray
         states, targets = np.ones((ends[-1], hid + 1), np.float32), np.empty(ends[-1], np.int64)
         for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
             n = z - a
-            x = table[previous[:n]]
-            hu = h[:n] @ u
-            gate = x[:, : 2 * hid]
-            gate += hu[:, : 2 * hid]
-            _logistic(gate)
-            new = hu[:, 2 * hid :]
-            new *= gate[:, hid:]
-            new += x[:, 2 * hid :]
+            h, previous = h[:n], previous[:n]
+            gate = h @ ur
+            gate += tr[previous]
+            new = h @ un
+            new *= _logistic(gate)
+            new += tn[previous]
             np.tanh(new, out=new)
-            h = h[:n] - new
-            h *= gate[:, :hid]
+            np.matmul(h, uz, out=gate)
+            gate += tz[previous]
+            h = h - new
+            h *= _logistic(gate)
             h += new
             states[a:z, :hid] = h
             previous = targets[a:z] = flat[starts[:n] + (t0 + k)]
@@ -285,32 +285,31 @@ def output_gradients(net: Net, hs: np.ndarray, ids: np.ndarray, size: int) -> tu
 
     Rows are put in the order of their classes, so that each class is one slice.
     """
-    n = len(hs)
+    n, hid, kind = len(hs), hs.shape[1], hs.dtype
     safe = max(np.abs(net.wc).sum(axis=0).max() + np.abs(net.bc).max(), np.abs(net.wo).sum(axis=1).max() + np.abs(net.bo).max()) < _SAFE
     order = np.argsort((ids // size).astype(np.int16), kind="stable")
-    hs, ids = hs[order], ids[order]
+    one = np.ones((n, hid + 1), kind)  # states with a one at last, which carries the biases
+    one[:, :hid] = hs[order]
+    hs, ids = one[:, :hid], ids[order]
     cls, at = ids // size, np.arange(n)
-    p = hs @ net.wc
-    p += net.bc
-    _softmax(p, safe)
+    p = _softmax(one @ np.vstack([net.wc, net.bc[None]]), safe)
     right = p[at, cls]
     p[at, cls] -= 1
     dh = p @ net.wc.T
-    gwc, gbc = hs.T @ p, np.ones(n, hs.dtype) @ p
-    gwo, gbo = np.zeros_like(net.wo), np.zeros_like(net.bo)
-    edges = np.searchsorted(cls, np.arange(len(net.bo) // size + 1))
-    for c in np.flatnonzero(np.diff(edges)):
+    top = one.T @ p
+    words = np.concatenate([net.wo, net.bo[:, None]], axis=1)
+    inner = np.zeros_like(words)
+    edges = np.searchsorted(cls, np.arange(len(net.bo) // size + 1)).tolist()
+    for c in np.flatnonzero(np.diff(edges)).tolist():
         a, z, v = edges[c], edges[c + 1], c * size
-        w, h = net.wo[v : v + size], hs[a:z]
-        q = h @ w.T
-        q += net.bo[v : v + size]
-        _softmax(q, safe)
-        k, own = at[: z - a], ids[a:z] - v
-        right[a:z] *= q[k, own]
-        q[k, own] -= 1
-        np.matmul(q.T, h, out=gwo[v : v + size])
-        gbo[v : v + size] = np.ones(z - a, hs.dtype) @ q
-        dh[a:z] += q @ w
+        h = one[a:z]
+        q = _softmax(h @ words[v : v + size].T, safe)
+        flat, own = q.reshape(-1), at[: z - a] * size + (ids[a:z] - v)
+        right[a:z] *= flat[own]
+        flat[own] -= 1
+        np.matmul(q.T, h, out=inner[v : v + size])
+        dh[a:z] += q @ net.wo[v : v + size]
+    gwc, gbc, gwo, gbo = top[:-1], top[-1], inner[:, :-1], inner[:, -1]
     loss, back = np.empty(n, hs.dtype), np.empty_like(dh)
     loss[order], back[order] = -np.log(right + 1e-30), dh
     return loss, back, [gwc, gbc, gwo, gbo]
@@ -323,53 +322,64 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int =
     """
     steps, streams = x.shape
     hid = net.u.shape[0]
-    two, n, kind = 2 * hid, steps * streams, net.u.dtype
+    n, kind = steps * streams, net.u.dtype
     e = net.embed[x.ravel()]
-    inputs = e @ net.wx
-    inputs += net.b
-    inputs = inputs.reshape(steps, streams, -1)
+    # update, reset and new apart, so that each is one stretch of memory
+    part = lambda w: [np.ascontiguousarray(w[..., k * hid : (k + 1) * hid]) for k in range(3)]
+    wx, (uz, ur, un), b = part(net.wx), part(net.u), part(net.b)
+    xz, xr, xn = ((e @ w + c).reshape(steps, streams, hid) for w, c in zip(wx, b, strict=True))
     hs, befores = np.empty((steps, streams, hid), kind), np.empty((steps, streams, hid), kind)
     keeps = (x != END).astype(kind)[:, :, None]
     held = []
     for t in range(steps):
         before = np.multiply(h, keeps[t], out=befores[t])
-        a, hu = inputs[t], before @ net.u
-        gate = a[:, :two] + hu[:, :two]
-        _sigmoid(gate)
-        new = gate[:, hid:] * hu[:, two:]
-        new += a[:, two:]
+        z, r, hn = before @ uz, before @ ur, before @ un
+        z += xz[t]
+        r += xr[t]
+        _sigmoid(z)
+        new = _sigmoid(r) * hn
+        new += xn[t]
         np.tanh(new, out=new)
         h = np.subtract(before, new, out=hs[t])
-        h *= gate[:, :hid]
+        h *= z
         h += new
-        held.append((gate, new, hu))
+        held.append((z, r, new, hn))
     last = h.copy()
     loss, dh, outputs = output_gradients(net, hs.reshape(n, hid), y.ravel(), size)
     dh = dh.reshape(steps, streams, hid)
-    da, du = np.empty((steps, streams, 3 * hid), kind), np.empty((steps, streams, 3 * hid), kind)
-    carry, ut = np.zeros((streams, hid), kind), np.ascontiguousarray(net.u.T)
+    dz, dr, dn, dm = (np.empty((steps, streams, hid), kind) for _ in range(4))
+    carry, back = np.zeros((streams, hid), kind), [np.ascontiguousarray(u.T) for u in (uz, ur, un)]
     for t in reversed(range(steps)):
-        gate, new, hu = held[t]
-        z, r, d, one = gate[:, :hid], gate[:, hid:], dh[t], du[t]
+        z, r, new, hn = held[t]
+        d, rest = dh[t], 1 - z
         d += carry
-        dnew = 1 - new * new
-        dnew *= d
-        dnew *= 1 - z
-        slope = gate * (1 - gate)
-        gates = one[:, :two]
-        np.multiply(d, befores[t] - new, out=gates[:, :hid])
-        np.multiply(dnew, hu[:, two:], out=gates[:, hid:])
-        gates *= slope
-        np.multiply(dnew, r, out=one[:, two:])
-        da[t, :, :two] = gates
-        da[t, :, two:] = dnew
-        carry = one @ ut
-        carry += d * z
+        a = np.multiply(new, new, out=dn[t])
+        np.subtract(1, a, out=a)
+        a *= d
+        a *= rest
+        b = np.subtract(befores[t], new, out=dz[t])
+        b *= d
+        rest *= z
+        b *= rest
+        c = np.multiply(a, hn, out=dr[t])
+        c *= r
+        c *= 1 - r
+        m = np.multiply(a, r, out=dm[t])
+        carry = b @ back[0]
+        carry += c @ back[1]
+        carry += m @ back[2]
+        d *= z
+        carry += d
         carry *= keeps[t]
-    da, du = da.reshape(n, -1), du.reshape(n, -1)
     scale = kind.type(1 / n)
-    da *= scale
-    grads = [_by_row(x.ravel(), da @ net.wx.T), e.T @ da, (befores.reshape(n, hid).T @ du) * scale, np.ones(n, kind) @ da, *(g * scale for g in outputs)]
+    dz, dr, dn, dm = (g.reshape(n, hid) for g in (dz, dr, dn, dm))
+    ge = dz @ wx[0].T
+    ge += dr @ wx[1].T
+    ge += dn @ wx[2].T
+    ge *= scale
+    et, bt, one = np.ascontiguousarray(e.T), np.ascontiguousarray(befores.reshape(n, hid).T), np.ones(n, kind)
+    gwx, gu, gb = np.hstack([et @ g for g in (dz, dr, dn)]), np.hstack([bt @ g for g in (dz, dr, dm)]), np.concatenate([one @ g for g in (dz, dr, dn)])
+    grads = [_by_row(x.ravel(), ge), *(g * scale for g in (gwx, gu, gb, *outputs))]
     norm = float(np.sqrt(sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads)))
     if norm > 1:
         grads = [(g[0], g[1] / norm) if isinstance(g, tuple) else g / norm for g in grads]
