@@ -229,16 +229,22 @@ def test_neighbours(spark):
     rows = [(int(i), v.tolist(), "own") for i, v in enumerate(x)]
     odd = [(None, [1.0] * 6, "own"), (1000, None, "own"), (1001, [0.0] * 6, "own"), (1002, [float("nan")] * 6, "own"), (1003, [None, 1.0, 1.0, 1.0, 1.0, 1.0], "own"), (1004, [float("inf")] * 6, "own"), (1005, [], "own"), (1100, [1.0, 2.0], "own")]
     df = spark.createDataFrame(rows + odd + rows[:20], "vec_id long, embedding array<float>, shard string")
-    out = neighbours.nearest(df, every=100, factor=1.0, shard_rows=64).collect()
+    out = neighbours.nearest(df, every=100, factor=1.0, cell_rows=24, shard_rows=16).collect()
     got = {}
-    for r in sorted(out, key=lambda r: r["rank"]):
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for r in out:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == {0, 100, 200}  # 1100 has no candidate of its length
-    for q, found in got.items():
-        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
-        d[q] = np.inf
-        assert [i for i, _ in found] == np.argsort(d, kind="stable")[:10].tolist()
-        assert np.allclose([s for _, s in found], np.sort(d)[:10], rtol=0, atol=1e-12)
+    ids = np.array([i for i, *_ in rows + rows[:20]])
+    each = x[ids].astype(float)
+    for q, found in got.items():  # rows that share an id are candidates of their own; 0 stands twice, so it is asked twice
+        d = np.sqrt(((each - x[q].astype(float)) ** 2).sum(axis=1))
+        d[np.flatnonzero(ids == q)[0]] = np.inf
+        best = np.lexsort((ids, d))[:10]
+        want = sorted([(k + 1, int(ids[j]), d[j]) for k, j in enumerate(best)] * (2 if q == 0 else 1))
+        assert [f[:2] for f in sorted(found)] == [w[:2] for w in want] and np.allclose([f[2] for f in sorted(found)], [w[2] for w in want], rtol=0, atol=1e-12)
+    one = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(1000, [3.0, 2.0, 1.0])], "vec_id long, embedding array<float>")
+    same = [tuple(r) for r in neighbours.nearest(one, every=100, cell_rows=8, shard_rows=32).filter("query_id = 100").orderBy("rank").collect()]
+    assert same == [(100, k + 1, k, 0.0) for k in range(10)]
     assert neighbours.nearest(df.filter("false")).count() == 0
 
 

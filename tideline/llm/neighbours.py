@@ -1,9 +1,11 @@
 """Approximate nearest neighbours with a vantage-point tree for each shard.
 
-Vectors are dealt into shards by a hash and each shard becomes a balanced vantage-point tree. Blocks of
-queries visit the trees, the nearer child first; a child is pruned if its lower bound by the triangle
-inequality, times a factor, is beyond the worst of the best so far. Factor 1 is exact search; a larger
-factor prunes more.
+Shards are cells: each vector belongs to its nearest pivot, and a cell too large for one tree is dealt into
+several. Each shard becomes a balanced vantage-point tree. A query first searches the cells nearest to it;
+the worst of what it finds bounds all that follows: a cell whose lower bound by the triangle inequality,
+from its pivot's distance and its radii or from two pivots, times a factor, is beyond it is never visited,
+nor is a child of a tree. The nearer child is visited first. Factor 1 is exact search; a larger factor
+prunes more.
 """
 
 from __future__ import annotations
@@ -16,14 +18,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import spill
+from tideline.llm.common import discard, numbered, spill
 
+#: Vectors a pivot should have, the most pivots there are (a task holds them all), and the most vectors of one tree.
+CELL_ROWS = 128
+MOST_PIVOTS = 2048
 SHARD_ROWS = 4096
-GROUP_SHARDS = 8
-QUERY_BLOCK = 512
-GROUP_BLOCKS = 8
+#: Pivots are fitted on about so many vectors, by hash; every vector is indexed.
+SAMPLE_ROWS = 20_000
+FIT_ROUNDS = 6
+#: Cells that a query searches before any bound, and the most queries that meet a shard at once.
+SEEDS = 4
+QUERY_ROWS = 4096
 LEAF = 48
-FACTOR = 5.0
+FACTOR = 3.3
 K = 10
 
 
@@ -90,7 +98,10 @@ class Tree:
         return t
 
     def search(self, q: np.ndarray, own: np.ndarray, d: np.ndarray, i: np.ndarray, factor: float) -> int:
-        """Improve d and i (queries x k, sorted by distance, then id) in place; the number of distances computed."""
+        """Improve d and i (queries x k, sorted by distance, then id) in place; the number of distances computed.
+
+        own is what the tree's ids say of the query itself, which it never finds.
+        """
         if q.shape[1] != self.x.shape[1]:
             return 0
         k, work = d.shape[1], 0
@@ -123,10 +134,6 @@ class Tree:
         return work
 
 
-def _pack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return pdf["vec_id"].to_numpy(np.int64), np.array(pdf["v"].tolist(), np.float64)
-
-
 def _valid(vectors: DataFrame) -> DataFrame:
     """vec_id, v, dim of rows that take part."""
     e = F.col("embedding")
@@ -134,54 +141,179 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.filter(fine).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("v"), F.size(e).alias("dim"))
 
 
-def build(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """dim, shard, tree: every usable vector is in the tree of one shard of about shard_rows.
+def square_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by products: fast, and good enough to choose among pivots."""
+    return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1)[None])
+
+
+def fit_pivots(x: np.ndarray, n: int, rounds: int = FIT_ROUNDS, seed: int = 1) -> np.ndarray:
+    """n pivots of a sample: means of its cells, from a random start; the distinct ones."""
+    rng = np.random.default_rng(seed)
+    pivots = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(rounds):
+        cell = np.concatenate([square_distances(x[a : a + 4096], pivots).argmin(axis=1) for a in range(0, len(x), 4096)])
+        held = np.bincount(cell, minlength=len(pivots))
+        order = np.argsort(cell, kind="stable")
+        some = np.flatnonzero(held)
+        pivots[some] = np.add.reduceat(x[order], (np.cumsum(held) - held)[some], axis=0) / held[some][:, None]
+    return np.unique(pivots, axis=0)
+
+
+class Index:
+    """pivots: of each dimension, its pivots. cells: a written table (dim, cell, low, high, shards), the least and
+    greatest distance to the pivot in each cell and how many trees it has; trees: (dim, cell, shard, tree)."""
+
+    def __init__(self, rows: DataFrame, pivots: dict[int, np.ndarray], cells: DataFrame, trees: DataFrame):
+        self.rows, self.pivots, self.cells, self.trees = rows, pivots, cells, trees
+
+
+def _cells_of(pdf: pd.DataFrame, pivots: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Cell of each row and its exact distance to that cell's pivot."""
+    cell, far = np.zeros(len(pdf), np.int32), np.zeros(len(pdf))
+    dims = pdf["dim"].to_numpy()
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        x = np.array(pdf["v"].iloc[at].tolist(), np.float64)
+        own = square_distances(x, pivots[int(dim)]).argmin(axis=1)
+        cell[at] = own
+        d = x - pivots[int(dim)][own]
+        far[at] = np.sqrt((d * d).sum(axis=1))
+    return cell, far
+
+
+def build(vectors: DataFrame, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS) -> Index:
+    """Every usable vector in the tree of one shard.
 
     Vectors that are null, empty, zero or not finite take no part, nor do null ids. Rows that share an id
-    count as one: the least vector.
+    are rows of their own. Equal vectors share a cell, which is dealt by hash into trees of bounded size.
     """
-    valid = _valid(vectors)
-    shards = max(1, math.ceil(vectors.count() / shard_rows))
+    rows = numbered(_valid(vectors), "rid", "vectors")
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    pivots = {}
+    for dim, n in sorted(sizes.items()):
+        every = max(1, n // SAMPLE_ROWS)
+        some = rows.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("v"), F.lit(every)) == 0)).select("v").orderBy(F.xxhash64("v")).limit(2 * SAMPLE_ROWS).collect()
+        some = some or rows.filter(F.col("dim") == dim).select("v").limit(1).collect()
+        pivots[dim] = fit_pivots(np.array([r["v"] for r in some], np.float64), min(MOST_PIVOTS, math.ceil(n / cell_rows)))
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def place(batches):
+        for pdf in (b for b in batches if len(b)):
+            cell, far = _cells_of(pdf, sent.value)
+            yield pdf[["rid", "vec_id", "v", "dim"]].assign(cell=cell, far=far)
+
+    placed = spill(rows.select("rid", "vec_id", "v", "dim").mapInPandas(place, "rid long, vec_id long, v array<double>, dim int, cell int, far double"), "cells")
+    shards = F.ceil(F.count("*") / F.lit(shard_rows)).cast("int")
+    cells = spill(placed.groupBy("dim", "cell").agg(F.min("far").alias("low"), F.max("far").alias("high"), shards.alias("shards")), "radii")
 
     def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(t=pdf["v"].map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "tree": [Tree(*_pack(pdf)).dump()]})
+        pdf = pdf.sort_values("rid")
+        t = Tree(np.arange(len(pdf)), np.array(pdf["v"].tolist(), np.float64))
+        order = t.ids
+        return pd.DataFrame({"dim": [key[0]], "cell": [key[1]], "shard": [key[2]], "tree": [t.dump()], "rids": [pdf["rid"].to_numpy()[order].tolist()], "ids": [pdf["vec_id"].to_numpy()[order].tolist()]})
 
-    return valid.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInPandas(tree, "dim int, shard int, tree binary")
+    dealt = placed.join(cells.select("dim", "cell", "shards"), ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("rid"), F.col("shards")).cast("int"))
+    trees = spill(dealt.groupBy("dim", "cell", "shard").applyInPandas(tree, "dim int, cell int, shard int, tree binary, rids array<long>, ids array<long>"), "trees")
+    discard(placed)
+    return Index(rows, pivots, cells, trees)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, ties to smaller ids.
+FOUND = "rid long, query_id long, found long, vec_id long, score double"
 
-    queries needs vec_id and embedding, under the rules of build(); a query never finds its own id, and
-    meets only vectors of its own length. Fewer candidates than k give fewer rows. Query blocks and
-    groups of trees meet as rows of one key each, so a task holds a bounded number of both.
-    """
-    valid = _valid(queries).withColumn("h", F.xxhash64("vec_id"))
-    n_blocks = max(1, math.ceil(valid.count() / QUERY_BLOCK))
-    groups = max(1, math.ceil(n_blocks / GROUP_BLOCKS))
-    sets = index.withColumn("sg", (F.col("shard") / GROUP_SHARDS).cast("int"))
-    names = sets.select(F.col("dim").alias("dim_"), F.col("sg").alias("sg_")).distinct()
-    asked = valid.withColumn("qg_", F.pmod("h", F.lit(groups)).cast("int")).join(names, F.col("dim") == F.col("dim_")).select("dim_", "sg_", "qg_", "vec_id", "v")
-    trees = sets.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        right = right.assign(t=right["v"].map(tuple)).sort_values(["vec_id", "t"]).drop_duplicates("vec_id")
-        own, q = _pack(right)
-        d, i = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-        for raw in left.sort_values("shard")["tree"]:
-            Tree.load(raw).search(q, own, d, i, factor)
-        row, col = np.nonzero(np.isfinite(d))
-        return pd.DataFrame({"query_id": own[row], "vec_id": i[row, col], "score": d[row, col]})
 
-    found = trees.groupBy("dim", "sg", "qg").cogroup(asked.groupBy("dim_", "sg_", "qg_")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def _meet(index: Index, asked: DataFrame, k: int, factor: float) -> DataFrame:
+    """rid, query_id, found, vec_id, score: what asked (rid, vec_id, v, dim, cell, limit) finds in the cells it names.
 
+    The queries of a cell go in blocks, so that a task holds one tree and a bounded number of queries.
+    """
+    blocks = spill(asked.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(QUERY_ROWS)).cast("int").alias("blocks")), "blocks")
+    queries = asked.join(blocks, ["dim", "cell"]).join(index.cells.select("dim", "cell", "shards"), ["dim", "cell"])
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    trees = index.trees.join(blocks, ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"rid": [], "query_id": [], "found": [], "vec_id": [], "score": []}).astype({"rid": "int64", "query_id": "int64", "found": "int64", "vec_id": "int64", "score": "float64"})
+        right = right.sort_values("rid")
+        tree, rids, names = Tree.load(left["tree"].iloc[0]), np.asarray(left["rids"].iloc[0]), np.asarray(left["ids"].iloc[0])
+        # within the tree a point goes by its rank of (id, row), so that ties fall to smaller ids
+        by = np.lexsort((rids, names))
+        tree.ids = np.empty(len(by), np.int64)
+        tree.ids[by] = np.arange(len(by))
+        at = np.searchsorted(rids[order := np.argsort(rids)], right["rid"].to_numpy())
+        at = np.minimum(at, len(rids) - 1)
+        here = rids[order][at] == right["rid"].to_numpy()
+        own = np.where(here, tree.ids[order][at], -1)
+        q = np.array(right["v"].tolist(), np.float64)
+        d = np.full((len(q), k), np.inf)
+        d[:] = right["limit"].to_numpy()[:, None]
+        i = np.full((len(q), k), np.iinfo(np.int64).max)
+        tree.search(q, own, d, i, factor)
+        row, col = np.nonzero((i < np.iinfo(np.int64).max) & np.isfinite(d))
+        point = by[i[row, col]]
+        return pd.DataFrame({"rid": right["rid"].to_numpy()[row], "query_id": right["vec_id"].to_numpy()[row], "found": rids[point], "vec_id": names[point], "score": d[row, col]})
+
+    key = ["dim", "cell", "shard", "block"]
+    right = queries.select("rid", "vec_id", "v", "limit", *[F.col(c).alias(f"{c}_") for c in key])
+    left = trees.select(*key, "tree", "rids", "ids")
+    return left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInPandas(run, FOUND)
+
+
+def search(index: Index, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query, ties to smaller ids.
+
+    queries are rows of index.rows. A query never finds its own row, and meets only vectors of its own length.
+    Fewer candidates than k give fewer rows. Every query searches its nearest cells; what it has found there
+    is the limit for the cells that the bounds leave.
+    """
+    spark = index.rows.sparkSession
+    radii = {(r["dim"], r["cell"]): (r["low"], r["high"]) for r in index.cells.collect()}  # at most MOST_PIVOTS a dimension
+    sent = spark.sparkContext.broadcast((index.pivots, {dim: np.array([radii.get((dim, c), (np.inf, -np.inf)) for c in range(len(p))]) for dim, p in index.pivots.items()}))
+
+    def route(first: bool):
+        def run(batches):
+            pivots, of = sent.value
+            for pdf in (b for b in batches if len(b)):
+                out = []
+                for dim, part in pdf.groupby("dim"):
+                    p, (low, high) = pivots[int(dim)], of[int(dim)].T
+                    for a in range(0, len(part), 512):
+                        some = part.iloc[a : a + 512]
+                        x = np.array(some["v"].tolist(), np.float64)
+                        d = np.sqrt(square_distances(x, p))
+                        seeds = np.zeros(d.shape, bool)
+                        held = np.where(high >= low, d, np.inf)
+                        nearest = np.argsort(held, axis=1, kind="stable")[:, :SEEDS]
+                        np.put_along_axis(seeds, nearest, True, axis=1)
+                        seeds &= high >= low
+                        if first:
+                            want = seeds
+                        else:
+                            home = held.argmin(axis=1)
+                            apart = np.sqrt(square_distances(p[home], p))
+                            bound = np.maximum(np.maximum(d - high, low - d), 0)
+                            # a vector of the other cell is nearer to its pivot than to this query's
+                            size = 1 + np.sqrt((x * x).sum(axis=1).max()) + np.sqrt((p * p).sum(axis=1).max())
+                            mid = (d * d - held[np.arange(len(x)), home][:, None] ** 2) / (2 * np.maximum(apart, 1e-3 * size))
+                            bound = np.maximum(bound, np.where(apart > 1e-3 * size, mid, 0)) - 1e-7 * size  # less what rounding may have added
+                            want = (bound * factor <= some["limit"].to_numpy()[:, None]) & ~seeds & (high >= low)
+                        row, cell = np.nonzero(want)
+                        out.append(pd.DataFrame({"rid": some["rid"].to_numpy()[row], "vec_id": some["vec_id"].to_numpy()[row], "v": some["v"].to_numpy()[row], "dim": int(dim), "cell": cell.astype(np.int32), "limit": some["limit"].to_numpy()[row]}))
+                yield from out
+
+        return run
+
+    schema = "rid long, vec_id long, v array<double>, dim int, cell int, limit double"
+    asked = queries.select("rid", "vec_id", "v", "dim", F.lit(float("inf")).alias("limit"))
+    near = spill(_meet(index, asked.mapInPandas(route(True), schema), k, factor), "near")
+    worst = near.groupBy("rid").agg(F.slice(F.array_sort(F.collect_list("score")), k, 1).alias("s")).select("rid", F.get("s", F.lit(0)).alias("worst"))
+    limited = asked.drop("limit").join(worst, "rid", "left").withColumn("limit", F.coalesce("worst", F.lit(float("inf")))).drop("worst")
+    far = _meet(index, limited.mapInPandas(route(False), schema), k, factor)
+    w = Window.partitionBy("rid").orderBy("score", "vec_id", "found")
+    return near.unionByName(far).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, every: int = 100, k: int = K, factor: float = FACTOR, cell_rows: int = CELL_ROWS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """search() over all vectors, with those as queries whose id is divisible by every."""
-    index = spill(build(vectors, shard_rows), "trees")
-    return search(index, vectors.filter(F.col("vec_id") % every == 0), k, factor)
+    index = build(vectors, cell_rows, shard_rows)
+    return search(index, index.rows.filter(F.col("vec_id") % every == 0), k, factor)
