@@ -103,6 +103,26 @@ def test_shingles_of_short_texts():
     assert f("é b c").tolist() != f("É b c").tolist()  # only A-Z change case
 
 
+def test_streamed_statistics_equal_brute_force():
+    rnd = random.Random(5)
+    unit = bytes(rnd.randrange(97, 100) for _ in range(60))
+    strings = [unit * 2 + b"x", unit[7:] + b"yz" + unit[:30], bytes(rnd.randrange(97, 99) for _ in range(80)), b"q"]
+    got = repeats.RunIndex(strings).statistics()
+    index = repeats.RunIndex(strings)
+    assert len(index.heads) == len(index.lengths) and int(index.lengths.sum()) == len(got)
+    for k, s in enumerate(strings):
+        for i in range(len(s)):
+            best = 0
+            for m, t in enumerate(strings):
+                for j in range(len(t)):
+                    if (k, i) != (m, j):
+                        n = 0
+                        while i + n < len(s) and j + n < len(t) and s[i + n] == t[j + n]:
+                            n += 1
+                        best = max(best, n)
+            assert got[int(index.starts[k]) + i] == best
+
+
 # ---- neighbours
 
 

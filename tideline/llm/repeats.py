@@ -6,7 +6,9 @@ windows lie in contexts of the same hash. Equal contexts count as one. Where a h
 contexts, or one that holds its k-gram twice, they are indexed together: the transform of the contexts is
 run-compressed, and at the ends of its runs the suffix and the length of its match with the one before
 it are sampled. Inside a run a match only repeats, one byte shorter, what the sample to its left says;
-so the samples stream all matching statistics, and those of LENGTH and more mark the repeated bytes.
+so matching statistics are streamed from the samples, and those of LENGTH and more mark the repeated bytes.
+Contexts go by the 64-bit hash of their least k-gram and one of their own bytes: contexts that agree in
+both are taken for equal, which in a corpus-wide index would add no run.
 """
 
 from __future__ import annotations
@@ -156,14 +158,23 @@ class RunIndex:
         keep = self.match >= least
         self.suffix, self.before, self.match = self.suffix[keep], self.before[keep], self.match[keep]
 
+    def statistics(self) -> np.ndarray:
+        """At each place of the text the length of its longest match that starts anywhere else.
+
+        Streamed from the samples: from one to the next a match loses a byte at each step, and a sample's
+        match reaches at least as far as what the ones before it left. Matches below `least` count as none.
+        """
+        n = int(self.starts[-1])
+        reach = np.zeros(n, np.int64)
+        for at in (self.suffix, self.before):
+            np.maximum.at(reach, at, at + self.match)
+        return np.maximum(np.maximum.accumulate(reach) - np.arange(n), 0)
+
     def repeated(self, length: int = LENGTH) -> list[list[tuple[int, int]]]:
         """Of each string the runs of bytes that lie in strings of `length` which occur elsewhere too."""
-        long = self.match >= length
-        change = np.zeros(int(self.starts[-1]) + 1, np.int64)
-        for at in (self.suffix[long], self.before[long]):
-            np.add.at(change, at, 1)
-            np.add.at(change, at + self.match[long], -1)
-        inside = (np.cumsum(change[:-1]) > 0).astype(np.int8)
+        match = self.statistics()
+        at = np.arange(len(match))
+        inside = (np.maximum.accumulate(np.where(match >= length, at + match, 0)) > at).astype(np.int8)
         step = np.diff(np.concatenate([[0], inside, [0]]))
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(self.starts) - 1)]
         for a, z in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
