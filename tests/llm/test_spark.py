@@ -354,14 +354,16 @@ def test_secrets_equal_brute_force_on_documents(spark):
         assert (g["n_assign"], g["n_access"], g["n_hex"], g["base_sha256"]) == (len(a), len(k), len(h), hashlib.sha256(line.encode()).hexdigest())
 
 
-def test_line_rules_equal_their_oracle(spark):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    cur = con.execute(registry.oracle_sql()["op5_line_frequency"])
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    cur = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in cur.description]
-    df = registry.op5_line_frequency(spark, SF)
+    df = registry.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(names)
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(cur.fetchall())
 
