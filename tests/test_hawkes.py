@@ -166,3 +166,13 @@ def test_fits_of_many_events_reach_the_top():
         mu, alpha = np.array([best["mu0"], best["mu1"]]), np.array([[best["a00"], best["a01"]], [best["a10"], best["a11"]]])
         for m, s in ((1.0, 0.9), (1.0, 1.1), (0.999, 1.0), (1.001, 1.0), (1.002, 0.8)):
             assert hawkes.ll_of(mu * m, alpha * s, beta, a, 200_000.0) <= best["ll"] + 1e-6
+
+
+def test_fits_by_aggregates_reach_the_same_top(spark):
+    a = hawkes.simulate_hawkes(P, 900.0, 6)
+    legs = _legs(spark, a)
+    got = {r["beta"]: r for r in hawkes.fit_grid(legs, 900.0, (0.05, 0.5, 5.0), most_events=0).collect()}
+    for beta, r in got.items():
+        want = hawkes.fit_beta(a, beta, 900.0)
+        assert r["ll"] == pytest.approx(want["ll"], abs=1e-6) and r["eta"] == pytest.approx(want["eta"], abs=1e-4) and r["boundary"] == want["boundary"]
+    assert len(got) == 3 and hawkes.fit_table(legs.filter("leg = 0"), 0.5, 900.0) is None

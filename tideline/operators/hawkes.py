@@ -9,6 +9,7 @@ alpha / beta. Events at one time do not excite each other.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -19,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import ranges
+from tideline.session import shared_dir
 
 DECAYS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
 BIN_WIDTHS = (60, 300, 900, 3600)
 MAX_ORDER = 10
+#: Events of one process that a task may hold for a fit.
+MOST_EVENTS = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -239,25 +243,60 @@ def ll_of(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndar
     return total
 
 
-def climb(z: np.ndarray, u: np.ndarray) -> np.ndarray:
+def climb(better, slopes, u: np.ndarray) -> np.ndarray:
     """The u >= 0 that maximises sum(log(z u)) - sum(u), from a positive u: Newton steps on the free part,
-    and a step of expectation-maximisation, which never falls, where one of those does not rise."""
-    value = lambda u: float(np.log(lam).sum() - u.sum()) if (lam := z @ u).min() > 0 else -math.inf
-    now = value(u)
+    and a step of expectation-maximisation, which never falls, where one of those does not rise.
+
+    slopes(u) gives the value at u, the gradient and the sum of the outer products of its rows; better(tries,
+    now) the first of tries above now with its value, or None.
+    """
+    now, g, outer = slopes(u)
     for _ in range(200):
-        w = z / (z @ u)[:, None]
-        g = w.sum(axis=0) - 1
         free = (u > 1e-9) | (g > 0)
         d = np.zeros(len(u))
-        d[free] = np.linalg.lstsq(w[:, free].T @ w[:, free], g[free], rcond=None)[0]
-        tries = [np.maximum(u + d * 0.5**k, 0.0) for k in range(12)] + [u * (g + 1)]
-        after, u_next = next(((v, t) for t in tries if (v := value(t)) > now), (now, u))
+        d[free] = np.linalg.lstsq(outer[np.ix_(free, free)], g[free], rcond=None)[0]
+        found = better([np.maximum(u + d * 0.5**k, 0.0) for k in range(12)] + [u * (g + 1)], now)
+        if found is None:
+            return u
+        after, u = found
         if after - now < 1e-9:
-            return u_next
-        now, u = after, u_next
+            return u
+        now, g, outer = slopes(u)
     return u
 
 
+def climb_array(z: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """climb() over the rows of an array."""
+    value = lambda u: float(np.log(lam).sum() - u.sum()) if (lam := z @ u).min() > 0 else -math.inf
+
+    def slopes(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        w = z / (z @ u)[:, None]
+        return value(u), w.sum(axis=0) - 1, w.T @ w
+
+    return climb(lambda tries, now: next(((v, t) for t in tries if (v := value(t)) > now), None), slopes, u)
+
+
+def climb_table(rows: DataFrame, z: Sequence[Column], u: np.ndarray) -> np.ndarray:
+    """climb() over the rows of a written table, z its columns: an aggregate a step, another for its tries."""
+    at = lambda u: sum((c * float(x) for c, x in zip(z, u, strict=True)), F.lit(0.0))
+    pairs = [(a, b) for a in range(len(z)) for b in range(a + 1)]
+
+    def slopes(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        lam = at(u)
+        r = rows.agg(F.sum(F.ln(lam)), *[F.sum(c / lam) for c in z], *[F.sum(z[a] * z[b] / (lam * lam)) for a, b in pairs]).first()
+        outer = np.zeros((len(z), len(z)))
+        for (a, b), x in zip(pairs, r[1 + len(z) :], strict=True):
+            outer[a, b] = outer[b, a] = x
+        return float(r[0]) - float(u.sum()), np.array(r[1 : 1 + len(z)], float) - 1, outer
+
+    def better(tries: list[np.ndarray], now: float) -> tuple[float, np.ndarray] | None:
+        r = rows.agg(*[x for t in tries for x in (F.sum(F.when(at(t) > 0, F.ln(at(t)))), F.min(at(t)))]).first()
+        values = [r[2 * k] - t.sum() if r[2 * k + 1] > 0 else -math.inf for k, t in enumerate(tries)]
+        return next(((v, t) for v, t in zip(values, tries, strict=True) if v > now), None)
+
+    return climb(better, slopes, u)
+
+
 def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | None = None, rounds: int = 400, most: float = 0.999) -> dict:
     """The maximum over baselines and excitation at one decay.
 
@@ -279,7 +318,7 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
     last = -math.inf
     if eta is None and n.all():
         c = np.array([end, *mass])
-        tops = np.stack([climb(np.column_stack([np.ones(len(states[i])), states[i]]) / c, np.array([mu[i], *alpha[i]]) * c) / c for i in (0, 1)])
+        tops = np.stack([climb_array(np.column_stack([np.ones(len(states[i])), states[i]]) / c, np.array([mu[i], *alpha[i]]) * c) / c for i in (0, 1)])
         if spectral(tops[:, 1:] / beta) <= most:
             mu, alpha, rounds = np.maximum(tops[:, 0], 1e-12), np.maximum(tops[:, 1:], 1e-12), 0
     for _ in range(rounds):
@@ -297,24 +336,59 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
         if now - last < min(1e-6, 1e-9 * max(1.0, abs(now))):
             break
         last = now
-    ll = ll_of(mu, alpha, beta, legs, end, states)
+    return _fit_row(mu, alpha, beta, ll_of(mu, alpha, beta, legs, end, states))
+
+
+def _fit_row(mu: np.ndarray, alpha: np.ndarray, beta: float, ll: float) -> dict:
     rho = spectral(alpha / beta)
     return {"beta": beta, "mu0": mu[0], "mu1": mu[1], "a00": alpha[0, 0], "a01": alpha[0, 1], "a10": alpha[1, 0], "a11": alpha[1, 1], "ll": ll, "aic": 2 * 7 - 2 * ll if math.isfinite(ll) else math.inf, "eta": rho, "boundary": bool(rho < 0.05 or rho > 0.95)}
 
 
 FIT = "beta double, mu0 double, mu1 double, a00 double, a01 double, a10 double, a11 double, ll double, aic double, eta double, boundary boolean"
+FIT_NAMES = [f.split()[0] for f in FIT.split(", ")]
 
 
 def _arrays(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.sort(pdf.loc[pdf["leg"] == k, "t"].to_numpy(float)) for k in (0, 1)]
 
 
-def fit_grid(legs: DataFrame, end: float, decays: Sequence[float] = DECAYS) -> DataFrame:
-    """One row a decay with its fit: a task each, over the events of one process."""
+def fit_table(legs: DataFrame, beta: float, end: float, most: float = 0.999) -> dict | None:
+    """fit_beta() without a constraint for a process that no task should hold: its excitation is written once
+    (see excitation()), and each step of the climb is an aggregate of it. None where a leg is empty or the
+    top has a branching ratio above `most`, which needs the bounded steps of fit_beta()."""
     spark = legs.sparkSession
-    grid = spark.createDataFrame([(float(b),) for b in decays], "g double")
-    each = legs.select("leg", "t").crossJoin(F.broadcast(grid))
-    return each.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([fit_beta(_arrays(pdf), float(pdf["g"].iloc[0]), end)]), FIT)
+    at = f"{shared_dir(spark)}/fits/{uuid.uuid4().hex}"
+    excitation(legs.select(F.col("leg").cast("int").alias("leg"), F.col("t").cast("double").alias("t")), beta).select("leg", "t", "r_0", "r_1").write.parquet(at)
+    rows = spark.read.parquet(at)
+    part = (1 - F.exp(-beta * (F.lit(float(end)) - F.col("t")))) / beta
+    held = {r["leg"]: (r["n"], r["mass"]) for r in rows.groupBy("leg").agg(F.count("*").alias("n"), F.sum(part).alias("mass")).collect()}
+    if any(not held.get(k, (0, 0))[0] for k in (0, 1)):
+        return None
+    c = np.array([end, max(held[0][1], 1e-300), max(held[1][1], 1e-300)])
+    tops, ll = [], 0.0
+    for i in (0, 1):
+        own = rows.filter(F.col("leg") == i)
+        z = [F.lit(1 / c[0]), F.col("r_0") / float(c[1]), F.col("r_1") / float(c[2])]
+        tops.append(np.maximum(climb_table(own, z, np.array([held[i][0] / end / 2, 0.25 * beta, 0.25 * beta]) * c) / c, 1e-12))
+        lam = F.lit(float(tops[i][0])) + F.col("r_0") * float(tops[i][1]) + F.col("r_1") * float(tops[i][2])
+        ll += own.agg(F.sum(F.ln(lam))).first()[0] - float(tops[i] @ c)
+    mu, alpha = np.array([t[0] for t in tops]), np.stack([t[1:] for t in tops])
+    return _fit_row(mu, alpha, beta, ll) if spectral(alpha / beta) <= most else None
+
+
+def fit_grid(legs: DataFrame, end: float, decays: Sequence[float] = DECAYS, most_events: int = MOST_EVENTS) -> DataFrame:
+    """One row a decay with its fit: a task each over the events of one process, or, beyond most_events of them,
+    by aggregates over all tasks, which reach the same top (see fit_table())."""
+    spark = legs.sparkSession
+    done = []
+    if legs.count() > most_events:
+        done = [f for b in decays if (f := fit_table(legs, float(b), end)) is not None]
+    left = [(float(b),) for b in decays if float(b) not in {f["beta"] for f in done}]
+    out = spark.createDataFrame([tuple(float(f[k]) if k != "boundary" else f[k] for k in FIT_NAMES) for f in done], FIT)
+    if left:
+        each = legs.select("leg", "t").crossJoin(F.broadcast(spark.createDataFrame(left, "g double")))
+        out = out.unionByName(each.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([fit_beta(_arrays(pdf), float(pdf["g"].iloc[0]), end)]), FIT))
+    return out
 
 
 def best(fits: DataFrame) -> DataFrame:
