@@ -176,3 +176,11 @@ def test_fits_by_aggregates_reach_the_same_top(spark):
         want = hawkes.fit_beta(a, beta, 900.0)
         assert r["ll"] == pytest.approx(want["ll"], abs=1e-6) and r["eta"] == pytest.approx(want["eta"], abs=1e-4) and r["boundary"] == want["boundary"]
     assert len(got) == 3 and hawkes.fit_table(legs.filter("leg = 0"), 0.5, 900.0) is None
+
+
+def test_excitation_that_never_shows_is_left_at_zero(spark):
+    a = [np.arange(20) * 1000.0, np.arange(20) * 1000.0 + 500]
+    best = hawkes.fit_beta(a, 1.0, 20_000.0)
+    flat = sum(20 * math.log(20 / 20_000.0) - 20 for _ in a)
+    assert best["ll"] == pytest.approx(flat, abs=1e-6) and max(best[k] for k in ("a00", "a01", "a10", "a11")) < 1e-9
+    assert hawkes.fit_grid(_legs(spark, a), 20_000.0, (1.0,), most_events=0).first()["ll"] == pytest.approx(flat, abs=1e-6)

@@ -244,8 +244,9 @@ def ll_of(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndar
 
 
 def climb(better, slopes, u: np.ndarray) -> np.ndarray:
-    """The u >= 0 that maximises sum(log(z u)) - sum(u), from a positive u: Newton steps on the free part,
-    and a step of expectation-maximisation, which never falls, where one of those does not rise.
+    """The u >= 0 that maximises sum(log(z u)) - sum(u), from a positive u: Newton steps on the free part, and
+    where none of those rises, a step of expectation-maximisation, which never falls and which also moves
+    along what the data say nothing about.
 
     slopes(u) gives the value at u, the gradient and the sum of the outer products of its rows; better(tries,
     now) the first of tries above now with its value, or None.
@@ -255,12 +256,12 @@ def climb(better, slopes, u: np.ndarray) -> np.ndarray:
         free = (u > 1e-9) | (g > 0)
         d = np.zeros(len(u))
         d[free] = np.linalg.lstsq(outer[np.ix_(free, free)], g[free], rcond=None)[0]
-        found = better([np.maximum(u + d * 0.5**k, 0.0) for k in range(12)] + [u * (g + 1)], now)
-        if found is None:
-            return u
-        after, u = found
-        if after - now < 1e-9:
-            return u
+        found = better([np.maximum(u + d * 0.5**k, 0.0) for k in range(12)], now)
+        if found is None or found[0] - now < 1e-9:
+            found = better([u * (g + 1)], now)
+        if found is None or found[0] - now < 1e-9:
+            return u if found is None else found[1]
+        u = found[1]
         now, g, outer = slopes(u)
     return u
 
