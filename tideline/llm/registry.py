@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import jaccard_join, language_model, line_rules, mixing, neighbours, packing, registry_base, repeats, secrets, toxicity, wrappers
+from tideline.llm import jaccard_join, language_model, line_rules, mixing, neighbours, packing, registry_base, registry_text, repeats, secrets, toxicity, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,10 +103,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_vp_tree, op2_gru_lm, op3_rake_mixture, op4_secret_novelty, op5_line_frequency, op6_toxicity_cnn, op7_wrapper_induction, op8_run_length_index, op9_best_fit, op10_jaccard_regions]
     import corpus_pipeline
 
-    return {f.__name__: f for f in found} | registry_base.QUERIES | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | registry_text.QUERIES | registry_base.QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | registry_base.ORACLES | {"op5_line_frequency": OP5_SQL}
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | registry_text.ORACLES | registry_base.ORACLES | {"op5_line_frequency": OP5_SQL}
