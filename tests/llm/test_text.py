@@ -142,6 +142,13 @@ def test_refinement_keeps_what_agrees_in_every_block(spark):
     assert sorted(r["_id"] for r in filter_audit.refine(rows).collect()) == [0, 2, 3, 4, 7, 8]
 
 
+def test_the_map_lets_members_through_and_few_others(spark):
+    keys = spark.range(5000).select((F.xxhash64("id")).alias("_key"), "id")
+    got = {r["id"] for r in filter_audit.may_hold(keys, keys.filter("id % 50 = 0").select("_key")).collect()}
+    assert {i for i in range(0, 5000, 50)} <= got and len(got) < 110
+    assert filter_audit.may_hold(keys, keys.filter("false").select("_key")).count() == 0
+
+
 def test_messy_audit(spark, messy):
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int").withColumn("_id", F.lit("own"))
     out = filter_audit.audit(messy, labels)

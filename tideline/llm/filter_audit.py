@@ -20,6 +20,8 @@ MIN_WORDS = 50
 #: Least distinct words and most capitals, in per cent of words and of code points.
 MIN_DISTINCT, MAX_CAPITALS = 65, 5
 SYMBOLS = "[#$%&*|]"
+#: Bits of the broadcast map of surviving classes, 8 MB at most.
+MAP_BITS = 1 << 26
 #: Code points where the blocks of a text begin; the last block runs to the end.
 BLOCKS = (0, 64, 1024, 16384)
 
@@ -63,6 +65,20 @@ def refine(rows: DataFrame) -> DataFrame:
     return left
 
 
+def may_hold(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose _key falls on a bit that some class of `classes` sets: all members, few others.
+
+    The map has MAP_BITS bits however many classes there are, so it can be broadcast, and texts that stand alone
+    leave before any shuffle. Far more classes than bits make it let through more, never less.
+    """
+    at = F.pmod("_key", F.lit(MAP_BITS)) + 1
+    maps = classes.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_map"))
+    placed = docs.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "_bucket")
+    bit = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring("_map", F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return placed.filter(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)))) != 0).select(*docs.columns)
+
+
 def first_copies(docs: DataFrame, rows: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """The least doc_id of each class of equal texts, by _key; and by _key and _t for classes whose texts differ.
 
@@ -73,7 +89,8 @@ def first_copies(docs: DataFrame, rows: DataFrame, bits: int = 64) -> tuple[Data
     key = F.xxhash64(F.length("_t"))
     for h in block_hashes(F.col("_t"), bits):
         key = F.xxhash64(key, F.length("_t"), h)
-    texts = docs.withColumn("_key", key).join(classes, "_key", "left_semi").groupBy("_key", "_t").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    # an inner join, as Spark would push a semi join below the map's join and shuffle every text
+    texts = may_hold(docs.withColumn("_key", key), classes).join(classes, "_key").groupBy("_key", "_t").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     kept = spill(texts, "audit-texts")
     per = kept.groupBy("_key").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
     one = per.filter("_texts = 1 AND _n > 1").select("_key", "_first")
