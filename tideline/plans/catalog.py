@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tideline.plans import catalog_core, catalog_files, catalog_more, catalog_plans, catalog_process  # noqa: F401
+from tideline.plans import catalog_core, catalog_files, catalog_jobs, catalog_more, catalog_plans, catalog_process  # noqa: F401
 from tideline.plans.registry import ORACLES, QUERIES, Query
 
 
