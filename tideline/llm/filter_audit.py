@@ -49,18 +49,17 @@ def refine(rows: DataFrame) -> DataFrame:
     """The rows of `rows` (_id, _len, _hashes) that agree with another in length and every block hash, with their class in _key.
 
     Each round counts the classes so far, drops those of one row and splits the rest by the next block. The
-    classes travel as one row each, so a class that holds a third of all rows is only met by a join that
-    Spark can split.
+    classes are written as one row each, so that a class that holds a third of all rows is only met by a join
+    of two scans, which Spark can split.
     """
     left = rows.select("_id", "_len", "_hashes", F.xxhash64("_len").alias("_key"))
     for k in range(len(BLOCKS) + 1):
-        many = left.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
+        many = spill(left.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"), f"audit-many-{k}")
         met = left.join(many, "_key", "left_semi")
         if k < len(BLOCKS):
             met = met.withColumn("_key", F.xxhash64("_key", "_len", F.get("_hashes", F.lit(k))))
         kept = spill(met, f"audit-class-{k}")
-        if k:
-            discard(left)
+        discard(many, *[left] * bool(k))
         left = kept
     return left
 
@@ -93,7 +92,7 @@ def first_copies(docs: DataFrame, rows: DataFrame, bits: int = 64) -> tuple[Data
     texts = may_hold(docs.withColumn("_key", key), classes).join(classes, "_key").groupBy("_key", "_t").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     kept = spill(texts, "audit-texts")
     per = kept.groupBy("_key").agg(F.count("*").alias("_texts"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
-    one = per.filter("_texts = 1 AND _n > 1").select("_key", "_first")
+    one = spill(per.filter("_texts = 1 AND _n > 1").select("_key", "_first"), "audit-first")
     odd = per.filter("_texts > 1").select("_key")
     return one, None if odd.isEmpty() else kept.join(odd, "_key", "left_semi").select("_key", "_t", "_first")
 
