@@ -339,6 +339,15 @@ def test_copies_do_not_make_a_secret_an_identifier(spark):
     assert all([s["kind"] for s in r["spans"]] == ["novel"] for r in secrets.scan(docs.filter("doc_id < 40")).collect())
 
 
+def test_the_pipeline_leaves_no_line_of_a_wrapped_key(spark):
+    lines = [hashlib.sha512(f"{i}".encode()).digest() for i in range(24)]
+    key = [__import__("base64").b64encode(x).decode()[:64] for x in lines] + ["Zq8xW2=="]
+    text = "deploy notes\n-----BEGIN PRIVATE KEY-----\n" + "\n".join(key) + "\n-----END PRIVATE KEY-----\nthe rest stays as it is"
+    docs = spark.createDataFrame([(1, text, "en", "a", len(text)), (2, TEXT, "en", "a", len(TEXT))], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.redact_secrets(spark, docs, SF).collect()}
+    assert not any(x in got[1] for x in key) and got[1].endswith("the rest stays as it is") and got[2] == TEXT
+
+
 def test_secrets_equal_brute_force_on_documents(spark):
     import re
 

@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and what a primed zstandard coder finds novel.
 
-A candidate is a long unbroken string soon after a sensitive word. Its novelty is the number of
+A candidate is a long unbroken string soon after a sensitive word, or a line that carries on a reported
+one, as in a wrapped key. Its novelty is the number of
 bytes by which the compressed size of its surroundings grows when it is added, with a coder primed
 by the corpus's own identifiers: names that occur elsewhere cost little, random strings nearly
 their entropy.
@@ -34,6 +35,10 @@ _IS_HEX = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
 REACH = 64  # characters from a sensitive word to a candidate's start
 AROUND = 256  # characters of surroundings on each side
 RATIO = 0.55  # marginal bytes a character from which a candidate is novel
+PLAIN_RATIO = 0.8  # the same for one without a digit, as long words of prose cost more than names
+WRAPPED = 40  # characters from which a reported string can be a line of a longer secret
+#: The rest of a line after a string, the break, written or escaped, and a next line that is one string.
+_NEXT = re.compile(r"""["'\\,;+\ \t]*(?:\r?\n|\\n)[\ \t>#*"'|]*([A-Za-z0-9+/_=.~-]{4,})(?=["'\\,;+\ \t]*(?:\r?\n|\\n|$))""")
 DICTIONARY_NAMES = 4096
 
 
@@ -56,10 +61,21 @@ def sensitive(text: str) -> bool:
     return any(s in low for s in _STEMS)
 
 
+def outside(start: int, end: int, cuts: list[tuple[int, int]], first: int = 0) -> Iterator[tuple[int, int]]:
+    """The parts of [start, end) that no cut covers; cuts are sorted and those before `first` end before start."""
+    i = first
+    while i < len(cuts) and cuts[i][0] < end:
+        if start < cuts[i][0]:
+            yield start, cuts[i][0]
+        start, i = max(start, cuts[i][1]), i + 1
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
     """Long unbroken strings, whole, that start soon after a sensitive word, less the spans in taken.
 
-    What a span leaves of a string is of interest if it has a digit, or if it is long and the string has one.
+    What a span leaves of a string is of interest if it has a digit or is long.
     """
     runs = [m.span() for m in _CANDIDATE.finditer(text)]
     cuts = sorted((s, e) for s, e, _ in taken)
@@ -74,18 +90,29 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[i
             if start < done or end - start < 16:
                 continue
             done = end
-            digit = any(c.isdigit() for c in text[start:end])
             while cut < len(cuts) and cuts[cut][1] <= start:
                 cut += 1
-            parts, j = [], cut
-            while j < len(cuts) and cuts[j][0] < end:
-                parts.append((start, cuts[j][0]))
-                start, j = max(start, cuts[j][1]), j + 1
-            for s, e in [*parts, (start, end)]:
-                if s < e and digit and (e - s >= _PIECE or any(c.isdigit() for c in text[s:e])):
+            for s, e in outside(start, end, cuts, cut):
+                if e - s >= _PIECE or any(c.isdigit() for c in text[s:e]):
                     yield s, e
 
 
+def following(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The lines that carry on a wrapped secret: each one string, as long as the one before; a shorter one ends it.
+
+    The first may be longer than what was found, which can begin in the middle of its line.
+    """
+    width = None
+    while end - start >= WRAPPED and (m := _NEXT.match(text, end)):
+        start, end = m.span(1)
+        if width is not None and end - start > width:
+            return
+        yield start, end
+        if width is not None and end - start < width:
+            return
+        width = end - start
+
+
 def coder(dictionary: bytes):
     import zstandard
 
@@ -101,13 +128,40 @@ def novelty(compressor, text: str, start: int, end: int) -> float:
     return (len(compressor.compress(around + it)) - len(compressor.compress(around))) / max(1, len(it))
 
 
+def is_novel(compressor, text: str, start: int, end: int, ratio: float) -> bool:
+    """Whether a candidate costs enough; one without a digit must cost PLAIN_RATIO of what others must."""
+    plain = not any(c.isdigit() for c in text[start:end])
+    return novelty(compressor, text, start, end) >= (ratio * PLAIN_RATIO / RATIO if plain else ratio)
+
+
 def all_spans(text: str | None, compressor, ratio: float = RATIO) -> list[tuple[int, int, str]]:
-    """Base and novel spans by start, then kind as in KINDS."""
+    """Base and novel spans by start, then kind as in KINDS.
+
+    Candidates are strings soon after a sensitive word, and then, line by line, what carries on a reported
+    string of WRAPPED characters or more, however far that leads.
+    """
     if not text:
         return []
     found = base_spans(text)
     if sensitive(text):
-        found += [(s, e, "novel") for s, e in candidates(text, found) if novelty(compressor, text, s, e) >= ratio]
+        base = sorted((s, e) for s, e, _ in found)
+        new = {(s, e) for s, e in candidates(text, found) if is_novel(compressor, text, s, e, ratio)}
+        seen: set[tuple[int, int]] = set()
+        for s, e in sorted([*base, *new]):
+            for line in following(text, s, e):
+                if line in seen:
+                    break
+                seen.add(line)
+                parts = [p for p in outside(*line, base) if p not in new]
+                fine = [p for p in parts if novelty(compressor, text, *p) >= ratio]
+                if parts and not fine:
+                    break
+                new.update(fine)
+        reached = 0
+        for s, e in sorted(new, key=lambda x: (x[0], -x[1])):
+            if e > reached:  # else it lies within another, as a line that was also reached from its middle on
+                found.append((s, e, "novel"))
+                reached = e
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
