@@ -184,3 +184,49 @@ def test_excitation_that_never_shows_is_left_at_zero(spark):
     flat = sum(20 * math.log(20 / 20_000.0) - 20 for _ in a)
     assert best["ll"] == pytest.approx(flat, abs=1e-6) and max(best[k] for k in ("a00", "a01", "a10", "a11")) < 1e-9
     assert hawkes.fit_grid(_legs(spark, a), 20_000.0, (1.0,), most_events=0).first()["ll"] == pytest.approx(flat, abs=1e-6)
+
+
+def test_profile_is_the_top_of_its_ratio(spark):
+    p = hawkes.Params((0.05, 0.08), ((0.15, 0.1), (0.05, 0.2)), 0.5)
+    a = hawkes.simulate_hawkes(p, 3000.0, 3)
+    rows = hawkes.profile(_legs(spark, a), 0.5, 3000.0, [0.0, 0.25, 0.6])
+    got = {r["eta"]: r["ll"] for r in rows.collect()}
+    n = np.array([len(x) for x in a])
+    assert got[0.0] == pytest.approx(float((n * np.log(n / 3000.0) - n).sum()))
+    assert got[None] == pytest.approx(hawkes.fit_beta(a, 0.5, 3000.0)["ll"], abs=1e-4)
+    rng = np.random.default_rng(5)
+    for eta in (0.25, 0.6):
+        best, at, wide = -np.inf, (n / 3000.0 * (1 - eta), np.ones((2, 2))), 1.0
+        states = hawkes.fold_states(a, 0.5)
+        for _ in range(3000):  # a blind climb over matrices scaled onto the ratio
+            mu, m = at[0] * np.exp(wide * 0.3 * rng.normal(size=2)), at[1] * np.exp(wide * rng.normal(size=(2, 2)))
+            m *= eta * 0.5 / hawkes.spectral(m)
+            if (ll := hawkes.ll_of(mu, m, 0.5, a, 3000.0, states)) > best:
+                best, at, wide = ll, (mu, m), min(1.0, wide * 1.5)
+            else:
+                wide = max(1e-3, wide * 0.97)
+        assert got[eta] - 0.05 < best < got[eta] + 1e-6 and got[eta] >= hawkes.fit_beta(a, 0.5, 3000.0, eta=eta)["ll"] - 1e-6
+
+
+def test_an_interval_holds_its_estimate(spark):
+    """Also where the estimate lies below the first positive ratio of the grid."""
+    legs = _legs(spark, hawkes.simulate_poisson([0.05, 0.06], 4000.0, 11))
+    ci = hawkes.profile_interval(hawkes.profile(legs, 0.5, 4000.0)).first()
+    assert 0.0 <= ci["lower"] <= ci["eta_hat"] <= ci["upper"] < 0.3 and ci["lower"] == 0.0
+    none = hawkes.profile(legs.filter("leg = 0"), 0.5, 4000.0, [0.0, 0.5]).collect()
+    assert all(r["ll"] == -math.inf for r in none)
+
+
+def test_passes_over_parts_are_the_sums_over_all(spark):
+    rng = np.random.default_rng(9)
+    rows = [(float(i), int(rng.integers(0, 3)), int(rng.integers(0, 2)), float(rng.exponential()), float(rng.exponential())) for i in range(300)]
+    d = spark.createDataFrame(rows, "t double, n_0 int, n_1 int, r_0 double, r_1 double").repartition(5)
+    tries = rng.uniform(0.1, 1, (3, 2, 3))
+    value, grad, outer = hawkes.leg_sums(d, tries)
+    z, n = np.array([[1, r[3], r[4]] for r in rows]), np.array([[r[1], r[2]] for r in rows])
+    for m in range(3):
+        for k in (0, 1):
+            lam = z @ tries[m, k]
+            assert value[m, k] == pytest.approx((n[:, k] * np.log(lam)).sum())
+            assert grad[m, k] == pytest.approx((n[:, k] / lam) @ z)
+            assert outer[m, k] == pytest.approx((z * (n[:, k] / lam**2)[:, None]).T @ z)

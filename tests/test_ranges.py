@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.operators import asof, hawkes, ranges
+from tideline.operators import asof, hawkes, ranges, sweeps
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,45 @@ def test_excitation_in_ranges_is_the_plain_sum(spark, beta):
             assert got[i][f"c_{k}"] == (before >= 100).sum()
 
 
+def test_sweeps_in_many_leaves_are_those_in_one(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    t = np.round(np.concatenate([rng.uniform(0, 300, 300), rng.uniform(900, 1000, 300), [5.0] * 20]), 1)
+    legs = spark.createDataFrame([(int(i % 3 > 0), float(x)) for i, x in enumerate(t)], "leg int, t double").repartition(3)
+    p = hawkes.Params((0.2, 0.3), ((0.2, 0.1), (0.05, 0.25)), 0.7)
+
+    def all_of():
+        res = hawkes.residuals(legs, p, 20.0)
+        return [sorted(tuple(None if x is None else round(x, 6) for x in r) for r in d.collect()) for d in (res.select("leg", "event_time", "rescaled_dt").na.fill(-1), hawkes.compensator(legs, p, 20.0), hawkes.log_likelihood(legs, p, 1000.0, 20.0), hawkes.ks_exponential(res))]
+
+    one = all_of()
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 30)
+    assert sweeps.leaves_of(legs, 0.7).root > 3 and all_of() == one
+    monkeypatch.setattr(sweeps, "EXPONENT", 40.0)
+    few = sweeps.leaves_of(legs, 0.7)
+    assert few.group < few.root and all_of() == one
+
+
+def test_kolmogorov_distance_is_the_plain_one(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.exponential(size=400), [0.25] * 30, [-1.0, 0.0]])
+    got = sweeps.ks_exponential(spark.createDataFrame([(0, float(v)) for v in x] + [(1, 2.0), (1, None)], "k int, x double"), "k", "x").collect()
+    v = np.sort(x[x > 0])
+    f, i = 1 - np.exp(-v), np.arange(1, len(v) + 1)
+    assert [(r["k"], r["n"]) for r in got] == [(0, 430)] and got[0]["d"] == pytest.approx(max((i / 430 - f).max(), (f - (i - 1) / 430).max()))
+
+
+def test_plans_stay_in_the_jvm_and_start_few_jobs(spark):
+    p = hawkes.Params((0.02, 0.03), ((0.2, 0.1), (0.05, 0.25)), 0.5)
+    legs = spark.createDataFrame([(i % 2, float(i)) for i in range(50)], "leg int, t double")
+    spark.sparkContext.setJobGroup("built", "")
+    try:
+        d = hawkes.ks_exponential(hawkes.residuals(legs, p))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("built")) <= 2
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not {"FlatMapGroupsInPandas", "MapInPandas"} & set(d._jdf.queryExecution().toString().split())
+
+
 def test_plans_have_no_nested_loop_over_history(spark, capsys):
     p = hawkes.Params((0.02, 0.03), ((0.2, 0.1), (0.05, 0.25)), 0.5)
     legs = spark.createDataFrame([(i % 2, float(i)) for i in range(50)], "leg int, t double")

@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators import ranges
+from tideline.operators import sweeps
 from tideline.session import shared_dir
 
 DECAYS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
 BIN_WIDTHS = (60, 300, 900, 3600)
 MAX_ORDER = 10
+SWEPT = ("r_0", "r_1", "c_0", "c_1")
 #: Events of one process that a task may hold for a fit.
 MOST_EVENTS = 5_000_000
 
@@ -64,48 +65,16 @@ def faded(at: np.ndarray, n: np.ndarray, beta: float, before: float = 0.0) -> np
     return np.array(out)
 
 
-def _times(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The distinct times, each row's place among them, and how many events of each leg they have."""
-    at, place = np.unique(pdf["t"].to_numpy(float), return_inverse=True)
-    return at, place, [np.bincount(place[(pdf["leg"] == k).to_numpy(bool)], minlength=len(at)).astype(float) for k in (0, 1)]
-
-
 def excitation(legs: DataFrame, beta: float, start: float = 0.0, range_rows: int | None = None) -> DataFrame:
     """legs with r_0, r_1: the sums of exp(-beta (t - t')) over all strictly earlier events of each leg; and
     c_0, c_1: how many of those are at or after start.
 
-    Ranges of time are folded on their own, each an ordered pass from the state that the ranges before it
-    leave at its beginning: a sum for each range and leg, at most ranges.MOST_RANGES of them, carried on
-    the driver. Events at one time are in one range and do not excite each other. Null times are left out.
+    Every distinct time is swept once (see sweeps.times()) and goes back to its rows by a join that Spark can split.
+    Events at one time do not excite each other. Null times are left out.
     """
-    d = legs.filter(F.col("t").isNotNull())
-    points = ranges.cuts(d.select(F.col("t").cast("double").alias("t")), "t", None, range_rows)
-    edges = [float(v) for v, _ in points]
-    state = {(b, k): (0.0, 0.0) for b in range(len(points) + 1) for k in (0, 1)}
-    d = d.withColumn("_b", ranges.place(points, "t"))
-    if points:
-        until = F.expr(f"element_at(array({', '.join(repr(e) + 'D' for e in edges)}), _b + 1)")
-        left = d.filter(F.col("_b") < len(points)).groupBy("_b", "leg").agg(F.sum(F.exp(-beta * (until - F.col("t")))).alias("r"), F.count_if(F.col("t") >= start).alias("c"))
-        own = {(r["_b"], r["leg"]): (r["r"], r["c"]) for r in left.collect()}
-        for b in range(1, len(points) + 1):
-            fade = math.exp(-beta * (edges[b - 1] - edges[b - 2])) if b > 1 else 0.0
-            for k in (0, 1):
-                r, c = own.get((b - 1, k), (0.0, 0))
-                state[b, k] = (state[b - 1, k][0] * fade + r, state[b - 1, k][1] + c)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[0])
-        at, place, n = _times(pdf)
-        out = pdf.drop(columns="_b")
-        for k in (0, 1):
-            r, c = state[b, k]
-            out[f"r_{k}"] = faded(at, n[k], beta, r * math.exp(-beta * (at[0] - edges[b - 1])) if b else 0.0)[place]
-            new = np.where(at >= start, n[k], 0.0)
-            out[f"c_{k}"] = (c + np.cumsum(new) - new)[place]
-        return out
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in legs.schema), *(f"{x}_{k} double" for k in (0, 1) for x in "rc")])
-    return d.groupBy("_b").applyInPandas(run, schema)
+    d = legs.filter(F.col("t").isNotNull()).withColumn("_t", F.col("t").cast("double"))
+    at, _ = sweeps.times(legs, beta, start, range_rows)
+    return d.join(at.select(F.col("t").alias("_t"), *SWEPT), "_t").select(*legs.columns, *SWEPT)
 
 
 def intensity(events: DataFrame, p: Params) -> DataFrame:
@@ -126,10 +95,13 @@ def integral(history: DataFrame, p: Params, start: float | Column, end: float |
 
 def log_likelihood(legs: DataFrame, p: Params, end: float, start: float = 0.0) -> DataFrame:
     """One row: ll of the events in [start, end] given all history; -inf if a leg is empty or an intensity is not positive."""
-    inside = (F.col("t") >= start) & (F.col("t") <= end)
-    lam = intensity(excitation(legs.select("leg", "t"), p.beta).filter(inside), p)
-    s = lam.agg(F.sum(F.when(F.col("lam") > 0, F.ln("lam"))).alias("logs"), F.min("lam").alias("least"), F.count_if(F.col("leg") == 0).alias("n0"), F.count_if(F.col("leg") == 1).alias("n1"))
-    bad = (F.col("n0") == 0) | (F.col("n1") == 0) | (F.col("least") <= 0)
+    at, _ = sweeps.times(legs, p.beta)
+    at = at.filter((F.col("t") >= start) & (F.col("t") <= end))
+    lam = [F.lit(p.mu[i]) + p.alpha[i][0] * F.col("r_0") + p.alpha[i][1] * F.col("r_1") for i in (0, 1)]
+    logs = sum((F.when((F.col(f"n_{i}") > 0) & (lam[i] > 0), F.col(f"n_{i}") * F.ln(lam[i])).otherwise(0.0) for i in (0, 1)), F.lit(0.0))
+    least = F.least(*[F.min(F.when(F.col(f"n_{i}") > 0, lam[i])) for i in (0, 1)])
+    s = at.agg(F.sum(logs).alias("logs"), least.alias("least"), F.sum("n_0").alias("n0"), F.sum("n_1").alias("n1"))
+    bad = (F.coalesce("n0", F.lit(0)) == 0) | (F.coalesce("n1", F.lit(0)) == 0) | (F.col("least") <= 0)
     return s.crossJoin(integral(legs, p, start, end)).select(F.when(bad, F.lit(float("-inf"))).otherwise(F.col("logs") - F.col("big_0") - F.col("big_1")).alias("ll"))
 
 
@@ -140,38 +112,56 @@ def poisson_log_likelihood(legs: DataFrame, mu: Sequence[float], end: float, sta
     return n.select(sum((F.col(f"n{k}") * math.log(mu[k]) - mu[k] * (end - start) for k in (0, 1)), F.lit(0.0)).alias("ll"))
 
 
-def compensator(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
-    """leg, t, big: the integrated intensity of its leg from start to each event at or after it.
+def _swept_compensator(legs: DataFrame, p: Params, start: float) -> tuple[DataFrame, sweeps.Leaves]:
+    """One row a distinct time from start on: _leaf, t, n_0, n_1 and big_0, big_1, the integrated intensities up to it.
 
-    History before start counts. Events at the event's own time do not. An earlier event adds what has
-    faded of it since the later of start and itself, so the sums are those at start, plus the events
-    since, less the excitation that is left: one fold, see excitation().
+    An earlier event adds what has faded of it since the later of start and itself, so the sums are those at
+    start, plus the events since, less the excitation that is left.
     """
     d = legs.select("leg", F.col("t").cast("double").alias("t"))
     old = d.filter(F.col("t") < start).agg(*[F.coalesce(F.sum(F.when(F.col("leg") == k, F.exp(-p.beta * (F.lit(float(start)) - F.col("t"))))), F.lit(0.0)).alias(f"o_{k}") for k in (0, 1)])
-    e = excitation(d, p.beta, start).filter(F.col("t") >= start).crossJoin(F.broadcast(old))
+    at, leaves = sweeps.times(d, p.beta, start)
+    e = at.filter(F.col("t") >= start).crossJoin(F.broadcast(old))
     s = [F.col(f"o_{k}") + F.col(f"c_{k}") - F.col(f"r_{k}") for k in (0, 1)]
-    of = [p.mu[i] * (F.col("t") - start) + (p.alpha[i][0] * s[0] + p.alpha[i][1] * s[1]) / p.beta for i in (0, 1)]
-    return e.select("leg", "t", F.when(F.col("leg") == 0, of[0]).otherwise(of[1]).alias("big"))
+    return e.select("_leaf", "t", "n_0", "n_1", *[(p.mu[i] * (F.col("t") - start) + (p.alpha[i][0] * s[0] + p.alpha[i][1] * s[1]) / p.beta).alias(f"big_{i}") for i in (0, 1)]), leaves
+
+
+def _by_leg(at: DataFrame, *columns: str) -> DataFrame:
+    """A row a leg with events of each time: leg, t, n and the leg's own of some pairs of columns."""
+    of = lambda k: F.struct(F.lit(k).alias("leg"), F.col(f"n_{k}").alias("n"), *[F.col(f"{c}_{k}").alias(c) for c in columns])
+    return at.select("t", F.explode(F.array(of(0), of(1))).alias("x")).filter("x.n > 0").select("x.leg", "t", "x.n", *[f"x.{c}" for c in columns])
+
+
+def compensator(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
+    """leg, t, big: the integrated intensity of its leg from start to each event at or after it.
+
+    History before start counts. Events at the event's own time do not.
+    """
+    at, _ = _swept_compensator(legs, p, start)
+    return _by_leg(at, "big").select("leg", "t", "big", F.explode(F.sequence(F.lit(1), F.col("n")))).select("leg", "t", "big")
 
 
 def residuals(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
     """leg, event_time, Lambda_at_event, rescaled_dt: gaps of the compensator, null where not positive.
 
     Gap and event stay on one row; the first gap counts from start. (The reference drops gaps that are
-    not positive and pads at the end, which moves later gaps to other events.)
+    not positive and pads at the end, which moves later gaps to other events.) The compensator rises, so the last
+    one before a leaf is the greatest there.
     """
-    c = ranges.lagged(compensator(legs, p, start), ["leg"], "t", "big", "_last")
-    dt = F.col("big") - F.coalesce("_last", F.lit(0.0))
-    return c.select(F.col("leg").cast("byte").alias("leg"), F.col("t").alias("event_time"), F.col("big").alias("Lambda_at_event"), F.when(dt > 0, dt).alias("rescaled_dt"))
+    at, leaves = _swept_compensator(legs, p, start)
+    own = [F.when(F.col(f"n_{k}") > 0, F.col(f"big_{k}")) for k in (0, 1)]
+    last = at.withColumns({f"last_{k}": F.last(own[k], ignorenulls=True).over(sweeps.earlier("_leaf", order="t")) for k in (0, 1)})
+    if not leaves.alone:
+        ends = sweeps.before(at.groupBy("_leaf").agg(*[F.max(own[k]).alias(f"end_{k}") for k in (0, 1)]), leaves.root, tops=["end_0", "end_1"])
+        last = last.join(ends, "_leaf").withColumns({f"last_{k}": F.coalesce(f"last_{k}", f"end_{k}") for k in (0, 1)})
+    gaps = last.withColumns({f"dt_{k}": F.col(f"big_{k}") - F.coalesce(f"last_{k}", F.lit(0.0)) for k in (0, 1)})
+    each = _by_leg(gaps, "big", "dt").select("leg", "t", "big", "dt", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    return each.select(F.col("leg").cast("byte").alias("leg"), F.col("t").alias("event_time"), F.col("big").alias("Lambda_at_event"), F.when((F.col("i") == 1) & (F.col("dt") > 0), F.col("dt")).alias("rescaled_dt"))
 
 
 def ks_exponential(res: DataFrame, key: str = "leg", value: str = "rescaled_dt") -> DataFrame:
     """key, n, d: the Kolmogorov-Smirnov distance of positive gaps to the unit exponential."""
-    d = ranges.ranked(res.filter(F.col(value) > 0).select(key, value), [key], value, None, "i", {"n": F.count("*")})
-    i, n, f = F.col("i"), F.col("n"), 1 - F.exp(-F.col(value))
-    e = d.select(key, "n", F.greatest(i / n - f, f - (i - 1) / n).alias("e"))
-    return e.groupBy(key).agg(F.first("n").alias("n"), F.max("e").alias("d")).filter("n >= 2")
+    return sweeps.ks_exponential(res, key, value)
 
 
 def ks_p_value(d: float, n: int) -> float:
@@ -513,29 +503,188 @@ def bootstrap_test(draws: DataFrame, alpha: float = 0.01) -> DataFrame:
     return s.select("observed", p.alias("p_value"), F.size("null").alias("n_ok"), (F.col("reps") - F.size("null")).alias("n_failed"), (p < alpha).alias("rejects"))
 
 
-ETA_GRID = tuple(np.linspace(1e-3, 0.95, 40).tolist())
+ETA_GRID = (0.0, *np.linspace(1e-3, 0.95, 40).tolist())
+#: Step lengths that a pass tries at once: along the Newton direction, then along the gradient over its curvature.
+_TRIES = ((1.0, 0.25, 1 / 64), (1.0,))
+_PASS_ROWS = 2000
+#: A climb ends where a step gains no more than this in log-likelihood.
+SETTLED = 1e-5
 
 
-def profile(legs: DataFrame, beta: float, end: float, etas: Sequence[float] = ETA_GRID) -> DataFrame:
-    """eta, ll: the likelihood maximised at each branching ratio, a task each; eta null: without constraint."""
-    grid = legs.sparkSession.createDataFrame([(float(e),) for e in etas] + [(-1.0,)], "g double")
+def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For m tries of both legs' (mu, a0, a1), in an array m x 2 x 3: the sums over swept times (see sweeps.times()) of
+    n ln(lam), m x 2; of its slopes, m x 2 x 3; and of the outer products of its slopes, m x 2 x 3 x 3.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = float(pdf["g"].iloc[0])
-        f = fit_beta(_arrays(pdf), beta, end, eta=None if g < 0 else g)
-        return pd.DataFrame({"eta": pd.array([None if g < 0 else g], dtype="Float64"), "ll": [f["ll"]], "eta_hat": [f["eta"]]})
+    One pass for all tries: each batch is a product of its rows with the tries, each task sends twenty sums a try.
+    """
+    m = len(tries)
+
+    def part(batches):
+        total = np.zeros((m, 2, 10))
+        for b in (whole.iloc[i : i + _PASS_ROWS] for whole in batches for i in range(0, len(whole), _PASS_ROWS)):
+            z = np.column_stack([np.ones(len(b)), b["r_0"], b["r_1"]])
+            pairs = np.column_stack([z[:, i] * z[:, j] for i in range(3) for j in range(i + 1)])
+            for k in (0, 1):
+                n = b[f"n_{k}"].to_numpy(float)
+                on = n > 0
+                lam = z[on] @ tries[:, k].T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    total[:, k, 0] += np.where(lam > 0, n[on, None] * np.log(np.maximum(lam, 1e-300)), -np.inf).sum(axis=0)
+                    w = np.where(lam > 0, n[on, None] / lam, 0.0)
+                    total[:, k, 1:4] += w.T @ z[on]
+                    total[:, k, 4:] += np.where(lam > 0, w / lam, 0.0).T @ pairs[on]
+        yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "x": total.ravel()})
+
+    got = rows.select("n_0", "n_1", "r_0", "r_1").mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    total = np.zeros(m * 20)
+    for r in got:
+        total[r["i"]] = r["x"]
+    total = total.reshape(m, 2, 10)
+    outer = np.zeros((m, 2, 3, 3))
+    for c, (i, j) in enumerate((i, j) for i in range(3) for j in range(i + 1)):
+        outer[:, :, i, j] = outer[:, :, j, i] = total[:, :, 4 + c]
+    return total[:, :, 0], total[:, :, 1:4], outer
+
+
+class _Free:
+    """The unconstrained problem: both legs' rates themselves, none below zero."""
+
+    low, high, reach = np.zeros(6), np.full(6, np.inf), np.full(6, np.inf)
+
+    def theta(self, y: np.ndarray) -> np.ndarray:
+        return y.reshape(2, 3)
 
-    return legs.select("leg", "t").crossJoin(F.broadcast(grid)).groupBy("g").applyInPandas(run, "eta double, ll double, eta_hat double")
+    def jacobian(self, y: np.ndarray) -> np.ndarray:
+        return np.eye(6).reshape(2, 3, 6)
+
+
+class _OnEta:
+    """Rates whose branching ratio is eta, by five numbers: log baselines, two shares and the log of x.
+
+    A matrix with no negative entry has the spectral radius c where it takes some positive (1, x) to c times itself:
+    a00 + a01 x = c and a10 + a11 x = c x. s and q are the shares of the first terms, so the constraint holds for
+    every choice and what is left is a climb within a box.
+    """
+
+    low, high, reach = np.array([-60.0, -60, 0, 0, -20]), np.array([20.0, 20, 1, 1, 20]), np.array([2.0, 2, 1, 1, 2])
+
+    def __init__(self, c: float):
+        self.c = c
+
+    def theta(self, y: np.ndarray) -> np.ndarray:
+        (a, b), (s, q), x, c = np.exp(y[:2]), y[2:4], math.exp(y[4]), self.c
+        return np.array([[a, c * s, c * (1 - s) / x], [b, c * x * q, c * (1 - q)]])
+
+    def jacobian(self, y: np.ndarray) -> np.ndarray:
+        (a, b), (s, q), x, c = np.exp(y[:2]), y[2:4], math.exp(y[4]), self.c
+        return np.array([
+            [[a, 0, 0, 0, 0], [0, 0, c, 0, 0], [0, 0, -c / x, 0, -c * (1 - s) / x]],
+            [[0, b, 0, 0, 0], [0, 0, 0, c * x, c * x * q], [0, 0, 0, -c, 0]],
+        ])
+
+
+def climb_all(rows: DataFrame, problems: list, starts: list[np.ndarray], cost: np.ndarray, passes: int = 40) -> list[tuple[float, np.ndarray]]:
+    """The best value and point that each problem reaches from its start: one pass over the rows a step, for all of them.
+
+    cost: what a unit of (mu, a0, a1) takes from the log-likelihood. Steps use the outer products for the
+    curvature; a pass tries several lengths at once, so it also has the slopes of the point that is taken.
+    """
+    now: list[tuple[float, np.ndarray]] = [(-math.inf, y) for y in starts]
+    slopes: list = [None] * len(problems)
+    left, tries = list(range(len(problems))), {i: [y] for i, y in enumerate(starts)}
+    for _ in range(passes):
+        flat = [(i, y) for i in left for y in tries[i]]
+        if not flat:
+            break
+        theta = np.array([problems[i].theta(y) for i, y in flat])
+        value, grad, outer = leg_sums(rows, theta)
+        value = value.sum(axis=1) - (theta @ cost).sum(axis=1)
+        best: dict[int, int] = {}
+        for j, (i, _) in enumerate(flat):
+            if i not in best or value[j] > value[best[i]]:
+                best[i] = j
+        left = []
+        for i, j in best.items():
+            gain = value[j] - now[i][0]
+            if not gain > 0:
+                continue
+            now[i] = (float(value[j]), flat[j][1])
+            jac = problems[i].jacobian(flat[j][1])
+            slopes[i] = (np.einsum("kap,ka->p", jac, grad[j] - cost), np.einsum("kap,kab,kbq->pq", jac, outer[j], jac))
+            if gain > SETTLED:
+                left.append(i)
+        tries = {i: _steps(problems[i], now[i][1], *slopes[i]) for i in left}
+    return now
+
+
+def _steps(problem, y: np.ndarray, g: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    free = ~(((y <= problem.low) & (g < 0)) | ((y >= problem.high) & (g > 0)))
+    out = []
+    scale = np.sqrt(np.maximum(np.diag(h), 1e-300))
+    newton, plain = np.zeros(len(y)), np.zeros(len(y))
+    if free.any():
+        f = np.ix_(free, free)
+        newton[free] = np.linalg.lstsq(h[f] / np.outer(scale[free], scale[free]) + 1e-12 * np.eye(int(free.sum())), g[free] / scale[free], rcond=None)[0] / scale[free]
+        plain[free] = g[free] / scale[free] ** 2
+    for d, lengths in zip((newton, plain), _TRIES, strict=True):
+        d = np.clip(d, -problem.reach, problem.reach)
+        out += [np.clip(y + k * d, problem.low, problem.high) for k in lengths]
+    return out
+
+
+def swept_table(legs: DataFrame, beta: float) -> DataFrame:
+    """The distinct times of both legs with their excitation, written once to the shared folder, evenly over all cores."""
+    spark = legs.sparkSession
+    at = f"{shared_dir(spark)}/fits/{uuid.uuid4().hex}"
+    swept, leaves = sweeps.times(legs, beta)
+    files = max(spark.sparkContext.defaultParallelism, leaves.root**2)  # as many as there are leaves
+    swept.select("t", "n_0", "n_1", "r_0", "r_1").repartition(files, "t").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def profile(legs: DataFrame, beta: float, end: float, etas: Sequence[float] = ETA_GRID) -> DataFrame:
+    """eta, ll: the likelihood maximised at each branching ratio; eta null: without constraint, with its ratio in eta_hat.
+
+    No task holds the process: its swept times are written once, and each step of the climb is one pass over them
+    for all ratios together (see climb_all()). A top beyond 0.999 is not stationary; the best of the grid
+    stands for it. A process with an empty leg has ll -inf at every ratio.
+    """
+    spark, rows = legs.sparkSession, swept_table(legs, beta)
+    part = (1 - F.exp(-beta * (F.lit(float(end)) - F.col("t")))) / beta
+    r = rows.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in (0, 1)], *[F.coalesce(F.sum(F.col(f"n_{k}") * part), F.lit(0.0)) for k in (0, 1)]).first()
+    n, cost = np.array(r[:2], float), np.array([end, max(r[2], 1e-300), max(r[3], 1e-300)])
+    schema = "eta double, ll double, eta_hat double"
+    if not n.all():
+        return spark.createDataFrame([(float(e), -math.inf, 0.0) for e in etas] + [(None, -math.inf, 0.0)], schema)
+    flat = float((n * np.log(n / end) - n).sum())
+    (top, y), *_ = climb_all(rows, [_Free()], [np.concatenate([[n[k] / end / 2, 0.25 * beta, 0.25 * beta] for k in (0, 1)])], cost)
+    a = y.reshape(2, 3)[:, 1:]
+    hat = spectral(a / beta)
+    values, vectors = np.linalg.eig(np.maximum(a, 1e-9 * beta))
+    v = np.abs(vectors[:, int(np.argmax(values.real))].real)
+    x = float(np.clip(v[1] / max(v[0], 1e-12), 1e-6, 1e6))
+    share = lambda first, second: float(np.clip(first / max(first + second, 1e-300), 0.01, 0.99))
+    near = [share(a[0, 0], a[0, 1] * x), share(a[1, 0], a[1, 1] * x), math.log(x)]
+    wanted = [float(e) for e in etas if e > 0]
+    rates = lambda e: np.log(n / end * max(0.05, 1 - e))
+    starts = [np.array([*rates(e), *tail]) for e in wanted for tail in (near, [0.5, 0.5, 0.0])]
+    got = climb_all(rows, [_OnEta(e * beta) for e in wanted for _ in (0, 1)], starts, cost)
+    of = {e: max(got[2 * i][0], got[2 * i + 1][0]) for i, e in enumerate(wanted)}
+    of |= {float(e): flat for e in etas if e <= 0}
+    if hat > 0.999:
+        hat, top = max(of, key=of.get), max(of.values())
+    return spark.createDataFrame([(float(e), of[float(e)], hat) for e in etas] + [(None, top, hat)], schema)
 
 
 def profile_interval(rows: DataFrame, alpha: float = 0.05, wide: float = 0.4) -> DataFrame:
     """One row: eta_hat, lower, upper, width, too_wide: where 2 (max - ll) stays below the chi-square bound.
 
-    Crossings are interpolated between grid points, so an end is no artefact of the grid.
+    The estimate is a point of the grid too, so the interval holds it; crossings are interpolated between points.
+    Where the likelihood never falls below the bound on a side, that end is the grid's.
     """
     bound = NormalDist().inv_cdf(1 - alpha / 2) ** 2
     top = rows.filter("eta IS NULL").select(F.col("ll").alias("top"), "eta_hat")
-    d = rows.filter("eta IS NOT NULL").select("eta", "ll").crossJoin(F.broadcast(top)).withColumn("d", 2 * (F.greatest("top", "ll") - F.col("ll")) - bound)
+    d = rows.filter("eta IS NOT NULL").select("eta", "ll").unionByName(top.select(F.col("eta_hat").alias("eta"), F.col("top").alias("ll"))).groupBy("eta").agg(F.max("ll").alias("ll")).crossJoin(F.broadcast(top)).withColumn("d", 2 * (F.greatest("top", "ll") - F.col("ll")) - bound)
     w = Window.partitionBy(F.lit(0)).orderBy("eta")
     e = d.withColumns({"pe": F.lag("eta").over(w), "pd": F.lag("d").over(w)})
     cross = F.col("pe") + (F.col("eta") - F.col("pe")) * F.col("pd") / (F.col("pd") - F.col("d"))

@@ -306,6 +306,51 @@ def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 1000, 7))
 
 
+#: Legs that do excite themselves: every event of the legs, and a child of 45 % of them, 1000 s later on average.
+EXCITED = f"""{LEGS.replace('legs AS', 'plain AS')}, hashed AS (SELECT t, leg, ('0x' || substr(md5('child:' || event_id), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('child:' || event_id), 9, 8))::BIGINT / 4294967296.0 AS v FROM plain),
+   legs AS (SELECT event_id, leg, t FROM plain UNION ALL SELECT NULL, CASE WHEN v < 0.3 THEN leg ELSE 1 - leg END, t - 1000 * ln(1 - u) FROM hashed WHERE v < 0.45)"""
+
+
+def excited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    """The legs with children at hashed offsets, as a process that excites itself, and its end."""
+    l = legs(spark, sf_dir)
+    h = F.md5(F.concat(F.lit("child:"), F.col("event_id").cast("string")))
+    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("double") / 4294967296.0
+    d = l.select("leg", "t", part(1).alias("u"), part(9).alias("v"))
+    child = d.filter("v < 0.45").select(F.when(F.col("v") < 0.3, F.col("leg")).otherwise(1 - F.col("leg")).alias("leg"), (F.col("t") - 1000 * F.ln(1 - F.col("u"))).alias("t"))
+    both = d.select("leg", "t").unionByName(child)
+    return both, _end(both)
+
+
+def _profile_sql(etas: list[float], rounds: int) -> str:
+    """The constrained top in SQL, by expectation and conditional maximisation: with x, s, q as in hawkes._OnEta, each
+    has a closed best value given the others, so no round falls."""
+    root = lambda a, b, d: f"CASE WHEN abs({d}) < 1e-12 * ({a} + {b}) THEN {a} / ({a} + {b}) ELSE (({d}) + {a} + {b} - sqrt((({d}) + {a} + {b}) * (({d}) + {a} + {b}) - 4 * ({d}) * {a})) / (2 * ({d})) END"
+    return f"""{EXCITED}, z AS (SELECT max(t) AS z FROM legs), b AS (SELECT 0.001::DOUBLE AS beta),
+     e AS MATERIALIZED (SELECT a.leg, a.t, a.rowid AS i, coalesce(sum(exp(-beta * (a.t - p.t))) FILTER (p.leg = 0), 0) AS r0, coalesce(sum(exp(-beta * (a.t - p.t))) FILTER (p.leg = 1), 0) AS r1
+       FROM (SELECT *, row_number() OVER () AS rowid FROM legs) a LEFT JOIN legs p ON p.t < a.t AND p.t > a.t - 40000, b GROUP BY ALL),
+     m AS MATERIALIZED (SELECT z, beta, sum(1 - exp(-beta * (z - t))) FILTER (leg = 0) / beta AS m0, sum(1 - exp(-beta * (z - t))) FILTER (leg = 1) / beta AS m1, count(*) FILTER (leg = 0) AS n0, count(*) FILTER (leg = 1) AS n1 FROM legs, z, b GROUP BY z, beta),
+     it AS (SELECT 0 AS k, eta, eta * beta AS c, n0 / z * (1 - eta) AS u0, n1 / z * (1 - eta) AS u1, 0.5::DOUBLE AS s, 0.5::DOUBLE AS q, 1.0::DOUBLE AS x FROM m, (SELECT unnest({etas}::DOUBLE[]) AS eta)
+       UNION ALL SELECT k, eta, c, u0, u1, s, q, (w10 - w01 + sqrt((w10 - w01) * (w10 - w01) + 4 * c * q * m0 * c * (1 - s) * m1)) / (2 * c * q * m0) FROM
+        (SELECT k + 1 AS k, eta, c, v0 / z AS u0, v1 / z AS u1, {root("w00", "w01", "c * (m0 - m1 / x)")} AS s, {root("w10", "w11", "c * (x * m0 - m1)")} AS q, x, w01, w10, m0, m1 FROM
+         (SELECT any_value(k) AS k, it.eta, any_value(c) AS c, any_value(x) AS x,
+            sum(u0 / (u0 + c * s * r0 + c * (1 - s) / x * r1)) FILTER (leg = 0) AS v0, sum(c * s * r0 / (u0 + c * s * r0 + c * (1 - s) / x * r1)) FILTER (leg = 0) AS w00, sum(c * (1 - s) / x * r1 / (u0 + c * s * r0 + c * (1 - s) / x * r1)) FILTER (leg = 0) AS w01,
+            sum(u1 / (u1 + c * x * q * r0 + c * (1 - q) * r1)) FILTER (leg = 1) AS v1, sum(c * x * q * r0 / (u1 + c * x * q * r0 + c * (1 - q) * r1)) FILTER (leg = 1) AS w10, sum(c * (1 - q) * r1 / (u1 + c * x * q * r0 + c * (1 - q) * r1)) FILTER (leg = 1) AS w11
+          FROM it, e WHERE k < {rounds} GROUP BY it.eta), m)),
+     l AS (SELECT eta, sum(CASE leg WHEN 0 THEN ln(u0 + c * s * r0 + c * (1 - s) / x * r1) ELSE ln(u1 + c * x * q * r0 + c * (1 - q) * r1) END)
+         - any_value((u0 + u1) * z + c * s * m0 + c * (1 - s) / x * m1 + c * x * q * m0 + c * (1 - q) * m1) AS ll FROM it, e, m WHERE k = {rounds} GROUP BY eta)"""
+
+
+PROFILED = [0.2, 0.4, 0.6]
+
+
+@query("profile_likelihood", f"WITH RECURSIVE {_profile_sql(PROFILED, 800)} SELECT eta, round(ll, 2) AS ll FROM l")
+def profile_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood at three branching ratios of a process that excites itself."""
+    l, end = excited(spark, sf_dir)
+    return hawkes.profile(l, 1e-3, end, PROFILED).filter("eta IS NOT NULL").select("eta", F.round("ll", 2).alias("ll"))
+
+
 @query("profile_interval")
 def profile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, end = process(spark, sf_dir)
