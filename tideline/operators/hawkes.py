@@ -414,25 +414,98 @@ def inar_of_counts(y: np.ndarray, width: float, max_order: int = MAX_ORDER, orde
     return {"p": p, "width": float(width), "coefs": np.maximum(a, 0).tolist(), "intercept": np.maximum(b[0], 0).tolist(), "aic": aic, "bins": bins, "negative": bool((a < 0).any())}
 
 
-def inar_grid(legs: DataFrame, end: float, widths: Sequence[int] = BIN_WIDTHS, order: int | None = None) -> DataFrame:
-    """width, p, aic, bins, negative, mu0, mu1, intercept, and coefs, the rows of each lag's matrix: one task a bin
-    width, which holds its bins and no events."""
-    grid = legs.sparkSession.createDataFrame([(float(w),) for w in widths], "g double")
-    bins = F.greatest(F.lit(1), F.ceil(F.lit(float(end)) / F.col("g")))
-    at = F.least(F.floor(F.col("t") / F.col("g")), bins - 1)
-    held = legs.select("leg", "t").filter((F.col("t") >= 0) & (F.col("t") <= float(end))).crossJoin(F.broadcast(grid)).groupBy("g", "leg", at.cast("long").alias("i")).agg(F.count("*").alias("n"))
-    held = grid.select("g", F.lit(0).alias("leg"), F.lit(-1).cast("long").alias("i"), F.lit(0).cast("long").alias("n")).unionByName(held.select("g", F.col("leg").cast("int").alias("leg"), "i", "n"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = float(pdf["g"].iloc[0])
-        y = np.zeros((max(1, math.ceil(end / w)), 2))
-        pdf = pdf[pdf["i"] >= 0]
-        y[pdf["i"], pdf["leg"]] = pdf["n"]
-        f = inar_of_counts(y, w, order=order)
-        m = mean_rate(f)
-        return pd.DataFrame([{"width": f["width"], "p": f["p"], "aic": f["aic"], "bins": f["bins"], "negative": f["negative"], "mu0": m[0], "mu1": m[1], "intercept": f["intercept"], "coefs": [r for a in f["coefs"] for r in a]}])
+def lag_sums(counts: DataFrame, lags: int) -> DataFrame:
+    """g, d, p00, p01, p10, p11: over the bins i of each width g, the sums of y_a(i) y_b(i + d) for d up to `lags`.
 
-    return held.groupBy("g").applyInPandas(run, "width double, p int, aic double, bins int, negative boolean, mu0 double, mu1 double, intercept array<double>, coefs array<array<double>>")
+    counts has g, i, y_0, y_1 of the bins that hold events; each goes to the lags of its later neighbours by an
+    equal join on the bin, so work follows the events and no task holds a width.
+    """
+    ahead = counts.select("g", F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("d"), "i", F.col("y_0").alias("a_0"), F.col("y_1").alias("a_1")).withColumn("i", F.col("i") + F.col("d"))
+    return ahead.join(counts, ["g", "i"]).groupBy("g", "d").agg(*[F.sum(F.col(f"a_{a}") * F.col(f"y_{b}")).alias(f"p{a}{b}") for a in (0, 1) for b in (0, 1)])
+
+
+class _Gram:
+    """Sums of products of a width's counts and their lags over the bins from `skip` on, from sums over all bins and its ends."""
+
+    def __init__(self, bins: int, lags: int, total: np.ndarray, sums: dict[int, np.ndarray], ends: dict[int, np.ndarray]):
+        self.bins, self.lags, self.total, self.sums, self.ends = bins, lags, total, sums, ends
+
+    def _at(self, i: int) -> np.ndarray:
+        return self.ends.get(i, np.zeros(2))
+
+    def product(self, j: int, k: int, skip: int) -> np.ndarray:
+        """The 2 x 2 sums of y(t - j) y(t - k)' over skip <= t < bins, for j >= k."""
+        d = j - k
+        out = self.sums.get(d, np.zeros((2, 2))).copy()
+        for i in (*range(0, skip - j), *range(self.bins - j, self.bins - d)):  # what begins before or ends after
+            out -= np.outer(self._at(i), self._at(i + d))
+        return out
+
+    def single(self, j: int, skip: int) -> np.ndarray:
+        out = self.total.copy()
+        for i in (*range(0, skip - j), *range(self.bins - j, self.bins)):
+            out -= self._at(i)
+        return out
+
+    def fit(self, p: int, skip: int) -> tuple[np.ndarray, float]:
+        """Coefficients, (1 + 2 p) x 2, and criterion of order p over the bins from skip on."""
+        n, size = self.bins - skip, 1 + 2 * p
+        g, h = np.zeros((size, size)), np.zeros((size, 2))
+        g[0, 0], h[0] = n, self.single(0, skip)
+        for j in range(1, p + 1):
+            at = slice(2 * j - 1, 2 * j + 1)
+            g[0, at] = g[at, 0] = self.single(j, skip)
+            h[at] = self.product(j, 0, skip)
+            for k in range(1, j + 1):
+                m = self.product(j, k, skip)
+                g[at, 2 * k - 1 : 2 * k + 1], g[2 * k - 1 : 2 * k + 1, at] = m, m.T
+        b, *_ = np.linalg.lstsq(g, h, rcond=None)
+        e = self.product(0, 0, skip) - b.T @ h
+        det = np.linalg.det((e + e.T) / (2 * n))
+        return b, (math.log(det) if det > 0 else -math.inf) + 2 * (4 * p + 2) / n
+
+
+def inar_grid(legs: DataFrame, end: float, widths: Sequence[int] = BIN_WIDTHS, order: int | None = None, max_order: int = MAX_ORDER) -> DataFrame:
+    """width, p, aic, bins, negative, mu0, mu1, intercept, and coefs, the rows of each lag's matrix.
+
+    Bivariate autoregressions of bin counts by least squares, the order by AIC on the same bins for all orders.
+    Spark sums the products of counts at each lag once a width; all orders' normal equations are parts of one
+    matrix of 23 x 23 made of those sums and of the first and last bins. Negative coefficients go to zero; a leg
+    without variation gives order 0. An order beyond a third of the bins is cut to that.
+    """
+    spark = legs.sparkSession
+    widths = [float(w) for w in widths]
+    grid = F.broadcast(spark.createDataFrame([(w, max(1, math.ceil(end / w))) for w in widths], "g double, bins long"))
+    inside = legs.select("leg", "t").filter((F.col("t") >= 0) & (F.col("t") <= float(end))).crossJoin(grid)
+    at = F.least(F.floor(F.col("t") / F.col("g")), F.col("bins") - 1).cast("long")
+    counted = inside.groupBy("g", "bins", at.alias("i")).agg(*[F.count_if(F.col("leg") == k).cast("double").alias(f"y_{k}") for k in (0, 1)])
+    path = f"{shared_dir(spark)}/fits/{uuid.uuid4().hex}"
+    counted.write.parquet(path)  # the bins that hold events, once
+    counts = spark.read.parquet(path)
+    near = (F.col("i") < 2 * max_order) | (F.col("i") >= F.col("bins") - 2 * max_order)
+    ends = {(r["g"], r["i"]): np.array([r["y_0"], r["y_1"]]) for r in counts.filter(near).collect()}  # 40 bins a width at most
+    totals = {r["g"]: np.array([r["a"], r["b"]]) for r in counts.groupBy("g").agg(F.sum("y_0").alias("a"), F.sum("y_1").alias("b")).collect()}
+    sums: dict[float, dict[int, np.ndarray]] = {w: {} for w in widths}
+    for r in lag_sums(counts, max_order).collect():  # 11 rows a width
+        # y(i) y(i + d)' has the later bin in its columns; as y(t - j) y(t - k)' with j - k = d
+        sums[r["g"]][r["d"]] = np.array([[r["p00"], r["p01"]], [r["p10"], r["p11"]]])
+    out = []
+    for w in widths:
+        bins = max(1, math.ceil(end / w))
+        g = _Gram(bins, max_order, totals.get(w, np.zeros(2)), sums[w], {i: v for (x, i), v in ends.items() if x == w})
+        mean = g.total / bins
+        spread = np.diag(g.sums.get(0, np.zeros((2, 2)))) / bins - mean**2
+        if spread.min() < 1e-12:
+            f = {"p": 0, "width": w, "coefs": [], "intercept": mean.tolist(), "aic": math.inf, "negative": False}
+        else:
+            cap = max(1, min(max_order, bins // 3))
+            p = min(order, cap) if order else min(range(1, cap + 1), key=lambda q: g.fit(q, cap)[1])
+            b, aic = g.fit(p, p)
+            a = b[1:].reshape(p, 2, 2).transpose(0, 2, 1)
+            f = {"p": p, "width": w, "coefs": np.maximum(a, 0).tolist(), "intercept": np.maximum(b[0], 0).tolist(), "aic": aic, "negative": bool((a < 0).any())}
+        m = mean_rate(f)
+        out.append((w, int(f["p"]), float(f["aic"]), bins, f["negative"], float(m[0]), float(m[1]), f["intercept"], [r for a in f["coefs"] for r in a]))
+    return spark.createDataFrame(out, "width double, p int, aic double, bins int, negative boolean, mu0 double, mu1 double, intercept array<double>, coefs array<array<double>>")
 
 
 def mean_rate(f: dict) -> np.ndarray:
@@ -554,6 +627,9 @@ class _Free:
     def theta(self, y: np.ndarray) -> np.ndarray:
         return y.reshape(2, 3)
 
+    def inside(self, y: np.ndarray) -> np.ndarray:
+        return np.maximum(y, 0.0)
+
     def jacobian(self, y: np.ndarray) -> np.ndarray:
         return np.eye(6).reshape(2, 3, 6)
 
@@ -575,6 +651,9 @@ class _OnEta:
         (a, b), (s, q), x, c = np.exp(y[:2]), y[2:4], math.exp(y[4]), self.c
         return np.array([[a, c * s, c * (1 - s) / x], [b, c * x * q, c * (1 - q)]])
 
+    def inside(self, y: np.ndarray) -> np.ndarray:
+        return np.clip(y, self.low, self.high)
+
     def jacobian(self, y: np.ndarray) -> np.ndarray:
         (a, b), (s, q), x, c = np.exp(y[:2]), y[2:4], math.exp(y[4]), self.c
         return np.array([
@@ -583,6 +662,41 @@ class _OnEta:
         ])
 
 
+class _NearEdge:
+    """The same rates by log baselines, a01, a11 and x itself, which stay plain numbers where x goes to zero and the
+    matrix falls apart; there shares of a vanishing term say nothing. With `swap`, the legs' parts are exchanged."""
+
+    reach = np.array([2.0, 2, np.inf, np.inf, np.inf])
+
+    def __init__(self, c: float, swap: bool):
+        self.c, self.swap = c, swap
+        self.low, self.high = np.array([-60.0, -60, 0, 0, 0]), np.array([20.0, 20, np.inf, c, 1e6])
+
+    def _turned(self, x: np.ndarray) -> np.ndarray:
+        return x[::-1][:, [0, 2, 1]] if self.swap else x
+
+    def at(self, theta: np.ndarray, x: float) -> np.ndarray:
+        """The numbers of some rates with their x."""
+        t = self._turned(theta)
+        return np.array([*np.log(t[:, 0]), t[0, 2], t[1, 2], 1 / x if self.swap else x])
+
+    def theta(self, y: np.ndarray) -> np.ndarray:
+        (a, b), (p, q, x), c = np.exp(y[:2]), y[2:], self.c
+        return self._turned(np.array([[a, max(c - p * x, 0.0), p], [b, (c - q) * x, q]]))
+
+    def inside(self, y: np.ndarray) -> np.ndarray:
+        y = np.clip(y, self.low, self.high)
+        y[2] = min(y[2], self.c / max(y[4], 1e-300))
+        return y
+
+    def jacobian(self, y: np.ndarray) -> np.ndarray:
+        (a, b), (p, q, x), c = np.exp(y[:2]), y[2:], self.c
+        return self._turned(np.array([
+            [[a, 0, 0, 0, 0], [0, 0, -x, 0, -p], [0, 0, 1, 0, 0]],
+            [[0, b, 0, 0, 0], [0, 0, 0, -x, c - q], [0, 0, 0, 1, 0]],
+        ]))
+
+
 def climb_all(rows: DataFrame, problems: list, starts: list[np.ndarray], cost: np.ndarray, passes: int = 40) -> list[tuple[float, np.ndarray]]:
     """The best value and point that each problem reaches from its start: one pass over the rows a step, for all of them.
 
@@ -628,7 +742,7 @@ def _steps(problem, y: np.ndarray, g: np.ndarray, h: np.ndarray) -> list[np.ndar
         plain[free] = g[free] / scale[free] ** 2
     for d, lengths in zip((newton, plain), _TRIES, strict=True):
         d = np.clip(d, -problem.reach, problem.reach)
-        out += [np.clip(y + k * d, problem.low, problem.high) for k in lengths]
+        out += [problem.inside(y + k * d) for k in lengths]
     return out
 
 
@@ -642,6 +756,16 @@ def swept_table(legs: DataFrame, beta: float) -> DataFrame:
     return spark.read.parquet(at)
 
 
+def _on_etas(rows: DataFrame, radii: list[float], starts: list[np.ndarray], cost: np.ndarray) -> list[float]:
+    """The best likelihood on each spectral radius, of two starts each: by shares, then from there by _NearEdge both ways."""
+    shares = [_OnEta(c) for c in radii]
+    first = climb_all(rows, shares, starts, cost)
+    best = [max((2 * i, 2 * i + 1), key=lambda j: first[j][0]) for i in range(len(radii) // 2)]
+    edges = [(_NearEdge(radii[j], swap), shares[j].theta(first[j][1]), math.exp(first[j][1][4])) for j in best for swap in (False, True)]
+    then = climb_all(rows, [p for p, *_ in edges], [p.inside(p.at(theta, x)) for p, theta, x in edges], cost)
+    return [max(first[j][0], then[2 * i][0], then[2 * i + 1][0]) for i, j in enumerate(best)]
+
+
 def profile(legs: DataFrame, beta: float, end: float, etas: Sequence[float] = ETA_GRID) -> DataFrame:
     """eta, ll: the likelihood maximised at each branching ratio; eta null: without constraint, with its ratio in eta_hat.
 
@@ -668,8 +792,7 @@ def profile(legs: DataFrame, beta: float, end: float, etas: Sequence[float] = ET
     wanted = [float(e) for e in etas if e > 0]
     rates = lambda e: np.log(n / end * max(0.05, 1 - e))
     starts = [np.array([*rates(e), *tail]) for e in wanted for tail in (near, [0.5, 0.5, 0.0])]
-    got = climb_all(rows, [_OnEta(e * beta) for e in wanted for _ in (0, 1)], starts, cost)
-    of = {e: max(got[2 * i][0], got[2 * i + 1][0]) for i, e in enumerate(wanted)}
+    of = dict(zip(wanted, _on_etas(rows, [e * beta for e in wanted for _ in (0, 1)], starts, cost), strict=True))
     of |= {float(e): flat for e in etas if e <= 0}
     if hat > 0.999:
         hat, top = max(of, key=of.get), max(of.values())

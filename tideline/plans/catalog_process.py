@@ -294,18 +294,6 @@ def inar_first_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("width", *[a(i, j) for i in (0, 1) for j in (0, 1)], *[F.round(F.col("intercept")[i], 6).alias(f"c{i}") for i in (0, 1)], F.round("aic", 6).alias("aic"))
 
 
-@query("inar_grid")
-def inar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = process(spark, sf_dir)
-    return hawkes.inar_grid(l, end)
-
-
-@query("bootstrap_lr")
-def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, end = process(spark, sf_dir)
-    return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 1000, 7))
-
-
 #: Legs that do excite themselves: every event of the legs, and a child of 45 % of them, 1000 s later on average.
 EXCITED = f"""{LEGS.replace('legs AS', 'plain AS')}, hashed AS (SELECT t, leg, ('0x' || substr(md5('child:' || event_id), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('child:' || event_id), 9, 8))::BIGINT / 4294967296.0 AS v FROM plain),
    legs AS (SELECT event_id, leg, t FROM plain UNION ALL SELECT NULL, CASE WHEN v < 0.3 THEN leg ELSE 1 - leg END, t - 1000 * ln(1 - u) FROM hashed WHERE v < 0.45)"""
@@ -322,6 +310,41 @@ def excited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     return both, _end(both)
 
 
+def _orders_sql(max_order: int = hawkes.MAX_ORDER) -> str:
+    """Orders 1 to max_order by elimination in SQL: of the matrix of products of 1, the lags and the counts, what is left of
+    the last two rows after 1 + 2 p pivots are the squared errors of order p."""
+    size = 3 + 2 * max_order
+    lags = ", ".join(f"lag(y{k}, {j}) OVER b" for j in range(1, max_order + 1) for k in (0, 1))
+    left = f"list_transform(range(1, {size + 1}), lambda i: list_transform(range(1, {size + 1}), lambda j: m[i][j] - m[i][k] * m[k][j] / m[k][k]))"
+    return f"""{EXCITED}, e AS (SELECT max(t) AS z FROM legs), w AS (SELECT unnest({[float(x) for x in hawkes.BIN_WIDTHS[1:]]}::DOUBLE[]) AS width), nb AS (SELECT width, greatest(1, ceil(z / width))::BIGINT AS bins FROM w, e),
+   g AS (SELECT width, bins, unnest(range(0, bins)) AS i FROM nb), c AS (SELECT width, leg, least(floor(t / width), bins - 1)::BIGINT AS i, count(*) AS n FROM legs, nb GROUP BY ALL),
+   y AS (SELECT g.width, g.bins, g.i, coalesce(sum(n) FILTER (leg = 0), 0)::DOUBLE AS y0, coalesce(sum(n) FILTER (leg = 1), 0)::DOUBLE AS y1 FROM g LEFT JOIN c ON c.width = g.width AND c.i = g.i GROUP BY ALL),
+   z AS (SELECT width, bins, i, [1.0, {lags}, y0, y1] AS z FROM y WINDOW b AS (PARTITION BY width ORDER BY i)),
+   p AS (SELECT width, any_value(bins) AS bins, a, b, sum(z[a] * z[b]) AS v FROM z, (SELECT unnest(range(1, {size + 1})) AS a), (SELECT unnest(range(1, {size + 1})) AS b) WHERE i >= {max_order} GROUP BY width, a, b),
+   m0 AS (SELECT width, any_value(bins) AS bins, list(r ORDER BY a) AS m FROM (SELECT width, any_value(bins) AS bins, a, list(v ORDER BY b) AS r FROM p GROUP BY width, a) GROUP BY width),
+   s AS (SELECT width, bins, 1 AS k, m FROM m0 UNION ALL SELECT width, bins, k + 1, {left} FROM s WHERE k <= {size - 2}),
+   aic AS (SELECT width, bins, (k - 2) // 2 AS p, ln((m[{size - 1}][{size - 1}] * m[{size}][{size}] - m[{size - 1}][{size}] * m[{size}][{size - 1}]) / ((bins - {max_order}) * (bins - {max_order}))) + 2 * (4 * ((k - 2) // 2) + 2) / (bins - {max_order}) AS aic FROM s WHERE k >= 4 AND k % 2 = 0)"""
+
+
+@query("inar_grid", f"WITH RECURSIVE {_orders_sql()} SELECT width, any_value(bins)::INTEGER AS bins, arg_min(p, aic)::INTEGER AS p FROM aic GROUP BY width")
+def inar_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order that each width of 300 s and more asks for, of a process that excites itself."""
+    l, end = excited(spark, sf_dir)
+    return hawkes.inar_grid(l, end, hawkes.BIN_WIDTHS[1:]).select("width", "bins", "p")
+
+
+@query("inar_fits")
+def inar_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, end = process(spark, sf_dir)
+    return hawkes.inar_grid(l, end)
+
+
+@query("bootstrap_lr")
+def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, end = process(spark, sf_dir)
+    return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 1000, 7))
+
+
 def _profile_sql(etas: list[float], rounds: int) -> str:
     """The constrained top in SQL, by expectation and conditional maximisation: with x, s, q as in hawkes._OnEta, each
     has a closed best value given the others, so no round falls."""
