@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.test_spark import BIG, CLASH, LONG, ROWS, TEXT
-from tideline.llm import filter_audit, registry_text, string_kernel
+from tideline.llm import filter_audit, language_model, registry_text, string_kernel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,6 +87,24 @@ def test_held_out_languages(spark):
     assert [(a["lang_pred"], a["score"]) for a in alone] == [(r["lang_pred"], r["score"]) for r in one]
 
 
+# ---- op2
+
+
+def test_equal_rows_teach_once_and_do_not_fill_the_sample(spark):
+    rows = [(7, "the same words again", False)] * 3000 + [(i, f"some other words {i}", False) for i in range(200)] + [(None, "no id", False)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(6)
+    model, _ = language_model.count(docs)
+    encoded = language_model.encode(docs, model)
+    sampled = language_model.first_rows(encoded, 3203, 300)
+    assert sampled.count() == sampled.select("_h").distinct().count() <= 300
+    d = encoded.select(F.lit(0).alias("g"), F.when(F.col("doc_id").isNull(), F.col("_rid")).otherwise(-1).alias("once"), "_h", "ids")
+    left = d.mapInPandas(language_model.repeats_dropped, "g int, once long, _h long, ids binary")
+    assert 204 <= left.count() <= 203 + 6 * 201 and left.select("once", "_h").distinct().count() == 204
+    language_model.learn(model, encoded, 300, 1)
+    out = language_model.score_encoded(encoded, model, language_model.count(docs)[1])
+    assert out.count() == 3203 and out.filter("doc_id = 7").select(F.round("score", 3)).distinct().count() == 1
+
+
 # ---- op12
 
 

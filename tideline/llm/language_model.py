@@ -32,11 +32,10 @@ STREAMS = 64
 WIDE = 256  # streams of the groups, which have more text
 #: Words whose counts every task holds; rarer words meet their counts in a join.
 HEAD = 200_000
-#: The driver's first fit sees about so many documents, by hash.
-SAMPLE_DOCS = 1000
-#: Tokens of a group of training documents, and the most groups there are; beyond, groups grow.
+#: The driver's first fit sees about so many documents, by hash, of at most so many tokens each.
+SAMPLE_DOCS, SAMPLE_TOKENS = 1000, 100_000
+#: Tokens of a group of training documents.
 GROUP_TOKENS = 4_000_000
-MOST_GROUPS = 65_536
 UNKNOWN, END = 0, 1
 RATE = 0.1
 _CHUNKS = 64
@@ -467,26 +466,45 @@ def _ids(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint16).astype(np.int64)
 
 
+def first_rows(rows: DataFrame, n: int, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """_h, ids of about sample_docs of n rows by their hash, never more than twice as many: equal ones count once, and
+    texts of more than SAMPLE_TOKENS tokens, which no driver should hold by the thousand, are left to the groups."""
+    some = rows.filter((F.pmod("_h", F.lit(max(1, -(-n // sample_docs)))) == 0) & (F.length("ids") <= 2 * SAMPLE_TOKENS))
+    return some.groupBy("_h").agg(F.min("ids").alias("ids")).orderBy("_h").limit(2 * sample_docs)
+
+
+def repeats_dropped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a task, equal ones once, so that a row that repeats often sends a group no more than one a task."""
+    seen: set[tuple[int, int]] = set()
+    for pdf in batches:
+        fresh = []
+        for pair in zip(pdf["once"].tolist(), pdf["_h"].tolist(), strict=True):
+            fresh.append(pair not in seen)
+            seen.add(pair)
+        yield pdf[fresh]
+
+
 def learn(model: Model, encoded: DataFrame, sample_docs: int = SAMPLE_DOCS, epochs: int = 3, group_tokens: int = GROUP_TOKENS) -> None:
     """Train model's net in place on the rows of encode() that are not held out.
 
     About sample_docs of them, by hash, are the driver's first fit. Then every one of them is in one group
     by its hash (rows without an id are dealt by their number); a group trains from the same start in the
-    order of the hashes, and the groups' nets are averaged by their tokens in the order of the groups.
+    order of the hashes, and the groups' nets are averaged by their tokens in the order of the groups, in
+    as many levels as there are. Rows that repeat an id and a text teach once.
     """
     rows = encoded.filter(~F.col("held_out"))
     have = rows.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).first()
     if not have["n"]:
         return
-    some = rows.filter(F.pmod("_h", F.lit(max(1, -(-have["n"] // sample_docs)))) == 0).select("_h", "ids").collect()
+    some = first_rows(rows, have["n"], sample_docs).collect()
     train(model.net, [_ids(r["ids"]) for r in sorted(some, key=lambda r: (r["_h"], r["ids"]))], epochs)
-    groups = min(MOST_GROUPS, -(-int(have["tokens"]) // group_tokens))
+    groups = -(-int(have["tokens"]) // group_tokens)
     start, schema = encoded.sparkSession.sparkContext.broadcast(model.net), "chunk int, g long, w double, v binary"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         """A group's net after its documents, in chunks, with the number of its tokens."""
         net, g = start.value.with_flat(start.value.flat()), int(pdf["g"].iloc[0])
-        ids = [_ids(raw) for raw in pdf.sort_values(["_h", "ids"])["ids"]]
+        ids = [_ids(raw) for raw in pdf.drop_duplicates(["once", "_h", "ids"]).sort_values(["_h", "ids"])["ids"]]
         train(net, ids, rate=RATE, streams=WIDE)
         parts = np.array_split(net.flat(), _CHUNKS)
         return pd.DataFrame({"chunk": range(_CHUNKS), "g": g, "w": float(sum(map(len, ids))), "v": [p.tobytes() for p in parts]})
@@ -495,12 +513,15 @@ def learn(model: Model, encoded: DataFrame, sample_docs: int = SAMPLE_DOCS, epoc
         pdf = pdf.sort_values("g")
         w = float(pdf["w"].sum())
         total = sum(w * np.frombuffer(v, np.float32).astype(np.float64) for w, v in zip(pdf["w"], pdf["v"], strict=True))
-        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "g": [int(pdf["g"].iloc[0])], "w": [w], "v": [(total / w).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "g": [int(pdf["g"].iloc[0]) >> 8], "w": [w], "v": [(total / w).astype(np.float32).tobytes()]})
 
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("_rid")).otherwise(F.xxhash64("_h"))
-    nets = rows.select(F.pmod(key, F.lit(groups)).alias("g"), "_h", "ids").groupBy("g").applyInPandas(one, schema)
-    halves = nets.groupBy("chunk", F.shiftright("g", 8).alias("s")).applyInPandas(mean, schema)
-    parts = halves.groupBy("chunk").applyInPandas(mean, schema).collect()
+    own = F.when(F.col("doc_id").isNull(), F.col("_rid")).otherwise(-1)
+    dealt = rows.select(F.pmod(key, F.lit(groups)).cast("int").alias("g"), own.alias("once"), "_h", "ids").mapInPandas(repeats_dropped, "g int, once long, _h long, ids binary")
+    nets = dealt.groupBy("g").applyInPandas(one, schema)
+    while groups > 256:
+        nets, groups = nets.groupBy("chunk", F.shiftright("g", 8)).applyInPandas(mean, schema), -(-groups // 256)
+    parts = nets.groupBy("chunk").applyInPandas(mean, schema).collect()
     model.net = model.net.with_flat(np.concatenate([np.frombuffer(r["v"], np.float32) for r in sorted(parts, key=lambda r: r["chunk"])]))
     start.unpersist()
 
