@@ -55,8 +55,12 @@ def prepared(spark: SparkSession, path: str, schema: str, *by: str) -> None:
 
 
 def put(df: DataFrame, path: str, *by: str) -> int:
-    """Write df over those partitions that it holds, and count its rows on the way."""
+    """Write df over those partitions that it holds, and count its rows on the way.
+
+    Rows of a partition meet in few files; one that is too large for a task is split.
+    """
     seen = Observation()
+    df = df.hint("rebalance", *by)
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     return seen.get["n"]
 

@@ -50,7 +50,7 @@ def prepared(spark: SparkSession, path: str, schema: str, *by: str) -> None:
 
 def put(df: DataFrame, path: str) -> None:
     """Write a batch over its own partition and no other."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(path)
+    df.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "batch").parquet(path)
 
 
 def records(rows: DataFrame, table: dict) -> DataFrame:

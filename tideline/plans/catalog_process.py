@@ -226,14 +226,14 @@ def ks_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "branching_grid",
-    """WITH g AS (SELECT a, b, c FROM (SELECT unnest([0.1, 0.3, 0.6]::DOUBLE[]) AS a), (SELECT unnest([0.05, 0.2]::DOUBLE[]) AS b), (SELECT unnest([0.5, 1.0, 2.0]::DOUBLE[]) AS c)),
-       r AS (SELECT a, b, c, ((2 * a) / c + sqrt((2 * a / c) * (2 * a / c) - 4 * ((a * a - b * b) / (c * c)))) / 2 AS rho FROM g)
-       SELECT a, b, c, round(rho, 9) AS rho, CASE WHEN rho >= 1 THEN 1e18 * (1 + (rho - 1)) ELSE 0.0 END > 0 AS penalised, rho < 0.05 OR rho > 0.95 AS boundary FROM r""",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, round((l_discount + l_tax) / (l_quantity / 100), 6) AS rho FROM lineitem)
+       SELECT l_orderkey, l_linenumber, rho, rho >= 1 AND 1e18 * (1 + (rho - 1)) > 0 AS penalised, rho < 0.05 OR rho > 0.95 AS boundary FROM r""",
 )
 def branching_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _ = ledger.sweep(spark, {"a": [0.1, 0.3, 0.6], "b": [0.05, 0.2], "c": [0.5, 1.0, 2.0]}, F.lit(1))
-    rho = scalars.branching_ratio(F.col("a"), F.col("b"), F.col("b"), F.col("a"), F.col("c"))
-    return d.select("a", "b", "c", rho.alias("r")).select("a", "b", "c", F.round("r", 9).alias("rho"), (scalars.stationarity_penalty(F.col("r")) > 0).alias("penalised"), ((F.col("r") < 0.05) | (F.col("r") > 0.95)).alias("boundary"))
+    """The branching ratio of each row's symmetric matrix over its decay, its penalty and whether it lies at a boundary."""
+    a, b, c = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 100
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(scalars.branching_ratio(a, b, b, a, c), 6).alias("r"))
+    return d.select("l_orderkey", "l_linenumber", F.col("r").alias("rho"), (scalars.stationarity_penalty(F.col("r")) > 0).alias("penalised"), ((F.col("r") < 0.05) | (F.col("r") > 0.95)).alias("boundary"))
 
 
 def _tops(rounds: int) -> str:
@@ -364,7 +364,7 @@ def _profile_sql(etas: list[float], rounds: int) -> str:
          - any_value((u0 + u1) * z + c * s * m0 + c * (1 - s) / x * m1 + c * x * q * m0 + c * (1 - q) * m1) AS ll FROM it, e, m WHERE k = {rounds} GROUP BY eta)"""
 
 
-PROFILED = [0.2, 0.4, 0.6]
+PROFILED = [0.4, 0.5, 0.6]
 
 
 @query("profile_likelihood", f"WITH RECURSIVE {_profile_sql(PROFILED, 800)} SELECT eta, round(ll, 2) AS ll FROM l")
