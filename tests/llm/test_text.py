@@ -102,7 +102,8 @@ def test_equal_rows_teach_once_and_do_not_fill_the_sample(spark):
     assert 204 <= left.count() <= 203 + 6 * 201 and left.select("once", "_h").distinct().count() == 204
     language_model.learn(model, encoded, 300, 1)
     out = language_model.score_encoded(encoded, model, language_model.count(docs)[1])
-    assert out.count() == 3203 and out.filter("doc_id = 7").select(F.round("score", 3)).distinct().count() == 1
+    same = out.filter("doc_id = 7").agg(F.count("*"), F.max("score") - F.min("score")).first()
+    assert out.count() == 3203 and same[0] == 3000 and same[1] < 1e-3
 
 
 # ---- op12
