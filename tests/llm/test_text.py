@@ -91,7 +91,7 @@ def test_held_out_languages(spark):
 
 
 def test_equal_rows_teach_once_and_do_not_fill_the_sample(spark):
-    rows = [(7, "the same words again", False)] * 3000 + [(i, f"some other words {i}", False) for i in range(200)] + [(None, "no id", False)] * 3
+    rows = [(7, "the same words again", False)] * 3000 + [(1000 + i, f"some other words {i}", False) for i in range(200)] + [(None, "no id", False)] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(6)
     model, _ = language_model.count(docs)
     encoded = language_model.encode(docs, model)
