@@ -111,9 +111,16 @@ def test_strip_and_stress(spark):
     normal = lambda u: np.exp(-0.5 * np.asarray(u) ** 2)
     k, q = dependence.invert(normal)
     assert np.abs(q - np.exp(-0.5 * k * k) / math.sqrt(2 * math.pi)).max() < 1e-9
-    assert not dependence.strip(normal, lambda x: x)["degenerate"]
-    flat = dependence.strip(lambda u: np.ones(len(np.atleast_1d(u))) * np.cos(np.atleast_1d(u)), lambda x: x)
-    assert flat["degenerate"] and flat["method"] in ("none", "PROJ", "COS")
+    some = spark.createDataFrame([(1.0,), (-1.0,)], "x double")  # its characteristic function is the cosine
+    slopes = dependence.characteristic(some, "x", [1.0, 10.0, 100.0])
+    good = dependence.densities_of(spark, normal, attempts=2)
+    assert not dependence.strip_state(good, slopes).first()["degenerate"]
+    sold = dependence.strip(good, lambda k: k * k)
+    assert sold.agg({"price": "sum"}).first()[0] == pytest.approx(1.0) and sold.count() == 2048
+    spiky = dependence.densities(some, "x", spread=0.0, attempts=2)
+    flat = dependence.strip_state(spiky, slopes).first()
+    assert flat["degenerate"] and flat["n"] == 4096 and flat["reason"] == "positivity_fail_after_2_12" and flat["method"] in ("none", "PROJ", "COS")
+    assert dependence.strip(spiky, lambda k: k).count() == 0
     rng = np.random.default_rng(0)
     x, y = rng.exponential(size=400), rng.exponential(size=400)
     frame = lambda v: spark.createDataFrame([(float(a),) for a in [*v, math.nan]] + [(None,)], "v double")

@@ -185,11 +185,33 @@ def latin_hypercube(spark, base: Sequence[float] = (1.0, -0.05, 0.1), n: int = 6
     return d
 
 
-def sensitivity(cells: DataFrame, decision: Column, base: bool) -> DataFrame:
-    """One row: flips, the number of cells that decide otherwise than base; examples, the first five; fragile."""
+def designs(df: DataFrame, key: str, base: Sequence[str], n: int = 64, ratio: float = 0.5, seed: str = "lhs") -> DataFrame:
+    """df with i from 0 to n - 1 and x0, x1, ...: a Latin hypercube of n points around each row's own columns `base`.
+
+    Strata and places in them are hashes of seed, dimension, key and i, sorted within the row, so nothing is shuffled.
+    Coordinates of a null base are null; rows that repeat a key get the same strata.
+    """
+    numbers = F.sequence(F.lit(0), F.lit(n - 1))
+    hash_of = lambda k: lambda i: F.md5(F.concat_ws(":", F.lit(seed), F.lit(str(k)), F.col(key).cast("string"), i.cast("string")))
+    hashes = {}
+    for k in range(len(base)):
+        h = F.transform(numbers, hash_of(k))
+        hashes |= {f"_h{k}": h, f"_s{k}": F.array_sort(h)}
+    d = df.withColumns(hashes).withColumn("i", F.explode(numbers))
+    points = {}
+    for k, b in enumerate(base):
+        own = F.col(f"_h{k}")[F.col("i")]
+        place = F.array_position(F.col(f"_s{k}"), own) - 1 + F.conv(F.substring(own, 1, 12), 16, 10).cast("double") / float(16**12)
+        ends = F.col(b) * (1 - ratio), F.col(b) * (1 + ratio)
+        points[f"x{k}"] = F.least(*ends) + (F.greatest(*ends) - F.least(*ends)) * place / n
+    return d.withColumns(points).drop(*hashes)
+
+
+def sensitivity(cells: DataFrame, decision: Column, base: bool | Column, by: Sequence[str] = ()) -> DataFrame:
+    """One row a key `by`: flips, the number of cells that decide otherwise than base; examples, the first five; fragile."""
     d = cells.withColumn("flip", decision != base)
     ex = F.slice(F.array_sort(F.array_compact(F.collect_list(F.when(F.col("flip"), F.col("i"))))), 1, 5)
-    return d.agg(F.count_if("flip").alias("flips"), ex.alias("examples")).withColumn("fragile", F.col("flips") > 0)
+    return d.groupBy(*by).agg(F.count_if("flip").alias("flips"), ex.alias("examples")).withColumn("fragile", F.col("flips") > 0)
 
 
 def self_excitation_gate(eta: Column, floor_met: Column, least: float = 0.2) -> Column:
@@ -212,40 +234,99 @@ def decay_slope(cf: DataFrame) -> DataFrame:
     return cf.filter("u > 0").agg(F.regr_slope(F.ln(size), F.ln("u")).alias("slope"))
 
 
-def invert(cf: Callable[[np.ndarray], np.ndarray], n: int = 2048, reach: float = 200.0) -> tuple[np.ndarray, np.ndarray]:
-    """Grid and density by the inverse transform of a characteristic function on [-reach, reach)."""
-    du = 2 * reach / n
-    phi = np.asarray(cf((np.arange(n) - n // 2) * du), complex)
+def _inverse(phi: np.ndarray, du: float) -> tuple[np.ndarray, np.ndarray]:
+    n = len(phi)
     q = np.fft.fftshift(np.fft.fft(np.fft.ifftshift(phi))).real * du / (2 * np.pi)
     return (np.arange(n) - n // 2) * (2 * np.pi / (n * du)), q
 
 
-def negative_mass(q: np.ndarray) -> float:
-    total = np.abs(q).sum()
-    return float(-q[q < 0].sum() / total) if total else 0.0
-
+def invert(cf: Callable[[np.ndarray], np.ndarray], n: int = 2048, reach: float = 200.0) -> tuple[np.ndarray, np.ndarray]:
+    """Grid and density by the inverse transform of a characteristic function on [-reach, reach)."""
+    du = 2 * reach / n
+    return _inverse(np.asarray(cf((np.arange(n) - n // 2) * du), complex), du)
 
-def _by_decay(slope: float) -> str:
-    return next((name for above, name in scalars.DECAY_METHODS if slope > above), scalars.LAST_METHOD)
 
+ORDER = 12
 
-def log_slope(cf: Callable[[np.ndarray], np.ndarray], us: Sequence[float] = (1.0, 10.0, 100.0)) -> float:
-    """decay_slope() of a characteristic function in numpy: the least-squares slope of ln|phi| on ln u."""
-    x = np.log(us)
-    x -= x.mean()
-    y = np.log(np.abs(cf(np.asarray(us, float))) + 1e-30)
-    return float(x @ y / (x @ x))
 
+def transform(sample: DataFrame, value: str, n: int = 2048, reach: float = 200.0) -> np.ndarray:
+    """The mean of exp(i u x) over every finite value of a sample, at the n equal steps u of [-reach, reach).
 
-def strip(cf: Callable[[np.ndarray], np.ndarray], payoff: Callable[[np.ndarray], np.ndarray], n: int = 2048, tolerance: float = 1e-3, escalations: int = 1) -> dict:
-    """Prices at strikes by density; a finer grid once if the density is too negative, else why there is none."""
-    for attempt in range(escalations + 1):
-        k, q = invert(cf, n << attempt)
-        if (neg := negative_mass(q)) < tolerance:
-            p = np.where(q > 0, q, 0.0)
-            return {"strikes": k, "prices": payoff(k) * p / max(float(p.sum()), 1e-30), "n": n << attempt, "escalated": attempt > 0, "negative_mass": neg, "degenerate": False}
-    slope = log_slope(cf)
-    return {"degenerate": True, "reason": "positivity_fail_after_2_12", "most_negative": float(q.min()), "negative_mass": neg, "slope": slope, "method": _by_decay(slope)}
+    At those u the mean depends on x modulo 2 pi over the step alone. So 4 n cells hold all values, however far they
+    lie, and a cell is summed up by the moments of its values about its middle: one aggregate of ORDER + 1 sums, combined before its
+    shuffle. A series in u then gives the mean, with an error below 1e-14.
+    """
+    du, cells = 2 * reach / n, 4 * n
+    period = 2 * math.pi / du
+    width = period / cells
+    x = F.col(value).cast("double")
+    d = sample.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x") & (F.abs("_x") < float("inf")))
+    at = F.pmod("_x", F.lit(period))
+    d = d.select(at.alias("_p"), F.least(F.floor(at / width), F.lit(cells - 1)).alias("_c")).select("_c", (F.col("_p") - (F.col("_c") + 0.5) * width).alias("_d"))
+    got = d.groupBy("_c").agg(*[F.sum(F.pow("_d", F.lit(j))).alias(f"m{j}") for j in range(ORDER + 1)]).toPandas()
+    sums = np.zeros((ORDER + 1, cells))
+    sums[:, got["_c"].to_numpy(int)] = got[[f"m{j}" for j in range(ORDER + 1)]].to_numpy(float).T
+    m = np.arange(n) - n // 2
+    u = m * du
+    each = np.fft.ifft(sums, axis=1)[:, m % cells] * cells
+    series = sum(each[j] * (1j * u) ** j / math.factorial(j) for j in range(ORDER + 1))
+    return series * np.exp(0.5j * u * width) / max(float(sums[0].sum()), 1.0)
+
+
+def _density_rows(spark, phi: np.ndarray, reach: float, attempts: int) -> DataFrame:
+    """attempt, n, k, q: a finest transform has every coarser one in it, each second frequency a time."""
+    parts = []
+    for a in range(attempts):
+        own = phi[:: 1 << (attempts - 1 - a)]
+        k, q = _inverse(own, 2 * reach / len(own))
+        parts.append(pd.DataFrame({"attempt": a, "n": len(own), "k": k, "q": q}))
+    return spark.createDataFrame(pd.concat(parts), "attempt int, n int, k double, q double")
+
+
+def densities(sample: DataFrame, value: str, n: int = 2048, reach: float = 200.0, spread: float = 0.2, attempts: int = 1) -> DataFrame:
+    """attempt, n, k, q: the density of all finite values under a normal kernel of deviation `spread`, on n grid points and
+    on twice as many a further attempt; 0 spreads nothing. A sample without values has a flat density."""
+    most = n << (attempts - 1)
+    u = (np.arange(most) - most // 2) * (2 * reach / most)
+    return _density_rows(sample.sparkSession, transform(sample, value, most, reach) * np.exp(-0.5 * (spread * u) ** 2), reach, attempts)
+
+
+def densities_of(spark, cf: Callable[[np.ndarray], np.ndarray], n: int = 2048, reach: float = 200.0, attempts: int = 1) -> DataFrame:
+    """The same rows for a characteristic function that is known."""
+    most = n << (attempts - 1)
+    return _density_rows(spark, np.asarray(cf((np.arange(most) - most // 2) * (2 * reach / most)), complex), reach, attempts)
+
+
+TOLERANCE = 1e-3
+
+
+def _tries(density: DataFrame) -> DataFrame:
+    """attempt, n, total, negative_mass, most_negative: one row an attempt."""
+    lost = F.sum(F.greatest(-F.col("q"), F.lit(0.0)))
+    negative = F.coalesce(lost / F.nullif(F.sum(F.abs("q")), F.lit(0.0)), F.lit(0.0))
+    return density.groupBy("attempt", "n").agg(F.sum(F.greatest("q", F.lit(0.0))).alias("total"), negative.alias("negative_mass"), F.min("q").alias("most_negative"))
+
+
+def strip(density: DataFrame, payoff: Callable[[Column], Column], tolerance: float = TOLERANCE) -> DataFrame:
+    """attempt, n, strike, price, negative_mass at every grid point of the first attempt that is not too negative; no row where none is."""
+    tries = _tries(density).filter(F.col("negative_mass") < tolerance)
+    first = tries.agg(F.min_by(F.struct("attempt", "total", "negative_mass"), "attempt").alias("c")).select("c.*")
+    d = density.join(F.broadcast(first), "attempt")
+    price = payoff(F.col("k")) * F.greatest("q", F.lit(0.0)) / F.greatest("total", F.lit(1e-30))
+    return d.select("attempt", "n", F.col("k").alias("strike"), price.alias("price"), "negative_mass")
+
+
+def strip_state(density: DataFrame, cf: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row: degenerate, n, escalated, negative_mass, most_negative of the attempt that holds, or of the last with reason, slope
+    and method: how fast the characteristic function cf (u, re, im) decays and what would suit that."""
+    t = _tries(density).withColumn("good", F.col("negative_mass") < tolerance)
+    # the first good attempt, or the last of all
+    pick = t.agg(F.min_by(F.struct("attempt", "n", "negative_mass", "most_negative", "good"), F.when(F.col("good"), F.col("attempt")).otherwise(1000 - F.col("attempt"))).alias("c")).select("c.*")
+    bad = ~F.col("good")
+    d = pick.crossJoin(decay_slope(cf)).select(
+        bad.alias("degenerate"), "n", (F.col("attempt") > 0).alias("escalated"), "negative_mass", "most_negative", F.when(bad, "positivity_fail_after_2_12").alias("reason"), F.when(bad, F.col("slope")).alias("slope"),
+    )
+    return d.withColumn("method", F.when(F.col("degenerate"), scalars.decay_method(F.col("slope"))))
 
 
 def quantiles(sample: DataFrame, value: str, points: int = 100_001) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,3 +80,25 @@ def sweep(spark, grids: Mapping[str, Sequence[float]], decision: Column) -> tupl
         d = g if d is None else d.crossJoin(F.broadcast(g))
     d = d.withColumn("decision", decision)
     return d, d.agg(F.count("*").alias("cells"), F.count_distinct("decision").alias("outcomes")).withColumn("invariant", F.col("outcomes") == 1)
+
+
+MOST_CELLS = 10_000
+
+
+def sweep_rows(df: DataFrame, grids: Mapping[str, Sequence[float]], decision: Column) -> DataFrame:
+    """Every row of df at every combination of some small grids, with the decision there.
+
+    The grids are exploded where the row is, so nothing is joined or shuffled; more than MOST_CELLS combinations are an error.
+    """
+    if (cells := math.prod(len(v) for v in grids.values())) > MOST_CELLS:
+        raise ValueError(f"{cells} combinations, at most {MOST_CELLS} a row")
+    for name, values in grids.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    return df.withColumn("decision", decision)
+
+
+def invariance(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The keys `by`, cells, outcomes (distinct decisions, null is none), invariant: whether there is just one."""
+    seen = lambda d: F.coalesce(F.bool_or(d).cast("int"), F.lit(0))
+    d = cells.groupBy(*by).agg(F.count("*").alias("cells"), (seen(F.col("decision")) + seen(~F.col("decision"))).cast("long").alias("outcomes"))
+    return d.withColumn("invariant", F.col("outcomes") == 1)

@@ -307,11 +307,14 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sensitivity_sweep",
-    """WITH g AS (SELECT unnest([0.1, 0.2, 0.3]) AS lam), h AS (SELECT unnest([1.0, 2.0, 3.0]) AS mu)
-       SELECT count(*) AS cells, count(DISTINCT lam * mu > 0.35) AS outcomes, count(DISTINCT lam * mu > 0.35) = 1 AS invariant FROM g, h""",
+    """WITH g AS (SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS lam), h AS (SELECT unnest([1.0, 2.0, 3.0]::DOUBLE[]) AS mu)
+       SELECT o_custkey, count(*) AS cells, count(DISTINCT o_totalprice * lam * mu > 50000) AS outcomes, count(DISTINCT o_totalprice * lam * mu > 50000) = 1 AS invariant FROM orders, g, h GROUP BY o_custkey""",
 )
 def sensitivity_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.sweep(spark, {"lam": [0.1, 0.2, 0.3], "mu": [1.0, 2.0, 3.0]}, F.col("lam") * F.col("mu") > 0.35)[1]
+    """Of each customer: whether a decision on their orders is the same everywhere on a grid of parameters."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
+    cells = ledger.sweep_rows(o, {"lam": [0.1, 0.2, 0.3], "mu": [1.0, 2.0, 3.0]}, F.col("o_totalprice") * F.col("lam") * F.col("mu") > 50000)
+    return ledger.invariance(cells, ["o_custkey"])
 
 
 @query(

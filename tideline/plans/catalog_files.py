@@ -127,18 +127,39 @@ def tx_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.log_rows(logs.normalise_tx_logs(items, "purchase")).select("blockNumber", "txHash", "logIndex", "contractAddress", F.size("topics").alias("topics"))
 
 
-@query("protocol_file", "SELECT v AS vault, active, 7777 AS fee_tier, 120 AS finality, 42 AS head FROM (VALUES ('v1', TRUE), ('v2', FALSE)) t(v, active)")
+@query(
+    "protocol_file",
+    """WITH s AS (SELECT s_suppkey, s_suppkey % 10 = 9 AS bad, s_suppkey % 2 = 0 AS short FROM supplier)
+       SELECT s_suppkey, v AS vault, CASE v WHEN 'v1' THEN s_suppkey % 3 = 0 WHEN 'v2' THEN FALSE END AS active, CASE WHEN NOT bad THEN (500 + s_suppkey)::INTEGER END AS fee_tier,
+         CASE WHEN NOT bad THEN CASE WHEN short THEN 64 ELSE 120 END END AS finality, CASE WHEN NOT bad THEN '0x' || substr(sha256(s_suppkey::VARCHAR), 1, 40) END AS pool, bad AS broken,
+         CASE WHEN s_suppkey % 4 = 0 THEN 1000 + s_suppkey WHEN s_suppkey % 4 = 1 THEN 2000 + s_suppkey ELSE 42 END AS head
+       FROM s, (SELECT unnest(['v1', 'v2', NULL]) AS v) WHERE (v IS NULL) = bad""",
+)
 def protocol_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = "0x" + "1" * 40
-    p = config.load_protocol(f'[protocol]\nname = "x"\nchain_id = 5\n[protocol.anchor_pool]\naddress = "{a}"\nfee_tier_bps = 7777\n[protocol.vaults.v1]\nactive = true\n[protocol.vaults.v2]\nactive = false\n')
-    head = config.resolve_head(None, None, 42, None)
-    return spark.createDataFrame([(v, v in p.active_vaults(), p.fee_tier, p.finality, head) for v in p.vaults], "vault string, active boolean, fee_tier int, finality int, head int")
+    """Specifications, one a supplier, parsed in bulk, some of them with an address that is none, and the head of each."""
+    k = F.col("s_suppkey")
+    line = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    text = F.concat_ws(
+        "\n", line("[protocol]"), line('name = "p', k.cast("string"), '"'), line("chain_id = 5"), F.when(k % 2 == 0, "finality = 64"),
+        line("[protocol.anchor_pool]"), line('address = "0x', F.substring(F.sha2(k.cast("string"), 256), 1, 40), F.when(k % 10 == 9, "z").otherwise(""), '"'), line("fee_tier_bps = ", (500 + k).cast("string")),
+        line("[protocol.vaults.v1]"), line("active = ", F.when(k % 3 == 0, "true").otherwise("false")), line("[protocol.vaults.v2]"), line("active = false"),
+    )
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text"))
+    head = config.head_of(F.when(k % 4 == 0, (1000 + k).cast("string")).otherwise(""), F.when(k % 4 == 1, 2000 + k), F.lit(42))
+    return config.protocols(s, "text", "s_suppkey").select("s_suppkey", "vault", "active", "fee_tier", "finality", "pool", F.col("error").isNotNull().alias("broken"), head.alias("head"))
 
 
-@query("front_matter", "SELECT * FROM (VALUES ('FAIL', 'measured')) t(verdict, evidence)")
+@query(
+    "front_matter",
+    """SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN upper(source) END AS verdict, CASE WHEN doc_id % 3 > 0 THEN lang END AS evidence, CASE WHEN doc_id % 3 > 0 AND lang = 'en' THEN TRUE ELSE FALSE END AS calibrated FROM documents""",
+)
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "---\nverdict: fail\nevidence_source: 'measured'\n---\nverdict: pass\n"
-    return spark.createDataFrame([(config.verdict(text), config.calibration(text, "measured")["evidence_source"])], "verdict string, evidence string")
+    """Verdict and evidence of whole documents, two of three with front matter before their text."""
+    head = F.concat(F.lit("---\nverdict : none\nverdict: "), F.col("source"), F.lit("\nevidence_source: '"), F.col("lang"), F.lit("'\n---\nverdict: pass\n"))
+    text = F.concat(F.when(F.col("doc_id") % 3 > 0, head).otherwise(""), F.coalesce("text", F.lit("")))
+    d = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    evidence = config.front_matter_value(F.col("text"), "evidence_source")
+    return d.select("doc_id", F.upper(config.front_matter_value(F.col("text"), "verdict")).alias("verdict"), evidence.alias("evidence"), F.coalesce(evidence == "en", F.lit(False)).alias("calibrated"))
 
 
 #: Signatures of events and the topics that are known for them.
@@ -150,9 +171,22 @@ SIGNATURES = {
 }
 
 
-@query("topic_hashes", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{t}')" for s, t in SIGNATURES.items()) + ") t(signature, topic)")
+_KINDS = dict(zip(("purchase", "click", "view"), SIGNATURES, strict=False))
+_LAST = list(SIGNATURES)[-1]
+
+
+@query(
+    "topic_hashes",
+    f"SELECT CASE event_type {' '.join(f"WHEN '{k}' THEN '{s}'" for k, s in _KINDS.items())} ELSE '{_LAST}' END AS signature, "
+    f"CASE event_type {' '.join(f"WHEN '{k}' THEN '{SIGNATURES[s]}'" for k, s in _KINDS.items())} ELSE '{SIGNATURES[_LAST]}' END AS topic, count(*) AS n FROM events GROUP BY 1, 2",
+)
 def topic_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(s, bigints.topic_of(s)) for s in SIGNATURES], "signature string, topic string")
+    """The topic of each signature that events have, hashed once a signature."""
+    kind = F.lit(_LAST)
+    for name, signature in _KINDS.items():
+        kind = F.when(F.col("event_type") == name, signature).otherwise(kind)
+    n = table(spark, sf_dir, "events").groupBy(kind.alias("signature")).agg(F.count("*").alias("n"))
+    return n.select("signature", bigints.topic_udf("signature").alias("topic"), "n")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import registration
 from tideline.operators import dependence, hawkes, ledger
-from tideline.plans.catalog_process import process, _uniforms, legs
+from tideline.plans.catalog_process import _UV, _uniforms, legs, process
 from tideline.plans.catalog_sql import LEGS
 from tideline.plans.registry import query
 from tideline.session import table
@@ -47,20 +47,39 @@ def _sums(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return dependence.sample_copula(best["family"], best["theta"], best["nu"], 4000, 1).sum(axis=1)
 
 
-@query("density")
+#: A normal kernel of deviation 0.2 over a sample x, on the grid of 2048 steps.
+_KERNEL = "g AS (SELECT (i - 1024) * pi() / 200 AS k FROM (SELECT unnest(range(0, 2048)) AS i)), d AS (SELECT k, sum(exp(-(k - x) * (k - x) / 0.08)) / (count(*) * 0.2 * sqrt(2 * pi())) AS q FROM g, x GROUP BY k)"
+_SUMS = f"{_UV}, x AS (SELECT u + v AS x FROM s), {_KERNEL}"
+_BALANCES = f"x AS (SELECT c_acctbal / 1000 AS x FROM customer), {_KERNEL}"
+
+
+def _pair_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _uniforms(spark, sf_dir).select((F.col("u") + F.col("v")).alias("x"))
+
+
+def _rounded(c: str, digits: int) -> F.Column:
+    return (F.round(c, digits) + 0.0).alias(c)
+
+
+@query("density", f"WITH {_SUMS} SELECT round(k, 6) AS k, round(q, 6) AS q FROM d")
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density of a copula sample's sum, smoothed, by the inverse transform of its characteristic function."""
-    x = _sums(spark, sf_dir)
-    k, q = dependence.invert(lambda us: np.array([np.exp(1j * u * x).mean() for u in us]) * np.exp(-0.02 * us * us), 2048)
-    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(k, q, strict=True)], "k double, q double")
+    """Density of the sum of all pairs of uniforms, smoothed, by the inverse transform of its characteristic function."""
+    return dependence.densities(_pair_sums(spark, sf_dir), "x").select(_rounded("k", 6), _rounded("q", 6))
 
 
-@query("strip")
+@query("strip", f"WITH {_SUMS} SELECT 2048 AS n, round(k, 6) AS strike, round(greatest(k, 0) * q / (SELECT sum(q) FROM d), 7) AS price FROM d")
 def strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The replicating strip, or why there is none."""
-    x = _sums(spark, sf_dir)
-    s = dependence.strip(lambda us: np.array([np.exp(1j * u * x).mean() for u in us]) * np.exp(-0.02 * us * us), lambda k: np.maximum(k, 0))
-    return spark.createDataFrame([(str(k), str(v)) for k, v in s.items() if k not in ("strikes", "prices")], "key string, value string")
+    """The replicating strip of all pairs at its strikes."""
+    s = dependence.strip(dependence.densities(_pair_sums(spark, sf_dir), "x", attempts=2), lambda k: F.greatest(k, F.lit(0.0)))
+    return s.select("n", _rounded("strike", 6), _rounded("price", 7))
+
+
+@query("strip_state", f"WITH {_SUMS} SELECT FALSE AS degenerate, 2048 AS n, FALSE AS escalated, round(sum(CASE WHEN q < 0 THEN -q ELSE 0 END) / sum(abs(q)), 6) AS negative_mass, NULL::VARCHAR AS reason, NULL::VARCHAR AS method FROM d")
+def strip_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether there is a strip, on which grid, or why there is none."""
+    x = _pair_sums(spark, sf_dir)
+    s = dependence.strip_state(dependence.densities(x, "x", attempts=2), dependence.characteristic(x, "x", [1.0, 10.0, 100.0]))
+    return s.select("degenerate", "n", "escalated", _rounded("negative_mass", 6), "reason", "method")
 
 
 @query("stress")
@@ -96,25 +115,19 @@ def stress_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 6).alias(c) for c in ("independence", "fitted", "comonotone", "divergence_pct")], "diverges")
 
 
-_NORMAL = lambda us: np.exp(-0.5 * np.asarray(us) ** 2)
-
-
-@query("normal_density", "SELECT round((i - 1024) * pi() / 200, 6) AS k, round(exp(-0.5 * pow((i - 1024) * pi() / 200, 2)) / sqrt(2 * pi()), 7) AS q FROM (SELECT unnest(range(0, 2048)) AS i)")
+@query("normal_density", f"WITH {_BALANCES} SELECT round(k, 6) AS k, round(q, 6) AS q FROM d")
 def normal_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inverse transform against a density that is known."""
-    k, q = dependence.invert(_NORMAL, 2048)
-    return spark.createDataFrame([(round(float(a), 6), abs(round(float(b), 7))) for a, b in zip(k, q, strict=True)], "k double, q double")
+    """The density of the customers' balances under a normal kernel, whose sum over the rows is known."""
+    x = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("x"))
+    return dependence.densities(x, "x").select(_rounded("k", 6), _rounded("q", 6))
 
 
-@query(
-    "normal_strip",
-    """WITH g AS (SELECT (i - 1024) * pi() / 200 AS k FROM (SELECT unnest(range(0, 2048)) AS i)), d AS (SELECT k, exp(-0.5 * k * k) AS p FROM g)
-       SELECT round(k, 6) AS strike, round(greatest(k - 1, 0) * p / (SELECT sum(p) FROM d), 7) AS price FROM d""",
-)
+@query("normal_strip", f"WITH {_BALANCES} SELECT round(k, 6) AS strike, round(greatest(k - 1, 0) * q / (SELECT sum(q) FROM d), 7) AS price FROM d")
 def normal_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A strip's prices at its strikes, for a distribution that is known."""
-    s = dependence.strip(_NORMAL, lambda k: np.maximum(k - 1, 0))
-    return spark.createDataFrame([(round(float(a), 6), round(float(b), 7)) for a, b in zip(s["strikes"], s["prices"], strict=True)], "strike double, price double")
+    """A strip's prices at its strikes, for the same density."""
+    x = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 1000).alias("x"))
+    s = dependence.strip(dependence.densities(x, "x", attempts=2), lambda k: F.greatest(k - 1, F.lit(0.0)))
+    return s.select(_rounded("strike", 6), _rounded("price", 7))
 
 
 @query("projected_fit")
@@ -131,22 +144,38 @@ def projected_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("sql_functions")
+@query(
+    "sql_functions",
+    """WITH p AS (SELECT l_orderkey, l_linenumber % 2 AS leg, l_quantity AS t FROM lineitem),
+       e AS (SELECT a.l_orderkey, a.leg, a.t, a.rid, coalesce(sum(exp(-(a.t - b.t))) FILTER (b.leg = 0), 0) AS r0, coalesce(sum(exp(-(a.t - b.t))) FILTER (b.leg = 1), 0) AS r1
+             FROM (SELECT *, row_number() OVER () AS rid FROM p) a LEFT JOIN p b ON a.l_orderkey = b.l_orderkey AND b.t < a.t GROUP BY ALL)
+       SELECT l_orderkey, count(*) AS n, round(CASE WHEN count(*) FILTER (leg = 0) > 0 AND count(*) FILTER (leg = 1) > 0
+         THEN sum(ln(0.05 + CASE leg WHEN 0 THEN 0.3 * r0 + 0.1 * r1 ELSE 0.2 * r0 + 0.25 * r1 END)) - 0.1 * 60 - sum(CASE leg WHEN 0 THEN 0.5 ELSE 0.35 END * (1 - exp(-(60 - t)))) END, 6) AS ll FROM e GROUP BY l_orderkey""",
+)
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registered functions from SQL: simulated replicates and their likelihood under constant rates."""
+    """A registered function from SQL: each order's lines as a process of its own, and its likelihood; null where a leg is empty."""
     registration.register(spark)
+    lines = table(spark, sf_dir, "lineitem")
     return spark.sql(
-        """SELECT rep, count(*) AS n, hawkes_ll(collect_list(t), collect_list(leg), array(0.05D, 0.05D), array(0D, 0D, 0D, 0D), 1D, 500D) AS ll
-           FROM poisson_sim(5, 0.05D, 0.05D, 500D, 1) GROUP BY rep"""
-    )
+        """SELECT l_orderkey, size(t) AS n, CASE WHEN array_contains(leg, 0) AND array_contains(leg, 1)
+             THEN round(hawkes_ll(t, leg, array(0.05D, 0.05D), array(0.3D, 0.1D, 0.2D, 0.25D), 1D, 60D), 6) END AS ll
+           FROM (SELECT l_orderkey, collect_list(l_quantity) AS t, collect_list(l_linenumber % 2) AS leg FROM {lines} GROUP BY l_orderkey)""",
+        lines=lines,
+    ).withColumn("n", F.col("n").cast("long"))
 
 
-@query("lag_pairs", "SELECT lag::INTEGER AS lag, count(*) AS n FROM (SELECT unnest(range(-3, 4)) AS lag), (SELECT unnest(range(0, 40)) AS i) WHERE i + lag BETWEEN 0 AND 39 GROUP BY lag")
+@query("lag_pairs", "WITH c AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, lag::INTEGER AS lag, n - abs(lag) AS pairs FROM c, (SELECT unnest(range(-3, 4)) AS lag) WHERE n > abs(lag)")
 def lag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered table function over a table: of each customer's orders, the pairs that each lag compares."""
     registration.register(spark)
-    return spark.sql("SELECT lag, count(*) AS n FROM lag_pairs(40, 3) GROUP BY lag")
+    return spark.sql(
+        """SELECT o_custkey, lag, count(*) AS pairs FROM (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) c, LATERAL lag_pairs(CAST(c.n AS INT), 3) GROUP BY o_custkey, lag""",
+        orders=table(spark, sf_dir, "orders"),
+    )
 
 
-@query("sweep_grid", "SELECT a, b, a * b > 0.5 AS decision FROM (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS a), (SELECT unnest([0.4, 0.6]::DOUBLE[]) AS b)")
+@query("sweep_grid", "SELECT p_partkey, a, b, p_retailprice * a * b > 500 AS decision FROM part, (SELECT unnest([0.5, 1.0]::DOUBLE[]) AS a), (SELECT unnest([0.4, 0.6]::DOUBLE[]) AS b)")
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.sweep(spark, {"a": [0.5, 1.0], "b": [0.4, 0.6]}, F.col("a") * F.col("b") > 0.5)[0]
+    """Every part's decision at every cell of a grid."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return ledger.sweep_rows(p, {"a": [0.5, 1.0], "b": [0.4, 0.6]}, F.col("p_retailprice") * F.col("a") * F.col("b") > 500).drop("p_retailprice")

@@ -410,27 +410,34 @@ def copula_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependence.best_family(dependence.fit_menu(_uniforms(spark, sf_dir)))
 
 
-@query(
-    "latin_hypercube",
-    """WITH b AS (SELECT * FROM (VALUES (0, 0.5, 1.5), (1, -0.075, -0.025), (2, 0.05, 0.15)) t(k, lo, hi)),
-       h AS (SELECT i, k, lo, hi, md5('lhs:' || k || ':' || i) AS h FROM (SELECT unnest(range(0, 64)) AS i), b),
-       x AS (SELECT i, k, lo + (hi - lo) * (row_number() OVER (PARTITION BY k ORDER BY h) - 1 + ('0x' || substr(h, 1, 12))::BIGINT / 281474976710656.0) / 64 AS x FROM h)
-       SELECT i, round(max(x) FILTER (k = 0), 9) AS x0, round(max(x) FILTER (k = 1), 9) AS x1, round(max(x) FILTER (k = 2), 9) AS x2 FROM x GROUP BY i""",
-)
+def _design_sql(n: int) -> str:
+    return f"""b AS (SELECT s_suppkey, k, s_acctbal * (s_nationkey + 1) > 60000 AS base, CASE k WHEN 0 THEN s_acctbal WHEN 1 THEN s_nationkey + 1.0 ELSE -s_acctbal / 1e5 END AS b FROM supplier, (SELECT unnest(range(0, 3)) AS k)),
+       h AS (SELECT s_suppkey, base, i, k, least(b * 0.5, b * 1.5) AS lo, greatest(b * 0.5, b * 1.5) AS hi, md5('lhs:' || k || ':' || s_suppkey || ':' || i) AS h FROM b, (SELECT unnest(range(0, {n})) AS i)),
+       x AS (SELECT s_suppkey, base, i, k, lo + (hi - lo) * (row_number() OVER (PARTITION BY s_suppkey, k ORDER BY h) - 1 + ('0x' || substr(h, 1, 12))::BIGINT / 281474976710656.0) / {n} AS x FROM h),
+       p AS (SELECT s_suppkey, base, i, max(x) FILTER (k = 0) AS x0, max(x) FILTER (k = 1) AS x1, max(x) FILTER (k = 2) AS x2 FROM x GROUP BY s_suppkey, base, i)"""
+
+
+def _designs(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal", (F.col("s_nationkey") + 1.0).alias("nation"), (-F.col("s_acctbal") / 1e5).alias("shift"))
+    return dependence.designs(s, "s_suppkey", ["s_acctbal", "nation", "shift"], n)
+
+
+@query("latin_hypercube", f"WITH {_design_sql(16)} SELECT s_suppkey, i, round(x0, 6) AS x0, round(x1, 6) AS x1, round(x2, 6) AS x2 FROM p")
 def latin_hypercube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dependence.latin_hypercube(spark)
-    return d.select("i", *[F.round(f"x{k}", 9).alias(f"x{k}") for k in range(3)])
+    """Sixteen points around each supplier's own parameters, each stratum of each parameter once."""
+    return _designs(spark, sf_dir, 16).select("s_suppkey", "i", *[F.round(f"x{k}", 6).alias(f"x{k}") for k in range(3)])
 
 
 @query(
     "sensitivity_flips",
-    """WITH b AS (SELECT * FROM (VALUES (0, 0.5, 1.5), (2, 0.05, 0.15)) t(k, lo, hi)), h AS (SELECT i, k, lo, hi, md5('lhs:' || k || ':' || i) AS h FROM (SELECT unnest(range(0, 64)) AS i), b),
-       x AS (SELECT i, k, lo + (hi - lo) * (row_number() OVER (PARTITION BY k ORDER BY h) - 1 + ('0x' || substr(h, 1, 12))::BIGINT / 281474976710656.0) / 64 AS x FROM h),
-       f AS (SELECT i, NOT (max(x) FILTER (k = 0) * max(x) FILTER (k = 2) < 0.12) AS flip FROM x GROUP BY i)
-       SELECT count(*) FILTER (flip) AS flips, array_to_string(list_slice(list(i ORDER BY i) FILTER (flip), 1, 5), ',') AS examples, count(*) FILTER (flip) > 0 AS fragile FROM f""",
+    f"""WITH {_design_sql(64)}, f AS (SELECT s_suppkey, i, (x0 * x1 > 60000) <> base AS flip FROM p)
+       SELECT s_suppkey, count(*) FILTER (flip) AS flips, coalesce(array_to_string(list_slice(list(i ORDER BY i) FILTER (flip), 1, 5), ','), '') AS examples, count(*) FILTER (flip) > 0 AS fragile FROM f GROUP BY s_suppkey""",
 )
 def sensitivity_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dependence.sensitivity(dependence.latin_hypercube(spark), F.col("x0") * F.col("x2") < 0.12, True).withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
+    """Of each supplier: how many of 64 points decide otherwise than its own parameters do."""
+    own = F.col("s_acctbal") * F.col("nation") > 60000
+    s = dependence.sensitivity(_designs(spark, sf_dir, 64), F.col("x0") * F.col("x1") > 60000, own, ["s_suppkey"])
+    return s.withColumn("examples", F.array_join(F.col("examples").cast("array<string>"), ","))
 
 
 @query("gate", f"WITH {_MOM}, k AS (SELECT bool_or(n >= 30 AND m3 > 0 AND m4 / (m2 * m2) - 3 > 0) AS tails FROM m) SELECT tails, FALSE AS excited, tails OR FALSE AS any_passed FROM k")

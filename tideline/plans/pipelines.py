@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,9 +89,9 @@ def hedge(report: dict, residuals: DataFrame, cost: str | None = None, reps: int
     fam = family or {"family": "independence", "theta": 0.0, "nu": 0.0}
     fitted = dependence.sample_copula(fam["family"], fam["theta"], fam["nu"], samples, report["seed"] % 2**32)
     sums = np.interp(fitted[:, 0], np.linspace(0, 1, max(len(x), 2)), np.sort(x) if len(x) > 1 else [0, 1]) + np.interp(fitted[:, 1], np.linspace(0, 1, max(len(y), 2)), np.sort(y) if len(y) > 1 else [0, 1])
-    cf = lambda us: np.array([np.exp(1j * u * sums).mean() for u in np.atleast_1d(us)])
-    strip = dependence.strip(cf, lambda k: k)
-    out["strip"] = {k: v for k, v in strip.items() if k not in ("strikes", "prices")}
+    drawn = good.sparkSession.createDataFrame(pd.DataFrame({"x": sums}), "x double")
+    strip = dependence.strip_state(dependence.densities(drawn, "x", spread=0.0, attempts=2), dependence.characteristic(drawn, "x", [1.0, 10.0, 100.0])).first().asDict()
+    out["strip"] = strip
     points = dependence.scenarios(good.sparkSession, fitted, samples, str(report["seed"]))
     out["stress"] = dependence.stress(points, good.filter("leg = 0"), good.filter("leg = 1"), "rescaled_dt", lambda a, b: a + b).first().asDict()
     p = report["lr_test"]["p_value"]

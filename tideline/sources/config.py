@@ -1,4 +1,4 @@
-"""Configuration sources, read on the driver: protocol specifications, front matter, the chain's head."""
+"""Configuration sources: protocol specifications, front matter, the chain's head; one text on the driver, or a column of them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ import tomllib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 ADDRESS = re.compile(r"0x[0-9a-fA-F]{40}")
 
 
@@ -64,3 +68,41 @@ def resolve_head(env: str | None, snapshot: int | None, constant: int | None, li
     if dry_run or live is None:
         raise ValueError("no head block is known")
     return int(live())
+
+
+SPEC_FIELDS = "name string, chain_id int, fee_tier int, pool string, finality int, vault string, active boolean, error string"
+
+
+def protocols(specs: DataFrame, text: str, key: str) -> DataFrame:
+    """key and SPEC_FIELDS: a row a vault of each specification in the column `text`, one row with a null vault where it
+    names none. A text that is null, no TOML or holds a bad address is one row with its error alone."""
+    names = [f.split()[0] for f in SPEC_FIELDS.split(", ")]
+
+    def rows(text: str | None) -> list[dict]:
+        try:
+            p = load_protocol(text or "")
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            return [{"error": f"{type(e).__name__}: {e}"}]
+        own = {"name": p.name, "chain_id": p.chain_id, "fee_tier": p.fee_tier, "pool": p.pool, "finality": p.finality}
+        return [own | {"vault": k, "active": bool(v.get("active"))} for k, v in p.vaults.items()] or [own]
+
+    def run(batches):
+        for pdf in batches:
+            out = [{key: k} | r for k, t in zip(pdf[key], pdf[text], strict=True) for r in rows(t)]
+            kinds = {"chain_id": "Int32", "fee_tier": "Int32", "finality": "Int32", "active": "boolean"}
+            yield pd.DataFrame(out, columns=[key, *names]).astype({n: kinds.get(n, object) for n in names})
+
+    return specs.select(key, text).mapInPandas(run, f"{key} {specs.schema[key].dataType.simpleString()}, {SPEC_FIELDS}")
+
+
+def front_matter_value(text: Column, key: str) -> Column:
+    """The value of a key in a text's front matter, the last one where it repeats; null without front matter or key."""
+    head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    lines = F.filter(F.split(head, "\n"), lambda x: F.trim(F.substring_index(x, ":", 1)) == key)
+    value = F.trim(F.regexp_replace(F.get(lines, F.size(lines) - 1), "^[^:]*:", ""))
+    return F.when(F.size(lines) > 0, F.regexp_replace(value, "^[\"']+|[\"']+$", ""))
+
+
+def head_of(env: Column, snapshot: Column, constant: Column) -> Column:
+    """resolve_head() for columns, without a live source: an empty environment is none."""
+    return F.coalesce(F.nullif(env, F.lit("")).cast("long"), snapshot.cast("long"), constant.cast("long"))
