@@ -93,3 +93,46 @@ def test_sinks(spark, tmp_path):
     sinks.append_ledger(spark.createDataFrame([("x",)], "endpoint string"), str(tmp_path / "l"))
     sinks.append_ledger(spark.createDataFrame([("y",)], "endpoint string"), str(tmp_path / "l"))
     assert spark.read.json(str(tmp_path / "l")).count() == 2
+
+
+def _pages(spark, path, first, last):
+    d = spark.range(first, last + 1).selectExpr(
+        "concat('0x', lower(hex(id))) AS blockNumber", "'' AS blockHash", "concat('0x', id) AS transactionHash", "'0x0' AS logIndex", "'0xp' AS address", "array(concat('0xt', id % 2)) AS topics",
+        "'0x' AS data", "concat('0x', hex(2 * id)) AS timeStamp", "id AS block",
+    )
+    blocklog.write_pages(d, path, 10)
+
+
+def test_filters_choose_the_ranges_that_are_read(spark, tmp_path):
+    _pages(spark, str(tmp_path / "p"), 0, 99)
+    spark.dataSource.register(blocklog.BlockLogSource)
+    df = spark.read.format("blocklog").options(path=str(tmp_path / "p"), chunkSize=10).load()
+    assert df.rdd.getNumPartitions() == 10 and df.count() == 100
+    some = df.filter("block > 24 AND block <= 39 AND topic = '0xt1'")
+    assert some.rdd.getNumPartitions() == 2 and sorted(r["block"] for r in some.collect()) == list(range(25, 40, 2))
+    both = df.filter("topic IN ('0xt0', '0xt1') AND data = '0x' AND block = 7")
+    assert both.rdd.getNumPartitions() == 2 and both.count() == 1
+    assert df.filter("topic = ''").count() == 0 and df.filter("block > 30 AND block < 20").count() == 0
+    r = blocklog.BlockLogReader({"fetcher": "x:y", "fromBlock": "1", "toBlock": "30", "chunkSize": "10", "topics": "0xt,0xu"})
+    left = list(r.pushFilters([blocklog.EqualTo(("topic",), "0xu"), blocklog.LessThan(("block",), 21), blocklog.EqualTo(("data",), "0x")]))
+    assert [(p.first, p.last, p.topic) for p in r.partitions()] == [(1, 10, "0xu"), (11, 20, "0xu")] and blocklog.EqualTo(("data",), "0x") in left
+
+
+def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
+    spark.dataSource.register(blocklog.BlockLogSource)
+    at = {k: str(tmp_path / k) for k in ("pages", "out", "checkpoint")}
+    for first, last in ((0, 29), (30, 59), (60, 59)):
+        if last >= first:
+            _pages(spark, at["pages"], first, last)
+        raw = spark.readStream.format("blocklog").options(path=at["pages"], chunkSize=10).load()
+        raw.select("block").writeStream.format("parquet").option("checkpointLocation", at["checkpoint"]).trigger(availableNow=True).start(at["out"]).awaitTermination()
+        got = sorted(r["block"] for r in spark.read.parquet(at["out"]).collect())
+        assert got == list(range(last + 1))
+
+
+def test_offsets_of_the_stream():
+    s = blocklog.BlockLogStream({"fetcher": "tests.fetchers:fetch", "toBlock": "100", "confirmations": "12", "blocksPerBatch": "50", "chunkSize": "30", "fromBlock": "1"})
+    assert [s.initialOffset()["block"], s.latestOffset()["block"], s.latestOffset()["block"], s.latestOffset()["block"]] == [0, 50, 88, 88]
+    assert [(p.first, p.last) for p in s.partitions({"block": 0}, {"block": 50})] == [(1, 30), (31, 50)]
+    with pytest.raises(ValueError, match="fell back"):
+        s.partitions({"block": 50}, {"block": 40})

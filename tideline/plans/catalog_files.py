@@ -12,7 +12,7 @@ from tideline.plans.registry import query
 from tideline.session import shared_dir, table
 from tideline.sources import blocklog, config, logs, sinks
 
-PAGE, BLOCKS, LOGS = 25, 300, 10
+LOGS, CHUNK = 10, 250
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -84,22 +84,53 @@ def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(at)
 
 
-def made_logs(address: str, first: int, last: int, topic: str) -> list[dict]:
-    """A page of made-up logs, LOGS a block, so that pages end within blocks."""
-    found = [
-        {"blockNumber": hex(b), "blockHash": "", "transactionHash": f"0x{b}", "logIndex": hex(i), "address": address, "topics": [topic], "data": "0x", "timeStamp": hex(2 * b)}
-        for b in range(first, min(last, first + PAGE) + 1)
-        for i in range(LOGS)
-    ]
-    return found[:PAGE]
+def _block_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a wire log, LOGS a block."""
+    k = F.col("event_id")
+    block = F.floor(k / LOGS).cast("long")
+    return table(spark, sf_dir, "events").select(
+        _hex(block).alias("blockNumber"), F.lit("").alias("blockHash"), F.concat(F.lit("0x"), k.cast("string")).alias("transactionHash"), _hex(k % LOGS).alias("logIndex"), F.lit("0xp").alias("address"),
+        F.array("event_type").alias("topics"), F.lit("0x").alias("data"), _hex(2 * block).alias("timeStamp"), block.alias("block"),
+    )
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    d = logs.log_rows(raw.selectExpr("*", "NULL AS txHash", "NULL AS contractAddress"))
+    return d.select("blockNumber", "logIndex", F.col("topics")[0].alias("topic"), "block_timestamp")
 
 
-@query("block_pages", f"""SELECT b AS "blockNumber", i AS "logIndex", topic, 2 * b AS block_timestamp FROM (SELECT unnest(range(1, {BLOCKS + 1})) AS b), (SELECT unnest(range(0, {LOGS})) AS i), (SELECT unnest(['0xt', '0xu']) AS topic)""")
+@query("block_pages", f"""SELECT event_id // {LOGS} AS "blockNumber", event_id % {LOGS} AS "logIndex", event_type AS topic, 2 * (event_id // {LOGS}) AS block_timestamp FROM events""")
 def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paged log source: a partition a range of blocks and topic, pages that end within blocks."""
+    """The block-log source over pages made of the events: a partition a chunk of blocks."""
+    at = _scratch(spark, "pages")
+    blocklog.write_pages(_block_logs(spark, sf_dir), at, CHUNK)
+    spark.dataSource.register(blocklog.BlockLogSource)
+    return _typed(spark.read.format("blocklog").options(path=at, chunkSize=CHUNK).load())
+
+
+@query("block_filter", f"""SELECT event_id // {LOGS} AS "blockNumber", event_id % {LOGS} AS "logIndex", event_type AS topic, 2 * (event_id // {LOGS}) AS block_timestamp FROM events WHERE event_id // {LOGS} >= 120 AND event_type IN ('purchase', 'click')""")
+def block_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same source under a filter on blocks and topics, which the source takes over and reads only those chunks."""
+    at = _scratch(spark, "pages")
+    blocklog.write_pages(_block_logs(spark, sf_dir), at, CHUNK)
+    spark.dataSource.register(blocklog.BlockLogSource)
+    raw = spark.read.format("blocklog").options(path=at, chunkSize=CHUNK).load()
+    return _typed(raw.filter((F.col("block") >= 120) & F.col("topic").isin("purchase", "click")))
+
+
+@query("block_stream", f"""SELECT event_id // {LOGS} AS "blockNumber", event_id % {LOGS} AS "logIndex", event_type AS topic, 2 * (event_id // {LOGS}) AS block_timestamp FROM events""")
+def block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source as a stream, run twice over growing pages with one checkpoint: the second run takes the new chunks alone."""
+    at = _scratch(spark, "stream")
+    wire = _block_logs(spark, sf_dir)
     spark.dataSource.register(blocklog.BlockLogSource)
-    raw = spark.read.format("blocklog").options(fetcher=f"{__name__}:made_logs", fromBlock=1, toBlock=BLOCKS, chunkSize=70, pageSize=PAGE, topics="0xt,0xu", address="0xp").load()
-    return logs.log_rows(raw.selectExpr("*", "NULL AS txHash", "NULL AS contractAddress")).select("blockNumber", "logIndex", F.col("topics")[0].alias("topic"), "block_timestamp")
+    half = (wire.agg(F.max("block")).first()[0] or 0) // CHUNK // 2 * CHUNK
+    for part in ("block < {}", "block >= {}"):
+        blocklog.write_pages(wire.filter(part.format(half)), f"{at}/pages", CHUNK)
+        raw = spark.readStream.format("blocklog").options(path=f"{at}/pages", chunkSize=CHUNK).load()
+        run = _typed(raw).writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start(f"{at}/out")
+        run.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
 
 
 @query("block_snapshots", """SELECT DISTINCT l_suppkey AS "blockNumber", CASE WHEN l_suppkey % 7 <> 0 THEN l_suppkey * 10 END AS tick FROM lineitem""")
