@@ -76,3 +76,29 @@ def test_specifications_in_bulk(spark):
 def test_topics_of_a_column(spark):
     d = spark.createDataFrame([("Transfer(address,address,uint256)",), (None,)], "s string")
     assert [r["t"] for r in d.select(bigints.topic_udf("s").alias("t")).collect()] == ["0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef", None]
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    ps = [1e-300, 1e-10, 0.001, 0.07, 0.0750001, 0.3, 0.5, 0.7, 0.95, 1 - 1e-9]
+    d = spark.createDataFrame([(p,) for p in ps], "p double")
+    got = {r["p"]: r["q"] for r in d.select("p", F.expr(dependence.normal_quantile("p")).alias("q")).collect()}
+    assert got == pytest.approx({p: NormalDist().inv_cdf(p) for p in ps}, rel=1e-12, abs=1e-14)
+
+
+def test_menu_of_copulas_reaches_each_top(spark):
+    u = np.clip(dependence.sample_copula("t", 0.6, 4.0, 3000, 5), 1e-9, 1 - 1e-9)
+    rows = [(float(a), float(b)) for a, b in u] + [(None, 0.5), (0.5, math.nan), (0.0, 0.5), (1.0, 0.2)]
+    s = spark.createDataFrame(rows, "u double, v double")
+    menu = {r["family"]: r for r in dependence.fit_menu(s).collect()}
+    assert set(menu) == set(dependence.FAMILIES) and dependence.best_family(dependence.fit_menu(s)).first()["family"] == "t"
+    assert menu["t"]["theta"] == pytest.approx(0.6, abs=0.05) and menu["t"]["nu"] in (3.0, 4.0, 6.0)
+    good = s.filter("u > 0 AND u < 1 AND v > 0 AND v < 1")
+    for f in ("clayton", "frank", "gumbel"):
+        th = menu[f]["theta"]
+        near = {r["theta"]: r["ll"] for r in dependence.log_likelihood(good, f, [th * 0.999, th, th * 1.001]).collect()}
+        assert max(near, key=near.get) == th and near[th] == pytest.approx(menu[f]["ll"], rel=1e-12)
+    turned = s.selectExpr("u", "1 - v AS v")  # these families know no negative dependence: they end at independence
+    ends = {r["family"]: r["theta"] for r in dependence.fit_menu(turned, ("clayton", "frank", "gumbel")).collect()}
+    assert ends == {f: dependence.BOUNDS[f][0] for f in ends}

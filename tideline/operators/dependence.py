@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
-from statistics import NormalDist
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.functions import scalars
 from tideline.operators import ranges
+from tideline.session import shared_dir
 
 FAMILIES = ("gaussian", "t", "clayton", "frank", "gumbel")
 #: Bounds of the parameter of each one-parameter family.
@@ -65,72 +67,163 @@ def _quantile_t(p: np.ndarray, nu: float) -> np.ndarray:
     return np.interp(p, c / c[-1], x)
 
 
-def copula_ll(family: str, u: np.ndarray, v: np.ndarray, th: float, nu: float = 0.0) -> float:
-    """Log-likelihood of a family, in numpy; t takes its degrees of freedom in nu."""
-    if family in ("gaussian", "t"):
-        if family == "gaussian":
-            q = np.vectorize(NormalDist().inv_cdf)
-            x, y = q(u), q(v)
-            return float((-0.5 * math.log(1 - th * th) - (th * th * (x * x + y * y) - 2 * th * x * y) / (2 * (1 - th * th))).sum())
-        x, y = _quantile_t(u, nu), _quantile_t(v, nu)
-        g = math.lgamma
-        c = g((nu + 2) / 2) + g(nu / 2) - 2 * g((nu + 1) / 2) - 0.5 * math.log(1 - th * th)
-        q = (x * x + y * y - 2 * th * x * y) / (nu * (1 - th * th))
-        return float((c - (nu + 2) / 2 * np.log1p(q) + (nu + 1) / 2 * (np.log1p(x * x / nu) + np.log1p(y * y / nu))).sum())
-    if family == "clayton":
-        return float((math.log1p(th) - (1 + th) * (np.log(u) + np.log(v)) - (2 + 1 / th) * np.log(u**-th + v**-th - 1)).sum())
-    if family == "frank":
-        d = (1 - math.exp(-th)) - (1 - np.exp(-th * u)) * (1 - np.exp(-th * v))
-        return float((math.log(th) + math.log(1 - math.exp(-th)) - th * (u + v) - 2 * np.log(np.abs(d))).sum())
-    x, y = -np.log(u), -np.log(v)
-    s = x**th + y**th
-    c = s ** (1 / th)
-    return float((-c + x + y + (th - 1) * (np.log(x) + np.log(y)) + (1 / th - 2) * np.log(s) + np.log(c + th - 1)).sum())
-
-
-def _golden(f: Callable[[float], float], a: float, b: float, rounds: int = 80) -> tuple[float, float]:
-    g = (math.sqrt(5) - 1) / 2
-    c, d = b - g * (b - a), a + g * (b - a)
-    fc, fd = f(c), f(d)
-    for _ in range(rounds):
-        if fc > fd:
-            b, d, fd = d, c, fc
-            c = b - g * (b - a)
-            fc = f(c)
-        else:
-            a, c, fc = c, d, fd
-            d = a + g * (b - a)
-            fd = f(d)
-    return (c, fc) if fc > fd else (d, fd)
-
-
-def fit_family(family: str, u: np.ndarray, v: np.ndarray) -> dict:
-    """The family's best parameter by grid and golden section; k ln n - 2 ll as its criterion."""
-    with np.errstate(all="ignore"):
-        safe = lambda th, nu=0.0: x if math.isfinite(x := copula_ll(family, u, v, th, nu)) else -1e300
-        if family == "t":
-            best = max(((nu, *_golden(lambda r, nu=nu: safe(r, nu), -0.99, 0.99, 40)) for nu in (2, 3, 4, 6, 8, 12, 20, 40)), key=lambda x: x[2])
-            nu, th, ll = float(best[0]), best[1], best[2]
-        else:
-            lo, hi = BOUNDS[family]
-            grid = np.linspace(lo, hi, 25)
-            k = int(np.argmax([safe(g) for g in grid]))
-            th, ll = _golden(safe, grid[max(0, k - 1)], grid[min(24, k + 1)])
-            nu = 0.0
-    k = 2 if family == "t" else 1
-    return {"family": family, "theta": float(th), "nu": nu, "ll": ll, "bic": k * math.log(len(u)) - 2 * ll}
+#: The rational approximations of Wichura's algorithm AS 241 to the normal quantile, numerators then
+#: denominators, for the middle, the shoulders and the tails.
+_AS241 = (
+    (3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+    (1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+    (6.65790464350110377720e0, 5.46378491116411436990e0, 1.78482653991729133580e0, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
 
 
-def fit_menu(sample: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame:
-    """family, theta, nu, ll, bic over a sample (u, v), a task a family; a sample of so few pairs that no lag fits is `degenerate`."""
-    grid = sample.sparkSession.createDataFrame([(f,) for f in families], "family string")
+def normal_quantile(p: str) -> str:
+    """The normal quantile of a column in (0, 1), as SQL that any engine with doubles reads."""
+
+    def ratio(k: int, r: str) -> str:
+        out = []
+        for coefficients in _AS241[k : k + 2]:
+            e = "0e0"
+            for c in reversed(coefficients):
+                e = f"({e} * {r} + {c:.17e})"
+            out.append(e)
+        return f"{out[0]} / {out[1]}"
+
+    q, far = f"({p} - 5e-1)", f"sqrt(-ln(least({p}, 1e0 - {p})))"
+    tail = f"CASE WHEN {far} <= 5e0 THEN {ratio(2, f'({far} - 1.6e0)')} ELSE {ratio(4, f'({far} - 5e0)')} END"
+    return f"CASE WHEN abs({q}) <= 4.25e-1 THEN {q} * {ratio(0, f'(1.80625e-1 - {q} * {q})')} WHEN {q} < 0e0 THEN -({tail}) ELSE {tail} END"
+
+
+#: Degrees of freedom that the t family is tried with.
+FREEDOMS = (2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 20.0, 40.0)
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _t_quantiles(u: pd.Series) -> pd.Series:
+    """A uniform's quantile for each of FREEDOMS."""
+    return pd.Series(list(np.stack([_quantile_t(u.to_numpy(float), nu) for nu in FREEDOMS], axis=1)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= DEGENERATE_PAIRS:
-            return pd.DataFrame([{"family": "degenerate", "theta": math.nan, "nu": math.nan, "ll": math.nan, "bic": math.nan}])
-        return pd.DataFrame([fit_family(str(pdf["family"].iloc[0]), pdf["u"].to_numpy(float), pdf["v"].to_numpy(float))])
 
-    return sample.select("u", "v").crossJoin(F.broadcast(grid)).groupBy("family").applyInPandas(run, "family string, theta double, nu double, ll double, bic double").distinct()
+def _t_log_density(nu: float, x: Column, y: Column, r: Column) -> Column:
+    g = math.lgamma
+    c = g((nu + 2) / 2) + g(nu / 2) - 2 * g((nu + 1) / 2)
+    q = (x * x + y * y - 2 * r * x * y) / (nu * (1 - r * r))
+    return c - 0.5 * F.log1p(-r * r) - (nu + 2) / 2 * F.log1p(q) + (nu + 1) / 2 * (F.log1p(x * x / nu) + F.log1p(y * y / nu))
+
+
+def _densities_of_kinds(kinds: Sequence[tuple[str, float]]) -> Column:
+    """The log density of the row's kind k at its parameter th."""
+    out = F.lit(None).cast("double")
+    for k, (family, nu) in enumerate(kinds):
+        j = FREEDOMS.index(nu) if family == "t" else 0
+        one = _t_log_density(nu, F.col("tu")[j], F.col("tv")[j], F.col("th")) if family == "t" else log_density(family, F.col("u"), F.col("v"), F.col("th"))
+        out = F.when(F.col("k") == k, one).otherwise(out)
+    return out
+
+
+def _scores(sample: DataFrame, kinds: Sequence[tuple[str, float]], tried: Mapping[tuple[str, float], Sequence[float]]) -> dict[tuple[str, float], dict[float, float]]:
+    """The log-likelihood of each kind at its parameters: one pass over the sample for all of them, summed before the shuffle.
+
+    The parameters are a small broadcast table, so every pass runs the same compiled plan.
+    """
+    at = [(k, float(th)) for k, kind in enumerate(kinds) for th in tried.get(kind, ())]
+    d = sample.crossJoin(F.broadcast(sample.sparkSession.createDataFrame(pd.DataFrame(at, columns=["k", "th"]), "k int, th double")))
+    got = d.groupBy("k", "th").agg(F.sum(_densities_of_kinds(kinds)).alias("ll")).collect()
+    out: dict[tuple[str, float], dict[float, float]] = {kind: {} for kind in kinds}
+    for r in got:
+        out[kinds[r["k"]]][r["th"]] = r["ll"] if r["ll"] is not None and math.isfinite(r["ll"]) else -1e300
+    return out
+
+
+def _gaussian_top(n: int, squares: float, product: float) -> tuple[float, float]:
+    """The correlation at which the normal copula's likelihood is highest, by halving where its slope changes sign, and the likelihood."""
+    lo, hi = BOUNDS["gaussian"]
+    slope = lambda r: n * r * (1 - r * r) + (1 + r * r) * product - r * squares
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
+    r = (lo + hi) / 2
+    return r, -0.5 * n * math.log(1 - r * r) - (r * r * squares - 2 * r * product) / (2 * (1 - r * r))
+
+
+class _Climb:
+    """One family's way to its top: Newton steps from slopes by differences, kept between two ends that shrink."""
+
+    def __init__(self, grid: list[float], scores: dict[float, float]):
+        k = max(range(len(grid)), key=lambda i: scores[grid[i]])
+        self.bounds, self.low, self.high, self.th = (grid[0], grid[-1]), grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)], grid[k]
+        self.ll, self.done = scores[self.th], False
+
+    def _step(self) -> float:
+        return 1e-4 * max(1.0, abs(self.th))
+
+    def tried(self) -> list[float]:
+        """Three points within the bounds around the present one."""
+        h = self._step()
+        mid = min(max(self.th, self.bounds[0] + h), self.bounds[1] - h)
+        return [mid - h, mid, mid + h]
+
+    def take(self, scores: dict[float, float]) -> None:
+        (a, m, b), h = self.tried(), self._step()
+        slope, bend = (scores[b] - scores[a]) / (2 * h), (scores[a] - 2 * scores[m] + scores[b]) / (h * h)
+        slope += bend * (self.th - m)
+        best = max((a, m, b), key=scores.get)
+        if scores[best] > self.ll:
+            self.ll = scores[best]
+        self.low, self.high = (self.th, self.high) if slope > 0 else (self.low, self.th)
+        to = self.th - slope / bend if bend < 0 else math.nan
+        if bend < 0 and to <= self.bounds[0] and self.low == self.bounds[0]:
+            to = self.low
+        elif bend < 0 and to >= self.bounds[1] and self.high == self.bounds[1]:
+            to = self.high
+        elif not self.low < to < self.high:
+            to = (self.low + self.high) / 2
+        self.done = abs(to - self.th) <= 1e-9 * max(1.0, abs(self.th))
+        self.th = to
+
+
+GRID, MOST_STEPS = 25, 40
+
+
+def fit_menu(sample: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """family, theta, nu, ll, bic over a sample (u, v); bic is k ln n - 2 ll. A sample of so few pairs that no lag fits is `degenerate`.
+
+    The pairs are written once. The normal family needs their sums alone; the others climb together, a grid and then Newton
+    steps, one pass over the pairs a step, in which every family's candidates are summed up where the pairs are. The t family is tried with FREEDOMS. Pairs with
+    a null, NaN or a value outside (0, 1) take no part.
+    """
+    spark = sample.sparkSession
+    d = sample.select(F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v")).filter("u > 0 AND u < 1 AND v > 0 AND v < 1")
+    if "t" in families:
+        d = d.withColumns({"tu": _t_quantiles("u"), "tv": _t_quantiles("v")})
+    at = f"{shared_dir(spark)}/copula-{uuid.uuid4().hex}"
+    d.write.parquet(at)
+    d = spark.read.parquet(at)
+    x, y = F.expr(normal_quantile("u")), F.expr(normal_quantile("v"))
+    s = d.select(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("squares"), F.sum(F.col("x") * F.col("y")).alias("product")).first()
+    n, schema = s["n"], "family string, theta double, nu double, ll double, bic double"
+    if n <= DEGENERATE_PAIRS:
+        return spark.createDataFrame([("degenerate", math.nan, math.nan, math.nan, math.nan)], schema)
+    kinds = [("t", nu) for nu in FREEDOMS if "t" in families] + [(f, 0.0) for f in families if f not in ("gaussian", "t")]
+    rows = [("gaussian", 0.0, *_gaussian_top(n, s["squares"], s["product"]))] if "gaussian" in families else []
+    if kinds:
+        grids = {k: [float(g) for g in np.linspace(*(BOUNDS[k[0]] if k[0] != "t" else (-0.99, 0.99)), GRID)] for k in kinds}
+        first = _scores(d, kinds, grids)
+        climbs = {k: _Climb(grids[k], first[k]) for k in kinds}
+        for _ in range(MOST_STEPS):
+            if not (going := {k: c for k, c in climbs.items() if not c.done}):
+                break
+            got = _scores(d, kinds, {k: c.tried() for k, c in going.items()})
+            for k, c in going.items():
+                c.take(got[k])
+        last = _scores(d, kinds, {k: [c.th] for k, c in climbs.items()})
+        tops = [(f, nu, c.th, last[f, nu][c.th]) for (f, nu), c in climbs.items()]
+        rows += [r for r in tops if r[0] != "t"]
+        if ts := [r for r in tops if r[0] == "t"]:
+            rows.append(max(ts, key=lambda r: r[3]))
+    return spark.createDataFrame([(f, th, nu, ll, (2 if f == "t" else 1) * math.log(n) - 2 * ll) for f, nu, th, ll in rows], schema)
 
 
 def best_family(menu: DataFrame) -> DataFrame:

@@ -405,6 +405,42 @@ def copula_ll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Pairs that do depend on each other: the rank of a mixture of both uniforms against the first.
+_DEPENDENT = f"{_UV}, dep AS (SELECT u, row_number() OVER (ORDER BY (u * 0.6 + v * 0.4) * 10, u) / (count(*) OVER () + 1) AS v FROM s)"
+
+
+def dependent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _uniforms(spark, sf_dir).select(F.lit(0).alias("g"), "u", ((F.col("u") * 0.6 + F.col("v") * 0.4) * 10).alias("w"))
+    ranked = series.ranges.ranked(d, ["g"], "w", "u", "i", {"n": F.count("*")})
+    return ranked.select("u", (F.col("i") / (F.col("n") + 1)).alias("v"))
+
+
+def _menu_sql(rounds: int = 18) -> str:
+    """Tops in SQL: eight parts of each family's bracket, the best point's neighbours are the next bracket; the normal family from its sums."""
+    th = "(lo + (hi - lo) * j / 8)"
+    parts = {
+        "clayton": "ln(1 + th) - (1 + th) * (ln(u) + ln(v)) - (2 + 1 / th) * ln(pow(u, -th) + pow(v, -th) - 1)",
+        "frank": "ln(th) + ln(1 - exp(-th)) - th * (u + v) - 2 * ln(abs((1 - exp(-th)) - (1 - exp(-th * u)) * (1 - exp(-th * v))))",
+        "gumbel": "-pow(pow(-ln(u), th) + pow(-ln(v), th), 1 / th) - ln(u) - ln(v) + (th - 1) * (ln(-ln(u)) + ln(-ln(v))) + (1 / th - 2) * ln(pow(-ln(u), th) + pow(-ln(v), th)) + ln(pow(pow(-ln(u), th) + pow(-ln(v), th), 1 / th) + th - 1)",
+    }
+    cases = " ".join(f"WHEN '{f}' THEN {e}" for f, e in parts.items())
+    start = ", ".join(f"('{f}', {dependence.BOUNDS[f][0]}::DOUBLE, {dependence.BOUNDS[f][1]}::DOUBLE)" for f in parts)
+    return f"""{_DEPENDENT}, pairs AS MATERIALIZED (SELECT u::DOUBLE AS u, v::DOUBLE AS v FROM dep), it AS (SELECT 0 AS k, f, lo, hi, NULL::DOUBLE AS ll FROM (VALUES {start}) t(f, lo, hi)
+       UNION ALL SELECT any_value(k) + 1, f, greatest(any_value(lo), arg_max(th, ll) - any_value(step)), least(any_value(hi), arg_max(th, ll) + any_value(step)), max(ll)
+       FROM (SELECT k, f, lo, hi, (hi - lo) / 8 AS step, th, sum(CASE f {cases} END) AS ll FROM (SELECT *, {th} AS th FROM it, (SELECT unnest(range(0, 9)) AS j) WHERE k < {rounds}), pairs GROUP BY ALL) GROUP BY f),
+     q AS (SELECT {dependence.normal_quantile("u")} AS x, {dependence.normal_quantile("v")} AS y FROM pairs), sums AS (SELECT count(*) AS n, sum(x * x + y * y) AS a, sum(x * y) AS b FROM q),
+     h AS (SELECT 0 AS k, -0.999::DOUBLE AS lo, 0.999::DOUBLE AS hi UNION ALL SELECT k + 1, CASE WHEN g > 0 THEN m ELSE lo END, CASE WHEN g > 0 THEN hi ELSE m END FROM
+       (SELECT *, n * m * (1 - m * m) + (1 + m * m) * b - m * a AS g FROM (SELECT *, (lo + hi) / 2 AS m FROM h WHERE k < 70), sums)),
+     tops AS (SELECT f, (lo + hi) / 2 AS th, ll, n FROM it, sums WHERE k = {rounds} UNION ALL SELECT 'gaussian', lo, -0.5 * n * ln(1 - lo * lo) - (lo * lo * a - 2 * lo * b) / (2 * (1 - lo * lo)), n FROM h, sums WHERE k = 70)"""
+
+
+@query("copula_fits", f"WITH RECURSIVE {_menu_sql()} SELECT f AS family, round(th, 4) AS theta, round(ll, 4) AS ll, round(ln(n) - 2 * ll, 3) AS bic FROM tops")
+def copula_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each one-parameter family's fit to pairs that depend on each other."""
+    m = dependence.fit_menu(dependent(spark, sf_dir), ("gaussian", "clayton", "frank", "gumbel"))
+    return m.select("family", F.round("theta", 4).alias("theta"), F.round("ll", 4).alias("ll"), F.round("bic", 3).alias("bic"))
+
+
 @query("copula_menu")
 def copula_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependence.best_family(dependence.fit_menu(_uniforms(spark, sf_dir)))
