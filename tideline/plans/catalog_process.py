@@ -345,6 +345,45 @@ def bootstrap_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hawkes.bootstrap_test(hawkes.bootstrap(l, 1e-3, end, 1000, 7))
 
 
+def _excited_sql(decays: list[float], rounds: int) -> str:
+    """_tops() for the process that excites itself; what is beyond 40 decay times is below the doubles' precision."""
+    t = _tops(rounds).replace(LEGS, EXCITED).replace(f"{list(hawkes.DECAYS)}::DOUBLE[]", f"{decays}::DOUBLE[]")
+    t = t.replace("SELECT beta, a.event_id, a.leg,", "SELECT beta, a.rid, a.leg,")
+    return t.replace("FROM g, legs a LEFT JOIN legs b ON b.t < a.t GROUP BY ALL", "FROM g, (SELECT *, row_number() OVER () AS rid FROM legs) a LEFT JOIN legs b ON b.t < a.t AND b.t > a.t - 40 / g.beta GROUP BY ALL")
+
+
+def _fitted_sql(decays: list[float]) -> str:
+    parts = ", ".join(f"round({c} / beta, 4) AS {c}" for c in _PARTS)
+    return f"WITH RECURSIVE {_excited_sql(decays, 3000)} SELECT beta, round(ll, 2) AS ll, round(14 - 2 * ll, 1) AS aic, round(mu0 * 1e6, 1) AS mu0, round(mu1 * 1e6, 1) AS mu1, {parts} FROM top"
+
+
+def _fitted(f: DataFrame) -> DataFrame:
+    """Likelihoods, rates a million seconds and the parts of the branching matrix."""
+    rates = [F.round(F.col(c) * 1e6, 1).alias(c) for c in ("mu0", "mu1")]
+    return f.select("beta", F.round("ll", 2).alias("ll"), F.round("aic", 1).alias("aic"), *rates, *[F.round(F.col(c) / F.col("beta"), 4).alias(c) for c in _PARTS])
+
+
+@query("hawkes_fit_excited", _fitted_sql([3e-4, 1e-3, 3e-3]))
+def hawkes_fit_excited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of a process that excites itself, which constant rates do not come near."""
+    l, end = excited(spark, sf_dir)
+    return _fitted(hawkes.fit_grid(l, end, (3e-4, 1e-3, 3e-3)))
+
+
+@query("hawkes_best_excited", f"{_fitted_sql([3e-4, 1e-3, 3e-3])} ORDER BY aic, beta LIMIT 1")
+def hawkes_best_excited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decay of least criterion for the same process."""
+    l, end = excited(spark, sf_dir)
+    return _fitted(hawkes.best(hawkes.fit_grid(l, end, (3e-4, 1e-3, 3e-3))))
+
+
+@query("hawkes_fit_wide", _fitted_sql([1e-3]))
+def hawkes_fit_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by aggregates over all tasks, the way for processes that no task should hold."""
+    l, end = excited(spark, sf_dir)
+    return _fitted(hawkes.fit_grid(l, end, (1e-3,), most_events=0))
+
+
 def _profile_sql(etas: list[float], rounds: int) -> str:
     """The constrained top in SQL, by expectation and conditional maximisation: with x, s, q as in hawkes._OnEta, each
     has a closed best value given the others, so no round falls."""
