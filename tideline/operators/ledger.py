@@ -72,16 +72,6 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"s{k}") for k in range(8)]), 256).alias("hash"))
 
 
-def sweep(spark, grids: Mapping[str, Sequence[float]], decision: Column) -> tuple[DataFrame, DataFrame]:
-    """All combinations of some small grids with a decision, and one row: cells, distinct decisions, invariant."""
-    d = None
-    for name, values in grids.items():
-        g = spark.createDataFrame([(float(v),) for v in values], f"{name} double")
-        d = g if d is None else d.crossJoin(F.broadcast(g))
-    d = d.withColumn("decision", decision)
-    return d, d.agg(F.count("*").alias("cells"), F.count_distinct("decision").alias("outcomes")).withColumn("invariant", F.col("outcomes") == 1)
-
-
 MOST_CELLS = 10_000
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import registration
-from tideline.operators import dependence, hawkes, ledger
+from tideline.operators import dependence, hawkes, ledger, series
 from tideline.plans.catalog_process import _UV, _uniforms, legs, process
 from tideline.plans.catalog_sql import LEGS
 from tideline.plans.registry import query
@@ -29,6 +29,13 @@ def reproducibility_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(pins, "n_nationkey").select("n_nationkey", (F.sha2("n_name", 256) == F.col("pin")).alias("ok"))
 
 
+@query("bootstrap_share", "WITH o AS (SELECT percentile_cont(0.9) WITHIN GROUP (ORDER BY c_acctbal) AS x FROM customer) SELECT avg((s_acctbal >= x)::INTEGER) AS p_value FROM supplier, o")
+def bootstrap_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of one table's statistics at or above an observed one of another."""
+    seen = table(spark, sf_dir, "customer").agg(F.percentile("c_acctbal", 0.9).alias("observed"))
+    return series.bootstrap_p(table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("stat")).crossJoin(F.broadcast(seen)), F.col("observed"))
+
+
 @query("negative_mass", "SELECT round(sum(CASE WHEN s_acctbal < 0 THEN -s_acctbal ELSE 0 END) / sum(abs(s_acctbal)), 9) AS fraction FROM supplier")
 def negative_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("s_acctbal")
