@@ -67,6 +67,17 @@ def test_toxicity(spark, messy, empty):
         assert same == 1 and out.filter(f"doc_id = {BIG}").count() == 1
 
 
+def test_toxicity_of_repeated_ids_is_the_same_anywhere(spark):
+    rows = [(i % 6, f"word{i} common text {'bad awful' if i % 2 else 'kind fine'}", "en") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    scores = []
+    for given in (docs.repartition(1), docs.orderBy(F.desc("text")).repartition(5, "text")):
+        model = toxicity.fit(given, labels)
+        scores.append({r["text"]: r["score"] for r in toxicity.score(docs, model).collect()})
+    assert scores[0] == scores[1] and len(scores[0]) == 24
+
+
 def test_mixing(messy, empty):
     for most in (mixing.MAX_CELLS, 0):  # raked on the driver and as a table
         out = mixing.weighted(messy, max_cells=most)

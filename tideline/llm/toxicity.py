@@ -227,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = SAMPLE_
     """Train on at most per_label[y] documents of each label y, the first by a hash of the id.
 
     labels needs doc_id and toxic; rows with a null in either are left out, repeated labels of a document
-    count once (the greater). Documents are used whole. Without any labelled document the model gives
+    count once (the greater). Of rows that repeat an id with different texts the least by a hash of its words
+    teaches. Documents are used whole. Without any labelled document the model gives
     every text the same low score.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -244,7 +245,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = SAMPLE_
         for pdf in (b for b in batches if len(b)):
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "ids": [word_ids(t).astype(np.uint16).tobytes() for t in pdf["text"]]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(encode, "doc_id long, toxic int, ids binary").dropDuplicates(["doc_id"]).collect()
+    encoded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(encode, "doc_id long, toxic int, ids binary")
+    # of rows that repeat an id with other texts one is taken, the same one anywhere
+    rows = encoded.groupBy("doc_id", "toxic").agg(F.min_by("ids", F.struct(F.xxhash64("ids"), "ids")).alias("ids")).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"]), seed))
     every = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = tuple(every.get(y, 0) / max(1, sum(r["toxic"] == y for r in pairs)) for y in (0, 1))
