@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tests import fetchers
+from tideline.plans import catalog
 from tideline.sources import blocklog, config, logs, sinks
 
 
@@ -118,6 +119,23 @@ def test_filters_choose_the_ranges_that_are_read(spark, tmp_path):
     assert [(p.first, p.last, p.topic) for p in r.partitions()] == [(1, 10, "0xu"), (11, 20, "0xu")] and blocklog.EqualTo(("data",), "0x") in left
 
 
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_block_queries_with_and_without_filters_handed_over(spark, pushed):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    was = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
+    try:
+        for name in ("block_pages", "block_filter"):
+            got = sorted(map(tuple, catalog.queries()[name](spark, sf).collect()))
+            assert got == sorted(con.execute(catalog.oracle_sql()[name]).fetchall()) and got
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", was)
+
+
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     spark.dataSource.register(blocklog.BlockLogSource)
     at = {k: str(tmp_path / k) for k in ("pages", "out", "checkpoint")}
