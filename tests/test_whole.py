@@ -37,6 +37,19 @@ def test_permutation_null_equals_brute_force(spark):
         assert null[rep] == pytest.approx(want, abs=1e-12)
 
 
+def test_permutations_in_waves_and_buckets_are_the_same_and_leave_no_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = spark.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.normal(size=700), rng.normal(size=700), strict=True))], "i int, a double, b double").cache()
+    stats = lambda **k: {r["rep"]: r["stat"] for r in series.permutation_null(pairs, 7, **k).collect()}
+    whole = stats()
+    seen = []
+    map_in_pandas = type(pairs).mapInPandas
+    monkeypatch.setattr(type(pairs), "mapInPandas", lambda *a, **k: seen.append(spark.conf.get(series.CLEANUP, None)) or map_in_pandas(*a, **k))
+    parts = stats(bucket_rows=100, wave_rows=1500)
+    assert seen == ["true"] * 4 and spark.conf.get(series.CLEANUP, "false") == "false"  # two replicates a wave
+    assert sorted(parts) == list(range(8)) and all(parts[k] == pytest.approx(whole[k], abs=1e-12) for k in whole)
+
+
 def test_bootstrap_has_as_many_draws_as_its_level_needs(spark):
     got = catalog.queries()["bootstrap_lr"](spark, SF).first()
     assert got["n_ok"] + got["n_failed"] == 1000
