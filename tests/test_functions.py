@@ -1,8 +1,9 @@
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.functions import bigints, scalars
+from tideline.functions import bigints, digests, scalars
 
 
 def test_sqrt_ratio_anchors():
@@ -79,3 +80,13 @@ def test_liquidity_udf_bad_input(spark):
     df = spark.createDataFrame(pd.DataFrame({"t": [0, None], "x": ["10", "oops"]}).astype(object), "t int, x string")
     out = df.select(bigints.liquidity_udf("t", F.lit(-10), F.lit(10), "x", F.lit("10")).alias("l")).collect()
     assert out[0]["l"] != "0" and out[1]["l"] == "0"
+
+
+def test_md5_of_many_numbers():
+    from hashlib import md5
+
+    numbers = np.array([0, 7, 10, 99, 100, 123456789, 10**17, -5])
+    prefixes = [b"perm:1:", b"perm:10:", b"perm:999:", b"x" * 50]
+    got = digests.md5(prefixes, numbers)
+    want = [[md5(p + str(x).encode()).hexdigest() for x in numbers.tolist()] for p in prefixes]
+    assert [[f"{a:016x}{b:016x}" for a, b in row] for row in got.tolist()] == want
