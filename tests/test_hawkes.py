@@ -185,6 +185,16 @@ def test_fits_by_aggregates_reach_the_same_top(spark):
     assert len(got) == 3 and hawkes.fit_table(legs.filter("leg = 0"), 0.5, 900.0) is None
 
 
+def test_no_task_holds_a_process_that_leaves_the_bounds(spark, monkeypatch):
+    a = hawkes.simulate_hawkes(P, 900.0, 6)
+    want = hawkes.fit_beta(a, 0.5, 900.0, rounds=6, most=0.3)
+    got = hawkes._fit_swept(_legs(spark, a), 0.5, 900.0, most=0.3, rounds=6)
+    assert got["eta"] == pytest.approx(0.3) == want["eta"] and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in ("ll", "mu0", "mu1", "a00", "a01", "a10", "a11"))
+    monkeypatch.setattr(hawkes, "MOST_EVENTS", 0)
+    seen = hawkes.bootstrap(_legs(spark, a), 0.5, 900.0, 1, 3).filter("rep = 0").first()["stat"]
+    assert seen == pytest.approx(hawkes.lr_statistic(a, 0.5, 900.0), abs=1e-5)
+
+
 def test_excitation_that_never_shows_is_left_at_zero(spark):
     a = [np.arange(20) * 1000.0, np.arange(20) * 1000.0 + 500]
     best = hawkes.fit_beta(a, 1.0, 20_000.0)

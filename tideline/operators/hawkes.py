@@ -27,7 +27,7 @@ BIN_WIDTHS = (60, 300, 900, 3600)
 MAX_ORDER = 10
 SWEPT = ("r_0", "r_1", "c_0", "c_1")
 #: Events of one process that a task may hold for a fit.
-MOST_EVENTS = 5_000_000
+MOST_EVENTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -267,23 +267,25 @@ def climb_array(z: np.ndarray, u: np.ndarray) -> np.ndarray:
     return climb(lambda tries, now: next(((v, t) for t in tries if (v := value(t)) > now), None), slopes, u)
 
 
-def climb_table(rows: DataFrame, z: Sequence[Column], u: np.ndarray) -> np.ndarray:
-    """climb() over the rows of a written table, z its columns: an aggregate a step, another for its tries."""
-    at = lambda u: sum((c * float(x) for c, x in zip(z, u, strict=True)), F.lit(0.0))
-    pairs = [(a, b) for a in range(len(z)) for b in range(a + 1)]
+def climb_swept(rows: DataFrame, leg: int, c: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """climb() of a leg over swept times (see swept_table()) with z = (1, r_0, r_1) / c: a pass a step for all its tries."""
+    known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
+
+    def look(tries: list[np.ndarray]) -> None:
+        theta = np.stack([np.stack([t / c] * 2) for t in tries])
+        value, grad, outer = leg_sums(rows, theta)
+        for j, t in enumerate(tries):
+            known[t.tobytes()] = float(value[j, leg] - t.sum()), grad[j, leg] / c - 1, outer[j, leg] / np.outer(c, c)
 
     def slopes(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        lam = at(u)
-        r = rows.agg(F.sum(F.ln(lam)), *[F.sum(c / lam) for c in z], *[F.sum(z[a] * z[b] / (lam * lam)) for a, b in pairs]).first()
-        outer = np.zeros((len(z), len(z)))
-        for (a, b), x in zip(pairs, r[1 + len(z) :], strict=True):
-            outer[a, b] = outer[b, a] = x
-        return float(r[0]) - float(u.sum()), np.array(r[1 : 1 + len(z)], float) - 1, outer
+        if u.tobytes() not in known:
+            look([u])
+        return known[u.tobytes()]
 
     def better(tries: list[np.ndarray], now: float) -> tuple[float, np.ndarray] | None:
-        r = rows.agg(*[x for t in tries for x in (F.sum(F.when(at(t) > 0, F.ln(at(t)))), F.min(at(t)))]).first()
-        values = [r[2 * k] - t.sum() if r[2 * k + 1] > 0 else -math.inf for k, t in enumerate(tries)]
-        return next(((v, t) for v, t in zip(values, tries, strict=True) if v > now), None)
+        known.clear()
+        look(tries)
+        return next(((known[t.tobytes()][0], t) for t in tries if known[t.tobytes()][0] > now), None)
 
     return climb(better, slopes, u)
 
@@ -300,12 +302,8 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
     n = np.array([len(legs[0]), len(legs[1])], float)
     mu, alpha = np.maximum(n / end / 2, 1e-12), np.full((2, 2), 0.25 * beta)
 
-    def onto(a: np.ndarray, limit: float) -> np.ndarray:
-        rho = spectral(a / beta)
-        return a * (limit / rho) if rho > 0 else np.full((2, 2), limit * beta / 2)
-
     if eta is not None:
-        alpha = onto(alpha, eta)
+        alpha = _onto(alpha, beta, eta)
     last = -math.inf
     if eta is None and n.all():
         c = np.array([end, *mass])
@@ -320,9 +318,9 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
             new_alpha[i] = alpha[i] * (states[i] / lam[:, None]).sum(axis=0) / mass
         mu, alpha = np.maximum(new_mu, 1e-12), np.maximum(new_alpha, 1e-12)
         if eta is not None:
-            alpha = onto(alpha, eta)
+            alpha = _onto(alpha, beta, eta)
         elif spectral(alpha / beta) > most:
-            alpha = onto(alpha, most)
+            alpha = _onto(alpha, beta, most)
         now = ll_of(mu, alpha, beta, legs, end, states)
         if now - last < min(1e-6, 1e-9 * max(1.0, abs(now))):
             break
@@ -343,43 +341,59 @@ def _arrays(pdf: pd.DataFrame) -> list[np.ndarray]:
     return [np.sort(pdf.loc[pdf["leg"] == k, "t"].to_numpy(float)) for k in (0, 1)]
 
 
+def _onto(alpha: np.ndarray, beta: float, limit: float) -> np.ndarray:
+    """The excitation scaled to a branching ratio."""
+    rho = spectral(alpha / beta)
+    return alpha * (limit / rho) if rho > 0 else np.full((2, 2), limit * beta / 2)
+
+
 def fit_table(legs: DataFrame, beta: float, end: float, most: float = 0.999) -> dict | None:
-    """fit_beta() without a constraint for a process that no task should hold: its excitation is written once
-    (see excitation()), and each step of the climb is an aggregate of it. None where a leg is empty or the
-    top has a branching ratio above `most`, which needs the bounded steps of fit_beta()."""
-    spark = legs.sparkSession
-    at = f"{shared_dir(spark)}/fits/{uuid.uuid4().hex}"
-    excitation(legs.select(F.col("leg").cast("int").alias("leg"), F.col("t").cast("double").alias("t")), beta).select("leg", "t", "r_0", "r_1").write.parquet(at)
-    rows = spark.read.parquet(at)
+    """_fit_swept(), or None where a leg is empty."""
+    f = _fit_swept(legs, beta, end, most)
+    return f if math.isfinite(f["ll"]) else None
+
+
+def _fit_swept(legs: DataFrame, beta: float, end: float, most: float = 0.999, rounds: int = 400) -> dict:
+    """fit_beta() without a constraint for a process that no task should hold: its swept times are written once
+    (see swept_table()), and each step of the climb, or of expectation-maximisation beyond `most`, is one pass over them."""
+    rows = swept_table(legs, beta)
     part = (1 - F.exp(-beta * (F.lit(float(end)) - F.col("t")))) / beta
-    held = {r["leg"]: (r["n"], r["mass"]) for r in rows.groupBy("leg").agg(F.count("*").alias("n"), F.sum(part).alias("mass")).collect()}
-    if any(not held.get(k, (0, 0))[0] for k in (0, 1)):
-        return None
-    c = np.array([end, max(held[0][1], 1e-300), max(held[1][1], 1e-300)])
-    tops, ll = [], 0.0
-    for i in (0, 1):
-        own = rows.filter(F.col("leg") == i)
-        z = [F.lit(1 / c[0]), F.col("r_0") / float(c[1]), F.col("r_1") / float(c[2])]
-        tops.append(np.maximum(climb_table(own, z, np.array([held[i][0] / end / 2, 0.25 * beta, 0.25 * beta]) * c) / c, 1e-12))
-        lam = F.lit(float(tops[i][0])) + F.col("r_0") * float(tops[i][1]) + F.col("r_1") * float(tops[i][2])
-        ll += own.agg(F.sum(F.ln(lam))).first()[0] - float(tops[i] @ c)
-    mu, alpha = np.array([t[0] for t in tops]), np.stack([t[1:] for t in tops])
-    return _fit_row(mu, alpha, beta, ll) if spectral(alpha / beta) <= most else None
+    r = rows.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in (0, 1)], *[F.coalesce(F.sum(F.col(f"n_{k}") * part), F.lit(0.0)) for k in (0, 1)]).first()
+    n, c = np.array(r[:2], float), np.array([end, max(r[2], 1e-300), max(r[3], 1e-300)])
+    mu, alpha = np.maximum(n / end / 2, 1e-12), np.full((2, 2), 0.25 * beta)
+
+    def sums(mu: np.ndarray, alpha: np.ndarray) -> tuple[float, np.ndarray]:
+        theta = np.column_stack([mu, alpha])
+        value, grad, _ = leg_sums(rows, theta[None])
+        return float(value[0].sum() - (theta @ c).sum()) if n.all() else -math.inf, grad[0]
+
+    if n.all():
+        tops = np.stack([climb_swept(rows, k, c, np.array([mu[k], *alpha[k]]) * c) / c for k in (0, 1)])
+        if spectral(tops[:, 1:] / beta) <= most:
+            mu, alpha, rounds = np.maximum(tops[:, 0], 1e-12), np.maximum(tops[:, 1:], 1e-12), 0
+    else:
+        rounds = 1  # no step changes what a leg without events says
+    last, (now, grad) = -math.inf, sums(mu, alpha)
+    for _ in range(rounds):
+        mu, alpha = np.maximum(mu * grad[:, 0] / end, 1e-12), np.maximum(alpha * grad[:, 1:] / c[1:], 1e-12)
+        if spectral(alpha / beta) > most:
+            alpha = _onto(alpha, beta, most)
+        now, grad = sums(mu, alpha)
+        if now - last < min(1e-6, 1e-9 * max(1.0, abs(now))):
+            break
+        last = now
+    return _fit_row(mu, alpha, beta, now)
 
 
 def fit_grid(legs: DataFrame, end: float, decays: Sequence[float] = DECAYS, most_events: int = MOST_EVENTS) -> DataFrame:
     """One row a decay with its fit: a task each over the events of one process, or, beyond most_events of them,
-    by aggregates over all tasks, which reach the same top (see fit_table())."""
+    by passes over all tasks, which reach the same top (see _fit_swept())."""
     spark = legs.sparkSession
-    done = []
     if legs.count() > most_events:
-        done = [f for b in decays if (f := fit_table(legs, float(b), end)) is not None]
-    left = [(float(b),) for b in decays if float(b) not in {f["beta"] for f in done}]
-    out = spark.createDataFrame([tuple(float(f[k]) if k != "boundary" else f[k] for k in FIT_NAMES) for f in done], FIT)
-    if left:
-        each = legs.select("leg", "t").crossJoin(F.broadcast(spark.createDataFrame(left, "g double")))
-        out = out.unionByName(each.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([fit_beta(_arrays(pdf), float(pdf["g"].iloc[0]), end)]), FIT))
-    return out
+        done = [_fit_swept(legs, float(b), end) for b in decays]
+        return spark.createDataFrame([tuple(float(f[k]) if k != "boundary" else f[k] for k in FIT_NAMES) for f in done], FIT)
+    each = legs.select("leg", "t").crossJoin(F.broadcast(spark.createDataFrame([(float(b),) for b in decays], "g double")))
+    return each.groupBy("g").applyInPandas(lambda pdf: pd.DataFrame([fit_beta(_arrays(pdf), float(pdf["g"].iloc[0]), end)]), FIT)
 
 
 def best(fits: DataFrame) -> DataFrame:
@@ -565,6 +579,9 @@ def bootstrap(legs: DataFrame, beta: float, end: float, reps: int, seed: int) ->
             yield pd.DataFrame({"rep": pdf["id"], "stat": pd.array([lr_statistic(simulate_poisson(mu, end, seed + int(r)), beta, end) for r in pdf["id"]], dtype="Float64")})
 
     null = spark.range(1, reps + 1).repartition(min(reps, spark.sparkContext.defaultParallelism * 2)).mapInPandas(draw, "rep long, stat double")
+    if sum(n.values()) > MOST_EVENTS and min(n.get(k, 0) for k in (0, 1)) >= 10:
+        flat = sum(n[k] * math.log(n[k] / end) - n[k] for k in (0, 1))
+        return spark.createDataFrame([(0, max(0.0, 2 * (_fit_swept(legs, beta, end)["ll"] - flat)))], "rep long, stat double").unionByName(null)
     seen = legs.select("leg", "t", F.lit(0).alias("g")).groupBy("g").applyInPandas(lambda pdf: pd.DataFrame({"rep": [0], "stat": pd.array([lr_statistic(_arrays(pdf), beta, end)], dtype="Float64")}), "rep long, stat double")
     return seen.unionByName(null)
 
