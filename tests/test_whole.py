@@ -37,7 +37,7 @@ def test_permutation_null_equals_brute_force(spark):
         assert null[rep] == pytest.approx(want, abs=1e-12)
 
 
-def test_permutations_in_waves_and_buckets_are_the_same_and_leave_no_shuffle(spark, monkeypatch):
+def test_permutations_in_waves_and_buckets_are_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     pairs = spark.createDataFrame([(i + 1, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.normal(size=700), rng.normal(size=700), strict=True))], "i int, a double, b double").cache()
     stats = lambda **k: {r["rep"]: r["stat"] for r in series.permutation_null(pairs, 7, **k).collect()}
