@@ -268,3 +268,15 @@ def test_autoregression_by_lagged_sums_is_the_regression_over_bins(spark, order)
                 assert r["aic"] == pytest.approx(want["aic"], rel=1e-8)
                 assert np.array(r["coefs"]).reshape(-1) == pytest.approx(np.array(want["coefs"]).reshape(-1), abs=1e-8)
                 assert r["intercept"] == pytest.approx(want["intercept"], abs=1e-8)
+
+
+def test_a_fast_decay_over_a_long_span_asks_for_no_file_a_leaf(spark, monkeypatch):
+    """Leaves are as short as the decay; twenty events over a year must not become half a million tasks."""
+    asked = []
+    kind = type(spark.range(1))
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, n, *by: (asked.append(n), plain(self, min(n, 64), *by))[1])
+    legs = _legs(spark, [np.linspace(0.0, 3e7, 11), np.linspace(5.0, 2.9e7, 9)])
+    rows = hawkes.swept_table(legs, 10.0)
+    assert asked == [spark.sparkContext.defaultParallelism]
+    assert rows.agg(F.sum("n_0") + F.sum("n_1")).first()[0] == 20

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.operators import sweeps
+from tideline.operators import ranges, sweeps
 from tideline.session import shared_dir
 
 DECAYS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
@@ -112,6 +112,13 @@ def poisson_log_likelihood(legs: DataFrame, mu: Sequence[float], end: float, sta
     return n.select(sum((F.col(f"n{k}") * math.log(mu[k]) - mu[k] * (end - start) for k in (0, 1)), F.lit(0.0)).alias("ll"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder."""
+    at = f"{shared_dir(df.sparkSession)}/fits/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def _swept_compensator(legs: DataFrame, p: Params, start: float) -> tuple[DataFrame, sweeps.Leaves]:
     """One row a distinct time from start on: _leaf, t, n_0, n_1 and big_0, big_1, the integrated intensities up to it.
 
@@ -149,6 +156,8 @@ def residuals(legs: DataFrame, p: Params, start: float = 0.0) -> DataFrame:
     one before a leaf is the greatest there.
     """
     at, leaves = _swept_compensator(legs, p, start)
+    if not leaves.alone:
+        at = stored(at)  # read twice below
     own = [F.when(F.col(f"n_{k}") > 0, F.col(f"big_{k}")) for k in (0, 1)]
     last = at.withColumns({f"last_{k}": F.last(own[k], ignorenulls=True).over(sweeps.earlier("_leaf", order="t")) for k in (0, 1)})
     if not leaves.alone:
@@ -765,12 +774,9 @@ def _steps(problem, y: np.ndarray, g: np.ndarray, h: np.ndarray) -> list[np.ndar
 
 def swept_table(legs: DataFrame, beta: float) -> DataFrame:
     """The distinct times of both legs with their excitation, written once to the shared folder, evenly over all cores."""
-    spark = legs.sparkSession
-    at = f"{shared_dir(spark)}/fits/{uuid.uuid4().hex}"
     swept, leaves = sweeps.times(legs, beta)
-    files = max(spark.sparkContext.defaultParallelism, leaves.root**2)  # as many as there are leaves
-    swept.select("t", "n_0", "n_1", "r_0", "r_1").repartition(files, "t").write.parquet(at)
-    return spark.read.parquet(at)
+    files = max(legs.sparkSession.sparkContext.defaultParallelism, math.ceil(leaves.rows / ranges.RANGE_ROWS))
+    return stored(swept.select("t", "n_0", "n_1", "r_0", "r_1").repartition(files, "t"))
 
 
 def _on_etas(rows: DataFrame, radii: list[float], starts: list[np.ndarray], cost: np.ndarray) -> list[float]:

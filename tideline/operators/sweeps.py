@@ -25,13 +25,15 @@ LEGS = (0, 1)
 
 @dataclass(frozen=True)
 class Leaves:
-    """Leaves of one width from `low` on; group: leaves of a group; stretch: groups of a stretch; root: leaves of a block of plain sums."""
+    """Leaves of one width from `low` on; group: leaves of a group; stretch: groups of a stretch; root: leaves of a block of plain sums;
+    rows: how many times are dealt. Leaves can far outnumber rows where the decay is fast and the span long."""
 
     low: float
     width: float
     group: int
     stretch: int
     root: int
+    rows: int = 0
 
     @property
     def alone(self) -> bool:
@@ -46,12 +48,12 @@ def leaves_of(times: DataFrame, beta: float, range_rows: int | None = None) -> L
     """How to deal the column t of times: one aggregate over it."""
     r = times.agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("t").alias("n")).first()
     if not r["n"] or r["high"] <= r["low"]:
-        return Leaves(r["low"] or 0.0, 1.0, 1, 1, 1)
+        return Leaves(r["low"] or 0.0, 1.0, 1, 1, 1, r["n"])
     span = r["high"] - r["low"]
     width = min(EXPONENT / beta, span * (range_rows or ranges.RANGE_ROWS) / r["n"])
     root = max(1, math.ceil(math.sqrt(math.floor(span / width) + 1)))
     group = max(1, min(root, int(EXPONENT / (beta * width))))
-    return Leaves(r["low"], width, group, max(1, int(EXPONENT / (beta * width * group))), root)
+    return Leaves(r["low"], width, group, max(1, int(EXPONENT / (beta * width * group))), root, r["n"])
 
 
 def earlier(*by: str, order: str):

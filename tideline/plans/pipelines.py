@@ -33,7 +33,7 @@ def fit(legs: DataFrame, reps: int = 200, decays=hawkes.DECAYS, etas=hawkes.ETA_
     first = legs.agg(F.min("t")).first()[0]
     if first is None:
         raise ValueError("no events")
-    legs = legs.select("leg", (F.col("t") - F.lit(float(first))).alias("t"))
+    legs = hawkes.stored(legs.select("leg", (F.col("t") - F.lit(float(first))).alias("t")))
     w = series.window_of(legs).first()
     end = max(float(w["w_end"]), 1e-9)
     cut = (1 - held_out) * end
@@ -66,8 +66,8 @@ def fit(legs: DataFrame, reps: int = 200, decays=hawkes.DECAYS, etas=hawkes.ETA_
 
 def hedge(report: dict, residuals: DataFrame, cost: str | None = None, reps: int = 200, max_lag: int = 50, samples: int = 10_000) -> dict:
     """Dependence, gates, strip, stress and verdict from a fit's record and its residuals (leg, event_time, rescaled_dt)."""
-    good = residuals.filter(F.col("rescaled_dt").isNotNull() & ~F.isnan("rescaled_dt"))
-    pairs = series.paired(good.select("leg", F.col("rescaled_dt").alias("x"), F.col("event_time").alias("t")), "x", "t")
+    good = hawkes.stored(residuals.filter(F.col("rescaled_dt").isNotNull() & ~F.isnan("rescaled_dt")))
+    pairs = hawkes.stored(series.paired(good.select("leg", F.col("rescaled_dt").alias("x"), F.col("event_time").alias("t")), "x", "t"))
     n = pairs.count()
     out: dict = {"pairs": n}
     if n <= 2 * max_lag + 1:
