@@ -280,3 +280,24 @@ def test_a_fast_decay_over_a_long_span_asks_for_no_file_a_leaf(spark, monkeypatc
     rows = hawkes.swept_table(legs, 10.0)
     assert asked == [spark.sparkContext.defaultParallelism]
     assert rows.agg(F.sum("n_0") + F.sum("n_1")).first()[0] == 20
+
+
+def test_a_null_draw_holds_little_more_than_its_times_and_states():
+    """A process of many events is fitted in chunks: about 90 bytes an event at the peak, and the same top."""
+    import tracemalloc
+
+    end = 2e5
+    tracemalloc.start()
+    legs = hawkes.simulate_poisson([1.0, 1.0], end, 3)
+    seen = hawkes.lr_statistic(legs, 0.05, end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 * sum(map(len, legs))
+    f = hawkes.fit_beta(legs, 0.05, end)
+    states = hawkes.fold_states(legs, 0.05)
+    whole = 0.0
+    for i, (mu, alpha) in enumerate(((f["mu0"], (f["a00"], f["a01"])), (f["mu1"], (f["a10"], f["a11"])))):
+        mass = np.array([(1 - np.exp(-0.05 * (end - x))).sum() for x in legs]) / 0.05
+        whole += np.log(mu + states[i] @ alpha).sum() - mu * end - np.dot(alpha, mass)
+    flat = sum(len(x) * math.log(len(x) / end) - len(x) for x in legs)
+    assert seen == pytest.approx(max(0.0, 2 * (whole - flat)), abs=1e-6)

@@ -26,6 +26,8 @@ DECAYS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 10.0)
 BIN_WIDTHS = (60, 300, 900, 3600)
 MAX_ORDER = 10
 SWEPT = ("r_0", "r_1", "c_0", "c_1")
+#: Events that a step over arrays works on at a time; what a task holds of a process is its times and their excitation alone.
+CHUNK = 65_536
 #: Events of one process that a task may hold for a fit.
 MOST_EVENTS = 2_500_000
 
@@ -58,11 +60,15 @@ def faded(at: np.ndarray, n: np.ndarray, beta: float, before: float = 0.0) -> np
     """
     if not len(at):
         return np.zeros(0)
-    out, r = [before] * len(at), before
-    for i, (fade, held) in enumerate(zip(np.exp(-beta * np.diff(at)).tolist(), n.tolist(), strict=False), 1):
-        r = fade * (r + held)
-        out[i] = r
-    return np.array(out)
+    out, r = np.empty(len(at)), before
+    out[0] = before
+    for low in range(0, len(at) - 1, CHUNK):  # lists of a chunk only
+        own = []
+        for fade, held in zip(np.exp(-beta * np.diff(at[low : low + CHUNK + 1])).tolist(), n[low : low + CHUNK].tolist(), strict=False):
+            r = fade * (r + held)
+            own.append(r)
+        out[low + 1 : low + 1 + len(own)] = own
+    return out
 
 
 def excitation(legs: DataFrame, beta: float, start: float = 0.0, range_rows: int | None = None) -> DataFrame:
@@ -221,10 +227,36 @@ def ks_p_value(d: float, n: int) -> float:
 
 def fold_states(legs: Sequence[np.ndarray], beta: float) -> list[np.ndarray]:
     """For each leg an array (events x 2) of the excitation by legs 0 and 1 just before each event."""
-    at, place = np.unique(np.concatenate(legs), return_inverse=True)
-    leg = np.repeat([0, 1], [len(legs[0]), len(legs[1])])
-    out = np.stack([faded(at, np.bincount(place[leg == k], minlength=len(at)).astype(float), beta)[place] for k in (0, 1)], axis=1)
-    return [out[: len(legs[0])], out[len(legs[0]) :]]
+    at = np.unique(np.concatenate(legs))
+    places = [np.searchsorted(at, x).astype(np.int32) for x in legs]
+    out = [np.empty((len(x), 2)) for x in legs]
+    for k in (0, 1):
+        r = faded(at, np.bincount(places[k], minlength=len(at)), beta)
+        for place, own in zip(places, out, strict=True):
+            own[:, k] = r[place]
+    return out
+
+
+def _chunks(n: int):
+    return (slice(i, i + CHUNK) for i in range(0, n, CHUNK))
+
+
+def _mass(legs: Sequence[np.ndarray], beta: float, end: float) -> np.ndarray:
+    """What a unit of excitation by each leg adds to an intensity's integral."""
+    return np.array([sum(float((1 - np.exp(-beta * (end - x[at]))).sum()) for at in _chunks(len(x))) for x in legs]) / beta
+
+
+def _parts(states: np.ndarray, mu: float, alpha: np.ndarray) -> tuple[float, float, float, np.ndarray]:
+    """The least intensity of a leg's events; the sums of its logarithms, of its inverses, and of the states over it."""
+    least, logs, inverse, over = math.inf, 0.0, 0.0, np.zeros(2)
+    for at in _chunks(len(states)):
+        z = states[at]
+        lam = mu + z @ alpha
+        least = min(least, float(lam.min()))
+        if least <= 0:
+            return least, -math.inf, math.nan, over
+        logs, inverse, over = logs + float(np.log(lam).sum()), inverse + float((1 / lam).sum()), over + (1 / lam) @ z
+    return least, logs, inverse, over
 
 
 def ll_of(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndarray], end: float, states: list[np.ndarray] | None = None) -> float:
@@ -232,13 +264,13 @@ def ll_of(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndar
     if not len(legs[0]) or not len(legs[1]):
         return -math.inf
     states = states or fold_states(legs, beta)
-    mass = np.array([(1 - np.exp(-beta * (end - x))).sum() for x in legs]) / beta
+    mass = _mass(legs, beta, end)
     total = 0.0
     for i in (0, 1):
-        lam = mu[i] + states[i] @ alpha[i]
-        if (lam <= 0).any():
+        least, logs, *_ = _parts(states[i], mu[i], alpha[i])
+        if least <= 0:
             return -math.inf
-        total += float(np.log(lam).sum() - mu[i] * end - alpha[i] @ mass)
+        total += float(logs - mu[i] * end - alpha[i] @ mass)
     return total
 
 
@@ -265,13 +297,20 @@ def climb(better, slopes, u: np.ndarray) -> np.ndarray:
     return u
 
 
-def climb_array(z: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """climb() over the rows of an array."""
-    value = lambda u: float(np.log(lam).sum() - u.sum()) if (lam := z @ u).min() > 0 else -math.inf
+def climb_array(states: np.ndarray, c: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """climb() over the events of a leg, in chunks, with z = (1, states) / c."""
+
+    def value(u: np.ndarray) -> float:
+        b = u / c
+        return float(_parts(states, b[0], b[1:])[1] - u.sum())
 
     def slopes(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        w = z / (z @ u)[:, None]
-        return value(u), w.sum(axis=0) - 1, w.T @ w
+        g, outer = np.full(3, -1.0), np.zeros((3, 3))
+        for at in _chunks(len(states)):
+            z = np.column_stack([np.ones(len(states[at])), states[at]]) / c
+            w = z / (z @ u)[:, None]
+            g, outer = g + w.sum(axis=0), outer + w.T @ w
+        return value(u), g, outer
 
     return climb(lambda tries, now: next(((v, t) for t in tries if (v := value(t)) > now), None), slopes, u)
 
@@ -307,7 +346,7 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
     every step; with eta, onto eta.
     """
     states = fold_states(legs, beta)
-    mass = np.maximum(np.array([(1 - np.exp(-beta * (end - x))).sum() for x in legs]) / beta, 1e-300)
+    mass = np.maximum(_mass(legs, beta, end), 1e-300)
     n = np.array([len(legs[0]), len(legs[1])], float)
     mu, alpha = np.maximum(n / end / 2, 1e-12), np.full((2, 2), 0.25 * beta)
 
@@ -316,15 +355,15 @@ def fit_beta(legs: Sequence[np.ndarray], beta: float, end: float, eta: float | N
     last = -math.inf
     if eta is None and n.all():
         c = np.array([end, *mass])
-        tops = np.stack([climb_array(np.column_stack([np.ones(len(states[i])), states[i]]) / c, np.array([mu[i], *alpha[i]]) * c) / c for i in (0, 1)])
+        tops = np.stack([climb_array(states[i], c, np.array([mu[i], *alpha[i]]) * c) / c for i in (0, 1)])
         if spectral(tops[:, 1:] / beta) <= most:
             mu, alpha, rounds = np.maximum(tops[:, 0], 1e-12), np.maximum(tops[:, 1:], 1e-12), 0
     for _ in range(rounds):
         new_mu, new_alpha = np.empty(2), np.empty((2, 2))
         for i in (0, 1):
-            lam = mu[i] + states[i] @ alpha[i]
-            new_mu[i] = (mu[i] / lam).sum() / end
-            new_alpha[i] = alpha[i] * (states[i] / lam[:, None]).sum(axis=0) / mass
+            _, _, inverse, over = _parts(states[i], mu[i], alpha[i])
+            new_mu[i] = mu[i] * inverse / end
+            new_alpha[i] = alpha[i] * over / mass
         mu, alpha = np.maximum(new_mu, 1e-12), np.maximum(new_alpha, 1e-12)
         if eta is not None:
             alpha = _onto(alpha, beta, eta)
@@ -546,8 +585,9 @@ def simulate_poisson(mu: Sequence[float], end: float, seed: int) -> list[np.ndar
     """Event times of two homogeneous legs by exponential gaps."""
     rng, out = np.random.default_rng(seed), []
     for m in mu:
-        t = np.cumsum(rng.exponential(1 / m, int(m * end + 10 * math.sqrt(m * end) + 20)))
-        out.append(t[t < end])
+        t = rng.exponential(1 / m, int(m * end + 10 * math.sqrt(m * end) + 20))
+        np.cumsum(t, out=t)
+        out.append(t[: np.searchsorted(t, end)].copy())
     return out
 
 
