@@ -84,3 +84,24 @@ def test_content_hash_ignores_order(spark):
     a = spark.range(100).withColumn("x", F.col("id") * 2)
     h = lambda d: ledger.content_hash(d).first()["hash"]
     assert h(a) == h(a.repartition(7).orderBy(F.desc("id"))) != h(a.filter("id > 0"))
+
+
+def test_copula_fits_spread_their_pairs_and_sum_the_densities(spark, monkeypatch):
+    """Pairs go to every core however few files they come in, and a pass's sums are those of the Column densities."""
+    import numpy as np
+    import pandas as pd
+
+    from tideline.operators import dependence
+
+    rng = np.random.default_rng(6)
+    d = spark.createDataFrame(pd.DataFrame({"u": rng.uniform(1e-9, 1, 3000), "v": rng.uniform(1e-9, 1, 3000)})).coalesce(1)
+    tried = {("clayton", 0.0): [1e-4, 0.7, 30.0], ("frank", 0.0): [1e-4, 3.0, 30.0], ("gumbel", 0.0): [1 + 1e-6, 2.0, 30.0]}
+    got = dependence._scores(d, list(tried), tried)
+    for (family, _), thetas in tried.items():
+        for r in dependence.log_likelihood(d, family, thetas).collect():
+            assert got[family, 0.0][r["theta"]] == pytest.approx(r["ll"], rel=1e-6, abs=1e-6)
+    asked, kind = [], type(d)
+    plain = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *n: (asked.append(n), plain(self, *n))[1])
+    dependence.fit_menu(d, ("gaussian",))
+    assert asked == [(3 * spark.sparkContext.defaultParallelism,)]

@@ -106,34 +106,52 @@ def _t_quantiles(u: pd.Series) -> pd.Series:
     return pd.Series(list(np.stack([_quantile_t(u.to_numpy(float), nu) for nu in FREEDOMS], axis=1)))
 
 
-def _t_log_density(nu: float, x: Column, y: Column, r: Column) -> Column:
-    g = math.lgamma
-    c = g((nu + 2) / 2) + g(nu / 2) - 2 * g((nu + 1) / 2)
-    q = (x * x + y * y - 2 * r * x * y) / (nu * (1 - r * r))
-    return c - 0.5 * F.log1p(-r * r) - (nu + 2) / 2 * F.log1p(q) + (nu + 1) / 2 * (F.log1p(x * x / nu) + F.log1p(y * y / nu))
-
-
-def _densities_of_kinds(kinds: Sequence[tuple[str, float]]) -> Column:
-    """The log density of the row's kind k at its parameter th."""
-    out = F.lit(None).cast("double")
-    for k, (family, nu) in enumerate(kinds):
-        j = FREEDOMS.index(nu) if family == "t" else 0
-        one = _t_log_density(nu, F.col("tu")[j], F.col("tv")[j], F.col("th")) if family == "t" else log_density(family, F.col("u"), F.col("v"), F.col("th"))
-        out = F.when(F.col("k") == k, one).otherwise(out)
-    return out
+#: Densities that a pass works on at a time, so that they stay in a core's cache.
+_PASS_NUMBERS = 1 << 15
+
+
+def _densities(kind: tuple[str, float], th: np.ndarray, u: np.ndarray, v: np.ndarray, tu: np.ndarray | None, tv: np.ndarray | None) -> np.ndarray:
+    """The log densities, pairs x parameters, of a kind; 0 where a logarithm has no value, which a sum of Columns leaves out."""
+    (family, nu), lu, lv = kind, np.log(u)[:, None], np.log(v)[:, None]
+    if family == "clayton":
+        arg = np.exp(-th * lu) + np.exp(-th * lv) - 1
+        return np.log1p(th) - (1 + th) * (lu + lv) - (2 + 1 / th) * np.log(arg)
+    if family == "frank":
+        d = np.abs(-np.expm1(-th) - np.expm1(-th * u[:, None]) * np.expm1(-th * v[:, None]))
+        return np.where(d > 0, np.log(th) + np.log(-np.expm1(-th)) - th * (u + v)[:, None] - 2 * np.log(np.maximum(d, 1e-300)), 0.0)
+    if family == "gumbel":
+        lx, ly = np.log(-lu), np.log(-lv)
+        s = np.exp(th * lx) + np.exp(th * ly)
+        ls = np.log(np.where(s > 0, s, 1.0))
+        c = np.exp(ls / th)
+        return np.where(s > 0, -c - lu - lv + (th - 1) * (lx + ly) + (1 / th - 2) * ls + np.log(c + th - 1), 0.0)
+    g, j = math.lgamma, FREEDOMS.index(nu)
+    x, y = tu[:, j, None], tv[:, j, None]
+    q = (x * x + y * y - 2 * th * x * y) / (nu * (1 - th * th))
+    own = (nu + 1) / 2 * (np.log1p(x * x / nu) + np.log1p(y * y / nu))
+    return g((nu + 2) / 2) + g(nu / 2) - 2 * g((nu + 1) / 2) - 0.5 * np.log1p(-th * th) - (nu + 2) / 2 * np.log1p(q) + own
 
 
 def _scores(sample: DataFrame, kinds: Sequence[tuple[str, float]], tried: Mapping[tuple[str, float], Sequence[float]]) -> dict[tuple[str, float], dict[float, float]]:
-    """The log-likelihood of each kind at its parameters: one pass over the sample for all of them, summed before the shuffle.
+    """The log-likelihood of each kind at its parameters: one pass over the sample for all of them; a task sends a sum for each."""
+    at = {k: np.array([float(th) for th in tried[kind]]) for k, kind in enumerate(kinds) if len(tried.get(kind, ()))}
+
+    def part(batches):
+        total = {k: np.zeros(len(th)) for k, th in at.items()}
+        for pdf in batches:
+            u, v = pdf["u"].to_numpy(), pdf["v"].to_numpy()
+            tu, tv = (np.array(pdf[c].tolist(), float) if c in pdf else None for c in ("tu", "tv"))
+            with np.errstate(all="ignore"):
+                for k, th in at.items():
+                    step = max(64, _PASS_NUMBERS // len(th))
+                    for i in range(0, len(u), step):
+                        own = slice(i, i + step)
+                        total[k] += _densities(kinds[k], th, u[own], v[own], None if tu is None else tu[own], None if tv is None else tv[own]).sum(axis=0)
+        yield pd.DataFrame([(k, j, x) for k, row in total.items() for j, x in enumerate(row)], columns=["k", "j", "ll"])
 
-    The parameters are a small broadcast table, so every pass runs the same compiled plan.
-    """
-    at = [(k, float(th)) for k, kind in enumerate(kinds) for th in tried.get(kind, ())]
-    d = sample.crossJoin(F.broadcast(sample.sparkSession.createDataFrame(pd.DataFrame(at, columns=["k", "th"]), "k int, th double")))
-    got = d.groupBy("k", "th").agg(F.sum(_densities_of_kinds(kinds)).alias("ll")).collect()
     out: dict[tuple[str, float], dict[float, float]] = {kind: {} for kind in kinds}
-    for r in got:
-        out[kinds[r["k"]]][r["th"]] = r["ll"] if r["ll"] is not None and math.isfinite(r["ll"]) else -1e300
+    for r in sample.mapInPandas(part, "k int, j int, ll double").groupBy("k", "j").agg(F.sum("ll").alias("ll")).collect():
+        out[kinds[r["k"]]][float(at[r["k"]][r["j"]])] = r["ll"] if r["ll"] is not None and math.isfinite(r["ll"]) else -1e300
     return out
 
 
@@ -199,7 +217,7 @@ def fit_menu(sample: DataFrame, families: Sequence[str] = FAMILIES) -> DataFrame
     if "t" in families:
         d = d.withColumns({"tu": _t_quantiles("u"), "tv": _t_quantiles("v")})
     at = f"{shared_dir(spark)}/copula-{uuid.uuid4().hex}"
-    d.write.parquet(at)
+    d.repartition(3 * spark.sparkContext.defaultParallelism).write.parquet(at)  # a file or two, as ranks leave them, is a task or two a pass
     d = spark.read.parquet(at)
     x, y = F.expr(normal_quantile("u")), F.expr(normal_quantile("v"))
     s = d.select(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"), F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("squares"), F.sum(F.col("x") * F.col("y")).alias("product")).first()
