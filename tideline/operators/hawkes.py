@@ -645,7 +645,8 @@ def bootstrap_test(draws: DataFrame, alpha: float = 0.01) -> DataFrame:
 ETA_GRID = (0.0, *np.linspace(1e-3, 0.95, 40).tolist())
 #: Step lengths that a pass tries at once: along the Newton direction, then along the gradient over its curvature.
 _TRIES = ((1.0, 0.25, 1 / 64), (1.0,))
-_PASS_ROWS = 2000
+#: Intensities that a pass works on at a time, so that they stay in a core's cache.
+_PASS_NUMBERS = 1 << 16
 #: A climb ends where a step gains no more than this in log-likelihood.
 SETTLED = 1e-5
 
@@ -654,24 +655,34 @@ def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """For m tries of both legs' (mu, a0, a1), in an array m x 2 x 3: the sums over swept times (see sweeps.times()) of
     n ln(lam), m x 2; of its slopes, m x 2 x 3; and of the outer products of its slopes, m x 2 x 3 x 3.
 
-    One pass for all tries: each batch is a product of its rows with the tries, each task sends twenty sums a try.
+    One pass for all tries: each step is a product of some rows with the tries, each task sends twenty sums a try.
     """
     m = len(tries)
+    step = max(64, _PASS_NUMBERS // m)
 
     def part(batches):
         total = np.zeros((m, 2, 10))
-        for b in (whole.iloc[i : i + _PASS_ROWS] for whole in batches for i in range(0, len(whole), _PASS_ROWS)):
-            z = np.column_stack([np.ones(len(b)), b["r_0"], b["r_1"]])
-            pairs = np.column_stack([z[:, i] * z[:, j] for i in range(3) for j in range(i + 1)])
+        for whole in batches:
+            every = np.column_stack([np.ones(len(whole)), whole["r_0"], whole["r_1"]])
             for k in (0, 1):
-                n = b[f"n_{k}"].to_numpy(float)
-                on = n > 0
-                lam = z[on] @ tries[:, k].T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    total[:, k, 0] += np.where(lam > 0, n[on, None] * np.log(np.maximum(lam, 1e-300)), -np.inf).sum(axis=0)
-                    w = np.where(lam > 0, n[on, None] / lam, 0.0)
-                    total[:, k, 1:4] += w.T @ z[on]
-                    total[:, k, 4:] += np.where(lam > 0, w / lam, 0.0).T @ pairs[on]
+                held = whole[f"n_{k}"].to_numpy(float)
+                all_z, all_n = every[held > 0], held[held > 0]
+                for i in range(0, len(all_n), step):
+                    z, n = all_z[i : i + step], all_n[i : i + step]
+                    lam = z @ tries[:, k].T
+                    pairs = np.column_stack([z[:, i] * z[:, j] for i in range(3) for j in range(i + 1)])
+                    if lam.min() > 0:
+                        w = n[:, None] / lam
+                        total[:, k, 1:4] += w.T @ z
+                        w /= lam
+                        total[:, k, 4:] += w.T @ pairs
+                        total[:, k, 0] += n @ np.log(lam, out=lam)
+                        continue
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        total[:, k, 0] += np.where(lam > 0, n[:, None] * np.log(np.maximum(lam, 1e-300)), -np.inf).sum(axis=0)
+                        w = np.where(lam > 0, n[:, None] / lam, 0.0)
+                        total[:, k, 1:4] += w.T @ z
+                        total[:, k, 4:] += np.where(lam > 0, w / lam, 0.0).T @ pairs
         yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "x": total.ravel()})
 
     got = rows.select("n_0", "n_1", "r_0", "r_1").mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
