@@ -509,3 +509,17 @@ def test_components_of_chains_and_stars(spark):
     want = {n: c for n, c in comp.items() if any(n in e and e[0] != e[1] for e in edges)}
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["root"] for r in jaccard_join.components(df).collect()} == want
+
+
+def test_a_route_sends_the_vectors_of_all_cells_in_bounded_pieces():
+    """Factor 1 wants nearly all cells of a query, and each pair carries the query's vector."""
+    import pandas as pd
+
+    some = pd.DataFrame({"rid": range(300), "vec_id": range(300), "v": [np.zeros(64)] * 300, "dim": np.int32(64), "limit": 1.0})
+    want = np.ones((300, 2048), bool)
+    want[7, 5] = False
+    n = 0
+    for p in neighbours._pieces(some, want):
+        assert len(p) * 64 <= 1 << 20
+        n += len(p)
+    assert n == want.sum()

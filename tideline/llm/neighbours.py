@@ -30,6 +30,8 @@ FIT_ROUNDS = 6
 #: Cells that a query searches before any bound, and the most queries that meet a shard at once.
 SEEDS = 4
 QUERY_ROWS = 4096
+#: Vector components that a step of the routing sends at once.
+PIECE_NUMBERS = 1 << 20
 LEAF = 48
 FACTOR = 3.3
 K = 10
@@ -259,6 +261,15 @@ def _meet(index: Index, asked: DataFrame, k: int, factor: float) -> DataFrame:
     return left.groupBy(*key).cogroup(right.groupBy(*[f"{c}_" for c in key])).applyInPandas(run, FOUND)
 
 
+def _pieces(some: pd.DataFrame, want: np.ndarray):
+    """A row for each cell that a query wants, in bounded pieces, as each carries the query's vector: all cells of
+    512 queries are half a gigabyte of them at 64 components."""
+    row, cell = np.nonzero(want)
+    piece = max(1, PIECE_NUMBERS // int(some["dim"].iloc[0]))
+    for a in range(0, len(row), piece):
+        yield some.iloc[row[a : a + piece]][["rid", "vec_id", "v", "dim", "limit"]].assign(cell=cell[a : a + piece].astype(np.int32))[["rid", "vec_id", "v", "dim", "cell", "limit"]]
+
+
 def search(index: Index, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query, ties to smaller ids.
 
@@ -274,7 +285,6 @@ def search(index: Index, queries: DataFrame, k: int = K, factor: float = FACTOR)
         def run(batches):
             pivots, of = sent.value
             for pdf in (b for b in batches if len(b)):
-                out = []
                 for dim, part in pdf.groupby("dim"):
                     p, (low, high) = pivots[int(dim)], of[int(dim)].T
                     for a in range(0, len(part), 512):
@@ -297,9 +307,7 @@ def search(index: Index, queries: DataFrame, k: int = K, factor: float = FACTOR)
                             mid = (d * d - held[np.arange(len(x)), home][:, None] ** 2) / (2 * np.maximum(apart, 1e-3 * size))
                             bound = np.maximum(bound, np.where(apart > 1e-3 * size, mid, 0)) - 1e-7 * size  # less what rounding may have added
                             want = (bound * factor <= some["limit"].to_numpy()[:, None]) & ~seeds & (high >= low)
-                        row, cell = np.nonzero(want)
-                        out.append(pd.DataFrame({"rid": some["rid"].to_numpy()[row], "vec_id": some["vec_id"].to_numpy()[row], "v": some["v"].to_numpy()[row], "dim": int(dim), "cell": cell.astype(np.int32), "limit": some["limit"].to_numpy()[row]}))
-                yield from out
+                        yield from _pieces(some, want)
 
         return run
 
