@@ -301,3 +301,15 @@ def test_a_null_draw_holds_little_more_than_its_times_and_states():
         whole += np.log(mu + states[i] @ alpha).sum() - mu * end - np.dot(alpha, mass)
     flat = sum(len(x) * math.log(len(x) / end) - len(x) for x in legs)
     assert seen == pytest.approx(max(0.0, 2 * (whole - flat)), abs=1e-6)
+
+
+def test_a_process_of_few_events_goes_by_no_array(monkeypatch):
+    """The same likelihood as by arrays, ties and times beyond the end included, without their cost a call."""
+    rng = np.random.default_rng(8)
+    mu, alpha = np.array([0.05, 0.04]), np.array([[0.3, 0.1], [0.2, 0.25]])
+    each = [[np.sort(rng.integers(1, 51, n).astype(float)) for n in rng.integers(1, 6, 2)] for _ in range(50)]
+    want = [hawkes.ll_of(mu, alpha, 1.0, x, 60.0, hawkes.fold_states(x, 1.0)) for x in each]
+    far = hawkes.ll_of(mu, alpha, 1.0, [np.array([2000.0]), np.array([1.0])], 60.0)
+    monkeypatch.setattr(hawkes, "fold_states", None)
+    assert [hawkes.ll_of(mu, alpha, 1.0, x, 60.0) for x in each] == pytest.approx(want, rel=1e-12)
+    assert far == math.inf

@@ -259,10 +259,37 @@ def _parts(states: np.ndarray, mu: float, alpha: np.ndarray) -> tuple[float, flo
     return least, logs, inverse, over
 
 
+#: Events up to which a likelihood is a plain loop, as a process of a few costs an array call thirty times over.
+FEW = 64
+
+
+def _ll_of_few(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndarray], end: float) -> float:
+    times = [x.tolist() for x in legs]
+    rows, base = np.asarray(alpha).tolist(), np.asarray(mu).tolist()
+    exp, log = math.exp, math.log
+    mass = [sum(1 - exp(-beta * (end - t)) for t in own) / beta for own in times]
+    total = -sum(base[i] * end + rows[i][0] * mass[0] + rows[i][1] * mass[1] for i in (0, 1))
+    r, held, last = [0.0, 0.0], [0, 0], None
+    for t, k in sorted([(t, 0) for t in times[0]] + [(t, 1) for t in times[1]]):
+        if t != last:
+            if last is not None:
+                fade = exp(-beta * (t - last))
+                r = [fade * (r[0] + held[0]), fade * (r[1] + held[1])]
+            held, last = [0, 0], t
+        held[k] += 1
+        lam = base[k] + rows[k][0] * r[0] + rows[k][1] * r[1]
+        if lam <= 0:
+            return -math.inf
+        total += log(lam)
+    return total
+
+
 def ll_of(mu: np.ndarray, alpha: np.ndarray, beta: float, legs: Sequence[np.ndarray], end: float, states: list[np.ndarray] | None = None) -> float:
     """Log-likelihood over [0, end]."""
     if not len(legs[0]) or not len(legs[1]):
         return -math.inf
+    if states is None and len(legs[0]) + len(legs[1]) <= FEW and beta > 0 and beta * (max(x.max() for x in legs) - end) < 600:  # the loop's exp() would raise
+        return _ll_of_few(mu, alpha, beta, legs, end)
     states = states or fold_states(legs, beta)
     mass = _mass(legs, beta, end)
     total = 0.0
