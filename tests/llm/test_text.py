@@ -5,12 +5,13 @@ from itertools import permutations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.test_spark import BIG, CLASH, LONG, ROWS, TEXT
-from tideline.llm import filter_audit, language_model, registry_text, string_kernel
+from tideline.llm import filter_audit, language_model, registry_base, registry_text, string_kernel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -106,6 +107,28 @@ def test_equal_rows_teach_once_and_do_not_fill_the_sample(spark):
     assert out.count() == 3203 and same[0] == 3000 and same[1] < 1e-3
 
 
+def test_words_in_batches_are_the_words_of_each_text():
+    odd = ["".join(f"a{chr(i)}" for i in range(256)), None, "", " \t\x0b ", "ÀÉ Zz\u2003z\u0085z", "\x1cX\x1f Y", " lead and trail\r\n", "I\u0130\u212a", "x"]
+    for texts in (odd, odd[1:4], []):
+        words, sizes = language_model.split_words(pa.array(texts, pa.string()))
+        want = [language_model.words_of(t) for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and [w.encode() for w in words.to_pylist()] == sum(want, [])
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(odd, pa.string())})
+    cut = list(language_model.pieces(batch, 5))
+    assert len(cut) > 3 and pa.Table.from_batches(cut).column("text").to_pylist() == odd
+
+
+def test_base_scores_are_those_of_op2_and_train_no_net(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    whole = language_model.fit_and_score(language_model.held_out_rows(spark.read.parquet(f"{sf}/documents.parquet")))
+    want = sorted(tuple(r) for r in whole.select(*columns[:-1], F.round("base_score", 4)).collect())
+    monkeypatch.setattr(language_model, "train", lambda *a, **k: pytest.fail("a net was trained on the driver"))
+    monkeypatch.setattr(language_model, "learn", lambda *a, **k: pytest.fail("a net was trained"))
+    got = registry_base.lm_base_scores(spark, sf)
+    assert got.columns == columns and sorted(tuple(r) for r in got.collect()) == want
+
+
 # ---- op12
 
 

@@ -11,13 +11,13 @@ whole texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,8 @@ WIDE = 256  # streams of the groups, which have more text
 HEAD = 200_000
 #: The driver's first fit sees about so many documents, by hash, of at most so many tokens each.
 SAMPLE_DOCS, SAMPLE_TOKENS = 1000, 100_000
+#: Words that a task counts at once.
+COUNTED_AT_ONCE = 4_000_000
 #: Tokens of a group of training documents.
 GROUP_TOKENS = 4_000_000
 UNKNOWN, END = 0, 1
@@ -48,22 +50,51 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, and how many each text has; the same words as words_of() finds."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    blank = pc.equal(pc.binary_length(words), 0)
+    if pc.any(blank).as_py():  # of a text without a word the split leaves one empty string
+        sizes[blank.to_numpy(zero_copy_only=False)[np.cumsum(sizes) - 1]] = 0
+        words = words.filter(pc.invert(blank))
+    return words, sizes
+
+
+def pieces(batch: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about `most` bytes of text, a row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(sizes):
+        z = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, n over all texts of docs; each task sums its own words before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[bytes] = Counter()
-        out = lambda: pd.DataFrame({"word": [w.decode("utf-8", "surrogatepass") for w in found], "n": list(found.values())}, columns=["word", "n"])
-        for pdf in batches:
-            for text in pdf["text"]:
-                found.update(words_of(text))
-                if len(found) > 400_000:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            found = pc.value_counts(pa.concat_arrays(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
+
+        for batch in batches:
+            for piece in pieces(batch):
+                words, _ = split_words(piece.column("text"))
+                held.append(words)
+                size += len(words)
+                if size > COUNTED_AT_ONCE:
                     yield out()
-                    found.clear()
-        if found:
+                    size = 0
+        if size:
             yield out()
 
-    return docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def commonest(counts: DataFrame, most: int) -> DataFrame:
@@ -438,28 +469,45 @@ def encode(docs: DataFrame, model: Model) -> DataFrame:
     names = ["doc_id", "held_out", "_h", "ids", "n_tokens", "known", "base", "rest", "tail", "times"]
     schema = "doc_id string, held_out boolean, _h long, ids binary, n_tokens long, known long, base double, rest double, tail array<string>, times array<int>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        ranks, own = m.ranks(), np.log10(m.counts + 1)
+        head, own = pa.array([w.decode("utf-8", "surrogatepass") for w in m.head], pa.string()), np.log10(m.counts + 1)
         vocab = len(m.net.bo) - 2
         base_of, rest_of = np.log10(m.tokens + m.distinct + 1), np.log10(m.rest_tokens + m.rest_distinct + 1)
         end_base = np.log10(m.ends + 1) - base_of
-        for pdf in (b for b in batches if len(b)):
-            out = []
-            for doc_id, held, h, text in zip(pdf["doc_id"], pdf["held_out"], pdf["_h"], pdf["text"], strict=True):
-                words = words_of(text)
-                r = np.fromiter(map(ranks.get, words, repeat(-1)), np.int64, len(words))
-                inside = r[r >= 0]
-                missing = len(r) - len(inside)
-                far = inside[inside >= vocab]
-                tail = Counter([words[i] for i in np.flatnonzero(r < 0)]) if missing else {}
-                base = float(own[inside].sum()) - base_of * len(r) + end_base
-                rest = float(own[far].sum()) - rest_of * (len(far) + missing)
-                out.append((doc_id, bool(held), h, m.ids(r).astype(np.uint16).tobytes(), len(r) + 1, len(inside) + (m.ends > 0), base, rest, [w.decode("utf-8", "surrogatepass") for w in tail], list(tail.values())))
-            yield pd.DataFrame(out, columns=names)
+        # by rank, and at last of words beyond the head
+        values = np.append(np.where(np.arange(len(own)) < vocab, np.arange(len(own)) + 2, UNKNOWN), UNKNOWN).astype(np.uint16)
+        bases, rests = np.append(own, 0.0), np.append(np.where(np.arange(len(own)) < vocab, 0.0, own), 0.0)
+
+        def of(piece: pa.RecordBatch) -> pa.RecordBatch:
+            words, sizes = split_words(piece.column("text"))
+            docs, rows = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+            rank = pc.fill_null(pc.index_in(words, value_set=head), len(own)).to_numpy(zero_copy_only=False)
+            each = lambda weights: np.bincount(rows, weights, docs)
+            beyond = rank == len(own)
+            missing = np.bincount(rows[beyond], minlength=docs)
+            far = np.bincount(rows[rank >= vocab], minlength=docs)
+            ends = np.cumsum(sizes + 1)
+            ids = np.full(len(rank) + docs, END, np.uint16)
+            ids[np.arange(len(rank)) + rows] = values[rank]
+            tail = words.filter(pa.array(beyond)).dictionary_encode()
+            pair, times = np.unique(rows[beyond] * np.int64(max(1, len(tail.dictionary))) + tail.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            who, code = np.divmod(pair, max(1, len(tail.dictionary)))
+            cuts = pa.array(np.searchsorted(who, np.arange(docs + 1)).astype(np.int32))
+            columns = [
+                piece.column("doc_id"), piece.column("held_out"), piece.column("_h"),
+                pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer((2 * np.append(0, ends)).astype(np.int32)), pa.py_buffer(ids)]),
+                pa.array(sizes + 1), pa.array(sizes - missing + (m.ends > 0)), pa.array(each(bases[rank]) - base_of * sizes + end_base), pa.array(each(rests[rank]) - rest_of * far),
+                pa.ListArray.from_arrays(cuts, tail.dictionary.take(pa.array(code))), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            for piece in pieces(batch):
+                yield of(piece)
 
     h = F.xxhash64(F.lit(2), "doc_id", "text")
-    return numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", h.alias("_h"), "text").mapInPandas(run, schema), "_rid", "encoded")
+    return numbered(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "held_out", h.alias("_h"), "text").mapInArrow(run, schema), "_rid", "encoded")
 
 
 def _ids(raw: bytes) -> np.ndarray:
@@ -567,8 +615,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 
 def score_encoded(encoded: DataFrame, model: Model, counts: DataFrame, tokens_at_once: int = 6_000_000) -> DataFrame:
-    """The same for rows of encode(). Words beyond the head meet their counts in a join: none of them is hot,
-    since a word outside the head has at most 1/HEAD of all tokens."""
+    """The same for rows of encode()."""
     sent = encoded.sparkSession.sparkContext.broadcast(model.net)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -585,27 +632,47 @@ def score_encoded(encoded: DataFrame, model: Model, counts: DataFrame, tokens_at
             yield pd.DataFrame({"_rid": rids, "lp": log_prob(sent.value, held) / np.log(10)})
 
     lp = spill(encoded.select("_rid", "ids").mapInPandas(run, "_rid long, lp double"), "scores")
+    out = based(encoded, model, counts).join(lp, "_rid")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("lp") + F.col("rest") + F.col("more")).alias("score"))
+
+
+def based(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """_rid, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, and rest and more for the score, of rows of
+    encode(): what the counts alone tell. Words beyond the head meet their counts in a join: none of them is hot,
+    since a word outside the head has at most 1/HEAD of all tokens."""
     tail = encoded.filter(F.size("tail") > 0).select("_rid", F.inline(F.arrays_zip("tail", "times")))
     met = tail.join(counts.select(F.col("word").alias("tail"), F.col("n").alias("c")), "tail")
-    more = met.groupBy("_rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))
-    out = encoded.select("_rid", "doc_id", "held_out", "n_tokens", "known", "base", "rest").join(lp, "_rid").join(more, "_rid", "left")
-    extra = F.coalesce("more", F.lit(0.0))
+    found = met.groupBy("_rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))
+    out = encoded.select("_rid", "doc_id", "held_out", "n_tokens", "known", "base", "rest").join(found, "_rid", "left")
+    more = F.coalesce("more", F.lit(0.0))
     return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + extra).alias("base_score"), (F.col("lp") + F.col("rest") + extra).alias("score"),
+        "_rid", F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + more).alias("base_score"), "rest", more.alias("more"),
     )
 
 
-def fit_and_score(docs: DataFrame) -> DataFrame:
-    """score() of all rows of docs by a model of those that are not held out, over one encoding of them all."""
+def counted(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """A model of the rows that are not held out, not trained yet, their counts, and one encoding of all rows."""
     model, counts = count(docs.filter(~F.col("held_out")))
     encoded = encode(docs, model)
     release(docs.sparkSession)
+    return model, counts, encoded
+
+
+def fit_and_score(docs: DataFrame) -> DataFrame:
+    """score() of all rows of docs by a model of those that are not held out, over one encoding of them all."""
+    model, counts, encoded = counted(docs)
     learn(model, encoded)
     release(docs.sparkSession)
     return score_encoded(encoded, model, counts)
 
 
+def base_scores(docs: DataFrame) -> DataFrame:
+    """The columns of fit_and_score() that the counts alone give, by its steps without the net."""
+    model, counts, encoded = counted(docs)
+    return based(encoded, model, counts).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+
+
 def held_out_rows(docs: DataFrame, of: int = 7, remainder: int = 2) -> DataFrame:
     """docs with held_out: crc32 of the id as text has this remainder."""
     return docs.select("doc_id", "text", (fold(of) == remainder).alias("held_out"))

@@ -41,8 +41,8 @@ SELECT doc_id, held_out, (len(ws) + 1)::BIGINT AS n_tokens, (coalesce(k, 0) + (e
 
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The base columns of op2."""
-    got = language_model.fit_and_score(language_model.held_out_rows(_table(spark, sf_dir, "documents")))
+    """The base columns of op2, which do not depend on its net: none is trained."""
+    got = language_model.base_scores(language_model.held_out_rows(_table(spark, sf_dir, "documents")))
     return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
