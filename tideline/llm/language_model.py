@@ -151,11 +151,6 @@ def new_net(counts: np.ndarray, dim: int = DIM, hidden: int = HIDDEN, size: int
     )
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    return _logistic(x)
-
-
 def _logistic(x: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(x)), in place."""
     with np.errstate(over="ignore"):
@@ -208,7 +203,7 @@ class Output:
         """ln of each id's probability after its state, a row that ends in 1: its class's, times its own in the class."""
         cls = ids // self.size
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        states, ids, cls = states[order], ids[order], cls[order]
+        states, ids, cls = np.take(states, order, axis=0), ids[order], cls[order]
         got = np.zeros(len(ids), np.float32)
         self._each(states, self.classes, cls, got)
         edges = np.searchsorted(cls, np.arange(len(self.words) + 1))
@@ -261,13 +256,13 @@ def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray
             n = z - a
             h, previous = h[:n], previous[:n]
             gate = h @ ur
-            gate += tr[previous]
+            gate += np.take(tr, previous, axis=0)
             new = h @ un
             new *= _logistic(gate)
-            new += tn[previous]
+            new += np.take(tn, previous, axis=0)
             np.tanh(new, out=new)
             np.matmul(h, uz, out=gate)
-            gate += tz[previous]
+            gate += np.take(tz, previous, axis=0)
             h = h - new
             h *= _logistic(gate)
             h += new
@@ -298,7 +293,7 @@ class Adagrad:
 def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rows, kind="stable")
     at = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    return rows[order][at], np.add.reduceat(grads[order], at, axis=0)
+    return rows[order][at], np.add.reduceat(np.take(grads, order, axis=0), at, axis=0)
 
 
 def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
@@ -319,7 +314,7 @@ def output_gradients(net: Net, hs: np.ndarray, ids: np.ndarray, size: int) -> tu
     safe = max(np.abs(net.wc).sum(axis=0).max() + np.abs(net.bc).max(), np.abs(net.wo).sum(axis=1).max() + np.abs(net.bo).max()) < _SAFE
     order = np.argsort((ids // size).astype(np.int16), kind="stable")
     one = np.ones((n, hid + 1), kind)  # states with a one at last, which carries the biases
-    one[:, :hid] = hs[order]
+    one[:, :hid] = np.take(hs, order, axis=0)
     hs, ids = one[:, :hid], ids[order]
     cls, at = ids // size, np.arange(n)
     p = _softmax(one @ np.vstack([net.wc, net.bc[None]]), safe)
@@ -353,63 +348,66 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int =
     steps, streams = x.shape
     hid = net.u.shape[0]
     n, kind = steps * streams, net.u.dtype
-    e = net.embed[x.ravel()]
-    # update, reset and new apart, so that each is one stretch of memory
-    part = lambda w: [np.ascontiguousarray(w[..., k * hid : (k + 1) * hid]) for k in range(3)]
-    wx, (uz, ur, un), b = part(net.wx), part(net.u), part(net.b)
-    xz, xr, xn = ((e @ w + c).reshape(steps, streams, hid) for w, c in zip(wx, b, strict=True))
-    hs, befores = np.empty((steps, streams, hid), kind), np.empty((steps, streams, hid), kind)
-    keeps = (x != END).astype(kind)[:, :, None]
-    held = []
+    e = np.take(net.embed, x.ravel(), axis=0).reshape(steps, streams, -1)
+    # states and gates have a column a stream, so that a step's three gates are one product and each is one stretch of
+    # memory; update and reset are 1 / (1 + exp(x)), so their signs are turned
+    sign = np.repeat(np.array([-1, -1, 1], kind), hid)
+    u = np.ascontiguousarray((net.u * sign).T)
+    gates = np.matmul(np.ascontiguousarray((net.wx * sign).T), e.transpose(0, 2, 1))
+    gates += (net.b * sign)[:, None]
+    hs, inner = np.empty((steps, hid, streams), kind), np.empty((steps, hid, streams), kind)
+    keeps = (x != END).astype(kind)
+    first = h = np.ascontiguousarray(h.T)
+    before, ahead, some = np.empty((hid, streams), kind), np.empty((3 * hid, streams), kind), np.empty((hid, streams), kind)
     for t in range(steps):
-        before = np.multiply(h, keeps[t], out=befores[t])
-        z, r, hn = before @ uz, before @ ur, before @ un
-        z += xz[t]
-        r += xr[t]
-        _sigmoid(z)
-        new = _sigmoid(r) * hn
-        new += xn[t]
+        np.multiply(h, keeps[t], out=before)
+        np.matmul(u, before, out=ahead)
+        both, new = gates[t, : 2 * hid], gates[t, 2 * hid :]
+        both += ahead[: 2 * hid]
+        _logistic(both)
+        inner[t] = ahead[2 * hid :]
+        new += np.multiply(both[hid:], ahead[2 * hid :], out=some)
         np.tanh(new, out=new)
         h = np.subtract(before, new, out=hs[t])
-        h *= z
+        h *= both[:hid]
         h += new
-        held.append((z, r, new, hn))
-    last = h.copy()
-    loss, dh, outputs = output_gradients(net, hs.reshape(n, hid), y.ravel(), size)
+    last = h.T
+    loss, dh, outputs = output_gradients(net, hs.transpose(0, 2, 1).reshape(n, hid), y.ravel(), size)
     dh = dh.reshape(steps, streams, hid)
-    dz, dr, dn, dm = (np.empty((steps, streams, hid), kind) for _ in range(4))
-    carry, back = np.zeros((streams, hid), kind), [np.ascontiguousarray(u.T) for u in (uz, ur, un)]
+    back = np.ascontiguousarray(np.roll(net.u, hid, axis=1))  # new, update, reset
+    wx, ge = np.ascontiguousarray(net.wx.T), np.empty_like(e)
+    gu, gwx, gb = np.zeros((3 * hid, hid), kind), np.zeros((3 * hid, e.shape[2]), kind), np.zeros(3 * hid, kind)
+    carry, d, one = np.zeros((hid, streams), kind), np.empty((hid, streams), kind), np.ones(streams, kind)
+    slopes = np.empty((4, hid, streams), kind)  # of new's state part, update, reset and new
+    sm, sz, sr, sn = slopes
     for t in reversed(range(steps)):
-        z, r, new, hn = held[t]
-        d, rest = dh[t], 1 - z
-        d += carry
-        a = np.multiply(new, new, out=dn[t])
-        np.subtract(1, a, out=a)
-        a *= d
-        a *= rest
-        b = np.subtract(befores[t], new, out=dz[t])
-        b *= d
-        rest *= z
-        b *= rest
-        c = np.multiply(a, hn, out=dr[t])
-        c *= r
-        c *= 1 - r
-        m = np.multiply(a, r, out=dm[t])
-        carry = b @ back[0]
-        carry += c @ back[1]
-        carry += m @ back[2]
+        np.add(dh[t].T, carry, out=d)
+        np.multiply(hs[t - 1] if t else first, keeps[t], out=before)
+        z, r, new = gates[t].reshape(3, hid, streams)
+        np.subtract(1, z, out=some)
+        np.multiply(new, new, out=sn)
+        np.subtract(1, sn, out=sn)
+        some *= d
+        sn *= some
+        np.subtract(before, new, out=sz)
+        sz *= some
+        sz *= z
+        np.multiply(sn, r, out=sm)
+        np.subtract(1, r, out=sr)
+        sr *= sm
+        sr *= inner[t]
+        to_state, to_input = slopes[:3].reshape(3 * hid, streams), slopes[1:].reshape(3 * hid, streams)
+        np.matmul(back, to_state, out=carry)
         d *= z
         carry += d
         carry *= keeps[t]
+        gu += to_state @ before.T
+        gwx += to_input @ e[t]
+        gb += to_input @ one
+        np.matmul(to_input.T, wx, out=ge[t])
     scale = kind.type(1 / n)
-    dz, dr, dn, dm = (g.reshape(n, hid) for g in (dz, dr, dn, dm))
-    ge = dz @ wx[0].T
-    ge += dr @ wx[1].T
-    ge += dn @ wx[2].T
     ge *= scale
-    et, bt, one = np.ascontiguousarray(e.T), np.ascontiguousarray(befores.reshape(n, hid).T), np.ones(n, kind)
-    gwx, gu, gb = np.hstack([et @ g for g in (dz, dr, dn)]), np.hstack([bt @ g for g in (dz, dr, dm)]), np.concatenate([one @ g for g in (dz, dr, dn)])
-    grads = [_by_row(x.ravel(), ge), *(g * scale for g in (gwx, gu, gb, *outputs))]
+    grads = [_by_row(x.ravel(), ge.reshape(n, -1)), *(g * scale for g in (gwx.T, np.roll(gu.T, -hid, axis=1), gb, *outputs))]
     norm = float(np.sqrt(sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads)))
     if norm > 1:
         grads = [(g[0], g[1] / norm) if isinstance(g, tuple) else g / norm for g in grads]
