@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.llm.test_spark import BIG, CLASH, LONG, ROWS, TEXT
-from tideline.llm import filter_audit, language_model, registry_base, registry_text, string_kernel
+from tideline.llm import filter_audit, language_model, registry_base, registry_text, secrets, string_kernel
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,6 +88,18 @@ def test_held_out_languages(spark):
     assert [(a["lang_pred"], a["score"]) for a in alone] == [(r["lang_pred"], r["score"]) for r in one]
 
 
+# ---- op4
+
+
+def test_names_leave_a_task_in_bounded_batches():
+    texts = [None, "", "no such word"] + [f"token = val{i} " + " ".join(f"name_{i}_{k}" for k in range(15)) for i in range(6000)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    out = list(secrets.names_near([batch]))
+    assert len(out) > 3 and max(len(b) for b in out) < secrets.NAMES_AT_ONCE + 17
+    found = pa.Table.from_batches(out)
+    assert len(found) == 6000 * 17 and len(set(found.column("name").to_pylist())) == 6000 * 16 + 1 and len(set(found.column("h").to_pylist())) == 6000
+
+
 # ---- op2
 
 

@@ -13,7 +13,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +39,8 @@ WRAPPED = 40  # characters from which a reported string can be a line of a longe
 #: The rest of a line after a string, the break, written or escaped, and a next line that is one string.
 _NEXT = re.compile(r"""["'\\,;+\ \t]*(?:\r?\n|\\n)[\ \t>#*"'|]*([A-Za-z0-9+/_=.~-]{4,})(?=["'\\,;+\ \t]*(?:\r?\n|\\n|$))""")
 DICTIONARY_NAMES = 4096
+#: Names, and texts, that a task holds at once beside its batch.
+NAMES_AT_ONCE, TEXTS_AT_ONCE = 20_000, 500
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -181,6 +182,28 @@ def identifiers(names: list[str]) -> list[str]:
     return [name for name in names if name in known or novelty(compressor, name, 0, len(name)) < RATIO]
 
 
+def names_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name and the hash of its text of every name around a sensitive word, at most NAMES_AT_ONCE and one text's names at once."""
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(hashes, pa.int64())], names=["name", "h"])
+    found: list[str] = []
+    hashes: list[int] = []
+    for batch in batches:
+        for each in batch.column("text"):
+            text = each.as_py()
+            if text and sensitive(text):
+                seen = set()
+                for m in _NEAR.finditer(text):
+                    seen.update(_NAME.findall(text, max(0, m.start() - AROUND), m.end() + AROUND))
+                h = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                found += seen
+                hashes += [h] * len(seen)
+            if len(found) >= NAMES_AT_ONCE:
+                yield out()
+                found, hashes = [], []
+    if found:
+        yield out()
+
+
 def identifier_dictionary(docs: DataFrame, names: int = DICTIONARY_NAMES) -> bytes:
     """The most frequent names around sensitive words of all documents, the most frequent last.
 
@@ -188,20 +211,7 @@ def identifier_dictionary(docs: DataFrame, names: int = DICTIONARY_NAMES) -> byt
     that look random (see identifiers) are left out. At most `names` of at most 40 bytes come to the driver.
     """
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found: list[tuple[str, int]] = []
-            for text in pdf["text"]:
-                if text and sensitive(text):
-                    seen = set()
-                    for m in _NEAR.finditer(text):
-                        seen.update(_NAME.findall(text, max(0, m.start() - AROUND), m.end() + AROUND))
-                    h = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                    found += [(name, h) for name in seen]
-            if found:
-                yield pd.DataFrame(found, columns=["name", "h"])
-
-    counted = docs.select("text").mapInPandas(near, "name string, h long").distinct().groupBy("name").agg(F.count("*").alias("n")).filter("n >= 2")
+    counted = docs.select("text").mapInArrow(names_near, "name string, h long").distinct().groupBy("name").agg(F.count("*").alias("n")).filter("n >= 2")
     top = counted.orderBy(F.desc("n"), "name").limit(names).collect()
     return "\n".join(identifiers([r["name"] for r in reversed(top)])).encode()
 
@@ -217,7 +227,7 @@ def scan(docs: DataFrame, ratio: float = RATIO, names: int = DICTIONARY_NAMES) -
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = coder(words.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-        for batch in batches:
+        for batch in (b.slice(a, TEXTS_AT_ONCE) for b in batches for a in range(0, len(b), TEXTS_AT_ONCE)):
             spans = [[{"start": s, "end": e, "kind": k} for s, e, k in all_spans(t.as_py(), compressor, ratio)] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, kind)], names=["doc_id", "spans"])
 
@@ -241,7 +251,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", ratio: float = RATIO, names:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = coder(words.value)
-        for batch in batches:
+        for batch in (b.slice(a, TEXTS_AT_ONCE) for b in batches for a in range(0, len(b), TEXTS_AT_ONCE)):
             i = batch.schema.get_field_index("text")
             yield batch.set_column(i, "text", pa.array([cover(t.as_py(), compressor) for t in batch.column(i)], pa.string()))
 
