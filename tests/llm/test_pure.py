@@ -190,6 +190,25 @@ def test_probabilities_sum_to_one_and_state_is_carried():
     assert np.allclose(whole, [language_model.log_prob(net, [d])[0] for d in docs], atol=1e-4)
 
 
+def test_windows_use_their_arrays_again_and_rows_sum_as_one_by_one():
+    rng = np.random.default_rng(4)
+    net, room = language_model.new_net(np.arange(128, 0, -1.0), dim=4, hidden=6), language_model.Room()
+    h = np.zeros((3, 6), np.float32)
+    for k in range(3):
+        x, y = rng.integers(0, 128, (5, 3)), rng.integers(0, 128, (5, 3))
+        x[2, 1] = language_model.END
+        want, after, loss = language_model.gradients(net, x, y, h)
+        got, h, again = language_model.gradients(net, x, y, h, room=room)
+        held = {name: id(a) for name, a in room.items()} if k == 0 else held
+        assert {name: id(a) for name, a in room.items()} == held and loss == again and (h == after).all()
+        assert all((g == w).all() for g, w in zip([*got[0], *got[1:]], [*want[0], *want[1:]], strict=True))
+    rows, grads = rng.integers(0, 9, 400) ** 2, rng.normal(size=(400, 5))
+    rows[:3] = 70, 71, 71
+    found, sums = language_model._by_row(rows, grads, 100, room)
+    assert sorted(found.tolist()) == sorted(set(rows.tolist()))
+    assert np.allclose(sums, [grads[rows == r].sum(axis=0) for r in found])
+
+
 def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     docs = [np.append(np.tile(rng.permutation(20)[:4] + 2, 12), 1) for _ in range(60)]

@@ -42,6 +42,7 @@ UNKNOWN, END = 0, 1
 RATE = 0.1
 _CHUNKS = 64
 _ROWS = 4096  # rows of logits at once, so that they stay in the cache
+_BLOCK = 2048  # rows of a training step's logits at once
 _SAFE = 80.0  # logits within this bound need no maximum before the exponential
 
 
@@ -277,23 +278,58 @@ def log_prob(net: Net, docs: list[np.ndarray], steps: int = STEPS) -> np.ndarray
 
 class Adagrad:
     def __init__(self, net: Net, rate: float):
-        self.rate, self.sums = rate, [np.full_like(p, 1e-3) for p in net.parts()]
+        self.rate, self.sums, self.room = rate, [np.full_like(p, 1e-3) for p in net.parts()], Room()
 
     def step(self, net: Net, grads: list[np.ndarray]) -> None:
-        for p, s, g in zip(net.parts(), self.sums, grads, strict=True):
+        for k, (p, s, g) in enumerate(zip(net.parts(), self.sums, grads, strict=True)):
             if isinstance(g, tuple):  # rows and their gradients
                 rows, g = g
-                s[rows] += g * g
-                p[rows] -= self.rate * g / np.sqrt(s[rows])
+                own = np.take(s, rows, axis=0) + g * g
+                s[rows] = own
+                p[rows] -= self.rate * g / np.sqrt(own)
             else:
-                s += g * g
-                p -= self.rate * g / np.sqrt(s)
-
-
-def _by_row(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(rows, kind="stable")
-    at = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    return rows[order][at], np.add.reduceat(np.take(grads, order, axis=0), at, axis=0)
+                by = np.multiply(g, g, out=self.room(k, g.shape, g.dtype))
+                s += by
+                np.sqrt(s, out=by)
+                np.divide(g, by, out=by)
+                by *= self.rate
+                p -= by
+
+
+class Room(dict):
+    """Arrays by name that every window uses again; new ones of that size would be pages that the system has to clear."""
+
+    def __call__(self, name: str | int, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        if (held := self.get(name)) is None or held.shape != shape or held.dtype != kind:
+            held = self[name] = np.empty(shape, kind)
+        return held
+
+
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of keys below `most`; short ones are sorted by their bytes."""
+    return np.argsort(keys.astype(np.uint16) if most <= 1 << 16 else keys, kind="stable")
+
+
+def _by_row(rows: np.ndarray, grads: np.ndarray, most: int, room: Room, often: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows, and the sums of their gradients: rows met more than `often` one by one, the first, second, ...
+    gradients of the others together."""
+    order = _order(rows, most)
+    rows = rows[order]
+    grads = np.take(grads, order, axis=0, out=room("sorted", grads.shape, grads.dtype), mode="clip")
+    at = np.flatnonzero(np.diff(rows, prepend=-1))
+    times = np.diff(np.append(at, len(rows)))
+    by = np.argsort(-times, kind="stable")
+    at, times = at[by], times[by]
+    sums = np.take(grads, at, axis=0)
+    many = int(np.searchsorted(-times, -often, side="left"))
+    for i, (a, n) in enumerate(zip(at[:many].tolist(), times[:many].tolist(), strict=True)):
+        np.matmul(np.ones(n, grads.dtype), grads[a : a + n], out=sums[i])
+    for k in range(1, often):
+        z = int(np.searchsorted(-times, -k, side="left"))  # rows met more than k times
+        if z <= many:
+            break
+        sums[many:z] += np.take(grads, at[many:z] + k, axis=0)
+    return rows[at], sums
 
 
 def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
@@ -305,85 +341,107 @@ def _softmax(x: np.ndarray, safe: bool) -> np.ndarray:
     return x
 
 
-def output_gradients(net: Net, hs: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Loss of each id, the gradients of the states, and those of wc, bc, wo, bo, of the summed loss.
+def output_gradients(net: Net, states: np.ndarray, ids: np.ndarray, size: int, room: Room) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Loss of each id, the gradients of the states, and those of wc with bc and of wo with bo, of the summed loss.
 
-    Rows are put in the order of their classes, so that each class is one slice.
+    A state is a row that ends in 1, which carries the biases. Rows are put in the order of their classes, so that
+    each class is one slice, and worked on in blocks that stay in a core's cache.
     """
-    n, hid, kind = len(hs), hs.shape[1], hs.dtype
-    safe = max(np.abs(net.wc).sum(axis=0).max() + np.abs(net.bc).max(), np.abs(net.wo).sum(axis=1).max() + np.abs(net.bo).max()) < _SAFE
-    order = np.argsort((ids // size).astype(np.int16), kind="stable")
-    one = np.ones((n, hid + 1), kind)  # states with a one at last, which carries the biases
-    one[:, :hid] = np.take(hs, order, axis=0)
-    hs, ids = one[:, :hid], ids[order]
-    cls, at = ids // size, np.arange(n)
-    p = _softmax(one @ np.vstack([net.wc, net.bc[None]]), safe)
-    right = p[at, cls]
-    p[at, cls] -= 1
-    dh = p @ net.wc.T
-    top = one.T @ p
-    words = np.concatenate([net.wo, net.bo[:, None]], axis=1)
-    inner = np.zeros_like(words)
-    edges = np.searchsorted(cls, np.arange(len(net.bo) // size + 1)).tolist()
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        a, z, v = edges[c], edges[c + 1], c * size
-        h = one[a:z]
-        q = _softmax(h @ words[v : v + size].T, safe)
-        flat, own = q.reshape(-1), at[: z - a] * size + (ids[a:z] - v)
-        right[a:z] *= flat[own]
-        flat[own] -= 1
-        np.matmul(q.T, h, out=inner[v : v + size])
-        dh[a:z] += q @ net.wo[v : v + size]
-    gwc, gbc, gwo, gbo = top[:-1], top[-1], inner[:, :-1], inner[:, -1]
-    loss, back = np.empty(n, hs.dtype), np.empty_like(dh)
-    loss[order], back[order] = -np.log(right + 1e-30), dh
-    return loss, back, [gwc, gbc, gwo, gbo]
-
-
-def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int = CLASS) -> tuple[list, np.ndarray, float]:
+    n, hid, kind, many = len(ids), states.shape[1] - 1, states.dtype, net.wc.shape[1]
+    top = np.vstack([net.wc, net.bc[None]])
+    words = room("words", (len(net.bo), hid + 1), kind)
+    words[:, :hid], words[:, hid] = net.wo, net.bo
+    safe = max(np.abs(top).sum(axis=0).max(), (np.abs(words) @ np.ones(hid + 1, kind)).max()) < _SAFE
+    order = _order(ids // size, many)
+    one = np.take(states, order, axis=0, out=room("states in order", states.shape, kind), mode="clip")
+    ids = ids[order]
+    cls = ids // size
+    edges = np.searchsorted(cls, np.arange(many + 1)).tolist()
+    inner = room("inner", words.shape, kind)
+    for c in np.flatnonzero(np.diff(edges) == 0).tolist():
+        inner[c * size : (c + 1) * size] = 0
+    back, gtop = top[:hid].T.copy(), np.zeros_like(top)
+    dh, right, at = room("dh in order", (n, hid), kind), np.empty(n, kind), np.arange(min(n, _BLOCK))
+    for a in range(0, n, _BLOCK):
+        z = min(n, a + _BLOCK)
+        h, d, more = one[a:z], dh[a:z], room("more", (_BLOCK, hid), kind)[: z - a]
+        p, q = room("p", (_BLOCK, many), kind)[: z - a], room("q", (_BLOCK, size), kind)[: z - a]
+        slices = [(max(a, edges[c]), min(z, edges[c + 1]), c * size) for c in range(cls[a], cls[z - 1] + 1)]
+        slices = [(i, j, v) for i, j, v in slices if i < j]
+        _softmax(np.matmul(h, top, out=p), safe)
+        for i, j, v in slices:
+            np.matmul(one[i:j], words[v : v + size].T, out=q[i - a : j - a])
+        _softmax(q, safe)
+        right[a:z] = 1
+        for x, chosen in ((p, cls[a:z]), (q, ids[a:z] - cls[a:z] * size)):
+            flat, own = x.reshape(-1), at[: z - a] * x.shape[1] + chosen
+            hit = flat[own]
+            right[a:z] *= hit
+            flat[own] = hit - 1
+        np.matmul(p, back, out=d)
+        gtop += h.T @ p
+        for i, j, v in slices:
+            np.matmul(q[i - a : j - a], net.wo[v : v + size], out=more[i - a : j - a])
+            if i == edges[v // size]:
+                np.matmul(q[i - a : j - a].T, one[i:j], out=inner[v : v + size])
+            else:
+                inner[v : v + size] += q[i - a : j - a].T @ one[i:j]
+        d += more
+    loss, out = np.empty(n, kind), room("dh", (n, hid), kind)
+    loss[order], out[order] = -np.log(right + 1e-30), dh
+    return loss, out, [gtop, inner]
+
+
+def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int = CLASS, room: Room | None = None) -> tuple[list, np.ndarray, float]:
     """Gradients of the mean loss over a window (steps x streams), the state after it, and the loss.
 
-    The state is cleared where a document begins, that is after an end.
+    The state is cleared where a document begins, that is after an end. room: the arrays of the window before,
+    whose gradients are overwritten then.
     """
+    room = Room() if room is None else room
     steps, streams = x.shape
-    hid = net.u.shape[0]
+    hid, dim = net.u.shape[0], net.embed.shape[1]
     n, kind = steps * streams, net.u.dtype
-    e = np.take(net.embed, x.ravel(), axis=0).reshape(steps, streams, -1)
+    # words' vectors with a 1 at last, which carries the biases
+    table = room("table", (len(net.embed), dim + 1), kind)
+    table[:, :dim], table[:, dim] = net.embed, 1
+    e = np.take(table, x.ravel(), axis=0, out=room("e", (n, dim + 1), kind), mode="clip").reshape(steps, streams, dim + 1)
     # states and gates have a column a stream, so that a step's three gates are one product and each is one stretch of
     # memory; update and reset are 1 / (1 + exp(x)), so their signs are turned
     sign = np.repeat(np.array([-1, -1, 1], kind), hid)
-    u = np.ascontiguousarray((net.u * sign).T)
-    gates = np.matmul(np.ascontiguousarray((net.wx * sign).T), e.transpose(0, 2, 1))
-    gates += (net.b * sign)[:, None]
-    hs, inner = np.empty((steps, hid, streams), kind), np.empty((steps, hid, streams), kind)
-    keeps = (x != END).astype(kind)
-    first = h = np.ascontiguousarray(h.T)
-    before, ahead, some = np.empty((hid, streams), kind), np.empty((3 * hid, streams), kind), np.empty((hid, streams), kind)
+    u, wx = np.ascontiguousarray((net.u * sign).T), np.ascontiguousarray((np.vstack([net.wx, net.b[None]]) * sign).T)
+    gates, hs, inner = room("gates", (steps, 3 * hid, streams), kind), room("hs", (steps + 1, hid, streams), kind), room("new", (steps, hid, streams), kind)
+    states = room("states", (steps, streams, hid + 1), kind)
+    states[:, :, hid] = 1
+    begins = [np.flatnonzero(row) for row in x == END]
+    ahead, some = room("ahead", (2 * hid, streams), kind), room("some", (hid, streams), kind)
+    hs[0] = h.T
     for t in range(steps):
-        np.multiply(h, keeps[t], out=before)
-        np.matmul(u, before, out=ahead)
-        both, new = gates[t, : 2 * hid], gates[t, 2 * hid :]
-        both += ahead[: 2 * hid]
+        before = hs[t]
+        before[:, begins[t]] = 0
+        gate = np.matmul(wx, e[t].T, out=gates[t])
+        both, new = gate[: 2 * hid], gate[2 * hid :]
+        both += np.matmul(u[: 2 * hid], before, out=ahead)
         _logistic(both)
-        inner[t] = ahead[2 * hid :]
-        new += np.multiply(both[hid:], ahead[2 * hid :], out=some)
+        np.matmul(u[2 * hid :], before, out=inner[t])
+        new += np.multiply(both[hid:], inner[t], out=some)
         np.tanh(new, out=new)
-        h = np.subtract(before, new, out=hs[t])
+        h = np.subtract(before, new, out=hs[t + 1])
         h *= both[:hid]
         h += new
-    last = h.T
-    loss, dh, outputs = output_gradients(net, hs.transpose(0, 2, 1).reshape(n, hid), y.ravel(), size)
+        states[t, :, :hid] = h.T
+    loss, dh, outputs = output_gradients(net, states.reshape(n, hid + 1), y.ravel(), size, room)
     dh = dh.reshape(steps, streams, hid)
     back = np.ascontiguousarray(np.roll(net.u, hid, axis=1))  # new, update, reset
-    wx, ge = np.ascontiguousarray(net.wx.T), np.empty_like(e)
-    gu, gwx, gb = np.zeros((3 * hid, hid), kind), np.zeros((3 * hid, e.shape[2]), kind), np.zeros(3 * hid, kind)
-    carry, d, one = np.zeros((hid, streams), kind), np.empty((hid, streams), kind), np.ones(streams, kind)
-    slopes = np.empty((4, hid, streams), kind)  # of new's state part, update, reset and new
+    wx, ge = np.ascontiguousarray(net.wx.T), room("ge", (steps, streams, dim), kind)
+    gu, gwx = np.zeros((3 * hid, hid), kind), np.zeros((3 * hid, dim + 1), kind)
+    carry, d = np.zeros((hid, streams), kind), room("d", (hid, streams), kind)
+    slopes = room("slopes", (4, hid, streams), kind)  # of new's state part, update, reset and new
     sm, sz, sr, sn = slopes
+    to_state, to_input = slopes[:3].reshape(3 * hid, streams), slopes[1:].reshape(3 * hid, streams)
     for t in reversed(range(steps)):
         np.add(dh[t].T, carry, out=d)
-        np.multiply(hs[t - 1] if t else first, keeps[t], out=before)
-        z, r, new = gates[t].reshape(3, hid, streams)
+        before, (z, r, new) = hs[t], gates[t].reshape(3, hid, streams)
         np.subtract(1, z, out=some)
         np.multiply(new, new, out=sn)
         np.subtract(1, sn, out=sn)
@@ -396,22 +454,21 @@ def gradients(net: Net, x: np.ndarray, y: np.ndarray, h: np.ndarray, size: int =
         np.subtract(1, r, out=sr)
         sr *= sm
         sr *= inner[t]
-        to_state, to_input = slopes[:3].reshape(3 * hid, streams), slopes[1:].reshape(3 * hid, streams)
         np.matmul(back, to_state, out=carry)
         d *= z
         carry += d
-        carry *= keeps[t]
+        carry[:, begins[t]] = 0
         gu += to_state @ before.T
         gwx += to_input @ e[t]
-        gb += to_input @ one
         np.matmul(to_input.T, wx, out=ge[t])
-    scale = kind.type(1 / n)
-    ge *= scale
-    grads = [_by_row(x.ravel(), ge.reshape(n, -1)), *(g * scale for g in (gwx.T, np.roll(gu.T, -hid, axis=1), gb, *outputs))]
-    norm = float(np.sqrt(sum(float((g[1] if isinstance(g, tuple) else g).ravel() @ (g[1] if isinstance(g, tuple) else g).ravel()) for g in grads)))
-    if norm > 1:
-        grads = [(g[0], g[1] / norm) if isinstance(g, tuple) else g / norm for g in grads]
-    return grads, last, float(loss.mean())
+    rows, sums = _by_row(x.ravel(), ge.reshape(n, dim), len(net.embed), room)
+    dense = [gwx.T, np.roll(gu.T, -hid, axis=1), *outputs]
+    norm = float(np.sqrt(sum(float(np.vdot(g, g)) for g in (sums, *dense)))) / n
+    scale = kind.type(1 / n / max(1.0, norm))
+    sums *= scale
+    gwx, gu, gtop, gwords = dense
+    parts = [gwx[:dim], gu, gwx[dim], gtop[:hid], gtop[hid], gwords[:, :hid], gwords[:, hid]]
+    return [(rows, sums), *(np.multiply(g, scale, out=room(k, g.shape, kind)) for k, g in enumerate(parts))], hs[steps].T.copy(), float(loss.mean())
 
 
 def train(net: Net, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.1, steps: int = STEPS, streams: int = STREAMS) -> list[float]:
@@ -423,11 +480,11 @@ def train(net: Net, docs: list[np.ndarray], epochs: int = 1, rate: float = 0.1,
         return []
     y = flat[: long * streams].reshape(streams, long).T
     x = np.vstack([np.full((1, streams), END, flat.dtype), y[:-1]])
-    made, losses = Adagrad(net, rate), []
+    made, losses, room = Adagrad(net, rate), [], Room()
     for _ in range(epochs):
         h, total = np.zeros((streams, net.u.shape[0]), np.float32), []
         for t in range(0, long, steps):
-            grads, h, loss = gradients(net, x[t : t + steps], y[t : t + steps], h)
+            grads, h, loss = gradients(net, x[t : t + steps], y[t : t + steps], h, room=room)
             made.step(net, grads)
             total.append(loss)
         losses.append(float(np.mean(total)))
