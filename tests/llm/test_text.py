@@ -130,6 +130,15 @@ def test_words_in_batches_are_the_words_of_each_text():
     assert len(cut) > 3 and pa.Table.from_batches(cut).column("text").to_pylist() == odd
 
 
+def test_rare_words_meet_their_counts_without_a_sort(spark):
+    docs = spark.createDataFrame([(i, f"some words and rare{i % 5} ones", i % 3 == 0) for i in range(20)], "doc_id long, text string, held_out boolean")
+    model, counts = language_model.count(docs, head=4)
+    out = language_model.based(language_model.encode(docs, model), model, counts)
+    rows = out.collect()
+    assert len(model.head) == 4 and len(rows) == 20 and {r["n_known"] for r in rows} == {6}
+    assert "ShuffledHashJoin [tail" in out._jdf.queryExecution().toString()
+
+
 def test_base_scores_are_those_of_op2_and_train_no_net(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]

@@ -696,7 +696,7 @@ def based(encoded: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     encode(): what the counts alone tell. Words beyond the head meet their counts in a join: none of them is hot,
     since a word outside the head has at most 1/HEAD of all tokens."""
     tail = encoded.filter(F.size("tail") > 0).select("_rid", F.inline(F.arrays_zip("tail", "times")))
-    met = tail.join(counts.select(F.col("word").alias("tail"), F.col("n").alias("c")), "tail")
+    met = tail.join(counts.select(F.col("word").alias("tail"), F.col("n").alias("c")).hint("shuffle_hash"), "tail")
     found = met.groupBy("_rid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))
     out = encoded.select("_rid", "doc_id", "held_out", "n_tokens", "known", "base", "rest").join(found, "_rid", "left")
     more = F.coalesce("more", F.lit(0.0))
