@@ -313,3 +313,57 @@ def test_a_process_of_few_events_goes_by_no_array(monkeypatch):
     monkeypatch.setattr(hawkes, "fold_states", None)
     assert [hawkes.ll_of(mu, alpha, 1.0, x, 60.0) for x in each] == pytest.approx(want, rel=1e-12)
     assert far == math.inf
+
+
+DRAWS = [((0.6, 0.5), 0.05, 1.2e5, 3), ((0.6, 0.5), 0.05, 1.2e5, 4), ((0.9, 0.3), 0.05, 6e4, 5), ((0.3, 0.25), 0.01, 6e4, 6), ((0.3, 0.25), 0.2, 6e4, 7)]
+
+
+@pytest.mark.parametrize("mu, beta, end, seed", DRAWS)
+def test_a_null_draw_that_is_not_held_has_the_same_statistic(monkeypatch, mu, beta, end, seed):
+    want = hawkes.lr_statistic(hawkes.simulate_poisson(mu, end, seed), beta, end)
+    monkeypatch.setattr(hawkes, "simulate_poisson", None)
+    assert hawkes.null_statistic(mu, beta, end, seed) == pytest.approx(want, abs=1e-6)
+
+
+def test_a_null_draw_holds_no_more_where_it_has_more_events():
+    import tracemalloc
+
+    peaks = []
+    for end in (1e5, 1e6):
+        tracemalloc.start()
+        hawkes.null_statistic((1.0, 1.0), 0.05, end, 3)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] and peaks[1] < 8e6  # 144 MB as times and excitation
+
+
+def test_null_draws_that_no_series_is_sure_of_are_fitted_whole(monkeypatch):
+    few, slow, fast = ((0.05, 0.05), 0.01, 2e4, 3), ((1.0, 1.0), 1e-3, 2e4, 3), ((0.3, 0.25), 0.5, 6e4, 3)
+    whole = lambda mu, beta, end, seed: hawkes.lr_statistic(hawkes.simulate_poisson(mu, end, seed), beta, end)
+    for x in (few, slow, fast):
+        assert hawkes.null_statistic(*x) == whole(*x)
+    monkeypatch.setattr(hawkes, "_LEFT_OUT", 0.0)
+    assert hawkes.null_statistic(*DRAWS[0]) == whole(*DRAWS[0])
+
+
+def test_arrivals_in_windows_are_the_simulated_ones():
+    end, rates = 30_000.0, (0.7, 0.9)
+    want = hawkes.simulate_poisson(rates, end, 5)
+    got = hawkes._Arrivals(np.random.default_rng(5), rates[0], end)
+    parts = [got.until(t) for t in (10.0, 10.0, 9_000.0, 9_000.5, end)]
+    assert np.concatenate(parts).tobytes() == want[0].tobytes() and all((x < t).all() for x, t in zip(parts, (10, 10, 9000, 9000.5, end), strict=True))
+
+
+def test_earlier_events_are_strictly_earlier():
+    for legs in ([[1.0, 2, 5], [1.5, 3]], [[1.0, 2, 2, 5], [2.0, 5, 5, 6]], [[], [1.0, 1]], [[], []]):
+        legs = [np.array(x) for x in legs]
+        got = hawkes._earlier(legs)
+        for i, j in ((i, j) for i in (0, 1) for j in (0, 1)):
+            assert got[i][j].tolist() == [int((legs[j] < t).sum()) for t in legs[i]]
+
+
+def test_bootstrap_draws_many_events_as_the_whole_fit_sees_them(spark):
+    legs = spark.range(24_000).select((F.col("id") % 2).cast("int").alias("leg"), (F.col("id") * 2.5).alias("t"))
+    got = {r["rep"]: r["stat"] for r in hawkes.bootstrap(legs, 0.01, 60_000.0, 3, 11).collect()}
+    want = {k: hawkes.lr_statistic(hawkes.simulate_poisson([0.2, 0.2], 60_000.0, 11 + k), 0.01, 60_000.0) for k in (1, 2, 3)}
+    assert sorted(got) == [0, 1, 2, 3] and {k: got[k] for k in want} == pytest.approx(want, abs=1e-6)

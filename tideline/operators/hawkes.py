@@ -608,11 +608,16 @@ def mean_rate(f: dict) -> np.ndarray:
     return np.maximum(x / f["width"], 1e-12)
 
 
+def _gaps(rate: float, end: float) -> int:
+    """So many exponential gaps reach the end."""
+    return int(rate * end + 10 * math.sqrt(rate * end) + 20)
+
+
 def simulate_poisson(mu: Sequence[float], end: float, seed: int) -> list[np.ndarray]:
     """Event times of two homogeneous legs by exponential gaps."""
     rng, out = np.random.default_rng(seed), []
     for m in mu:
-        t = rng.exponential(1 / m, int(m * end + 10 * math.sqrt(m * end) + 20))
+        t = rng.exponential(1 / m, _gaps(m, end))
         np.cumsum(t, out=t)
         out.append(t[: np.searchsorted(t, end)].copy())
     return out
@@ -641,6 +646,176 @@ def lr_statistic(legs: Sequence[np.ndarray], beta: float, end: float) -> float |
     return max(0.0, 2 * (fit_beta(legs, beta, end)["ll"] - flat))
 
 
+#: Events that a leg's arrays hold at a time while a draw is swept.
+_DRAWN = 8192
+#: Decay times after which the excitation of constant rates has come to its level.
+_HEAD = 10.0
+#: Most that the logarithms' series may leave out of a log-likelihood.
+_LEFT_OUT = 1e-7
+#: Orders of that series, and how many events a leg should have for each to be enough for nearly every draw.
+_ORDERS = ((4, 5_000_000), (6, 50_000), (8, 10_000))
+
+
+class _Arrivals:
+    """A leg's times of simulate_poisson(), to the bit, some thousands at a time; rng stands where the leg's gaps begin."""
+
+    def __init__(self, rng: np.random.Generator, rate: float, end: float):
+        self.rng, self.rate, self.left = rng, rate, _gaps(rate, end)
+        self.held, self.last = np.zeros(0), 0.0
+
+    def until(self, t: float) -> np.ndarray:
+        """The times before t that no call has given yet."""
+        parts = [self.held]
+        while self.left and self.last < t:
+            x = self.rng.standard_exponential(min(self.left, _DRAWN))
+            x *= 1 / self.rate
+            x[0] += self.last
+            np.cumsum(x, out=x)
+            parts.append(x)
+            self.left, self.last = self.left - len(x), float(x[-1])
+        x = np.concatenate(parts)
+        n = int(np.searchsorted(x, t))
+        self.held = x[n:].copy()
+        return x[:n]
+
+
+def _earlier(legs: Sequence[np.ndarray]) -> list[list[np.ndarray]]:
+    """For the events of leg i, how many of leg j are strictly earlier: [i][j]."""
+    both = np.concatenate(legs)
+    order = np.argsort(both, kind="stable")
+    at = both[order]
+    if (at[1:] == at[:-1]).any():
+        return [[np.searchsorted(x, y) for x in legs] for y in legs]
+    own = [np.arange(len(x)) for x in legs]
+    first = order < len(legs[0])
+    return [[own[0], np.flatnonzero(first) - own[0]], [np.flatnonzero(~first) - own[1], own[1]]]
+
+
+class _Late:
+    """What a leg's likelihood needs of events near the level of excitation: their number, the moments of d, the share by
+    which each leg's excitation is off its level, up to a total order, and the greatest |d|."""
+
+    def __init__(self, order: int):
+        self.order, self.most = order, np.zeros(2)
+        self.moments = np.zeros((order + 1, order + 1))
+        self.powers = np.ones((2, order + 1, 1))
+        ways = np.array([[math.comb(p + q, p) for q in range(order + 1)] for p in range(order + 1)], float)
+        j = np.add.outer(np.arange(order + 1), np.arange(order + 1))
+        self.series = np.where((j > 0) & (j <= order), -((-1.0) ** j) * ways / np.maximum(j, 1), 0.0)
+        self.last = np.where(j == order, ways, 0.0)
+
+    def add(self, d: Sequence[np.ndarray]) -> None:
+        n = len(d[0])
+        if not n:
+            return
+        if self.powers.shape[2] < n:
+            self.powers = np.ones((2, self.order + 1, n))
+        a, b = (self.powers[k, :, :n] for k in (0, 1))
+        for k, x in ((0, a), (1, b)):
+            x[1] = d[k]
+            for p in range(2, self.order + 1):
+                np.multiply(x[p - 1], x[1], out=x[p])
+            self.most[k] = max(self.most[k], x[1].max(), -x[1].min())
+        self.moments += a @ b.T
+
+    def logs(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """The sum of log(1 + x d) by its series, and its slopes in x."""
+        k = np.arange(self.order + 1)
+        v = [x[i] ** k for i in (0, 1)]
+        s = [k * x[i] ** np.maximum(k - 1, 0) for i in (0, 1)]
+        m = self.series * self.moments
+        return float(v[0] @ m @ v[1]), np.array([s[0] @ m @ v[1], v[0] @ m @ s[1]])
+
+    def left_out(self, x: np.ndarray) -> float:
+        """A bound of what the series leaves out of the sum at x >= 0."""
+        far, k = float(x @ self.most), np.arange(self.order + 1)
+        if far >= 1:
+            return math.inf
+        return far * float((x[0] ** k) @ (self.last * self.moments) @ (x[1] ** k)) / ((self.order + 1) * (1 - far) ** (self.order + 1))
+
+
+def _top_of_draw(early: np.ndarray, late: _Late, level: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """climb_array()'s top of a leg as (mu, a0, a1), how far it lies above constant rates, and the most that this can be off.
+
+    Early events have their excitation in rows. For the others lam = (mu + a level) (1 + x d), and the even order of the series keeps
+    it concave. As the likelihood is concave too, a top where the series leaves nothing out is the top.
+    """
+    n = len(early) + late.moments[0, 0]
+    z = np.column_stack([np.ones(len(early)), early])
+    turn = np.array([[1, 0, 0], [level[0], level[0], 0], [level[1], 0, level[1]]])
+    m = late.moments
+    second = turn @ np.array([[m[0, 0], m[1, 0], m[0, 1]], [m[1, 0], m[2, 0], m[1, 1]], [m[0, 1], m[1, 1], m[0, 2]]]) @ turn.T
+
+    def share(b: np.ndarray) -> tuple[float, np.ndarray]:
+        base = float(b[0] + b[1:] @ level)
+        return base, b[1:] * level / base
+
+    def value(u: np.ndarray) -> float:
+        b = u / c
+        lam = z @ b
+        if not b.any() or len(lam) and lam.min() <= 0:
+            return -math.inf
+        base, x = share(b)
+        return m[0, 0] * math.log(base * c[0] / n) + late.logs(x)[0] + float(np.log(lam * (c[0] / n)).sum()) - float(u.sum() - n)
+
+    def slopes(u: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        b = u / c
+        base, x = share(b)
+        by = late.logs(x)[1]
+        rest = (m[0, 0] - x @ by) / base
+        w = z / (z @ b)[:, None]
+        g = np.array([rest, *(level * (rest + by / base))]) + w.sum(axis=0)
+        return value(u), g / c - 1, (second / base**2 + w.T @ w) / np.outer(c, c)
+
+    u = climb(lambda tries, now: next(((v, t) for t in tries if (v := value(t)) > now), None), slopes, n * np.array([0.98, 0.01, 0.01]))
+    return u / c, value(u), late.left_out(share(u / c)[1])
+
+
+def _null_by_moments(mu: Sequence[float], beta: float, end: float, seed: int, order: int) -> float | None:
+    """lr_statistic() of a draw of simulate_poisson() that is swept in windows and not held; None where that is not sure to be it.
+
+    Around the level of constant rates, the moments of the excitation say all that a likelihood does: the top's
+    intensities vary the less, the more events there are. Events before the level is reached keep their rows.
+    """
+    skipped = np.random.default_rng(seed)
+    for left in range(_gaps(mu[0], end), 0, -CHUNK):
+        skipped.standard_exponential(min(left, CHUNK))
+    arrivals = [_Arrivals(np.random.default_rng(seed), mu[0], end), _Arrivals(skipped, mu[1], end)]
+    level, n, held = np.array(mu) / beta, np.zeros(2, int), np.zeros(2)
+    early: list[list[np.ndarray]] = [[], []]
+    late = [_Late(order), _Late(order)]
+    width = min(sweeps.EXPONENT / beta, 2 * _DRAWN / sum(mu))
+    for i in range(math.ceil(end / width)):
+        low, high = i * width, min((i + 1) * width, end)
+        legs = [a.until(high) for a in arrivals]
+        grown = [np.exp(beta * (x - low)) for x in legs]
+        run = [np.concatenate([[held[k]], grown[k]]).cumsum() for k in (0, 1)]
+        for k, before in enumerate(_earlier(legs)):
+            r = [run[j][before[j]] / grown[k] for j in (0, 1)]
+            cut = int(np.searchsorted(legs[k], _HEAD / beta))
+            if cut:
+                early[k].append(np.column_stack(r)[:cut])
+            late[k].add([x[cut:] / level[j] - 1 for j, x in enumerate(r)])
+            n[k] += len(legs[k])
+        held = np.array([x[-1] for x in run]) * math.exp(-beta * (high - low))
+    if n.min() < 10:
+        return None
+    c = np.array([end, *(n - held) / beta])
+    tops = [_top_of_draw(np.concatenate(early[k]) if early[k] else np.zeros((0, 2)), late[k], level, c) for k in (0, 1)]
+    if sum(t[2] for t in tops) > _LEFT_OUT or spectral(np.stack([t[0][1:] for t in tops]) / beta) > 0.999:
+        return None
+    return max(0.0, 2 * sum(t[1] for t in tops))
+
+
+def null_statistic(mu: Sequence[float], beta: float, end: float, seed: int) -> float | None:
+    """lr_statistic() of simulate_poisson(); a draw of many events at a high level of excitation, seen over many decay times, is not held."""
+    if min(mu) >= beta and beta * end >= 10 * _HEAD:
+        for order, events in _ORDERS:
+            if min(mu) * end >= events and (found := _null_by_moments(mu, beta, end, seed, order)) is not None:
+                return found
+    return lr_statistic(simulate_poisson(mu, end, seed), beta, end)
+
+
 def bootstrap(legs: DataFrame, beta: float, end: float, reps: int, seed: int) -> DataFrame:
     """rep, stat: likelihood-ratio statistics; rep 0 is the observed, the others are drawn from the fitted null.
 
@@ -652,9 +827,9 @@ def bootstrap(legs: DataFrame, beta: float, end: float, reps: int, seed: int) ->
 
     def draw(batches):
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["id"], "stat": pd.array([lr_statistic(simulate_poisson(mu, end, seed + int(r)), beta, end) for r in pdf["id"]], dtype="Float64")})
+            yield pd.DataFrame({"rep": pdf["id"], "stat": pd.array([null_statistic(mu, beta, end, seed + int(r)) for r in pdf["id"]], dtype="Float64")})
 
-    null = spark.range(1, reps + 1).repartition(min(reps, spark.sparkContext.defaultParallelism * 2)).mapInPandas(draw, "rep long, stat double")
+    null = spark.range(1, reps + 1, 1, max(1, min(reps, spark.sparkContext.defaultParallelism * 8))).mapInPandas(draw, "rep long, stat double")
     if sum(n.values()) > MOST_EVENTS and min(n.get(k, 0) for k in (0, 1)) >= 10:
         flat = sum(n[k] * math.log(n[k] / end) - n[k] for k in (0, 1))
         return spark.createDataFrame([(0, max(0.0, 2 * (_fit_swept(legs, beta, end)["ll"] - flat)))], "rep long, stat double").unionByName(null)
