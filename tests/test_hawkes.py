@@ -367,3 +367,14 @@ def test_bootstrap_draws_many_events_as_the_whole_fit_sees_them(spark):
     got = {r["rep"]: r["stat"] for r in hawkes.bootstrap(legs, 0.01, 60_000.0, 3, 11).collect()}
     want = {k: hawkes.lr_statistic(hawkes.simulate_poisson([0.2, 0.2], 60_000.0, 11 + k), 0.01, 60_000.0) for k in (1, 2, 3)}
     assert sorted(got) == [0, 1, 2, 3] and {k: got[k] for k in want} == pytest.approx(want, abs=1e-6)
+
+
+def test_passes_over_packed_times_are_passes_over_times(spark):
+    rng = np.random.default_rng(3)
+    legs = _legs(spark, [np.sort(rng.uniform(0, 500, n)).round(1) for n in (900, 700)])
+    rows = hawkes.swept_table(legs, 0.05)
+    few = hawkes.packed(rows)
+    assert few.count() <= rows.rdd.getNumPartitions() < 50 < rows.count()
+    tries = np.array([[[0.5, 0.1, 0.2], [0.4, 0.2, 0.1]], [[1.5, 0.0, 0.1], [-1.0, 0.2, 0.0]]])
+    for got, want in zip(hawkes.leg_sums(few, tries), hawkes.leg_sums(rows, tries), strict=True):
+        assert np.allclose(got, want, rtol=1e-12, equal_nan=True)

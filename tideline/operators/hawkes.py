@@ -429,11 +429,12 @@ def fit_table(legs: DataFrame, beta: float, end: float, most: float = 0.999) ->
 
 
 def _fit_swept(legs: DataFrame, beta: float, end: float, most: float = 0.999, rounds: int = 400) -> dict:
-    """fit_beta() without a constraint for a process that no task should hold: its swept times are written once
-    (see swept_table()), and each step of the climb, or of expectation-maximisation beyond `most`, is one pass over them."""
-    rows = swept_table(legs, beta)
+    """fit_beta() without a constraint for a process that no task should hold: its legs and its swept times are written once
+    (see packed()), and each step of the climb, or of expectation-maximisation beyond `most`, is one pass over them."""
+    legs = stored(legs.select("leg", F.col("t").cast("double").alias("t")).filter("t IS NOT NULL"))  # read five times below
     part = (1 - F.exp(-beta * (F.lit(float(end)) - F.col("t")))) / beta
-    r = rows.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in (0, 1)], *[F.coalesce(F.sum(F.col(f"n_{k}") * part), F.lit(0.0)) for k in (0, 1)]).first()
+    r = legs.agg(*[F.count_if(F.col("leg") == k) for k in (0, 1)], *[F.coalesce(F.sum(F.when(F.col("leg") == k, part)), F.lit(0.0)) for k in (0, 1)]).first()
+    rows = packed(_evenly(legs, beta))
     n, c = np.array(r[:2], float), np.array([end, max(r[2], 1e-300), max(r[3], 1e-300)])
     mu, alpha = np.maximum(n / end / 2, 1e-12), np.full((2, 2), 0.25 * beta)
 
@@ -715,7 +716,7 @@ class _Late:
             x[1] = d[k]
             for p in range(2, self.order + 1):
                 np.multiply(x[p - 1], x[1], out=x[p])
-            self.most[k] = max(self.most[k], x[1].max(), -x[1].min())
+            self.most[k] = max(self.most[k], math.sqrt(x[2].max()))
         self.moments += a @ b.T
 
     def logs(self, x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -853,21 +854,46 @@ _PASS_NUMBERS = 1 << 16
 SETTLED = 1e-5
 
 
+_SUMMED = ("n_0", "n_1", "r_0", "r_1")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """Swept times for leg_sums(), written once, with a batch's numbers in a row: most of a pass over single ones was their way to the workers."""
+
+    def pack(batches):
+        for x in batches:
+            if len(x):
+                yield pd.DataFrame({c: [x[c].to_numpy(float).tobytes()] for c in _SUMMED})
+
+    return stored(rows.select(*_SUMMED).mapInPandas(pack, ", ".join(f"{c} binary" for c in _SUMMED)))
+
+
+def _arrays_of(batches):
+    """The numbers of swept times, packed() or not."""
+    for x in batches:
+        if len(x) and isinstance(x[_SUMMED[0]].iloc[0], bytes):
+            for row in x[list(_SUMMED)].itertuples(index=False):
+                yield {c: np.frombuffer(v) for c, v in zip(_SUMMED, row, strict=True)}
+        else:
+            yield {c: x[c].to_numpy(float) for c in _SUMMED}
+
+
 def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For m tries of both legs' (mu, a0, a1), in an array m x 2 x 3: the sums over swept times (see sweeps.times()) of
     n ln(lam), m x 2; of its slopes, m x 2 x 3; and of the outer products of its slopes, m x 2 x 3 x 3.
 
     One pass for all tries: each step is a product of some rows with the tries, each task sends twenty sums a try.
+    rows may be packed().
     """
     m = len(tries)
     step = max(64, _PASS_NUMBERS // m)
 
     def part(batches):
         total = np.zeros((m, 2, 10))
-        for whole in batches:
-            every = np.column_stack([np.ones(len(whole)), whole["r_0"], whole["r_1"]])
+        for whole in _arrays_of(batches):
+            every = np.column_stack([np.ones(len(whole["r_0"])), whole["r_0"], whole["r_1"]])
             for k in (0, 1):
-                held = whole[f"n_{k}"].to_numpy(float)
+                held = whole[f"n_{k}"]
                 all_z, all_n = every[held > 0], held[held > 0]
                 for i in range(0, len(all_n), step):
                     z, n = all_z[i : i + step], all_n[i : i + step]
@@ -887,7 +913,7 @@ def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray
                         total[:, k, 4:] += np.where(lam > 0, w / lam, 0.0).T @ pairs
         yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "x": total.ravel()})
 
-    got = rows.select("n_0", "n_1", "r_0", "r_1").mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    got = rows.select(*_SUMMED).mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     total = np.zeros(m * 20)
     for r in got:
         total[r["i"]] = r["x"]
@@ -1027,9 +1053,13 @@ def _steps(problem, y: np.ndarray, g: np.ndarray, h: np.ndarray) -> list[np.ndar
 
 def swept_table(legs: DataFrame, beta: float) -> DataFrame:
     """The distinct times of both legs with their excitation, written once to the shared folder, evenly over all cores."""
+    return stored(_evenly(legs, beta))
+
+
+def _evenly(legs: DataFrame, beta: float) -> DataFrame:
     swept, leaves = sweeps.times(legs, beta)
     files = max(legs.sparkSession.sparkContext.defaultParallelism, math.ceil(leaves.rows / ranges.RANGE_ROWS))
-    return stored(swept.select("t", "n_0", "n_1", "r_0", "r_1").repartition(files, "t"))
+    return swept.select("t", *_SUMMED).repartition(files, "t")
 
 
 def _on_etas(rows: DataFrame, radii: list[float], starts: list[np.ndarray], cost: np.ndarray) -> list[float]:
