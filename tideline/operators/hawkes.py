@@ -16,6 +16,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -869,13 +870,13 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 def _arrays_of(batches):
-    """The numbers of swept times, packed() or not."""
+    """The numbers of swept times in Arrow batches, packed() or not; those of packed ones are not copied."""
     for x in batches:
-        if len(x) and isinstance(x[_SUMMED[0]].iloc[0], bytes):
-            for row in x[list(_SUMMED)].itertuples(index=False):
-                yield {c: np.frombuffer(v) for c, v in zip(_SUMMED, row, strict=True)}
+        if pa.types.is_binary(x.schema.field(0).type):
+            for i in range(x.num_rows):
+                yield {c: np.frombuffer(x.column(c)[i].as_buffer()) for c in _SUMMED}
         else:
-            yield {c: x[c].to_numpy(float) for c in _SUMMED}
+            yield {c: x.column(c).to_numpy(zero_copy_only=False).astype(float) for c in _SUMMED}
 
 
 def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -911,9 +912,9 @@ def leg_sums(rows: DataFrame, tries: np.ndarray) -> tuple[np.ndarray, np.ndarray
                         w = np.where(lam > 0, n[:, None] / lam, 0.0)
                         total[:, k, 1:4] += w.T @ z
                         total[:, k, 4:] += np.where(lam > 0, w / lam, 0.0).T @ pairs
-        yield pd.DataFrame({"i": np.arange(total.size, dtype=np.int32), "x": total.ravel()})
+        yield pa.RecordBatch.from_pydict({"i": np.arange(total.size, dtype=np.int32), "x": total.ravel()})
 
-    got = rows.select(*_SUMMED).mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    got = rows.select(*_SUMMED).mapInArrow(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
     total = np.zeros(m * 20)
     for r in got:
         total[r["i"]] = r["x"]
